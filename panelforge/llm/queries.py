@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import dedup, packing, tokens, topk
+from . import dedup, licences, mixing, packing, pages, quality, tokens, topk, toxicity
 from .common import read_table
 
 
@@ -28,11 +28,48 @@ def op8_topk_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.top_k_inner(rows.filter(F.col("vec_id") % 50 == 0), rows, k=5)
 
 
+def op1_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pages.extract_main_text(read_table(spark, sf_dir, "pages"))
+
+
+def op6_licence_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licences.licence_scan(read_table(spark, sf_dir, "documents"))
+
+
+def op7_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.quality_filter(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
+
+
+#: Weights of the quality classes 1 and 0 of the labelled table.
+MIX_TARGETS = {"1": 0.9, "0": 0.1}
+
+
+def mix_domains(labels: DataFrame) -> DataFrame:
+    """The labelled table of the mixing queries: domains are the quality classes."""
+    return labels.select("doc_id", F.col("quality").cast("string").alias("domain"))
+
+
+def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents")
+    mix = mixing.fit_mixture(docs, mix_domains(read_table(spark, sf_dir, "labels")), MIX_TARGETS)
+    return mixing.document_rates(docs, mix)
+
+
+def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents")
+    return toxicity.score_toxicity(docs, toxicity.train_toxicity(docs, read_table(spark, sf_dir, "labels")))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_html_extraction": op1_html_extraction,
     "op3_token_counts": op3_token_counts,
     "op4_packing": op4_packing,
     "op5_exact_dedup": op5_exact_dedup,
+    "op6_licence_scan": op6_licence_scan,
+    "op7_quality_classifier": op7_quality_classifier,
     "op8_topk_search": op8_topk_search,
+    "op9_mixing": op9_mixing,
+    "op10_toxicity": op10_toxicity,
 }
 
 ORACLE_SQL: dict[str, str] = {
