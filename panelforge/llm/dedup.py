@@ -178,6 +178,13 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     return found.select("doc_id", "keep_id", "group_size", F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"), F.lower(F.hex("digest")).alias("text_sha256"))
 
 
+def drop_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of docs that `exact_dedup` keeps, all their columns; of rows equal in id and text one."""
+    kept = materialize(exact_dedup(docs, id_col, text_col).filter("kept").select(F.col("doc_id").alias("_kept_id")).distinct())
+    held = docs.join(kept, F.col(id_col).eqNullSafe(F.col("_kept_id")), "left_semi")
+    return held.withColumn("_kept_text", F.sha2(normalized(F.col(text_col)).cast("binary"), 256)).dropDuplicates([id_col, "_kept_text"]).select([F.col(f"`{c}`") for c in docs.columns])
+
+
 def digest_of(text: str | None) -> bytes:
     """The digest of one text, for callers that maintain an index."""
     import re

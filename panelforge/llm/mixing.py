@@ -24,15 +24,15 @@ def n_tokens(text: Column) -> Column:
 
 
 def features(docs: DataFrame, text_col: str = "text") -> DataFrame:
-    """All columns of docs, `_t` (tokens) and `_f` (an array with a number for each of FEATURES)."""
+    """All columns of docs, `_mix_t` (tokens) and `_mix_f` (an array with a number for each of FEATURES)."""
     text = F.coalesce(F.col(text_col), F.lit(""))
     words = F.filter(F.split(text, "[\\x20\\x09-\\x0D]+"), lambda w: w != "")
-    d = docs.withColumn("_w", words).withColumn("_t", F.size("_w").cast("bigint"))
-    n, size = F.greatest(F.col("_t"), F.lit(1)), F.greatest(F.length(text), F.lit(1))
+    d = docs.withColumn("_mix_w", words).withColumn("_mix_t", F.size("_mix_w").cast("bigint"))
+    n, size = F.greatest(F.col("_mix_t"), F.lit(1)), F.greatest(F.length(text), F.lit(1))
     odd = F.length(F.regexp_replace(text, "[\\p{L}\\s.,]+", "")) / size
     lines = F.length(text) - F.length(F.translate(text, "\n", "")) + 1
-    found = F.array(F.log1p(100 * odd), F.log1p(n / lines), F.log(size / n), F.size(F.array_distinct("_w")) / n, F.log1p(size.cast("double")))
-    return d.withColumn("_f", found).drop("_w")
+    found = F.array(F.log1p(100 * odd), F.log1p(n / lines), F.log(size / n), F.size(F.array_distinct("_mix_w")) / n, F.log1p(size.cast("double")))
+    return d.withColumn("_mix_f", found).drop("_mix_w")
 
 
 @dataclass
@@ -78,21 +78,21 @@ def fit_mixture(docs: DataFrame, labelled: DataFrame, targets: dict[str, float],
     of one number a domain; steps end where targets are met or nothing moves. `least` is the
     smallest rate allowed, 0 or more: with 1 no document is dropped. Without labelled documents or tokens every rate is 1.
     """
-    f = features(docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text")), "_text").select("_id", "_t", "_f")
+    f = features(docs.select(F.col(id_col).alias("_mix_id"), F.col(text_col).alias("_mix_text")), "_mix_text").select("_mix_id", "_mix_t", "_mix_f")
     held = materialize(f)
-    known = labelled.select(F.col(id_col).alias("_id"), F.col("domain").cast("string").alias("_domain")).filter(F.col("_id").isNotNull() & F.col("_domain").isin(list(targets)))
-    stats = [x for k in range(len(FEATURES)) for x in (F.avg(F.col("_f")[k]).alias(f"m{k}"), F.var_pop(F.col("_f")[k]).alias(f"v{k}"))]
-    rows = sorted(held.join(known, "_id").groupBy("_domain").agg(F.count("*").alias("n"), *stats).collect(), key=lambda r: r["_domain"])
+    known = labelled.select(F.col(id_col).alias("_mix_id"), F.col("domain").cast("string").alias("_mix_domain")).filter(F.col("_mix_id").isNotNull() & F.col("_mix_domain").isin(list(targets)))
+    stats = [x for k in range(len(FEATURES)) for x in (F.avg(F.col("_mix_f")[k]).alias(f"m{k}"), F.var_pop(F.col("_mix_f")[k]).alias(f"v{k}"))]
+    rows = sorted(held.join(known, "_mix_id").groupBy("_mix_domain").agg(F.count("*").alias("n"), *stats).collect(), key=lambda r: r["_mix_domain"])
     if not rows:
         return Mixture(["all"], [1.0], [[0.0] * len(FEATURES)], [[1.0] * len(FEATURES)], least=least)
     total = sum(r["n"] for r in rows)
-    mix = Mixture([r["_domain"] for r in rows], [r["n"] / total for r in rows], [[r[f"m{k}"] for k in range(len(FEATURES))] for r in rows], [[max(r[f"v{k}"], 1e-3) for k in range(len(FEATURES))] for r in rows], least=least)
+    mix = Mixture([r["_mix_domain"] for r in rows], [r["n"] / total for r in rows], [[r[f"m{k}"] for k in range(len(FEATURES))] for r in rows], [[max(r[f"v{k}"], 1e-3) for k in range(len(FEATURES))] for r in rows], least=least)
     kinds = range(len(rows))
-    soft = materialize(held.select("_t", mix.posterior(F.col("_f")).alias("p")))
+    soft = materialize(held.select("_mix_t", mix.posterior(F.col("_mix_f")).alias("p")))
 
     def masses() -> list[float]:
         """Expected tokens of each domain at the present rates."""
-        r = soft.select("_t", "p", mix.rate(F.col("p")).alias("r")).agg(*(F.sum(F.col("_t") * F.col("r") * F.col("p")[k]).alias(f"a{k}") for k in kinds)).first()
+        r = soft.select("_mix_t", "p", mix.rate(F.col("p")).alias("r")).agg(*(F.sum(F.col("_mix_t") * F.col("r") * F.col("p")[k]).alias(f"a{k}") for k in kinds)).first()
         return [r[f"a{k}"] or 0.0 for k in kinds]
 
     start = masses()
@@ -116,8 +116,8 @@ def document_rates(docs: DataFrame, mix: Mixture, id_col: str = "doc_id", text_c
     number for each of `mix.domains`. Null texts count as empty and have 0 tokens; repeated
     rows get a rate each. No shuffle.
     """
-    f = features(docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("_text")), "_text")
-    p = f.select("doc_id", F.col("_t").alias("n_tokens"), mix.posterior(F.col("_f")).alias("posterior"))
+    f = features(docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("_mix_text")), "_mix_text")
+    p = f.select("doc_id", F.col("_mix_t").alias("n_tokens"), mix.posterior(F.col("_mix_f")).alias("posterior"))
     names = F.array(*map(F.lit, mix.domains))
     domain = F.element_at(names, F.array_position("posterior", F.array_max("posterior")).cast("int"))
     return p.select("doc_id", "n_tokens", domain.alias("domain"), "posterior", mix.rate(F.col("posterior")).alias("rate"))
@@ -126,8 +126,8 @@ def document_rates(docs: DataFrame, mix: Mixture, id_col: str = "doc_id", text_c
 def apply_rates(docs: DataFrame, mix: Mixture, seed: int = 0, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """docs with every row floor(rate) times, and once more by a hash of its id with the odds of the rest."""
     cols = docs.columns
-    f = features(docs.withColumn("_text", F.col(text_col)), "_text")
-    rate = f.withColumn("_r", mix.rate(mix.posterior(F.col("_f"))))
+    f = features(docs.withColumn("_mix_text", F.col(text_col)), "_mix_text")
+    rate = f.withColumn("_mix_r", mix.rate(mix.posterior(F.col("_mix_f"))))
     u = (F.pmod(F.xxhash64(F.col(id_col), F.lit(seed)), F.lit(1_000_003)) + 0.5) / 1_000_003
-    copies = F.floor(F.col("_r") + u).cast("int")
-    return rate.withColumn("_n", copies).filter("_n > 0").withColumn("_k", F.explode(F.sequence(F.lit(1), F.col("_n")))).select(*(F.col(f"`{c}`") for c in cols))
+    copies = F.floor(F.col("_mix_r") + u).cast("int")
+    return rate.withColumn("_mix_n", copies).filter("_mix_n > 0").withColumn("_mix_k", F.explode(F.sequence(F.lit(1), F.col("_mix_n")))).select(*(F.col(f"`{c}`") for c in cols))

@@ -37,7 +37,7 @@ class ToxicityModel:
         return float(1 / (1 + np.exp(-np.clip(z, -50, 50))))
 
 
-def nonnegative_pu(x: np.ndarray, positive: np.ndarray, prior: float, steps: int = 400, rate: float = 0.05, decay: float = 2e-4, slack: float = 0.0) -> tuple[np.ndarray, float]:
+def nonnegative_pu(x: np.ndarray, positive: np.ndarray, prior: float, steps: int = 400, rate: float = 0.1, decay: float = 1e-5, slack: float = 0.0) -> tuple[np.ndarray, float]:
     """Weights and bias minimising prior * R_p+ + max(0, R_u- - prior * R_p-), sigmoid loss, full batches by Adam.
 
     Where the corrected negative risk falls below -slack, the step goes up that risk instead.
