@@ -220,7 +220,8 @@ def extract_main_text(pages: DataFrame, min_pages: int = 10, min_share: float =
             if len(n) > 200_000:
                 yield _table(n)
                 n.clear()
-        yield _table(n)
+        if n:
+            yield _table(n)
 
     counts = rows.mapInPandas(count, "host string, subtree bigint, n bigint").groupBy("host", "subtree").agg(F.sum("n").alias("n")).filter(F.col("subtree").isNull() | (F.col("n") >= min_pages))
     counts = materialize(counts)
