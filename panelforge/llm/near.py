@@ -16,13 +16,15 @@ the boundary go into the inverted lists too, so that no pair across it is lost.
 
 Equal sets are one node, named by a hash of the set. Candidates are verified on whole sets.
 Since only classes are asked for, a list first tries each member against one hub; members that
-are linked by then are never paired, and only pairs across classes are tried in the end.
+are linked by then are never paired, and only pairs across classes are tried in the end, block by
+block where the sets lie.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import reduce
 from itertools import combinations
 
 import numpy as np
@@ -73,10 +75,8 @@ def light_keys(s: np.ndarray, sizes: Sizes) -> np.ndarray:
     return mix(mix(first[pairs[:, 0]] + np.uint64(0xA0761D6478BD642F)) * np.uint64(0xE7037ED1A0B428DB) + first[pairs[:, 1]])
 
 
-def choose_boundary(docs: DataFrame, sizes: Sizes, largest: int = 200) -> int:
+def choose_boundary(have: dict[int, int], sizes: Sizes, largest: int = 200) -> int:
     """The light-heavy boundary of least cost, from how many sets there are of each size up to `largest`."""
-    rows = docs.filter(F.col("n").between(1, largest)).groupBy("n").agg(F.count("*").alias("c")).collect()
-    have = {r["n"]: r["c"] for r in rows}
 
     def cost(x: int) -> int:
         return sum(c * sizes.subsets(n) for n, c in have.items() if n <= x) + sum(c * sizes.listed(n) for n, c in have.items() if n >= sizes.smallest(x + 1))
@@ -244,25 +244,92 @@ def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return held.select("a", "b", "x", "y").mapInPandas(run, "a bigint, b bigint")
 
 
+def _linked_in_group(entries: pd.DataFrame, held: pd.DataFrame, percent: int) -> pd.DataFrame:
+    """Links (a, b) between sets of two blocks, or within one, that share a list and whose labels differ."""
+    if entries.empty:
+        return pd.DataFrame({"a": [], "b": []}, dtype="int64")
+    nodes = entries.drop_duplicates("sid").sort_values("sid")
+    sids, label, block, n = (nodes[c].to_numpy() for c in ("sid", "label", "block", "n"))
+    at = dict(zip(held["node"], held["elements"], strict=True))
+    sets = [np.frombuffer(at[s], np.uint64) for s in sids]
+    start = np.concatenate(([0], np.cumsum([len(x) for x in sets])))
+    flat = np.concatenate(sets)
+    place = np.searchsorted(sids, entries["sid"].to_numpy())
+    order = np.argsort(entries["key"].to_numpy(), kind="stable")
+    key, place = entries["key"].to_numpy()[order], place[order]
+    lists = np.split(place, np.flatnonzero(key[1:] != key[:-1]) + 1)
+    of: list[list[int]] = [[] for _ in sids]
+    for k, members in enumerate(lists):
+        for m in members:
+            of[m].append(k)
+    two = block.min() != block.max()
+    good: list[tuple[int, int]] = []
+    for i in range(len(sids)):
+        if two and block[i] != block.min():
+            continue
+        others = np.unique(np.concatenate([lists[k] for k in of[i]]))
+        others = others[(block[others] != block[i]) if two else others > i]
+        others = others[(label[others] != label[i]) & (n[others] * percent <= n[i] * 100) & (n[i] * percent <= n[others] * 100)]
+        if not len(others):
+            continue
+        size = n[others]
+        begin = np.concatenate(([0], np.cumsum(size)[:-1]))
+        every = flat[np.arange(size.sum()) - np.repeat(begin - start[others], size)]
+        hit = sets[i][np.minimum(np.searchsorted(sets[i], every), len(sets[i]) - 1)] == every
+        both = np.add.reduceat(hit, begin, dtype=np.int64)
+        linked = others[100 * both >= percent * (size + n[i] - both)]
+        for m in linked:
+            good.append((int(sids[i]), int(sids[m])))
+        # of equal labels all are connected: merge them here, too
+        for old in np.unique(label[linked]):
+            label[label == old] = label[i]
+    return pd.DataFrame(good, columns=["a", "b"], dtype="int64")
+
+
+def _across(told: DataFrame, sets: DataFrame, percent: int, nodes_a_block: int = 600, bytes_a_block: int = 12_000_000) -> DataFrame:
+    """Links between sets that share a list and have different labels: (a, b), enough of them to connect what is linked.
+
+    Sets are dealt to blocks by their least key, so that likely partners are together; every two
+    blocks that meet in a list are one group, which gets the entries and sets concerned and
+    tries its pairs where they are. No pair becomes a row unless it is a link.
+    """
+    mixed = materialize(told.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).filter("lo <> hi").select("key"))
+    some = materialize(told.join(mixed, "key"))
+    nodes = some.groupBy("sid").agg(F.min("key").alias("least"), F.first("n").alias("n"))
+    count, elements = nodes.agg(F.count("*"), F.sum("n")).first()
+    blocks = max(1, -(-count // nodes_a_block), -(-8 * (elements or 0) // bytes_a_block))
+    block = F.pmod(F.xxhash64("least") + F.pmod(F.xxhash64("sid"), F.lit(4)), F.lit(blocks)).cast("int")
+    placed = materialize(some.join(nodes.select("sid", block.alias("block")), "sid"))
+    met = materialize(placed.groupBy("key").agg(F.collect_set("block").alias("blocks")))
+    dealt = placed.join(met, "key").withColumn("other", F.explode("blocks"))
+    dealt = materialize(dealt.select(F.least("block", "other").alias("g"), F.greatest("block", "other").alias("h"), "key", "sid", "n", "label", "block"))
+    wanted = dealt.select(F.col("g").alias("g2"), F.col("h").alias("h2"), F.col("sid").alias("node")).distinct().join(sets.select(F.col("sid").alias("node"), "elements"), "node")
+
+    def run(entries: pd.DataFrame, held: pd.DataFrame) -> pd.DataFrame:
+        return _linked_in_group(entries, held, percent)
+
+    return dealt.groupBy("g", "h").cogroup(wanted.groupBy("g2", "h2")).applyInPandas(run, "a bigint, b bigint")
+
+
 def components(edges: DataFrame) -> DataFrame:
     """(sid, label): the smallest name reachable, for every name that stands in an edge (a, b).
 
     Each round takes the least label among neighbours and then that label's own; joins are on
     written tables, so that a name with very many edges can be split.
     """
-    both = materialize(edges.select("a", "b").union(edges.select("b", "a")).distinct())
+    both = materialize(edges.select("a", "b").union(edges.select("b", "a")))
     labels = materialize(both.groupBy(F.col("a").alias("sid")).agg(F.least(F.min("b"), F.first("a")).alias("label")))
     while True:
         near = both.join(labels.select(F.col("sid").alias("b"), "label"), "b").groupBy(F.col("a").alias("sid")).agg(F.min("label").alias("near"))
-        lower = materialize(labels.join(near, "sid").select("sid", F.least("label", "near").alias("label"), F.col("label").alias("old")))
-        up = lower.select(F.col("sid").alias("label"), F.col("label").alias("up"))
-        jumped = materialize(lower.join(up, "label", "left").select("sid", F.least("label", F.coalesce("up", "label")).alias("label"), "old"))
-        labels = jumped.select("sid", "label")
-        if jumped.filter("label <> old").isEmpty():
-            return labels
+        up = labels.select(F.col("sid").alias("label"), F.col("label").alias("up"))
+        jumped = labels.join(up, "label", "left").join(near, "sid")
+        labels = materialize(jumped.select("sid", F.least("label", "near", F.coalesce("up", "label")).alias("label"), F.col("label").alias("old")))
+        if labels.filter("label <> old").isEmpty():
+            return labels.select("sid", "label")
+        labels = labels.select("sid", "label")
 
 
-def jaccard_components(docs: DataFrame, percent: int = 80, words: int = 5, hub_rounds: int = 3, log_bits: int = 26, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def jaccard_components(docs: DataFrame, percent: int = 80, words: int = 5, hub_rounds: int = 2, log_bits: int = 26, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, n_shingles, component_id) of every row.
 
     Two rows link when the Jaccard similarity of their sets of `words`-word shingles is percent
@@ -275,47 +342,38 @@ def jaccard_components(docs: DataFrame, percent: int = 80, words: int = 5, hub_r
     spark = docs.sparkSession
     rows = materialize(_set_rows(texts, words))
     nodes = materialize(rows.filter("sid is not null").groupBy("sid").agg(F.min("doc_id").alias("first_id"), F.first("n").alias("n")))
-    boundary = choose_boundary(nodes, sizes)
-    total = nodes.agg(F.sum("n")).first()[0] or 0
-    buckets = max(2 * partitions(spark), int(total // 2_000_000))
+    small = F.when(F.col("n") <= 200, F.col("n")).alias("n")
+    counted = nodes.groupBy(small).agg(F.count("*").alias("c"), F.sum("n").alias("elements")).collect()
+    boundary = choose_boundary({r["n"]: r["c"] for r in counted if r["n"]}, sizes)
+    buckets = max(2 * partitions(spark), sum(r["elements"] for r in counted) // 2_000_000)
     entries = _shared_entries(_postings(texts, words, sizes, boundary, buckets))
-    lists = materialize(_rarest(entries, percent))
-    shared = lists.groupBy("key").agg(F.count("*").alias("c")).filter("c > 1").select("key")
-    lists = materialize(lists.join(materialize(shared), "key"))
-    sets = materialize(_whole_sets(texts, lists.select("sid").distinct(), words, log_bits))
+    told = materialize(_rarest(entries, percent).withColumn("label", F.col("sid")))
+    sets = materialize(_whole_sets(texts, told.select("sid").distinct(), words, log_bits))
     fits = (F.col("n") * percent <= F.col("hub_n") * 100) & (F.col("hub_n") * percent <= F.col("n") * 100)
 
-    edges = spark.createDataFrame([], "a bigint, b bigint")
-    told = lists.withColumn("label", F.col("sid"))
+    found = []
     for turn in range(hub_rounds):
         hub = F.min_by(F.struct(F.col("sid").alias("hub"), F.col("n").alias("hub_n"), F.col("label").alias("hub_label")), F.xxhash64("sid", F.lit(turn)))
         hubs = told.groupBy("key").agg(hub.alias("h"), F.min("label").alias("lo"), F.max("label").alias("hi")).filter("lo <> hi").select("key", "h.*")
         tries = told.join(materialize(hubs), "key").filter("label <> hub_label").filter(fits)
-        best = materialize(tries.groupBy("sid", "hub").agg(F.count("*").alias("c")).groupBy("sid").agg(F.max_by("hub", F.struct("c", "hub")).alias("hub")))
-        if best.isEmpty():
-            break
-        edges = materialize(edges.union(_verified(best.select(F.col("sid").alias("a"), F.col("hub").alias("b")), sets, percent)))
-        told = _relabelled(lists, components(edges))
-    # what is left across classes, each pair once, however many lists it shares
-    mixed = materialize(told.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).filter("lo <> hi").select("key"))
-    some = materialize(told.join(mixed, "key"))
-    other = some.select("key", F.col("sid").alias("hub"), F.col("n").alias("hub_n"), F.col("label").alias("hub_label"))
-    pairs = some.join(other, "key").filter("label < hub_label").filter(fits).select(F.col("sid").alias("a"), F.col("hub").alias("b")).distinct()
-    edges = materialize(edges.union(_verified(materialize(pairs), sets, percent)))
-    labels = components(edges)
+        best = tries.groupBy("sid", "hub").agg(F.count("*").alias("c"), F.first("hub_label").alias("hub_label")).groupBy("sid").agg(F.max_by(F.struct("hub", "hub_label"), F.struct("c", "hub")).alias("h"))
+        best = materialize(best.select("sid", "h.*"))
+        linked = materialize(_verified(best.select(F.col("sid").alias("a"), F.col("hub").alias("b")), sets, percent))
+        found.append(linked)
+        # who is linked takes the hub's label: of equal labels all are connected
+        new = materialize(linked.select(F.col("a").alias("sid")).join(best, "sid").select("sid", F.col("hub_label").alias("new")))
+        told = materialize(told.join(new, "sid", "left").select("key", "sid", "n", F.coalesce("new", "label").alias("label")))
+    found.append(_across(told, sets, percent))
+    labels = components(reduce(DataFrame.union, found))
 
     named = nodes.join(labels, "sid", "left").select("sid", "first_id", F.coalesce("label", "sid").alias("label"))
     named = materialize(named)
     least = materialize(named.groupBy("label").agg(F.min("first_id").alias("component_id")))
-    found = materialize(named.join(least, "label").select("sid", "component_id"))
-    whole = rows.filter("sid is not null").join(found, "sid").select("doc_id", F.col("n").alias("n_shingles"), "component_id")
+    classes = materialize(named.join(least, "label").select("sid", "component_id"))
+    whole = rows.filter("sid is not null").join(classes, "sid").select("doc_id", F.col("n").alias("n_shingles"), "component_id")
     return whole.unionByName(rows.filter("sid is null").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id")))
 
 
-def _relabelled(lists: DataFrame, labels: DataFrame) -> DataFrame:
-    return materialize(lists.join(labels, "sid", "left").select("key", "sid", "n", F.coalesce("label", "sid").alias("label")))
-
-
 def keep_one_of_each(docs: DataFrame, percent: int = 80, words: int = 5) -> DataFrame:
     """The rows of docs whose doc_id is the smallest of its class, all their columns; rows without an id stay."""
     found = jaccard_components(docs, percent, words)
