@@ -52,7 +52,7 @@ def resolve_exits(entries: DataFrame, bars: DataFrame, sessions: DataFrame, stop
 
     s = sessions.select("d", "ord")
     at = entries.join(F.broadcast(s.select(F.col("d").alias("entry_d"), F.col("ord").alias("_e"))), "entry_d")
-    steps = at.select("trade_id", "asset", "entry_px", (F.col("_e") + F.explode(F.sequence(F.lit(1), F.lit(horizon)))).alias("ord")).join(F.broadcast(s), "ord")
+    steps = at.select("trade_id", "asset", "entry_px", F.explode(F.sequence(F.col("_e") + 1, F.col("_e") + horizon)).alias("ord")).join(F.broadcast(s), "ord")
     seen = steps.join(bars.select("asset", "d", "low", "high"), ["asset", "d"])
     hit = seen.withColumn("_why", F.when(F.col("low") <= stop * F.col("entry_px"), F.struct(F.lit(0).alias("p"), F.lit("stop").alias("reason"), (stop * F.col("entry_px")).alias("px"))).when(F.col("high") >= take * F.col("entry_px"), F.struct(F.lit(1).alias("p"), F.lit("take").alias("reason"), (take * F.col("entry_px")).alias("px"))))
     first = hit.filter("_why is not null").groupBy("trade_id").agg(F.min_by("_why", "d").alias("_why"), F.min("d").alias("_hit_d"))
