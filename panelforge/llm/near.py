@@ -95,7 +95,7 @@ def _set_rows(docs: DataFrame, words: int) -> DataFrame:
     return docs.mapInPandas(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, sid bigint, n bigint")
 
 
-def _postings(docs: DataFrame, words: int, sizes: Sizes, boundary: int, buckets: int, flush: int = 2_000_000) -> DataFrame:
+def _postings(docs: DataFrame, words: int, sizes: Sizes, boundary: int, buckets: int, flush: int = 500_000) -> DataFrame:
     """List entries in packs: (bucket, keys, sids, sizes, counts); each set once for each task.
 
     Keys of one set stand together, so its name and size are told once a pack. A light key has
@@ -248,10 +248,9 @@ def _linked_in_group(entries: pd.DataFrame, held: pd.DataFrame, percent: int) ->
     """Links (a, b) between sets of two blocks, or within one, that share a list and whose labels differ."""
     if entries.empty:
         return pd.DataFrame({"a": [], "b": []}, dtype="int64")
-    nodes = entries.drop_duplicates("sid").sort_values("sid")
-    sids, label, block, n = (nodes[c].to_numpy() for c in ("sid", "label", "block", "n"))
-    at = dict(zip(held["node"], held["elements"], strict=True))
-    sets = [np.frombuffer(at[s], np.uint64) for s in sids]
+    held = held.sort_values("node")
+    sids, label, block, n = (held[c].to_numpy(copy=True) for c in ("node", "label", "block", "n"))
+    sets = [np.frombuffer(x, np.uint64) for x in held["elements"]]
     start = np.concatenate(([0], np.cumsum([len(x) for x in sets])))
     flat = np.concatenate(sets)
     place = np.searchsorted(sids, entries["sid"].to_numpy())
@@ -278,10 +277,10 @@ def _linked_in_group(entries: pd.DataFrame, held: pd.DataFrame, percent: int) ->
         hit = sets[i][np.minimum(np.searchsorted(sets[i], every), len(sets[i]) - 1)] == every
         both = np.add.reduceat(hit, begin, dtype=np.int64)
         linked = others[100 * both >= percent * (size + n[i] - both)]
-        for m in linked:
+        # of equal labels all are connected: one link to each is enough, and merges them here, too
+        olds, first = np.unique(label[linked], return_index=True)
+        for old, m in zip(olds, linked[first], strict=True):
             good.append((int(sids[i]), int(sids[m])))
-        # of equal labels all are connected: merge them here, too
-        for old in np.unique(label[linked]):
             label[label == old] = label[i]
     return pd.DataFrame(good, columns=["a", "b"], dtype="int64")
 
@@ -301,9 +300,11 @@ def _across(told: DataFrame, sets: DataFrame, percent: int, nodes_a_block: int =
     block = F.pmod(F.xxhash64("least") + F.pmod(F.xxhash64("sid"), F.lit(4)), F.lit(blocks)).cast("int")
     placed = materialize(some.join(nodes.select("sid", block.alias("block")), "sid"))
     met = materialize(placed.groupBy("key").agg(F.collect_set("block").alias("blocks")))
-    dealt = placed.join(met, "key").withColumn("other", F.explode("blocks"))
-    dealt = materialize(dealt.select(F.least("block", "other").alias("g"), F.greatest("block", "other").alias("h"), "key", "sid", "n", "label", "block"))
-    wanted = dealt.select(F.col("g").alias("g2"), F.col("h").alias("h2"), F.col("sid").alias("node")).distinct().join(sets.select(F.col("sid").alias("node"), "elements"), "node")
+    own, other = F.col("block"), F.explode("blocks").alias("other")
+    met_by = placed.join(met, "key").select("key", "sid", "n", "label", "block", other)
+    group = [F.least(own, F.col("other")).alias("g"), F.greatest(own, F.col("other")).alias("h")]
+    dealt = met_by.select(*group, "key", "sid")
+    wanted = met_by.select(*group, F.col("sid").alias("node"), "n", "label", "block").distinct().join(sets.select(F.col("sid").alias("node"), "elements"), "node").withColumnsRenamed({"g": "g2", "h": "h2"})
 
     def run(entries: pd.DataFrame, held: pd.DataFrame) -> pd.DataFrame:
         return _linked_in_group(entries, held, percent)
@@ -329,7 +330,7 @@ def components(edges: DataFrame) -> DataFrame:
         labels = labels.select("sid", "label")
 
 
-def jaccard_components(docs: DataFrame, percent: int = 80, words: int = 5, hub_rounds: int = 2, log_bits: int = 26, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def jaccard_components(docs: DataFrame, percent: int = 80, words: int = 5, hub_rounds: int = 1, log_bits: int = 26, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, n_shingles, component_id) of every row.
 
     Two rows link when the Jaccard similarity of their sets of `words`-word shingles is percent
@@ -363,7 +364,7 @@ def jaccard_components(docs: DataFrame, percent: int = 80, words: int = 5, hub_r
         # who is linked takes the hub's label: of equal labels all are connected
         new = materialize(linked.select(F.col("a").alias("sid")).join(best, "sid").select("sid", F.col("hub_label").alias("new")))
         told = materialize(told.join(new, "sid", "left").select("key", "sid", "n", F.coalesce("new", "label").alias("label")))
-    found.append(_across(told, sets, percent))
+    found.append(materialize(_across(told, sets, percent)))
     labels = components(reduce(DataFrame.union, found))
 
     named = nodes.join(labels, "sid", "left").select("sid", "first_id", F.coalesce("label", "sid").alias("label"))
