@@ -145,7 +145,7 @@ def extract_summary(record: Column) -> Column:
 
 def extract_body(record: Column) -> Column:
     """From the dateline on, else after the by-line, else after the title."""
-    pick = lambda p: F.nullif(F.trim(F.regexp_extract(record, p, 1)), F.lit(""))
+    pick = lambda p: F.nullif(F.trim(F.regexp_extract(record, p, 1), F.lit(" \n")), F.lit(""))
     title = extract_title(record)
     after = F.trim(F.substr(record, F.position(title, record) + F.length(title)), F.lit(" \n"))
     return F.coalesce(pick("(?s)\\n(\\([A-Z][^\\n]*\\) --.*)"), pick("(?s)\\nBy [^\\n]*\\n(.*)"), F.when(title.isNotNull(), after))

@@ -12,23 +12,23 @@ def _w(by: list[str], order: str) -> Window:
 
 def simple_return(df: DataFrame, by: list[str], order: str, col: str = "close", name: str = "ret") -> DataFrame:
     """x / previous x - 1; null without a previous value. Nulls aren't padded."""
-    return df.withColumn(name, F.col(col) / F.lag(col).over(_w(by, order)) - 1)
+    return df.withColumn(name, F.try_divide(F.col(col), F.lag(col).over(_w(by, order))) - 1)
 
 
 def quality_flags(bars: DataFrame, by: list[str], order: str = "d") -> DataFrame:
     """bars with `quality`: 'zero volume', 'null close', 'large move', joined by |; no row goes."""
-    move = F.abs(F.col("close") / F.lag("close").over(_w(by, order)) - 1)
+    move = F.abs(F.try_divide(F.col("close"), F.lag("close").over(_w(by, order))) - 1)
     flags = F.array_compact(F.array(F.when(F.col("volume") == 0, "zero volume"), F.when(F.col("close").isNull(), "null close"), F.when(move > 0.30, "large move")))
     return bars.withColumn("quality", F.array_join(flags, "|"))
 
 
 def momentum(df: DataFrame, by: list[str], order: str, long: int = 252, skip: int = 21, col: str = "close") -> DataFrame:
     w = _w(by, order)
-    return df.withColumn("momentum", F.lag(col, skip).over(w) / F.lag(col, long).over(w) - 1)
+    return df.withColumn("momentum", F.try_divide(F.lag(col, skip).over(w), F.lag(col, long).over(w)) - 1)
 
 
 def reversal(df: DataFrame, by: list[str], order: str, days: int = 21, col: str = "close") -> DataFrame:
-    return df.withColumn("reversal", F.col(col) / F.lag(col, days).over(_w(by, order)) - 1)
+    return df.withColumn("reversal", F.try_divide(F.col(col), F.lag(col, days).over(_w(by, order))) - 1)
 
 
 def relative_volume(df: DataFrame, by: list[str], order: str, days: int = 20) -> DataFrame:

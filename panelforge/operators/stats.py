@@ -18,8 +18,8 @@ def spearman(df: DataFrame, by: list[str], a: str, b: str, least: int = 3) -> Da
     """(by..., ic, n): Spearman correlation of the pairs without nulls; null under `least` pairs or for a constant."""
     pairs = df.filter(F.col(a).isNotNull() & F.col(b).isNotNull())
     ranked = pairs.select(*by, average_rank(a, by).alias("_a"), average_rank(b, by).alias("_b"))
-    g = ranked.groupBy(*by).agg(F.corr("_a", "_b").alias("_c"), F.count("*").alias("n"), F.var_pop("_a").alias("_va"), F.var_pop("_b").alias("_vb"))
-    return g.select(*by, F.when((F.col("n") >= least) & (F.col("_va") > 0) & (F.col("_vb") > 0), F.col("_c")).alias("ic"), "n")
+    g = ranked.groupBy(*by).agg(F.covar_pop("_a", "_b").alias("_c"), F.count("*").alias("n"), F.var_pop("_a").alias("_va"), F.var_pop("_b").alias("_vb"))
+    return g.select(*by, F.when((F.col("n") >= least) & (F.col("_va") > 0) & (F.col("_vb") > 0), F.col("_c") / F.sqrt(F.col("_va") * F.col("_vb"))).alias("ic"), "n")
 
 
 def ic_report(df: DataFrame, score: str, y: str, event: str, segments: list[str]) -> DataFrame:
@@ -109,8 +109,8 @@ def collinearity(df: DataFrame, score: str, features: list[str]) -> DataFrame:
     """(feature, r): Pearson correlation of the score with each feature that no row lacks; null for a constant."""
     args = ", ".join(f"'{f}', cast(`{f}` as double)" for f in features)
     long = df.selectExpr(f"`{score}` as _s", f"stack({len(features)}, {args}) as (feature, _v)")
-    g = long.groupBy("feature").agg(F.corr("_s", "_v").alias("r"), F.count("*").alias("_n"), F.count("_v").alias("_nv"), F.var_pop("_v").alias("_var"))
-    return g.filter("_n = _nv").select("feature", F.when(F.col("_var") > 0, F.col("r")).alias("r"))
+    g = long.groupBy("feature").agg(F.covar_pop("_s", "_v").alias("_c"), F.count("*").alias("_n"), F.count("_v").alias("_nv"), (F.var_pop("_v") * F.var_pop("_s")).alias("_var"))
+    return g.filter("_n = _nv").select("feature", F.when(F.col("_var") > 0, F.col("_c") / F.sqrt("_var")).alias("r"))
 
 
 def count_segments(df: DataFrame, by: list[str], clean: str, least: int = 30) -> DataFrame:
