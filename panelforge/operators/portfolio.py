@@ -77,20 +77,21 @@ def size_orders(orders: DataFrame, share: float = 0.15) -> DataFrame:
 def equity_curve(trades: DataFrame, bars: DataFrame, days: DataFrame, capital: float = 100_000.0) -> DataFrame:
     """(portfolio, d, equity): capital, money in and out up to d, and open positions at their last close (entry price without any).
 
-    trades: (portfolio, asset, entry_d, exit_d, qty, entry_px, exit_px, costs).
+    trades: (portfolio, asset, entry_d, exit_d, qty, entry_px, exit_px, costs). Positions are
+    running sums of what came in and went out, so no trade is repeated for each day it is open.
     """
-    from .asof import mark_price
-
-    flow_in = trades.select("portfolio", F.col("entry_d").alias("d"), (-F.col("qty") * F.col("entry_px")).alias("x"))
-    flow_out = trades.select("portfolio", F.col("exit_d").alias("d"), (F.col("qty") * F.col("exit_px") - F.col("costs")).alias("x"))
-    names = trades.select("portfolio").distinct()
-    grid = names.join(F.broadcast(days.select("d")))
-    daily = grid.withColumn("x", F.lit(0.0)).unionByName(flow_in).unionByName(flow_out).groupBy("portfolio", "d").agg(F.sum("x").alias("x"))
-    cash = daily.withColumn("cash", F.sum("x").over(Window.partitionBy("portfolio").orderBy("d").rowsBetween(Window.unboundedPreceding, 0)))
-    open_days = trades.join(F.broadcast(days.select("d")), (F.col("d") >= F.col("entry_d")) & (F.col("d") < F.col("exit_d")))
-    marks = mark_price(open_days.select("portfolio", "asset", "d", "qty", "entry_px"), bars, ["asset"], "d", "entry_px")
-    held = marks.groupBy("portfolio", "d").agg(F.sum(F.col("qty") * F.col("mark")).alias("held"))
-    return cash.join(held, ["portfolio", "d"], "left").select("portfolio", "d", (capital + F.col("cash") + F.coalesce("held", F.lit(0.0))).alias("equity")).join(F.broadcast(days.select("d")), "d", "left_semi")
+    from .asof import asof_join
+
+    put = F.col("qty") * F.col("entry_px")
+    into = trades.select("portfolio", "asset", F.col("entry_d").alias("d"), F.col("qty").alias("dq"), put.alias("dcost"), (-put).alias("x"))
+    out = trades.select("portfolio", "asset", F.col("exit_d").alias("d"), (-F.col("qty")).alias("dq"), (-put).alias("dcost"), (F.col("qty") * F.col("exit_px") - F.col("costs")).alias("x"))
+    grid = trades.select("portfolio", "asset").distinct().join(F.broadcast(days.select("d"))).withColumns({c: F.lit(0.0) for c in ("dq", "dcost", "x")})
+    daily = grid.unionByName(into).unionByName(out).groupBy("portfolio", "asset", "d").agg(*(F.sum(c).alias(c) for c in ("dq", "dcost", "x")))
+    run = Window.partitionBy("portfolio", "asset").orderBy("d").rowsBetween(Window.unboundedPreceding, 0)
+    held = daily.select("portfolio", "asset", "d", *(F.sum(c).over(run).alias(c) for c in ("dq", "dcost", "x"))).join(F.broadcast(days.select("d")), "d", "left_semi")
+    marked = asof_join(held, bars.select("asset", F.col("d").alias("_bar_d"), "close"), ["asset"], "d", "_bar_d", ["close"])
+    worth = F.when(F.col("close").isNull(), F.col("dcost")).otherwise(F.col("dq") * F.col("close"))
+    return marked.groupBy("portfolio", "d").agg((capital + F.sum(F.col("x") + worth)).alias("equity"))
 
 
 def cooldown_gate(equity: DataFrame, by: list[str], limit: float = 0.10, bdays: int = 5) -> DataFrame:

@@ -77,7 +77,7 @@ def points(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def earnings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    o = table(spark, sf_dir, "orders").join(table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("o_custkey"), F.col("c_nationkey").alias("entity")), "o_custkey").filter("o_orderkey % 40 = 0")
+    o = table(spark, sf_dir, "orders").join(table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("o_custkey"), F.col("c_nationkey").alias("entity")), "o_custkey").filter("o_orderpriority = '1-URGENT'")
     return o.groupBy("entity", F.col("o_orderdate").cast("date").alias("announced_on")).agg(F.when(F.max("o_orderkey") % 3 != 0, F.max("o_totalprice")).alias("realized"), F.min("o_totalprice").alias("estimated"))
 
 
@@ -169,7 +169,7 @@ VIEWS: dict[str, str] = {
         from (select c_nationkey as entity, {_QUARTER} as ref_date, (o_orderkey % 3 + 1)::int as version, o_orderpriority as account, round(sum(o_totalprice), 2) as amount from orders join customer on o_custkey = c_custkey group by 1, 2, 3, 4)""",
     "points": "select n_nationkey as entity, unnest(generate_series(date '1995-01-01', date '2001-12-01', interval 1 month))::date as d from nation",
     "earnings": """select c_nationkey as entity, o_orderdate::date as announced_on, case when max(o_orderkey) % 3 <> 0 then max(o_totalprice) end as realized, min(o_totalprice) as estimated
-        from orders join customer on o_custkey = c_custkey where o_orderkey % 40 = 0 group by 1, 2""",
+        from orders join customer on o_custkey = c_custkey where o_orderpriority = '1-URGENT' group by 1, 2""",
     "news": """select doc_id as news_id, 'Brand#' || (doc_id % 25 + 1) as asset, left(split_part(coalesce(text, ''), chr(10), 1), 200) as title, coalesce(text, '') as body, source,
         1.0::double - substr(source, 4)::int % 5 * 0.125::double as source_weight, timestamp '2000-01-01' + to_minutes(doc_id * 37) as published_at from documents""",
     "scores": f"""select asset, d, {_u("asset", "d::varchar", "'u1'")} < 0.15 as has_event, 2 * {_u("asset", "d::varchar", "'u2'")} - 1 as score, 0.5 + 0.4 * {_u("asset", "d::varchar", "'u3'")} as confidence from bars""",
