@@ -156,7 +156,7 @@ def strip_boilerplate(text: Column) -> Column:
     t = F.regexp_replace(text, "(?m)^\\s*(Print|Share|Back|Menu|Subscribe[^\\n]*)\\s*$\\n?", "")
     t = F.regexp_replace(t, "<[^>\\n]+>", "")
     t = F.regexp_replace(t, "(?s)\\n(To contact the (reporter|editor)|Copyright ).*", "")
-    return F.trim(F.regexp_replace(t, "(\\s+\\d{1,2}\\)){2,}\\s*$", ""))
+    return F.trim(F.regexp_replace(t, "(\\s+\\d{1,2}\\)){2,}\\s*$", ""), F.lit(" \n"))
 
 
 def detect_content_column(df: DataFrame, cols: list[str], anchor: str = ANCHOR) -> DataFrame:
