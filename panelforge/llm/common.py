@@ -28,3 +28,9 @@ def materialize(df: DataFrame) -> DataFrame:
 def partitions(spark: SparkSession) -> int:
     """The shuffle partitions that the session asks for."""
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+def as_text(df: DataFrame, name: str) -> tuple[DataFrame, str]:
+    """df with the column as text, and its type: a whole number with nulls would come to pandas as floats."""
+    kind = df.schema[name].dataType.simpleString()
+    return df.withColumn(name, df[name].cast("string")), kind

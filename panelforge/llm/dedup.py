@@ -137,6 +137,8 @@ def _indexed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield pd.DataFrame({"digest": list(d), "doc_id": pd.array(i, "Int64"), "n_rows": list(n)})
 
 
+#: Stands for a null id while entries are merged: above every other, so any other is kept.
+NO_ID = 2**63 - 1
 _ENTRY = "digest binary, doc_id bigint, n_rows bigint"
 
 
@@ -173,16 +175,19 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     nothing tells them apart. An empty table gives no rows; other columns are not read.
     """
     hashed = materialize(docs.select(F.col(id_col).alias("doc_id"), F.unhex(F.sha2(normalized(F.col(text_col)).cast("binary"), 256)).alias("digest")))
-    index = materialize(digest_index(hashed.select("digest", F.col("doc_id").cast("bigint").alias("doc_id"), F.lit(1).cast("bigint").alias("n_rows"))))
-    found = hashed.join(index.select("digest", F.col("doc_id").alias("keep_id"), F.col("n_rows").alias("group_size")), "digest")
+    known = F.coalesce(F.col("doc_id").cast("bigint"), F.lit(NO_ID))
+    index = materialize(digest_index(hashed.select("digest", known.alias("doc_id"), F.lit(1).cast("bigint").alias("n_rows"))))
+    found = hashed.join(index.select("digest", F.nullif("doc_id", F.lit(NO_ID)).alias("keep_id"), F.col("n_rows").alias("group_size")), "digest")
     return found.select("doc_id", "keep_id", "group_size", F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"), F.lower(F.hex("digest")).alias("text_sha256"))
 
 
 def drop_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of docs that `exact_dedup` keeps, all their columns; of rows equal in id and text one."""
-    kept = materialize(exact_dedup(docs, id_col, text_col).filter("kept").select(F.col("doc_id").alias("_kept_id")).distinct())
-    held = docs.join(kept, F.col(id_col).eqNullSafe(F.col("_kept_id")), "left_semi")
-    return held.withColumn("_kept_text", F.sha2(normalized(F.col(text_col)).cast("binary"), 256)).dropDuplicates([id_col, "_kept_text"]).select([F.col(f"`{c}`") for c in docs.columns])
+    kept = exact_dedup(docs, id_col, text_col).filter("kept").select(F.col("doc_id").alias("_kept_id"), F.col("text_sha256").alias("_kept_text"))
+    held = docs.withColumn("_text_sha256", F.sha2(normalized(F.col(text_col)).cast("binary"), 256))
+    same = F.col(id_col).eqNullSafe(F.col("_kept_id")) & (F.col("_text_sha256") == F.col("_kept_text"))
+    one = held.join(materialize(kept.distinct()), same, "left_semi").dropDuplicates([id_col, "_text_sha256"])
+    return one.select([F.col(f"`{c}`") for c in docs.columns])
 
 
 def digest_of(text: str | None) -> bytes:

@@ -11,6 +11,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import as_text
+
 #: Phrases whose places are counted, with their labels.
 BASE = {"mit license": "mit", "apache license": "apache", "general public license": "gpl"}
 #: Further notice phrases of the method.
@@ -159,5 +161,6 @@ def licence_scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
             yield found.astype({"first_word": "Int64", "last_word": "Int64"})
 
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
-    kind = rows.schema["doc_id"].dataType.simpleString()
-    return rows.mapInPandas(run, f"doc_id {kind}, n_words bigint, n_base bigint, first_word bigint, last_word bigint, base_labels string, labels string, score double")
+    rows, kind = as_text(rows, "doc_id")
+    scanned = rows.mapInPandas(run, "doc_id string, n_words bigint, n_base bigint, first_word bigint, last_word bigint, base_labels string, labels string, score double")
+    return scanned.withColumn("doc_id", F.col("doc_id").cast(kind))

@@ -127,7 +127,10 @@ def apply_rates(docs: DataFrame, mix: Mixture, seed: int = 0, id_col: str = "doc
     """docs with every row floor(rate) times, and once more by a hash of its id with the odds of the rest."""
     cols = docs.columns
     f = features(docs.withColumn("_mix_text", F.col(text_col)), "_mix_text")
-    rate = f.withColumn("_mix_r", mix.rate(mix.posterior(F.col("_mix_f"))))
+    # a row number in a projection keeps the optimiser from copying its expressions into each use
+    p = f.withColumns({"_mix_w": F.monotonically_increasing_id()}).withColumns({"_mix_p": mix.posterior(F.col("_mix_f")), "_mix_k": F.monotonically_increasing_id()})
+    rate = p.withColumn("_mix_r", mix.rate(F.col("_mix_p")))
     u = (F.pmod(F.xxhash64(F.col(id_col), F.lit(seed)), F.lit(1_000_003)) + 0.5) / 1_000_003
     copies = F.floor(F.col("_mix_r") + u).cast("int")
-    return rate.withColumn("_mix_n", copies).filter("_mix_n > 0").withColumn("_mix_k", F.explode(F.sequence(F.lit(1), F.col("_mix_n")))).select(*(F.col(f"`{c}`") for c in cols))
+    repeated = rate.withColumn("_mix_n", copies).withColumn("_mix_n", F.explode(F.array_repeat(F.lit(0), F.col("_mix_n"))))
+    return repeated.select(*(F.col(f"`{c}`") for c in cols))

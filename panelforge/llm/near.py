@@ -32,7 +32,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import materialize, partitions
+from .common import as_text, materialize, partitions
 from .shingles import mix, set_id, shingle_set
 
 SUBSET = 2
@@ -92,7 +92,8 @@ def _set_rows(docs: DataFrame, words: int) -> DataFrame:
             found = [shingle_set(t, words) for t in b["text"]]
             yield pd.DataFrame({"doc_id": b["doc_id"], "sid": pd.array([set_id(s) if len(s) else None for s in found], "Int64"), "n": [len(s) for s in found]})
 
-    return docs.mapInPandas(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, sid bigint, n bigint")
+    docs, kind = as_text(docs, "doc_id")
+    return docs.mapInPandas(run, "doc_id string, sid bigint, n bigint").withColumn("doc_id", F.col("doc_id").cast(kind))
 
 
 def _postings(docs: DataFrame, words: int, sizes: Sizes, boundary: int, buckets: int, flush: int = 500_000) -> DataFrame:

@@ -10,6 +10,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import as_text
 from .tokens import DEFAULT_TOKENIZER, encoder
 
 
@@ -51,7 +52,7 @@ def pack_power_of_two(docs: DataFrame, tokenizer: str | None = None, longest: in
             yield out if with_ids else out.drop(columns="ids")
 
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
-    kind = rows.schema["doc_id"].dataType.simpleString()
-    schema = f"doc_id {kind}, start bigint, length bigint, ids_crc32 bigint, doc_tokens bigint" + (", ids binary" if with_ids else "")
+    rows, kind = as_text(rows, "doc_id")
+    schema = "doc_id string, start bigint, length bigint, ids_crc32 bigint, doc_tokens bigint" + (", ids binary" if with_ids else "")
     pieces = rows.mapInPandas(run, schema)
-    return pieces.withColumns({"sequence_id": F.monotonically_increasing_id(), "offset": F.lit(0).cast("bigint"), "bucket": F.log2("length").cast("int")})
+    return pieces.withColumns({"doc_id": F.col("doc_id").cast(kind), "sequence_id": F.monotonically_increasing_id(), "offset": F.lit(0).cast("bigint"), "bucket": F.log2("length").cast("int")})

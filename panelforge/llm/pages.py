@@ -18,7 +18,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import as_text, materialize
 
 _TAG = re.compile(r"<!--(?:.*?)(?:--!?>|\Z)|<([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*+)>|</([a-zA-Z][^\s/>]*)[^>]*>|<[!?/][^>]*>?|<[a-zA-Z][^>]*\Z", re.S)
 _SPACE = re.compile(r"\s+")
@@ -228,14 +228,14 @@ def extract_main_text(pages: DataFrame, min_pages: int = 10, min_share: float =
     totals = counts.filter("subtree is null").select("host", F.col("n").alias("total"))
     templates = counts.filter("subtree is not null").join(totals, "host").filter(F.col("n") >= min_share * F.col("total")).select("host", "subtree")
 
-    kind = rows.schema["page_id"].dataType.simpleString()
+    rows, kind = as_text(rows, "page_id")
 
     def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             found = list(map(blocks, b["html"]))
             yield pd.DataFrame({"page_id": b["page_id"], "url": b["url"], "host": b["host"], "blocks": [[t for t, _ in f] for f in found], "around": [[h for _, h in f] for f in found], "open": [any(h for _, h in f) for f in found]})
 
-    parsed = rows.mapInPandas(read, f"page_id {kind}, url string, host string, blocks array<string>, around array<array<bigint>>, open boolean")
+    parsed = rows.mapInPandas(read, "page_id string, url string, host string, blocks array<string>, around array<array<bigint>>, open boolean")
     plain = parsed.filter("not open").select("page_id", "url", "host", F.array_join("blocks", "\n").alias("text"))
     unsure = materialize(parsed.filter("open").withColumn("uid", F.monotonically_increasing_id()))
     held = unsure.select("uid", "host", (F.abs(F.hash("uid")) % salts).alias("salt"), F.explode(F.array_distinct(F.flatten("around"))).alias("subtree"))
@@ -243,7 +243,7 @@ def extract_main_text(pages: DataFrame, min_pages: int = 10, min_share: float =
     gone = held.join(salted, ["host", "salt", "subtree"]).groupBy("uid").agg(F.collect_list("subtree").alias("gone"))
     kept = F.filter(F.arrays_zip("blocks", "around"), lambda x: ~F.arrays_overlap(x["around"], F.coalesce("gone", F.array().cast("array<bigint>"))))
     cleared = unsure.join(gone, "uid", "left").select("page_id", "url", "host", F.array_join(F.transform(kept, lambda x: x["blocks"]), "\n").alias("text"))
-    return plain.unionByName(cleared).select("page_id", "url", "text", F.length("text").cast("bigint").alias("n_chars"), "host")
+    return plain.unionByName(cleared).select(F.col("page_id").cast(kind).alias("page_id"), "url", "text", F.length("text").cast("bigint").alias("n_chars"), "host")
 
 
 def _table(n: Counter) -> pd.DataFrame:

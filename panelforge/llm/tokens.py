@@ -24,6 +24,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
+from .common import as_text
+
 # The pre-token pattern of the byte-level vocabulary, for Python's own `re`, where a text has
 # only characters of Latin-1: there \p{L} is A-Z a-z and the letters below, \p{N} 0-9 and ²³¹¼½¾.
 _L = "A-Za-zªµºÀ-ÖØ-öø-ÿ"
@@ -150,5 +152,6 @@ def count_tokens(docs: DataFrame, tokenizer: str | None = None, limit: int = 102
             yield pd.DataFrame({"doc_id": b["doc_id"], "n_bytes": [len(t.encode()) if t else 0 for t in texts], "n_tokens": [len(enc.encode(t)) // 4 for t in texts]})
 
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
-    kind = rows.schema["doc_id"].dataType.simpleString()
-    return rows.mapInPandas(run, f"doc_id {kind}, n_bytes bigint, n_tokens bigint").withColumn("over_limit", F.col("n_tokens") > limit)
+    rows, kind = as_text(rows, "doc_id")
+    counted = rows.mapInPandas(run, "doc_id string, n_bytes bigint, n_tokens bigint")
+    return counted.withColumns({"doc_id": F.col("doc_id").cast(kind), "over_limit": F.col("n_tokens") > limit})

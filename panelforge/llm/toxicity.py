@@ -15,6 +15,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import as_text
+
 _KEEP = bytes(c + 32 if 65 <= c <= 90 else c if 97 <= c <= 122 or c >= 128 or c == 39 else 32 for c in range(256))
 
 
@@ -141,8 +143,9 @@ def score_toxicity(docs: DataFrame, model: ToxicityModel, id_col: str = "doc_id"
 
     doc_id = F.col(id_col)
     rows = docs.select(doc_id.alias("doc_id"), F.coalesce(held_out(doc_id), F.lit(False)).alias("held_out"), F.col(text_col).alias("text"))
-    scored = rows.mapInPandas(run, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, held_out boolean, score double")
-    return scored.withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
+    rows, kind = as_text(rows, "doc_id")
+    scored = rows.mapInPandas(run, "doc_id string, held_out boolean, score double")
+    return scored.withColumns({"doc_id": F.col("doc_id").cast(kind), "predicted": (F.col("score") >= 0.5).cast("int")})
 
 
 def drop_toxic(docs: DataFrame, model: ToxicityModel, text_col: str = "text") -> DataFrame:

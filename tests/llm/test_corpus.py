@@ -267,6 +267,23 @@ def test_empty_tables(spark):
     assert pages.extract_main_text(spark.createDataFrame([], "page_id bigint, url string, html string")).count() == 0
 
 
+def test_null_ids_and_repeated_rows(spark):
+    big = 2**60 + 1
+    docs = frame(spark, ["same text", "same text", "other one", "other one", None], [big, None, None, None, big + 2])
+    docs = docs.union(docs.filter(docs.doc_id == big))
+    labels = spark.createDataFrame([(big, 1, 1), (None, None, None)], "doc_id bigint, quality int, toxic int")
+    ids = Counter([big, big, big + 2, None, None, None])
+    for out in (tokens.count_tokens(docs), licences.licence_scan(docs), near.jaccard_components(docs), quality.quality_filter(docs, labels), toxicity.score_toxicity(docs, toxicity.train_toxicity(docs, labels)), dedup.exact_dedup(docs)):
+        assert Counter(r.doc_id for r in out.collect()) == ids
+    got = {(r.doc_id, r.keep_id, r.group_size, r.kept) for r in dedup.exact_dedup(docs).collect()}
+    assert got == {(big, big, 3, True), (None, big, 3, False), (None, None, 2, True), (big + 2, big + 2, 1, True)}
+    assert {(r.doc_id, r.component_id) for r in near.jaccard_components(docs).collect()} == {(big, big), (None, big), (None, None), (big + 2, big + 2)}
+    assert packing.pack_power_of_two(docs).filter("doc_id is null").count() >= 3
+    left = dedup.drop_copies(docs)
+    assert Counter(r.doc_id for r in left.collect()) == Counter([big, None, big + 2])
+    assert near.keep_one_of_each(docs).columns == docs.columns
+
+
 def test_pipeline_on_small_rows(spark, tmp_path):
     import corpus_pipeline
 
