@@ -1,25 +1,54 @@
-"""Quality by perplexity under an interpolated modified Kneser-Ney model.
+"""Quality by perplexity under an interpolated modified Kneser-Ney model of words.
 
-The model is a trigram model over UTF-8 bytes: its alphabet is fixed, so the finished model is
-one table of 2^24 log probabilities in 16 bits each (32 MB), whatever the corpus. Counts come
-from all trusted text.
+The model has the bigrams and words of all trusted text, grows with it and stays in Spark
+tables. Its base, below the words, spells: a Kneser-Ney model of byte trigrams, whose alphabet
+is fixed (2^24 log probabilities in 16 bits), gives any string a probability.
+
+log P(text) is a sum: what spelling costs, and for every word and bigram that the trusted text
+has a correction that doesn't depend on the document. So the n-grams of documents meet the
+corrections in one join, sharded by n-gram, and are summed by document. The most frequent
+n-grams, a list of fixed size, are broadcast instead: no shard gets a key that every document has.
+
+A trusted document is judged by what others hold: an n-gram that only it has counts as unseen.
 """
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import xxhash
 import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import as_text, materialize
+from .common import as_text, materialize, partitions
+from .shingles import mix
 
 
 #: Steps of a unit of log probability.
 STEPS = 2000
+_WORD = re.compile(r"\w+|[^\w\s]+")
+_START, _END = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
+
+
+def words_of(text: str | None) -> list[str]:
+    """Runs of letters and digits, and runs of other signs, in the order of the text."""
+    return _WORD.findall(text or "")
+
+
+def word_hashes(words: list[str]) -> np.ndarray:
+    """Names of the words between a start and an end."""
+    out = np.empty(len(words) + 2, np.uint64)
+    out[0], out[-1] = _START, _END
+    out[1:-1] = [xxhash.xxh3_64_intdigest(w.encode()) for w in words]
+    return out
+
+
+def pair_keys(v: np.ndarray, w: np.ndarray) -> np.ndarray:
+    return mix(mix(v) * np.uint64(0xE7037ED1A0B428DB) + w)
 
 
 def codes(text: str | None) -> np.ndarray:
@@ -28,17 +57,23 @@ def codes(text: str | None) -> np.ndarray:
     return b[:-2] << 16 | b[1:-1] << 8 | b[2:]
 
 
-def trigram_counts(docs: DataFrame, trusted: DataFrame) -> DataFrame:
-    """(u, v, w, n): byte trigrams of the trusted documents' texts, in shards by trigram.
-
-    The texts cross the shuffle compressed; each task then sums its own counts first.
-    """
+def _trusted_texts(docs: DataFrame, trusted: DataFrame) -> DataFrame:
+    """(z): the trusted documents' texts, compressed for the shuffle."""
 
     def squeeze(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         pack = zstandard.ZstdCompressor(level=1)
         for b in batches:
             yield pd.DataFrame({"doc_id": b["doc_id"], "z": [pack.compress((t or "").encode()) for t in b["text"]]})
 
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    small = docs.filter("doc_id is not null").select("doc_id", "text").mapInPandas(squeeze, f"doc_id {kind}, z binary")
+    # a merge join at every size: the trusted ids grow with the corpus
+    return small.join(trusted.hint("merge"), "doc_id", "left_semi").select("z")
+
+
+def _byte_counts(texts: DataFrame, by_word: bool) -> DataFrame:
+    """(u, v, w, n): byte trigrams of compressed texts, each task's summed first; by_word puts two zero bytes between words."""
+
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         unpack = zstandard.ZstdDecompressor()
         held: list[np.ndarray] = []
@@ -50,7 +85,8 @@ def trigram_counts(docs: DataFrame, trusted: DataFrame) -> DataFrame:
 
         for b in batches:
             for z in b["z"]:
-                held.append(codes(unpack.decompress(z).decode()))
+                text = unpack.decompress(z).decode()
+                held.append(codes("\0\0".join(words_of(text)) if by_word else text))
                 size += len(held[-1])
                 if size > 4_000_000:
                     yield table()
@@ -58,11 +94,49 @@ def trigram_counts(docs: DataFrame, trusted: DataFrame) -> DataFrame:
         if held:
             yield table()
 
-    kind = docs.schema["doc_id"].dataType.simpleString()
-    small = docs.filter("doc_id is not null").select("doc_id", "text").mapInPandas(squeeze, f"doc_id {kind}, z binary")
-    # a merge join at every size: the trusted ids grow with the corpus
-    held = small.join(trusted.hint("merge"), "doc_id", "left_semi").select("z")
-    return held.mapInPandas(count, "u int, v int, w int, n bigint").groupBy("u", "v", "w").agg(F.sum("n").alias("n"))
+    return texts.mapInPandas(count, "u int, v int, w int, n bigint").groupBy("u", "v", "w").agg(F.sum("n").alias("n"))
+
+
+def trigram_counts(docs: DataFrame, trusted: DataFrame) -> DataFrame:
+    """(u, v, w, n): byte trigrams of the trusted documents' texts, in shards by trigram."""
+    return _byte_counts(_trusted_texts(docs, trusted), False)
+
+
+def bigram_counts(texts: DataFrame, table) -> DataFrame:
+    """(v, w, spell, n): word bigrams of compressed texts, each task's summed first, and what spelling w costs under the broadcast table."""
+
+    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        unpack = zstandard.ZstdDecompressor()
+        cost = table.value
+        held: list[pd.DataFrame] = []
+        size = 0
+
+        def summed() -> pd.DataFrame:
+            return pd.concat(held).groupby(["v", "w"], as_index=False, sort=False).agg({"spell": "first", "n": "sum"})
+
+        for b in batches:
+            for z in b["z"]:
+                words = words_of(unpack.decompress(z).decode())
+                h = word_hashes(words).view(np.int64)
+                held.append(pd.DataFrame({"v": h[:-1], "w": h[1:], "spell": spelling(words, cost), "n": 1}))
+                size += len(h)
+                if size > 1_000_000:
+                    yield summed()
+                    held, size = [], 0
+        if held:
+            yield summed()
+
+    return texts.mapInPandas(count, "v bigint, w bigint, spell bigint, n bigint").groupBy("v", "w").agg(F.first("spell").alias("spell"), F.sum("n").alias("n"))
+
+
+def spelling(words: list[str], cost: np.ndarray) -> np.ndarray:
+    """What spelling each word, and the end, costs in steps."""
+    lengths = [len(w.encode()) for w in words]
+    c = cost[codes("\0\0".join([*words, ""]))].astype(np.int64)
+    # a word of k bytes has k + 1 trigrams; the one that ends in its second zero byte is left out
+    start = np.concatenate(([0], np.cumsum([n + 2 for n in lengths]))).astype(np.int64)
+    total = np.concatenate(([0], np.cumsum(c)))
+    return total[start + np.array([*lengths, 0]) + 1] - total[start]
 
 
 def _discounts(counts: DataFrame) -> list[float]:
@@ -117,18 +191,130 @@ def kneser_ney_table(counts: DataFrame) -> np.ndarray:
     return np.clip(np.rint(flat * -STEPS), 0, 65535).astype(np.uint16)
 
 
-def perplexity(docs: DataFrame, table: np.ndarray) -> DataFrame:
-    """(doc_id, lang, n_bytes, perplexity) of every whole text; the table is 32 MB for any corpus."""
-    held = docs.sparkSession.sparkContext.broadcast(table)
+def word_model(c2: DataFrame) -> tuple[DataFrame, int]:
+    """(a, b, pair, value, n) of every bigram (a, b) and word a of the trusted text, and the cost of leaving the words.
+
+    value is the correction of the cost in steps, n how often the trusted text has it. A word's
+    value holds both its own probability against its spelling and its weight as a context.
+    """
+    c1 = materialize(c2.groupBy("w").agg(F.count("*").alias("types"), F.sum("n").alias("n"), F.first("spell").alias("spell")))
+    d2, d1 = _discounts(c2), _discounts(c1.select(F.col("types").alias("n")))
+    types = F.col("types")
+    total, left = c1.agg(F.sum("types"), F.sum(F.least(_less(types, d1), types.cast("double")))).first()
+    if not total:
+        empty = c2.select(F.col("v").alias("a"), F.col("w").alias("b"), F.lit(1).alias("pair"), F.lit(0).cast("bigint").alias("value"), "n")
+        return empty, 0
+    back1 = left / total
+    p1 = F.greatest(types - _less(types, d1), F.lit(0.0)) / total + back1 * F.exp(-F.col("spell") / STEPS)
+    c1 = c1.select("w", "n", p1.alias("p1"), (-F.log(p1) - (F.col("spell") / STEPS - F.log(F.lit(back1)))).alias("own"))
+    x2 = _contexts(c2, ["v"], d2, "2")
+    steps = lambda x: F.round(x * STEPS).cast("bigint").alias("value")
+    ends = c1.join(x2.withColumnRenamed("v", "w"), "w", "full")
+    words = ends.select(F.col("w").alias("a"), F.lit(0).cast("bigint").alias("b"), F.lit(0).alias("pair"), steps(F.coalesce("own", F.lit(0.0)) - F.coalesce(F.log("back2"), F.lit(0.0))), F.greatest("n", "total2").alias("n"))
+    ratio = F.greatest(F.col("n") - _less(F.col("n"), d2), F.lit(0.0)) / F.col("total2") / (F.col("back2") * F.col("p1"))
+    pairs = c2.join(x2, "v").join(c1.select("w", "p1"), "w").select(F.col("v").alias("a"), F.col("w").alias("b"), F.lit(1).alias("pair"), steps(-F.log(1 + ratio)), "n")
+    return materialize(words.union(pairs)), round(-STEPS * float(np.log(back1)))
+
+
+def perplexity(docs: DataFrame, table, model: DataFrame, leave: int, hot: int = 1 << 17) -> DataFrame:
+    """(doc_id, lang, n_bytes, perplexity, perplexity_by_others) of every whole text.
+
+    `table` is the broadcast spelling. The `hot` most frequent n-grams are looked up in place,
+    all others are sent to the shards of the model in packs; `hot` changes cost, never results.
+    """
+    spark = docs.sparkSession
+    size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    buckets = max(2 * partitions(spark), size // 4_000_000)
+    top = model.orderBy(F.desc("n"), "a", "b").limit(hot).toPandas()
+    held = spark.sparkContext.broadcast(_sorted_model(top))
+
+    def ask(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        cost, (hot_keys, hot_values, hot_n) = table.value, held.value
+        asked: list[tuple[np.ndarray, ...]] = []
+        pending = 0
+
+        def packs() -> pd.DataFrame:
+            keys, to, m, uid = (np.concatenate(x) for x in zip(*asked, strict=True))
+            order = np.argsort(to, kind="stable")
+            keys, to, m, uid = keys[order], to[order], m[order], uid[order]
+            edge = np.flatnonzero(np.concatenate(([True], to[1:] != to[:-1], [True])))
+            rows = []
+            for a, z in zip(edge[:-1], edge[1:], strict=True):
+                own, place = np.unique(uid[a:z], return_inverse=True)
+                rows.append((int(to[a]), keys[a:z].tobytes(), own.tobytes(), place.astype(np.int32).tobytes(), m[a:z].tobytes()))
+            return pd.DataFrame(rows, columns=["bucket", "keys", "uids", "places", "counts"])
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        cost = held.value
         for b in batches:
-            found = [(len(c) - 1, float(np.exp(int(cost[c].sum(dtype=np.int64)) / len(c) / STEPS))) for c in map(codes, b["text"])]
-            yield pd.DataFrame({"doc_id": b["doc_id"], "lang": b["lang"], "n_bytes": [n for n, _ in found], "perplexity": [p for _, p in found]})
+            told = []
+            for uid, doc_id, lang, text in zip(b["uid"], b["doc_id"], b["lang"], b["text"], strict=True):
+                words = words_of(text)
+                h = word_hashes(words)
+                base = int(spelling(words, cost).sum()) + leave * (len(words) + 1)
+                keys, first, m = np.unique(np.concatenate((h, pair_keys(h[:-1], h[1:]))), return_index=True, return_counts=True)
+                to = (np.concatenate((h, h[:-1] ^ h[1:])).view(np.int64) % buckets)[first].astype(np.int32)
+                at = np.minimum(np.searchsorted(hot_keys, keys), max(len(hot_keys) - 1, 0))
+                known = hot_keys[at] == keys if len(hot_keys) else np.zeros(len(keys), bool)
+                value, others = m[known] * hot_values[at[known]], hot_n[at[known]] > m[known]
+                told.append((int(uid % buckets), uid, doc_id, lang, len((text or "").encode()), base + int(value.sum()), base + int(value[others].sum())))
+                cold = ~known
+                if cold.any():
+                    asked.append((keys[cold], to[cold], m[cold].astype(np.int32), np.full(int(cold.sum()), uid, np.int64)))
+                    pending += len(asked[-1][0])
+                if pending > 500_000:
+                    yield packs()
+                    asked, pending = [], 0
+            yield pd.DataFrame(told, columns=["bucket", "uid", "doc_id", "lang", "n_bytes", "cost", "by_others"])
+        if asked:
+            yield packs()
+
+    def ordered(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        names = ["bucket", "uid", "doc_id", "lang", "n_bytes", "cost", "by_others", "keys", "uids", "places", "counts"]
+        for b in ask(batches):
+            b = b.reindex(columns=names)
+            for c in ("uid", "n_bytes", "cost", "by_others"):
+                b[c] = b[c].astype("Int64")
+            yield b.astype({c: object for c in ("doc_id", "lang", "keys", "uids", "places", "counts")}).where(b.notna(), None)
+
+    def meet(asked: pd.DataFrame, shard: pd.DataFrame) -> pd.DataFrame:
+        names = ["uid", "doc_id", "lang", "n_bytes", "cost", "by_others"]
+        out = asked.loc[asked["keys"].isna(), names]
+        packs = asked[asked["keys"].notna()]
+        if shard.empty or packs.empty:
+            return out
+        have, values, total = _sorted_model(shard)
+        uids, cost, by_others = [], [], []
+        for k, u, p, c in zip(packs["keys"], packs["uids"], packs["places"], packs["counts"], strict=True):
+            k, u, p, m = np.frombuffer(k, np.uint64), np.frombuffer(u, np.int64), np.frombuffer(p, np.int32), np.frombuffer(c, np.int32).astype(np.int64)
+            at = np.minimum(np.searchsorted(have, k), len(have) - 1)
+            hit = have[at] == k
+            value = np.where(hit, m * values[at], 0)
+            full, less = np.zeros(len(u), np.int64), np.zeros(len(u), np.int64)
+            np.add.at(full, p, value)
+            np.add.at(less, p, np.where(total[at] > m, value, 0))
+            some = np.bincount(p, hit, len(u)) > 0
+            uids.append(u[some])
+            cost.append(full[some])
+            by_others.append(less[some])
+        part = pd.DataFrame({"uid": np.concatenate(uids), "cost": np.concatenate(cost), "by_others": np.concatenate(by_others)}).groupby("uid", as_index=False).sum()
+        return pd.concat([out, part.reindex(columns=names).astype({"doc_id": object, "lang": object}).assign(doc_id=None, lang=None)]) if len(part) else out
 
     rows, kind = as_text(docs.select("doc_id", "lang", "text"), "doc_id")
-    return rows.mapInPandas(run, "doc_id string, lang string, n_bytes bigint, perplexity double").withColumn("doc_id", F.col("doc_id").cast(kind))
+    sent = rows.withColumn("uid", F.monotonically_increasing_id()).mapInPandas(ordered, "bucket int, uid bigint, doc_id string, lang string, n_bytes bigint, cost bigint, by_others bigint, keys binary, uids binary, places binary, counts binary")
+    place = F.when(F.col("pair") == 1, F.col("a").bitwiseXOR(F.col("b"))).otherwise(F.col("a"))
+    shards = model.withColumn("bucket", F.pmod(place, F.lit(buckets)).cast("int"))
+    met = sent.groupBy("bucket").cogroup(shards.groupBy("bucket")).applyInPandas(meet, "uid bigint, doc_id string, lang string, n_bytes bigint, cost bigint, by_others bigint")
+    first = [F.max(c).alias(c) for c in ("doc_id", "lang", "n_bytes")]
+    whole = met.groupBy("uid").agg(*first, F.sum("cost").alias("cost"), F.sum("by_others").alias("by_others"))
+    a_byte = lambda c: F.exp(F.col(c) / (F.col("n_bytes") + 1) / STEPS)
+    return whole.select(F.col("doc_id").cast(kind).alias("doc_id"), "lang", "n_bytes", a_byte("cost").alias("perplexity"), a_byte("by_others").alias("perplexity_by_others"))
+
+
+def _sorted_model(rows: pd.DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Keys in order, their corrections and counts."""
+    a, b = (rows[c].to_numpy(np.int64).view(np.uint64) for c in ("a", "b"))
+    keys = np.where(rows["pair"].to_numpy() == 1, pair_keys(a, b), a)
+    order = np.argsort(keys)
+    return keys[order], rows["value"].to_numpy(np.int64)[order], rows["n"].to_numpy(np.int64)[order]
 
 
 def quality_filter(docs: DataFrame, labels: DataFrame, quantile: float = 0.99) -> DataFrame:
@@ -142,7 +328,11 @@ def quality_filter(docs: DataFrame, labels: DataFrame, quantile: float = 0.99) -
     """
     rows = docs.select("doc_id", "text", "lang")
     trusted = labels.filter("quality = 1 and doc_id is not null").select("doc_id").distinct()
-    scored = materialize(perplexity(rows, kneser_ney_table(trigram_counts(rows, trusted))))
+    texts = materialize(_trusted_texts(rows, trusted))
+    table = rows.sparkSession.sparkContext.broadcast(kneser_ney_table(_byte_counts(texts, True)))
+    model, leave = word_model(materialize(bigram_counts(texts, table)))
+    scored = perplexity(rows, table, model, leave).join(trusted.select("doc_id", F.lit(True).alias("own")), "doc_id", "left")
+    scored = materialize(scored.select("doc_id", "lang", "n_bytes", F.when(F.col("own"), F.col("perplexity_by_others")).otherwise(F.col("perplexity")).alias("perplexity")))
     step = F.ceil(F.log("perplexity") * 1000)
     bins = scored.join(trusted, "doc_id", "left_semi").groupBy("lang", step.alias("bin")).agg(F.count("*").alias("n")).groupBy("lang", "bin").agg(F.sum("n").alias("n"))
     # a few thousand bins a language, whatever the corpus

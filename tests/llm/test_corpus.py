@@ -297,3 +297,54 @@ def test_pipeline_on_small_rows(spark, tmp_path):
         assert docs.columns == ["doc_id", "text", "lang", "source", "n_chars"]
     assert {r.doc_id for r in docs.select("doc_id").distinct().collect()} == want
     assert {r.doc_id for r in corpus_pipeline.run(spark, str(tmp_path)).select("doc_id").distinct().collect()} == want
+
+
+def test_word_model_sees_the_order_of_words(spark):
+    text = "the old cat sat on the warm mat and the young dog ran to the far door"
+    docs = frame(spark, [text, text + " again", text + " today", text, " ".join(sorted(text.split())), "the " * 16])
+    labels = spark.createDataFrame([(i, 1, 0) for i in range(3)], "doc_id bigint, quality int, toxic int")
+    p = {r.doc_id: r.perplexity for r in quality.quality_filter(docs, labels).collect()}
+    assert p[4] > 1.5 * p[3] and p[5] > 1.5 * p[3]
+
+
+def test_word_model_grows_and_hot_words_change_nothing(spark):
+    rng = random.Random(11)
+    texts = [" ".join("".join(rng.choices("abcde", k=4)) for _ in range(50)) for _ in range(40)]
+    docs = frame(spark, texts)
+
+    def model(n):
+        held = quality._trusted_texts(docs, docs.filter(f"doc_id < {n}").select("doc_id"))
+        table = spark.sparkContext.broadcast(quality.kneser_ney_table(quality._byte_counts(held, True)))
+        return table, *quality.word_model(quality.bigram_counts(held, table).cache())
+
+    (_, small, _), (table, large, leave) = model(10), model(40)
+    assert large.count() > 3 * small.count()
+    a, b = ({r.doc_id: (r.perplexity, r.perplexity_by_others) for r in quality.perplexity(docs, table, large, leave, hot).collect()} for hot in (0, 1 << 17))
+    assert a == b and len(a) == 40
+    # brute force: the interpolated model without logarithms of parts
+    c2, spell = Counter(), {}
+    for t in texts:
+        w = t.split()
+        c2.update(zip(["<s>", *w], [*w, "</s>"], strict=True))
+        spell |= dict(zip([*w, "</s>"], np.exp(-quality.spelling(w, table.value) / quality.STEPS), strict=True))
+    c1, total, ctx = Counter(w for _, w in c2), Counter(), defaultdict(list)
+    for (v, _), n in c2.items():
+        total[v] += n
+        ctx[v].append(n)
+
+    def less(counts):
+        k = Counter(counts)
+        if not (k[1] and k[2] and k[3]):
+            return lambda n: [0.5, 0.75, 0.9][min(n, 3) - 1]
+        y = k[1] / (k[1] + 2 * k[2])
+        d = [min(max(i - (i + 1) * y * k[i + 1] / k[i], 0.01), i) for i in (1, 2, 3)]
+        return lambda n: d[min(n, 3) - 1]
+
+    d2, d1 = less(c2.values()), less(c1.values())
+    back1 = sum(min(d1(n), n) for n in c1.values()) / len(c2)
+    for i in (0, 7):
+        w, cost = texts[i].split(), 0.0
+        for v, x in zip(["<s>", *w], [*w, "</s>"], strict=True):
+            p1 = max(c1[x] - d1(c1[x]), 0) / len(c2) + back1 * spell[x]
+            cost -= np.log(max(c2[v, x] - d2(c2[v, x]), 0) / total[v] + sum(map(d2, ctx[v])) / total[v] * p1)
+        assert a[i][0] == pytest.approx(np.exp(cost / (len(texts[i]) + 1)), rel=1e-3)
