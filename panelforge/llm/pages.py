@@ -1,18 +1,19 @@
 """Main text of web pages, without the templates of their sites.
 
-Every page is read as a tree of its block elements. Element subtrees that aren't prose of the
-article are hashed and counted per host; a subtree that recurs across many pages of a host is
-template and is deleted. Elements that say themselves what they are (nav, footer, class="ad",
-role="search", ...) go by that, since a host with few pages has no counts to show it.
+Every page is read as a tree of its block elements. Element subtrees are hashed and counted per
+host; a subtree that recurs on many pages of a host whose other text differs is template and is
+deleted. Copies of an article recur with the same text around them and stay. Elements that say
+themselves what they are (nav, footer, class="ad", role="search", ...) go by that, since a host
+with few pages has no counts to show it.
 """
 
 from __future__ import annotations
 
 import re
-from collections import Counter
 from collections.abc import Iterator
 from html import unescape
 
+import numpy as np
 import pandas as pd
 import xxhash
 from pyspark.sql import DataFrame
@@ -29,7 +30,7 @@ _VOID = frozenset("area base br col embed hr img input link meta param source tr
 _RAW = frozenset("script style textarea title noscript iframe xmp noembed noframes".split())
 #: Elements that start a block of text of their own.
 _BLOCK = frozenset("html head body article main section div p h1 h2 h3 h4 h5 h6 ul ol li dl dt dd table caption thead tbody tfoot tr td th pre blockquote figure figcaption address details summary hr nav header footer aside form fieldset dialog menu template center search hgroup".split())
-_PROSE = frozenset("p h1 h2 h3 h4 h5 h6 pre blockquote li dt dd td th tr figcaption".split())
+_HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 _GONE = frozenset("head nav footer aside form fieldset dialog menu template script style textarea title noscript iframe noembed noframes button select option svg canvas object audio video search map".split())
 _ROLES = frozenset("navigation banner contentinfo complementary search dialog alert alertdialog menu menubar toolbar form".split())
 #: Words of class and id that name parts other than the article.
@@ -138,40 +139,26 @@ def subtree_hash(e: _Element) -> int:
     return h.intdigest() - (1 << 63)
 
 
-def _counted(e: _Element, inside: bool) -> Iterator[_Element]:
-    """Elements whose subtrees are counted: all but those that hold the article or are its prose."""
-    for p in e.parts:
-        if isinstance(p, _Element):
-            article = inside or p.article
-            if not p.article and p.tag not in ("html", "body") and not (inside and p.tag in _PROSE):
-                yield p
-            yield from _counted(p, article)
+def _countable(e: _Element) -> bool:
+    """Whether an element's subtree is counted: all but those of whole pages and articles."""
+    return not e.article and e.tag not in ("html", "body")
 
 
-def subtree_hashes(html: str | None) -> set[int]:
-    """Different hashes of a page's countable subtrees that hold any text."""
-    found = set()
-    for e in _counted(read_tree(html), False) if html else ():
-        if any(not isinstance(p, str) or clean(p) for p in e.parts):
-            found.add(subtree_hash(e))
-    return found
-
-
-def blocks(html: str | None) -> list[tuple[str, list[int]]]:
-    """Blocks of text outside the parts that say they aren't the article, each with the hashes of the countable subtrees around it."""
+def blocks(html: str | None) -> list[tuple[str, list[int], bool]]:
+    """Blocks of text outside the parts that say they aren't the article: text, hashes of the countable subtrees around it, and whether it is text of an article other than a heading."""
     if not html:
         return []
     root = read_tree(html)
-    out: list[tuple[str, list[int]]] = []
+    out: list[tuple[str, list[int], bool]] = []
     scoped = _has_article(root)
 
-    def walk(e: _Element, inside: bool, around: list[int]) -> None:
+    def walk(e: _Element, inside: bool, around: list[int], heading: bool) -> None:
         run: list[str] = []
 
         def close() -> None:
             text = clean("".join(run))
             if text and (inside or not scoped):
-                out.append((text, list(around)))
+                out.append((text, list(around), inside and not heading))
             run.clear()
 
         for p in e.parts:
@@ -183,11 +170,22 @@ def blocks(html: str | None) -> list[tuple[str, list[int]]]:
             else:
                 close()
                 within = inside or p.article
-                may = (within or not scoped) and not p.article and p.tag not in ("html", "body") and not (inside and p.tag in _PROSE)
-                walk(p, within, [*around, subtree_hash(p)] if may else around)
+                may = (within or not scoped) and _countable(p)
+                walk(p, within, [*around, subtree_hash(p)] if may else around, heading or p.tag in _HEADINGS)
         close()
 
-    walk(root, False, [])
+    walk(root, False, [], False)
+    return out
+
+
+def subtree_contexts(html: str | None) -> dict[int, int]:
+    """Hashes of a page's countable subtrees, each with a hash of the longest block outside of it: 0 where it is all text of the page."""
+    found = blocks(html)
+    order = sorted(range(len(found)), key=lambda k: (-len(found[k][0]), found[k][0]))
+    out: dict[int, int] = {}
+    for h in {h for _, around, _ in found for h in around}:
+        rest = next((k for k in order if h not in found[k][1]), None)
+        out[h] = 0 if rest is None else xxhash.xxh64_intdigest(found[rest][0].encode("utf-8", "surrogatepass")) - (1 << 63)
     return out
 
 
@@ -195,56 +193,81 @@ def _has_article(e: _Element) -> bool:
     return any(isinstance(p, _Element) and not p.gone and (p.article or _has_article(p)) for p in e.parts)
 
 
-def extract_main_text(pages: DataFrame, min_pages: int = 10, min_share: float = 0.05, salts: int = 32) -> DataFrame:
+def extract_main_text(pages: DataFrame, min_pages: int = 10, salts: int = 32, log_bits: int = 26) -> DataFrame:
     """(page_id, url, text, n_chars, host) of every page from its whole html.
 
-    A subtree is template where it stands on at least `min_pages` pages and `min_share` of all
-    pages of its host. Prose elements (paragraphs, headings, list items, ...) within an article
-    or main element are never taken for template, however often they recur. A page with article
-    or main elements gives their text alone.
+    A subtree is template where it stands on `min_pages` or more pages of its host that differ
+    in their longest other block, however large the host is; prose of an article is no exception.
+    So copied articles and copied pages stay. Where templates would leave an article nothing but
+    headings, its text stays whole. A page with article or main elements gives their text alone.
 
     Null or empty html gives an empty text; a null or odd url counts to the host ''. Repeated
-    rows are extracted each. Counts are summed by task before the shuffle; the few pages whose
-    kept text lies in countable subtrees meet their host's templates by a join that is salted
-    by page, since one host may have a third of all pages.
+    rows are extracted each. Each task tells at most `min_pages` different contexts of a subtree
+    before the shuffle. Pages that may hold a template, by a bitmap of fixed size, meet those of
+    their host by a join that is salted by page, since one host may have a third of all pages;
+    `salts` and `log_bits` change cost, never results.
     """
     host = F.lower(F.coalesce(F.regexp_extract("url", "^[a-zA-Z][a-zA-Z0-9+.-]*://(?:[^/?#@]*@)?([^/:?#]+)", 1), F.lit("")))
     rows = pages.select("page_id", "url", "html", host.alias("host"))
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        n: Counter = Counter()
+        seen: dict[tuple[str, int], set[int]] = {}
+        size = 0
         for b in batches:
             for h, html in zip(b["host"], b["html"], strict=True):
-                n[h, None] += 1
-                n.update((h, x) for x in subtree_hashes(html))
-            if len(n) > 200_000:
-                yield _table(n)
-                n.clear()
-        if n:
-            yield _table(n)
-
-    counts = rows.mapInPandas(count, "host string, subtree bigint, n bigint").groupBy("host", "subtree").agg(F.sum("n").alias("n")).filter(F.col("subtree").isNull() | (F.col("n") >= min_pages))
-    counts = materialize(counts)
-    totals = counts.filter("subtree is null").select("host", F.col("n").alias("total"))
-    templates = counts.filter("subtree is not null").join(totals, "host").filter(F.col("n") >= min_share * F.col("total")).select("host", "subtree")
+                for x, around in subtree_contexts(html).items():
+                    held = seen.setdefault((h, x), set())
+                    if len(held) < min_pages and around not in held:
+                        held.add(around)
+                        size += 1
+            if size > 200_000:
+                yield _table(seen)
+                seen, size = {}, 0
+        if seen:
+            yield _table(seen)
+
+    contexts = rows.mapInPandas(count, "host string, subtree bigint, context bigint").distinct()
+    templates = materialize(contexts.groupBy("host", "subtree").agg(F.count("*").alias("n")).filter(F.col("n") >= min_pages).select("host", "subtree"))
+    bits = pages.sparkSession.sparkContext.broadcast(name_bits(templates.select(F.col("subtree").alias("sid")), log_bits))
 
     rows, kind = as_text(rows, "page_id")
 
     def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held = bits.value
         for b in batches:
             found = list(map(blocks, b["html"]))
-            yield pd.DataFrame({"page_id": b["page_id"], "url": b["url"], "host": b["host"], "blocks": [[t for t, _ in f] for f in found], "around": [[h for _, h in f] for f in found], "open": [any(h for _, h in f) for f in found]})
+            around = [[[h for h in hs if has_name(held, h, log_bits)] for _, hs, _ in f] for f in found]
+            yield pd.DataFrame({"page_id": b["page_id"], "url": b["url"], "host": b["host"], "blocks": [[t for t, _, _ in f] for f in found], "around": around, "body": [[x for _, _, x in f] for f in found], "open": [any(a) for a in around]})
 
-    parsed = rows.mapInPandas(read, "page_id string, url string, host string, blocks array<string>, around array<array<bigint>>, open boolean")
+    parsed = rows.mapInPandas(read, "page_id string, url string, host string, blocks array<string>, around array<array<bigint>>, body array<boolean>, open boolean")
     plain = parsed.filter("not open").select("page_id", "url", "host", F.array_join("blocks", "\n").alias("text"))
     unsure = materialize(parsed.filter("open").withColumn("uid", F.monotonically_increasing_id()))
     held = unsure.select("uid", "host", (F.abs(F.hash("uid")) % salts).alias("salt"), F.explode(F.array_distinct(F.flatten("around"))).alias("subtree"))
     salted = templates.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
     gone = held.join(salted, ["host", "salt", "subtree"]).groupBy("uid").agg(F.collect_list("subtree").alias("gone"))
-    kept = F.filter(F.arrays_zip("blocks", "around"), lambda x: ~F.arrays_overlap(x["around"], F.coalesce("gone", F.array().cast("array<bigint>"))))
-    cleared = unsure.join(gone, "uid", "left").select("page_id", "url", "host", F.array_join(F.transform(kept, lambda x: x["blocks"]), "\n").alias("text"))
+    every = F.arrays_zip("blocks", "around", "body")
+    kept = F.filter(every, lambda x: ~F.arrays_overlap(x["around"], F.coalesce("gone", F.array().cast("array<bigint>"))))
+    told = unsure.join(gone, "uid", "left").withColumns({"every": every, "kept": kept})
+    bare = F.exists("every", lambda x: x["body"]) & ~F.exists("kept", lambda x: x["body"])
+    cleared = told.select("page_id", "url", "host", F.array_join(F.transform(F.when(bare, F.col("every")).otherwise(F.col("kept")), lambda x: x["blocks"]), "\n").alias("text"))
     return plain.unionByName(cleared).select(F.col("page_id").cast(kind).alias("page_id"), "url", "text", F.length("text").cast("bigint").alias("n_chars"), "host")
 
 
-def _table(n: Counter) -> pd.DataFrame:
-    return pd.DataFrame({"host": [k[0] for k in n], "subtree": pd.array([k[1] for k in n], "Int64"), "n": list(n.values())})
+def _table(seen: dict[tuple[str, int], set[int]]) -> pd.DataFrame:
+    rows = [(h, x, c) for (h, x), held in seen.items() for c in held]
+    return pd.DataFrame(rows, columns=["host", "subtree", "context"])
+
+
+def name_bits(names: DataFrame, log_bits: int) -> np.ndarray:
+    """A bitmap of 64-bit names (sid), of fixed size, by their own highest bits."""
+    word = F.shiftrightunsigned("sid", 70 - log_bits)
+    bit = F.expr(f"shiftleft(1L, cast(shiftrightunsigned(sid, {64 - log_bits}) & 63 as int))")
+    rows = names.groupBy(word.alias("word")).agg(F.bit_or(bit).alias("bits")).toPandas()
+    out = np.zeros(1 << log_bits - 6, np.int64)
+    out[rows["word"].to_numpy(np.int64)] = rows["bits"].to_numpy(np.int64)
+    return out.view(np.uint64)
+
+
+def has_name(bits: np.ndarray, name: int, log_bits: int) -> bool:
+    at = (name & (1 << 64) - 1) >> 64 - log_bits
+    return bool(int(bits[at >> 6]) >> (at & 63) & 1)

@@ -348,3 +348,25 @@ def test_word_model_grows_and_hot_words_change_nothing(spark):
             p1 = max(c1[x] - d1(c1[x]), 0) / len(c2) + back1 * spell[x]
             cost -= np.log(max(c2[v, x] - d2(c2[v, x]), 0) / total[v] + sum(map(d2, ctx[v])) / total[v] * p1)
         assert a[i][0] == pytest.approx(np.exp(cost / (len(texts[i]) + 1)), rel=1e-3)
+
+
+def _texts(spark, htmls, hosts=None):
+    rows = [(i, f"http://{hosts[i] if hosts else 'h.com'}/{i}", h) for i, h in enumerate(htmls)]
+    return {r.page_id: r.text for r in pages.extract_main_text(spark.createDataFrame(rows, "page_id bigint, url string, html string")).collect()}
+
+
+def test_recurring_prose_within_an_article_is_template(spark):
+    page = "<body><article><h1>Title {n}</h1><p>Only page {n} says these many words of its own</p><ul><li>Sign up for our letter</li></ul></article></body>"
+    # a twentieth of the host isn't asked for: the template is on 12 of 300 pages
+    others = [f"<article><h1>Other {n}</h1><p>Another text, number {n}</p></article>" for n in range(288)]
+    got = _texts(spark, [page.format(n=n) for n in range(12)] + others)
+    assert got[3] == "Title 3\nOnly page 3 says these many words of its own" and got[20] == "Other 8\nAnother text, number 8"
+
+
+def test_copied_articles_and_pages_stay(spark):
+    copied = "<article><h1>Copied</h1><p>A paragraph that was copied</p><p>and one more of them</p></article>"
+    bare = "<body><div><p>A page without an article</p><p>copied whole</p></div></body>"
+    one = "<main><h1>Title {n}</h1><p>The same words under each title</p></main>"
+    got = _texts(spark, [copied] * 12 + [bare] * 12 + [one.format(n=n) for n in range(12)], ["a"] * 12 + ["b"] * 12 + ["c"] * 12)
+    assert got[0] == "Copied\nA paragraph that was copied\nand one more of them" and got[12] == "A page without an article\ncopied whole"
+    assert got[24] == "Title 0\nThe same words under each title"
