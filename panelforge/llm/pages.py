@@ -24,7 +24,6 @@ from .common import as_text, materialize
 _TAG = re.compile(r"<!--(?:.*?)(?:--!?>|\Z)|<([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*+)>|</([a-zA-Z][^\s/>]*)[^>]*>|<[!?/][^>]*>?|<[a-zA-Z][^>]*\Z", re.S)
 _SPACE = re.compile(r"\s+")
 _ATTR = re.compile(r"""\b(class|id|role|hidden|aria-hidden|style)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""", re.I)
-_NAME = re.compile(r"[a-z]+")
 
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 _RAW = frozenset("script style textarea title noscript iframe xmp noembed noframes".split())
@@ -33,40 +32,88 @@ _BLOCK = frozenset("html head body article main section div p h1 h2 h3 h4 h5 h6
 _HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 _GONE = frozenset("head nav footer aside form fieldset dialog menu template script style textarea title noscript iframe noembed noframes button select option svg canvas object audio video search map".split())
 _ROLES = frozenset("navigation banner contentinfo complementary search dialog alert alertdialog menu menubar toolbar form".split())
-#: Words of class and id that name parts other than the article.
+#: Whole classes and ids that name parts other than the article.
 _NAMES = frozenset(
     "nav navbar navigation menu breadcrumb breadcrumbs header masthead topbar footer foot sidebar aside rail ad ads advert adverts advertisement advertising banner promo promoted sponsor sponsored sponsors cookie cookies consent gdpr notice notices alert popup modal overlay newsletter subscribe subscription signup login comment comments disqus respond replies reply share sharing social related recommended pagination pager widget widgets toolbar skip copyright legal disclaimer".split()
 )
+_COMMENTS = frozenset("comment comments reply replies respond disqus".split())
 _CLOSES_P = _BLOCK - {"template"}
 _SAME = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}}
 _FENCE = {"li": {"ul", "ol", "menu"}, "dt": {"dl"}, "dd": {"dl"}, "tr": {"table"}, "td": {"tr", "table"}, "th": {"tr", "table"}}
 
 
-def _says_other(tag: str, attrs: str) -> bool:
-    """Whether an element says that it holds no article text."""
+_SURE, _NAMED = 2, 1
+
+
+def _says_other(tag: str, attrs: str) -> int:
+    """Whether an element says that it holds no article text: surely, or by a name that may mean something else."""
     if tag in _GONE:
-        return True
-    if not attrs or tag in ("html", "body", "article", "main") and "comment" not in attrs.lower():
-        return False
+        return _NAMED if tag in ("form", "fieldset") else _SURE
+    if not attrs or tag in ("html", "body", "main"):
+        return 0
+    names = _COMMENTS if tag == "article" else _NAMES
+    said = 0
     for name, value in _ATTR.findall(attrs):
         name, value = name.lower(), value.strip("\"'").lower()
-        if name == "hidden" or name == "aria-hidden" and value == "true" or name == "style" and "display:none" in value.replace(" ", ""):
-            return True
-        if name == "role" and value in _ROLES or name in ("class", "id") and not _NAMES.isdisjoint(_NAME.findall(value)):
-            return True
-    return False
+        if name in ("class", "id"):
+            if not names.isdisjoint(value.split()):
+                said = _NAMED
+        elif tag == "article":
+            continue
+        elif name == "hidden" or name == "aria-hidden" and value == "true" or name == "style" and "display:none" in value.replace(" ", ""):
+            return _SURE
+        elif name == "role" and value in _ROLES:
+            said = _NAMED
+    return said
 
 
 class _Element:
-    __slots__ = ("article", "gone", "parts", "tag")
+    __slots__ = ("article", "articles", "gone", "head", "parts", "said", "tag")
+
+    def __init__(self, tag: str, said: int):
+        self.tag, self.said, self.parts = tag, said, []
+        self.gone = self.article = self.head = False
+        self.articles = 0
 
-    def __init__(self, tag: str, gone: bool, article: bool):
-        self.tag, self.gone, self.article, self.parts = tag, gone, article, []
+
+def _settle(root: _Element) -> None:
+    """Which elements are gone.
+
+    A name never deletes an element that holds main or a headline, nor one with an article
+    unless the page has articles outside of named elements: comments and related items may be
+    articles, too.
+    """
+    free = 0
+
+    def look(e: _Element, named: bool) -> None:
+        nonlocal free
+        for p in e.parts:
+            if isinstance(p, str) or p.said == _SURE:
+                continue
+            look(p, named or p.said == _NAMED)
+            own = p.tag in ("article", "main") and not p.said
+            free += own and not named
+            e.articles += p.articles + own
+            # a headline within an article counts with the article
+            e.head |= p.tag in ("main", "h1") or p.head and p.tag != "article"
+
+    def mark(e: _Element, inside: bool) -> None:
+        for p in e.parts:
+            if isinstance(p, str):
+                continue
+            # the header of an article holds its headline; that of a page doesn't
+            said = (0 if inside else _SURE) if p.tag == "header" else p.said
+            p.gone = e.gone or said == _SURE or said == _NAMED and not (p.head or p.tag == "h1" or p.articles and not free)
+            p.article = p.tag in ("article", "main") and not p.gone
+            mark(p, inside or p.article)
+
+    look(root, False)
+    mark(root, False)
 
 
 def read_tree(html: str) -> _Element:
     """The tree of block elements; inline elements leave only their text."""
-    root = _Element("", False, False)
+    root = _Element("", 0)
     stack = [root]
     at, raw_until = 0, 0
     for m in _TAG.finditer(html):
@@ -97,12 +144,7 @@ def read_tree(html: str) -> _Element:
                     if stack[k].tag in _SAME[tag]:
                         del stack[k:]
                         break
-            if tag == "header":
-                # the header of an article holds its headline; that of a page doesn't
-                gone = stack[-1].gone or not any(e.article for e in stack)
-            else:
-                gone = stack[-1].gone or _says_other(tag, m[2])
-            e = _Element(tag, gone, tag in ("article", "main") and not gone)
+            e = _Element(tag, 0 if tag == "header" else _says_other(tag, m[2]))
             stack[-1].parts.append(e)
             if tag not in _VOID and not m[2].rstrip().endswith("/") or tag in _BLOCK and tag not in _VOID:
                 stack.append(e)
@@ -114,6 +156,7 @@ def read_tree(html: str) -> _Element:
                     break
     if at < len(html):
         stack[-1].parts.append(html[at:])
+    _settle(root)
     return root
 
 

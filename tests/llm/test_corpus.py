@@ -370,3 +370,16 @@ def test_copied_articles_and_pages_stay(spark):
     got = _texts(spark, [copied] * 12 + [bare] * 12 + [one.format(n=n) for n in range(12)], ["a"] * 12 + ["b"] * 12 + ["c"] * 12)
     assert got[0] == "Copied\nA paragraph that was copied\nand one more of them" and got[12] == "A page without an article\ncopied whole"
     assert got[24] == "Title 0\nThe same words under each title"
+
+
+def test_names_of_wrappers_never_delete_an_article():
+    text = lambda html: [t for t, _, _ in pages.blocks(html)]
+    for wrapper in ('class="layout has-sidebar"', 'class="content no-comments"', 'class="layout sidebar"', 'id="share"', 'role="search"'):
+        assert text(f"<body><div {wrapper}><article><h1>T</h1><p>words</p></article></div></body>") == ["T", "words"]
+    assert text('<article><div class="entry-header header"><h1>T</h1></div><p>words</p></article>') == ["T", "words"]
+    assert text("<form><main><p>words</p></main></form>") == ["words"]
+    assert text('<article class="post no-comments sidebar"><p>words</p></article>') == ["words"]
+    # what a name does delete
+    assert text('<article><p>words</p></article><div class="comments"><article><h1>Re</h1><p>no</p></article></div>') == ["words"]
+    assert text('<article><p>words</p><div class="x ad">no</div><p style="display: none">no</p></article><aside><article>no</article></aside>') == ["words"]
+    assert text('<article><p>words</p></article><article class="comment"><p>no</p></article>') == ["words"]
