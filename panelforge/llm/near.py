@@ -286,20 +286,29 @@ def _linked_in_group(entries: pd.DataFrame, held: pd.DataFrame, percent: int) ->
     return pd.DataFrame(good, columns=["a", "b"], dtype="int64")
 
 
+def _blocks(nodes: DataFrame, nodes_a_block: int, bytes_a_block: int) -> DataFrame:
+    """(sid, block) of nodes (sid, least, n): those of one least key in as many blocks as their count and bytes need."""
+    count, elements = nodes.agg(F.count("*"), F.sum("n")).first()
+    blocks = max(1, -(-count // nodes_a_block), -(-8 * (elements or 0) // bytes_a_block))
+    need = F.greatest(F.ceil(F.count("*") / nodes_a_block), F.ceil(8 * F.sum("n") / bytes_a_block))
+    # most least keys have few sets: four blocks will do
+    hot = nodes.groupBy("least").agg(need.alias("parts")).filter("parts > 4")
+    parts = F.coalesce("parts", F.lit(4))
+    block = F.pmod(F.xxhash64("least") % blocks + F.pmod(F.xxhash64("sid"), parts), F.lit(blocks)).cast("int")
+    return nodes.join(hot, "least", "left").select("sid", block.alias("block"))
+
+
 def _across(told: DataFrame, sets: DataFrame, percent: int, nodes_a_block: int = 600, bytes_a_block: int = 12_000_000) -> DataFrame:
     """Links between sets that share a list and have different labels: (a, b), enough of them to connect what is linked.
 
-    Sets are dealt to blocks by their least key, so that likely partners are together; every two
-    blocks that meet in a list are one group, which gets the entries and sets concerned and
+    Sets are dealt to blocks by their least key, so that likely partners are together; a least
+    key of very many sets has blocks of its own number. Every two blocks that meet in a list are one group, which gets the entries and sets concerned and
     tries its pairs where they are. No pair becomes a row unless it is a link.
     """
     mixed = materialize(told.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).filter("lo <> hi").select("key"))
     some = materialize(told.join(mixed, "key"))
     nodes = some.groupBy("sid").agg(F.min("key").alias("least"), F.first("n").alias("n"))
-    count, elements = nodes.agg(F.count("*"), F.sum("n")).first()
-    blocks = max(1, -(-count // nodes_a_block), -(-8 * (elements or 0) // bytes_a_block))
-    block = F.pmod(F.xxhash64("least") + F.pmod(F.xxhash64("sid"), F.lit(4)), F.lit(blocks)).cast("int")
-    placed = materialize(some.join(nodes.select("sid", block.alias("block")), "sid"))
+    placed = materialize(some.join(_blocks(nodes, nodes_a_block, bytes_a_block), "sid"))
     met = materialize(placed.groupBy("key").agg(F.collect_set("block").alias("blocks")))
     own, other = F.col("block"), F.explode("blocks").alias("other")
     met_by = placed.join(met, "key").select("key", "sid", "n", "label", "block", other)

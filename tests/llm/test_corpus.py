@@ -383,3 +383,21 @@ def test_names_of_wrappers_never_delete_an_article():
     assert text('<article><p>words</p></article><div class="comments"><article><h1>Re</h1><p>no</p></article></div>') == ["words"]
     assert text('<article><p>words</p><div class="x ad">no</div><p style="display: none">no</p></article><aside><article>no</article></aside>') == ["words"]
     assert text('<article><p>words</p></article><article class="comment"><p>no</p></article>') == ["words"]
+
+
+def test_sets_of_one_least_key_are_dealt_to_bounded_blocks(spark):
+    nodes = spark.range(6000).selectExpr("id as sid", "if(id % 3 = 0, id, 7) as least", "60L as n")
+    got = Counter(r.block for r in near._blocks(nodes, 300, 12_000_000).collect())
+    assert sum(got.values()) == 6000 and max(got.values()) < 600
+    # bytes count, too
+    got = Counter(r.block for r in near._blocks(nodes, 6000, 144_000).collect())
+    assert max(got.values()) < 600
+
+
+def test_a_passage_that_unlinked_texts_share(spark):
+    rng = random.Random(12)
+    passage = [f"p{k}" for k in range(50)]
+    texts = [" ".join(passage + rng.choices([f"q{k}" for k in range(400)], k=14)) for _ in range(60)]
+    texts += [texts[5] + " more", texts[40] + " words"]
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in near.jaccard_components(frame(spark, texts)).collect()}
+    assert got == brute_components(range(len(texts)), texts)
