@@ -94,7 +94,7 @@ class Encoder:
     `memory` bounds how many merged pre-tokens one worker remembers; it changes no result.
     """
 
-    def __init__(self, path: str, memory: int = 500_000):
+    def __init__(self, path: str, memory: int = 100_000):
         self.tok, self.whole, self.specials, self.memory = load_tokenizer(path), whole_tokens(path), specials(path), memory
         self.ranks = merger(path)
         self.known: dict[str, bytes] = dict(self.whole)

@@ -259,6 +259,37 @@ def test_toxicity_learns_from_confirmed_rows(spark):
     assert toxicity.score_toxicity(frame(spark, ODD), blank).filter("predicted = 1").count() == 0
 
 
+def test_toxicity_knows_inflected_and_misspelt_words(spark):
+    rng = random.Random(19)
+    vocab = ["".join(rng.choices("abcdefghij", k=6)) for _ in range(300)]
+    stems, ends = ["wortless", "loweik", "pathet"], ["", "a", "er", "ing", "ous", "ly", "ness", "um"]
+    texts, toxic = [], []
+    for i in range(900):
+        toxic.append(int(i % 6 == 0))
+        w = rng.choices(vocab, k=25)
+        texts.append(" ".join(w + [rng.choice(stems) + rng.choice(ends[:5])] * toxic[-1]))
+    labels = spark.createDataFrame([(i, 1, t) for i, t in enumerate(toxic)], "doc_id bigint, quality int, toxic int")
+    model = toxicity.train_toxicity(frame(spark, texts), labels)
+    clean = [" ".join(rng.choices(vocab, k=25)) for _ in range(200)]
+    new = [" ".join([*rng.choices(vocab, k=25), s + rng.choice(ends[5:])]) for s in stems * 20] + [" ".join([*rng.choices(vocab, k=25), s]) for s in ("wortles", "lowweik", "patheet")]
+    long = ["word " * 40_000 + x for x in ("", " loweikness")]
+    score = model.scores(clean + new + long, model.features())
+    assert np.mean(np.array(score[200:260]) > np.quantile(score[:200], 0.9)) > 0.95 and min(score[260:263]) > np.quantile(score[:200], 0.8)
+    assert score[-1] > score[-2] and score == model.scores(clean + new + long, model.features())
+    # every column stays as it is, whole numbers beside nulls too
+    docs = spark.createDataFrame([(2**60 + 1, None, 2**60 + 3, {"a": 1}), (None, "x", None, None)], "doc_id bigint, text string, score bigint, extra map<string,int>")
+    assert sorted(map(str, toxicity.drop_toxic(docs, model).collect())) == sorted(map(str, docs.collect()))
+
+
+def test_features_of_a_word_do_not_depend_on_its_company():
+    words = ["loweia", "a", "idiot", "éé", "x" * 100]
+    places, owner = toxicity.word_features(words)
+    for k, w in enumerate(words):
+        assert sorted(places[owner == k]) == sorted(toxicity.word_features([w])[0])
+    got = list(toxicity.Features(memory=1).of([None, "", "A a", "idiot", "x" * 2000, "idiot"]))
+    assert [len(g) > 0 for g in got] == [False, False, True, True, True, True] and np.array_equal(got[3], got[5])
+
+
 def test_empty_tables(spark):
     docs = frame(spark, [])
     labels = spark.createDataFrame([], "doc_id bigint, quality int, toxic int")
