@@ -131,32 +131,38 @@ def _sums(x: np.ndarray, start: np.ndarray) -> np.ndarray:
     return total[start[1:]] - total[start[:-1]]
 
 
-def nonnegative_pu(rows: list[np.ndarray], positive: np.ndarray, scale: np.ndarray, prior: float, steps: int = 100, rate: float = 0.04, decay: float = 1e-6, begin: float = 0.3, slack: float = 0.0) -> tuple[np.ndarray, float]:
-    """Weights and bias minimising prior * R_p+ + max(0, R_u- - prior * R_p-), sigmoid loss, full batches by Adam.
+def nonnegative_pu(rows: list[np.ndarray], positive: np.ndarray, scale: np.ndarray, prior: float, rounds: int = 40, batches: int = 8, rate: float = 0.02, decay: float = 1e-6, begin: float = 0.3, slack: float = 0.0) -> tuple[np.ndarray, float]:
+    """Weights and bias minimising prior * R_p+ + max(0, R_u- - prior * R_p-), sigmoid loss, by Adam.
 
     rows: of each text the numbers of its features; a present feature has the value `scale` of
-    its number. Where the corrected negative risk falls below -slack, the step goes up that
-    risk instead. Weights begin at `begin` and are drawn back to it by `decay`.
+    its number. Each round goes through all rows in `batches` parts, dealt anew each round; a
+    part has its share of either kind. Where the corrected negative risk of a part falls below
+    -slack, the step goes up that risk instead. Weights begin at `begin` and are drawn back to
+    it by `decay`.
     """
-    group = {p: [r for r, y in zip(rows, positive, strict=True) if y == p] for p in (True, False)}
-    at = {p: np.concatenate(g) for p, g in group.items()}
-    size = {p: np.array([len(r) for r in g]) for p, g in group.items()}
-    start = {p: np.concatenate(([0], np.cumsum(s))) for p, s in size.items()}
-    n = len(scale)
+    rng, n, t = np.random.default_rng(0), len(scale), 0
+    kinds = {p: np.flatnonzero(positive == p) for p in (True, False)}
+    parts = max(1, min(batches, *map(len, kinds.values())))
     w = np.append(np.full(n, begin), -2.0)
     m, v = np.zeros_like(w), np.zeros_like(w)
-    for t in range(1, steps + 1):
-        s, g = {}, {}
-        for p in (True, False):
-            z = _sums((w[:-1] * scale)[at[p]], start[p]) + w[-1]
-            s[p] = 1 / (1 + np.exp(-np.clip(z, -50, 50)))  # loss of -1: s; loss of +1: 1 - s
-            own = s[p] * (1 - s[p]) / len(z)
-            g[p] = np.append(np.bincount(at[p], np.repeat(own, size[p]), n) * scale, own.sum())
-        negative = s[False].mean() - prior * s[True].mean()
-        step = -prior * g[True] + (g[False] - prior * g[True]) if negative >= -slack else -(g[False] - prior * g[True])
-        step[:-1] += decay * (w[:-1] - begin)
-        m, v = 0.9 * m + 0.1 * step, 0.999 * v + 0.001 * step * step
-        w = w - rate * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.999**t)) + 1e-8)
+    for _ in range(rounds):
+        dealt = {p: np.array_split(rng.permutation(k), parts) for p, k in kinds.items()}
+        for part in range(parts):
+            s, g = {}, {}
+            t += 1
+            value = w[:-1] * scale
+            for p in (True, False):
+                own = [rows[i] for i in dealt[p][part]]
+                at, size = np.concatenate(own), np.array([len(r) for r in own])
+                z = _sums(value[at], np.concatenate(([0], np.cumsum(size)))) + w[-1]
+                s[p] = 1 / (1 + np.exp(-np.clip(z, -50, 50)))  # loss of -1: s; loss of +1: 1 - s
+                slope = s[p] * (1 - s[p]) / len(z)
+                g[p] = np.append(np.bincount(at, np.repeat(slope, size), n) * scale, slope.sum())
+            negative = s[False].mean() - prior * s[True].mean()
+            step = -prior * g[True] + (g[False] - prior * g[True]) if negative >= -slack else -(g[False] - prior * g[True])
+            step[:-1] += decay * (w[:-1] - begin)
+            m, v = 0.9 * m + 0.1 * step, 0.999 * v + 0.001 * step * step
+            w = w - rate * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.999**t)) + 1e-8)
     return w[:-1] * scale, float(w[-1])
 
 
@@ -211,15 +217,16 @@ def train_toxicity(docs: DataFrame, labels: DataFrame, max_positive: int = 5000,
         return _blank(prior)
     wanted = np.zeros(1 << LOG_FEATURES, bool)
     wanted[places] = True
+    number = np.uint16 if len(places) <= 1 << 16 else np.uint32
 
     def present(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         features = Features(wanted)
         for b in batches:
-            yield pd.DataFrame({"y": b["y"], "at": [np.searchsorted(places, f).astype(np.int32).tobytes() for f in features.of(b["text"].tolist())]})
+            yield pd.DataFrame({"y": b["y"], "at": [np.searchsorted(places, f).astype(number).tobytes() for f in features.of(b["text"].tolist())]})
 
     # the order of rows must not depend on how tasks ended
     sparse = sorted((bool(r["y"]), bytes(r["at"])) for r in rows.mapInPandas(present, "y boolean, at binary").collect())
-    w, bias = nonnegative_pu([np.frombuffer(x, np.int32) for _, x in sparse], np.array([y for y, _ in sparse]), scale, prior)
+    w, bias = nonnegative_pu([np.frombuffer(x, number) for _, x in sparse], np.array([y for y, _ in sparse]), scale, prior)
     return ToxicityModel(places, w, bias, prior)
 
 
