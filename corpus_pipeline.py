@@ -6,13 +6,10 @@ but the last return the columns of `documents`.
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 
 from panelforge.llm import dedup, mixing, near, packing, toxicity
-from panelforge.llm.common import read_table
+from panelforge.llm.common import Scratch, read_table
 from panelforge.llm.queries import MIX_TARGETS, mix_domains
 
 
@@ -55,11 +52,10 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages on `documents`, each written as Parquet in the shared folder and read again."""
-    folder = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="pipeline-", dir="/tmp")
-    at = f"{folder.rstrip('/')}/pipeline-{uuid.uuid4().hex}"
-    docs = read_table(spark, sf_dir, "documents")
+    """All stages on `documents`, each written as Parquet in the shared folder and read again; a stage's table is removed when the next one is written."""
+    docs, written = read_table(spark, sf_dir, "documents"), Scratch(spark)
     for k, (_, stage) in enumerate(STAGES):
-        stage(spark, docs, sf_dir).write.parquet(f"{at}/{k}")
-        docs = spark.read.parquet(f"{at}/{k}")
+        docs = written.keep(stage(spark, docs, sf_dir))
+        if k:
+            written.drop(k - 1)
     return docs
