@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -12,19 +13,50 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def materialize(df: DataFrame) -> DataFrame:
-    """Cut the lineage in the shared folder that spark.checkpoint.dir names.
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that spark.checkpoint.dir names; a temporary one where it is unset on a single machine, as in tests."""
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    if named:
+        return named.rstrip("/")
+    held = spark.sparkContext._jsc.sc().getCheckpointDir()
+    if held.isDefined():
+        return held.get().rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+    made = tempfile.mkdtemp(prefix="checkpoint-", dir="/tmp")
+    spark.sparkContext.setCheckpointDir(made)
+    return made
+
 
-    Only where the cluster names none, as in tests, a temporary folder is set.
-    """
-    spark = df.sparkSession
-    sc = spark.sparkContext
+def materialize(df: DataFrame) -> DataFrame:
+    """Cut the lineage by a checkpoint in the shared folder; Spark's cleaner removes it when nothing refers to it."""
+    sc = df.sparkSession.sparkContext
     if not sc._jsc.sc().getCheckpointDir().isDefined():
-        named = spark.conf.get("spark.checkpoint.dir", None)
-        sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="checkpoint-", dir="/tmp"))
+        sc.setCheckpointDir(shared_folder(df.sparkSession))
     return df.checkpoint(eager=True)
 
 
+class Scratch:
+    """Tables written to the shared folder as Parquet, a fraction of a checkpoint's size; `drop` removes those no longer needed."""
+
+    def __init__(self, spark: SparkSession):
+        self.spark, self.at = spark, f"{shared_folder(spark)}/scratch-{uuid.uuid4().hex}"
+        self.count = 0
+
+    def keep(self, df: DataFrame) -> DataFrame:
+        path = f"{self.at}/{self.count}"
+        self.count += 1
+        df.write.option("compression", "zstd").parquet(path)
+        return self.spark.read.schema(df.schema).parquet(path)
+
+    def drop(self, *numbers: int) -> None:
+        """Remove tables by their number in the order of writing, or all."""
+        jvm = self.spark.sparkContext._jvm
+        for at in [f"{self.at}/{k}" for k in numbers] or [self.at]:
+            path = jvm.org.apache.hadoop.fs.Path(at)
+            path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def partitions(spark: SparkSession) -> int:
     """The shuffle partitions that the session asks for."""
     return int(spark.conf.get("spark.sql.shuffle.partitions"))

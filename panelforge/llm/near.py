@@ -32,7 +32,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import as_text, materialize, partitions
+from .common import Scratch, materialize, partitions
 from .shingles import mix, set_id, shingle_set
 
 SUBSET = 2
@@ -84,23 +84,24 @@ def choose_boundary(have: dict[int, int], sizes: Sizes, largest: int = 200) -> i
     return min(range(largest + 1), key=lambda x: (cost(x), x))
 
 
-def _set_rows(docs: DataFrame, words: int) -> DataFrame:
-    """(doc_id, sid, n): every document with the name and size of its set; sid is null for an empty set."""
+def _size_counts(docs: DataFrame, words: int, largest: int = 200) -> tuple[dict[int, int], int]:
+    """How many texts there are of about each set size up to `largest`, and about how many elements in all.
+
+    Told from blanks, without a shingle: only costs depend on it.
+    """
+    n = F.greatest(F.length("text") - F.length(F.translate("text", " ", "")) + 2 - words, F.lit(1))
+    rows = docs.filter("text is not null").groupBy(F.least(n, F.lit(largest + 1)).alias("n")).agg(F.count("*").alias("c"), F.sum(n).alias("elements")).collect()
+    return {r["n"]: r["c"] for r in rows if r["n"] <= largest}, sum(r["elements"] for r in rows)
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            found = [shingle_set(t, words) for t in b["text"]]
-            yield pd.DataFrame({"doc_id": b["doc_id"], "sid": pd.array([set_id(s) if len(s) else None for s in found], "Int64"), "n": [len(s) for s in found]})
 
-    docs, kind = as_text(docs, "doc_id")
-    return docs.mapInPandas(run, "doc_id string, sid bigint, n bigint").withColumn("doc_id", F.col("doc_id").cast(kind))
+_PACK = "bucket int, keys binary, sids binary, sizes binary, counts binary, doc_ids array<string>, texts binary"
 
 
 def _postings(docs: DataFrame, words: int, sizes: Sizes, boundary: int, buckets: int, flush: int = 500_000) -> DataFrame:
-    """List entries in packs: (bucket, keys, sids, sizes, counts); each set once for each task.
+    """List entries in packs: (bucket, keys, sids, sizes, counts), each set once for each task; and packs of rows, with doc_ids and hashes of texts in place of keys and counts.
 
     Keys of one set stand together, so its name and size are told once a pack. A light key has
-    its lowest bit set, a heavy one clear.
+    its lowest bit set, a heavy one clear. An empty set has the size 0.
     """
     from_size = sizes.smallest(boundary + 1)
 
@@ -122,13 +123,17 @@ def _postings(docs: DataFrame, words: int, sizes: Sizes, boundary: int, buckets:
             sid, n = np.array(sids, np.int64), np.array(ns, np.int32)
             for a, z in zip(edge[:-1], edge[1:], strict=True):
                 own, c = np.unique(owner[a:z], return_counts=True)
-                rows.append((int(to[a]), every[a:z].tobytes(), sid[own].tobytes(), n[own].tobytes(), c.astype(np.int32).tobytes()))
-            return pd.DataFrame(rows, columns=["bucket", "keys", "sids", "sizes", "counts"])
+                rows.append((int(to[a]), every[a:z].tobytes(), sid[own].tobytes(), n[own].tobytes(), c.astype(np.int32).tobytes(), None, None))
+            return pd.DataFrame(rows, columns=["bucket", "keys", "sids", "sizes", "counts", "doc_ids", "texts"])
 
         for b in batches:
+            row_sids, row_ns = [], []
             for text in b["text"]:
                 s = shingle_set(text, words)
-                if not len(s) or (sid := set_id(s)) in seen:
+                sid = set_id(s)
+                row_sids.append(sid)
+                row_ns.append(len(s))
+                if not len(s) or sid in seen:
                     continue
                 seen.add(sid)
                 own = []
@@ -145,16 +150,27 @@ def _postings(docs: DataFrame, words: int, sizes: Sizes, boundary: int, buckets:
                 if held > flush:
                     yield packs()
                     keys, sids, ns, held = [], [], [], 0
+            if len(b):
+                told = np.array(row_sids, np.int64)
+                yield pd.DataFrame({"bucket": [int(mix(told[:1].view(np.uint64))[0] % np.uint64(buckets))], "keys": None, "sids": [told.tobytes()], "sizes": [np.array(row_ns, np.int32).tobytes()], "counts": None, "doc_ids": [b["doc_id"].tolist()], "texts": [b["h"].to_numpy(np.int64).tobytes()]})
         if keys:
             yield packs()
 
-    return docs.select("text").mapInPandas(run, "bucket int, keys binary, sids binary, sizes binary, counts binary")
+    return docs.select("doc_id", F.xxhash64("text").alias("h"), "text").mapInPandas(run, _PACK)
+
+
+_ENTRY = "key bigint, sid bigint, n bigint, length bigint, doc_id string, h bigint"
 
 
 def _shared_entries(packs: DataFrame) -> DataFrame:
-    """(key, sid, n, length): entries of the lists that hold two sets or more."""
+    """(key, sid, n, length): entries of the lists that hold two sets or more; and with a length of 0 all rows (doc_id, sid, n, h)."""
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        rows, pdf = pdf[pdf["keys"].isna()], pdf[pdf["keys"].notna()]
+        told = pd.DataFrame({"key": 0, "sid": np.frombuffer(b"".join(rows["sids"]), np.int64), "n": np.frombuffer(b"".join(rows["sizes"]), np.int32).astype(np.int64), "length": 0, "doc_id": [i for ids in rows["doc_ids"] for i in ids], "h": np.frombuffer(b"".join(rows["texts"]), np.int64)})
+        told["doc_id"] = told["doc_id"].astype(object)
+        if pdf.empty:
+            return told
         count = np.concatenate([np.frombuffer(x, np.int32) for x in pdf["counts"]])
         keys = np.concatenate([np.frombuffer(x, np.uint64) for x in pdf["keys"]])
         sids = np.repeat(np.concatenate([np.frombuffer(x, np.int64) for x in pdf["sids"]]), count)
@@ -175,9 +191,10 @@ def _shared_entries(packs: DataFrame) -> DataFrame:
         _, at, length = np.unique(keys, return_inverse=True, return_counts=True)
         length = length[at] if len(keys) else length
         keep = length > 1
-        return pd.DataFrame({"key": keys[keep].view(np.int64), "sid": sids[keep], "n": n[keep].astype(np.int64), "length": length[keep]})
+        found = pd.DataFrame({"key": keys[keep].view(np.int64), "sid": sids[keep], "n": n[keep].astype(np.int64), "length": length[keep], "doc_id": None, "h": 0})
+        return pd.concat([told, found]) if len(told) else found
 
-    return packs.groupBy("bucket").applyInPandas(run, "key bigint, sid bigint, n bigint, length bigint")
+    return packs.groupBy("bucket").applyInPandas(run, _ENTRY)
 
 
 def _rarest(entries: DataFrame, percent: int) -> DataFrame:
@@ -191,42 +208,39 @@ def _rarest(entries: DataFrame, percent: int) -> DataFrame:
     return ranked.filter(F.expr(f"light or rank <= mine + 1 - least({shared(smallest)}, {shared('n')})")).select("key", "sid", "n")
 
 
-def _bits(sids: DataFrame, log_bits: int) -> np.ndarray:
-    """A bitmap of the names, of fixed size: what it lets through too much costs bytes, not results."""
-    word = F.shiftrightunsigned(F.xxhash64("sid"), 70 - log_bits)
-    bit = F.expr("shiftleft(1L, cast(xxhash64(sid) & 63 as int))")
-    rows = sids.groupBy(word.alias("word")).agg(F.bit_or(bit).alias("bits")).toPandas()
+def _bits(names: DataFrame, log_bits: int) -> np.ndarray:
+    """A bitmap of hashes (h): what it lets through too much costs bytes, not results."""
+    word = F.shiftrightunsigned("h", 70 - log_bits)
+    bit = F.expr("shiftleft(1L, cast(h & 63 as int))")
+    rows = names.groupBy(word.alias("word")).agg(F.bit_or(bit).alias("bits")).toPandas()
     out = np.zeros(1 << log_bits - 6, np.int64)
     out[rows["word"].to_numpy(np.int64)] = rows["bits"].to_numpy(np.int64)
     return out
 
 
-def _whole_sets(docs: DataFrame, candidates: DataFrame, words: int, log_bits: int) -> DataFrame:
-    """(sid, elements) of the sets that stand in any list."""
+def _whole_sets(docs: DataFrame, candidates: DataFrame, words: int) -> DataFrame:
+    """(sid, elements) of the sets that stand in any list, from one text each; candidates: (sid, h), h the hash of such a text.
+
+    The bitmap has 16 bits a candidate, at most 2^30 in all; no other text is shingled.
+    """
+    log_bits = min(30, max(16, (16 * candidates.count()).bit_length()))
     bits = docs.sparkSession.sparkContext.broadcast(_bits(candidates, log_bits))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        seen: set[int] = set()
-        for b in batches:
-            sids, sets = [], []
-            for text in b["text"]:
-                s = shingle_set(text, words)
-                if len(s) and (sid := set_id(s)) not in seen:
-                    seen.add(sid)
-                    sids.append(sid)
-                    sets.append(s.tobytes())
-            yield pd.DataFrame({"sid": np.array(sids, np.int64), "elements": sets})
-
-    def wanted(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         held = bits.value
+        seen: set[int] = set()
         for b in batches:
             h = b["h"].to_numpy(np.int64)
             word = (h.view(np.uint64) >> np.uint64(70 - log_bits)).astype(np.int64)
             hit = (held[word].view(np.uint64) >> (h.view(np.uint64) & np.uint64(63))) & np.uint64(1)
-            yield b.loc[hit == 1, ["sid", "elements"]]
+            own = [(x, text) for x, text in zip(h[hit == 1].tolist(), b["text"][hit == 1], strict=True) if x not in seen]
+            seen.update(x for x, _ in own)
+            sets = [shingle_set(text, words) for _, text in own]
+            sets = [s for s in sets if len(s)]
+            yield pd.DataFrame({"sid": np.array([set_id(s) for s in sets], np.int64), "elements": [s.tobytes() for s in sets]})
 
-    told = docs.select("text").mapInPandas(run, "sid bigint, elements binary").withColumn("h", F.xxhash64("sid"))
-    return told.mapInPandas(wanted, "sid bigint, elements binary").join(candidates, "sid", "left_semi").dropDuplicates(["sid"])
+    told = docs.select(F.xxhash64("text").alias("h"), "text").mapInPandas(run, "sid bigint, elements binary")
+    return told.join(candidates.select("sid"), "sid", "left_semi").dropDuplicates(["sid"])
 
 
 def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -340,26 +354,17 @@ def components(edges: DataFrame) -> DataFrame:
         labels = labels.select("sid", "label")
 
 
-def jaccard_components(docs: DataFrame, percent: int = 80, words: int = 5, hub_rounds: int = 1, log_bits: int = 26, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, n_shingles, component_id) of every row.
-
-    Two rows link when the Jaccard similarity of their sets of `words`-word shingles is percent
-    / 100 or more; component_id is the smallest doc_id reachable by links. Null or empty texts
-    have empty sets and are linked with nothing, nor is a null id's row named by itself; rows
-    that repeat a text are one node. `hub_rounds` and `log_bits` change cost, never results.
-    """
+def _classes(docs: DataFrame, percent: int, words: int, hub_rounds: int, scratch: Scratch) -> DataFrame:
+    """(doc_id as text, h, n, sid, label) of every row (doc_id, text): h is a hash of the text, label names its class; both null for an empty set."""
     sizes = Sizes(percent)
-    texts = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
-    spark = docs.sparkSession
-    rows = materialize(_set_rows(texts, words))
-    nodes = materialize(rows.filter("sid is not null").groupBy("sid").agg(F.min("doc_id").alias("first_id"), F.first("n").alias("n")))
-    small = F.when(F.col("n") <= 200, F.col("n")).alias("n")
-    counted = nodes.groupBy(small).agg(F.count("*").alias("c"), F.sum("n").alias("elements")).collect()
-    boundary = choose_boundary({r["n"]: r["c"] for r in counted if r["n"]}, sizes)
-    buckets = max(2 * partitions(spark), sum(r["elements"] for r in counted) // 2_000_000)
-    entries = _shared_entries(_postings(texts, words, sizes, boundary, buckets))
-    told = materialize(_rarest(entries, percent).withColumn("label", F.col("sid")))
-    sets = materialize(_whole_sets(texts, told.select("sid").distinct(), words, log_bits))
+    have, elements = _size_counts(docs, words)
+    boundary = choose_boundary(have, sizes)
+    buckets = max(2 * partitions(docs.sparkSession), elements // 2_000_000)
+    every = scratch.keep(_shared_entries(_postings(docs, words, sizes, boundary, buckets)))
+    rows = every.filter("length = 0").select("doc_id", "h", "n", F.when(F.col("n") > 0, F.col("sid")).alias("sid"))
+    told = scratch.keep(_rarest(every.filter("length > 0").select("key", "sid", "n", "length"), percent).withColumn("label", F.col("sid")))
+    candidates = materialize(rows.join(told.select("sid").distinct(), "sid").groupBy("sid").agg(F.min("h").alias("h")))
+    sets = scratch.keep(_whole_sets(docs, candidates, words))
     fits = (F.col("n") * percent <= F.col("hub_n") * 100) & (F.col("hub_n") * percent <= F.col("n") * 100)
 
     found = []
@@ -373,20 +378,43 @@ def jaccard_components(docs: DataFrame, percent: int = 80, words: int = 5, hub_r
         found.append(linked)
         # who is linked takes the hub's label: of equal labels all are connected
         new = materialize(linked.select(F.col("a").alias("sid")).join(best, "sid").select("sid", F.col("hub_label").alias("new")))
-        told = materialize(told.join(new, "sid", "left").select("key", "sid", "n", F.coalesce("new", "label").alias("label")))
+        told = scratch.keep(told.join(new, "sid", "left").select("key", "sid", "n", F.coalesce("new", "label").alias("label")))
     found.append(materialize(_across(told, sets, percent)))
     labels = components(reduce(DataFrame.union, found))
+    classes = scratch.keep(rows.join(labels, "sid", "left").withColumn("label", F.coalesce("label", "sid")))
+    scratch.drop(*range(scratch.count - 1))
+    return classes
 
-    named = nodes.join(labels, "sid", "left").select("sid", "first_id", F.coalesce("label", "sid").alias("label"))
-    named = materialize(named)
-    least = materialize(named.groupBy("label").agg(F.min("first_id").alias("component_id")))
-    classes = materialize(named.join(least, "label").select("sid", "component_id"))
-    whole = rows.filter("sid is not null").join(classes, "sid").select("doc_id", F.col("n").alias("n_shingles"), "component_id")
-    return whole.unionByName(rows.filter("sid is null").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id")))
 
+def jaccard_components(docs: DataFrame, percent: int = 80, words: int = 5, hub_rounds: int = 1, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(doc_id, n_shingles, component_id) of every row.
 
-def keep_one_of_each(docs: DataFrame, percent: int = 80, words: int = 5) -> DataFrame:
-    """The rows of docs whose doc_id is the smallest of its class, all their columns; rows without an id stay."""
-    found = jaccard_components(docs, percent, words)
-    gone = found.filter("doc_id <> component_id").select("doc_id").distinct()
-    return docs.join(materialize(gone), "doc_id", "left_anti").select(docs.columns)
+    Two rows link when the Jaccard similarity of their sets of `words`-word shingles is percent
+    / 100 or more; component_id is the smallest doc_id reachable by links. Null or empty texts
+    have empty sets and are linked with nothing, nor is a null id's row named by itself; rows
+    that repeat a text are one node. Other columns are not read. `hub_rounds` changes cost,
+    never results.
+    """
+    kind = docs.schema[id_col].dataType.simpleString()
+    texts = docs.select(F.col(id_col).cast("string").alias("doc_id"), F.col(text_col).alias("text"))
+    rows = _classes(texts, percent, words, hub_rounds, Scratch(docs.sparkSession)).select(F.col("doc_id").cast(kind).alias("doc_id"), F.col("n").alias("n_shingles"), "label")
+    least = materialize(rows.filter("label is not null").groupBy("label").agg(F.min("doc_id").alias("component_id"), F.count("*").alias("c")).filter("c > 1").drop("c"))
+    # most classes have one row: only those of larger ones meet the others
+    alone = F.when(F.col("label").isNull() | ~F.col("found"), F.col("doc_id")).otherwise(F.col("component_id"))
+    whole = rows.join(least.withColumn("found", F.lit(True)), "label", "left").withColumn("found", F.coalesce("found", F.lit(False)))
+    return whole.select("doc_id", "n_shingles", alone.alias("component_id"))
+
+
+def keep_one_of_each(docs: DataFrame, percent: int = 80, words: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Of each class one row, all its columns: the one with the smallest id, a null id last.
+
+    Rows with empty sets stay. Of rows that are equal in id and text all stay or all go.
+    """
+    texts = docs.select(F.col(id_col).cast("string").alias("doc_id"), F.col(text_col).alias("text"))
+    kind = docs.schema[id_col].dataType.simpleString()
+    rows = _classes(texts, percent, words, 1, Scratch(docs.sparkSession)).filter("label is not null").select(F.col("doc_id").cast(kind).alias("_near_id"), F.col("h").alias("_near_text"), "label")
+    first = F.min(F.struct(F.col("_near_id").isNull().alias("no_id"), F.col("_near_id").alias("i"), F.col("_near_text").alias("t")))
+    kept = materialize(rows.groupBy("label").agg(first.alias("kept"), F.count("*").alias("c")).filter("c > 1").select("label", "kept.i", "kept.t"))
+    gone = materialize(rows.join(kept, "label").filter(~(F.col("_near_id").eqNullSafe(F.col("i")) & (F.col("_near_text") == F.col("t")))).select("_near_id", "_near_text").distinct())
+    same = F.col(f"`{id_col}`").eqNullSafe(F.col("_near_id")) & (F.xxhash64(F.col(f"`{text_col}`")) == F.col("_near_text"))
+    return docs.join(gone, same, "left_anti")

@@ -138,6 +138,13 @@ def test_jaccard_components_brute_force(spark):
     assert sorted(r.doc_id for r in one.collect()) == sorted({c for _, c in got.values()})
 
 
+def test_one_row_of_each_class_stays_though_ids_repeat(spark):
+    text = "one two three four five six seven eight nine ten eleven twelve thirteen fourteen fifteen sixteen"
+    docs = frame(spark, [text, text + " more", "quite another text that has words", text + " less", text, text], [1, 2, 2, None, 1, 3])
+    left = Counter((r.doc_id, r.text) for r in near.keep_one_of_each(docs.withColumnRenamed("source", "label")).collect())
+    assert left == Counter([(1, text), (1, text), (2, "quite another text that has words")])
+
+
 def test_shingles_of_a_very_long_word():
     assert len(shingle_set("x" * 200_000 + " a b c d e")) == 2
     assert shingle_set("x" * 200_000 + " b")[0] != shingle_set("x" * 199_999 + "y b")[0]
