@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from dataclasses import dataclass
 from html import unescape
 
 import numpy as np
@@ -19,11 +20,13 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import as_text, materialize
+from .common import Scratch, as_text, materialize
 
-_TAG = re.compile(r"<!--(?:.*?)(?:--!?>|\Z)|<([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*+)>|</([a-zA-Z][^\s/>]*)[^>]*>|<[!?/][^>]*>?|<[a-zA-Z][^>]*\Z", re.S)
+#: Attributes up to the end of a tag: a quote counts only where a value begins, or where no other follows it.
+_ATTRS = r"""(?:[\s/]++|[^\s/>=]++(?:\s*+=\s*+(?:"[^"]*+"|'[^']*+'|[^\s>]++)?+)?+|=)*+"""
+_TAG = re.compile(rf"<!--(?:.*?)(?:--!?>|\Z)|<([a-zA-Z][^\s/>]*+)({_ATTRS})>|</([a-zA-Z][^\s/>]*)[^>]*>|<[!?/][^>]*>?|<[a-zA-Z][^>]*\Z", re.S)
 _SPACE = re.compile(r"\s+")
-_ATTR = re.compile(r"""\b(class|id|role|hidden|aria-hidden|style)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""", re.I)
+_ATTR = re.compile(r"""(?<![^\s"'/])(class|id|role|hidden|aria-hidden|style)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s>]+)|(?=[\s/]|$))""", re.I)
 
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 _RAW = frozenset("script style textarea title noscript iframe xmp noembed noframes".split())
@@ -68,53 +71,47 @@ def _says_other(tag: str, attrs: str) -> int:
 
 
 class _Element:
-    __slots__ = ("article", "articles", "gone", "head", "parts", "said", "tag")
+    __slots__ = ("article", "articles", "free", "gone", "head", "inside", "parent", "parts", "said", "tag")
 
-    def __init__(self, tag: str, said: int):
-        self.tag, self.said, self.parts = tag, said, []
-        self.gone = self.article = self.head = False
-        self.articles = 0
+    def __init__(self, tag: str, said: int, parent: _Element | None):
+        self.tag, self.said, self.parent, self.parts = tag, said, parent, []
+        self.gone = self.article = self.head = self.inside = False
+        self.articles = self.free = 0
 
 
-def _settle(root: _Element) -> None:
-    """Which elements are gone.
+def _settle(nodes: list[_Element]) -> None:
+    """Which elements are gone; nodes in the order of the page, the root first.
 
     A name never deletes an element that holds main or a headline, nor one with an article
     unless the page has articles outside of named elements: comments and related items may be
     articles, too.
     """
-    free = 0
-
-    def look(e: _Element, named: bool) -> None:
-        nonlocal free
-        for p in e.parts:
-            if isinstance(p, str) or p.said == _SURE:
-                continue
-            look(p, named or p.said == _NAMED)
-            own = p.tag in ("article", "main") and not p.said
-            free += own and not named
-            e.articles += p.articles + own
-            # a headline within an article counts with the article
-            e.head |= p.tag in ("main", "h1") or p.head and p.tag != "article"
-
-    def mark(e: _Element, inside: bool) -> None:
-        for p in e.parts:
-            if isinstance(p, str):
-                continue
-            # the header of an article holds its headline; that of a page doesn't
-            said = (0 if inside else _SURE) if p.tag == "header" else p.said
-            p.gone = e.gone or said == _SURE or said == _NAMED and not (p.head or p.tag == "h1" or p.articles and not free)
-            p.article = p.tag in ("article", "main") and not p.gone
-            mark(p, inside or p.article)
-
-    look(root, False)
-    mark(root, False)
-
-
-def read_tree(html: str) -> _Element:
-    """The tree of block elements; inline elements leave only their text."""
-    root = _Element("", 0)
-    stack = [root]
+    for p in reversed(nodes[1:]):
+        if p.said == _SURE:
+            continue
+        e, own = p.parent, p.tag in ("article", "main") and not p.said
+        e.articles += p.articles + own
+        e.free += (p.free + own) * (p.said != _NAMED)
+        # a headline within an article counts with the article
+        e.head |= p.tag in ("main", "h1") or p.head and p.tag != "article"
+    free = nodes[0].free
+    for p in nodes[1:]:
+        e = p.parent
+        # the header of an article holds its headline; that of a page doesn't
+        said = (0 if e.inside else _SURE) if p.tag == "header" else p.said
+        p.gone = e.gone or said == _SURE or said == _NAMED and not (p.head or p.tag == "h1" or p.articles and not free)
+        p.article = p.tag in ("article", "main") and not p.gone
+        p.inside = e.inside or p.article
+
+
+def read_tree(html: str) -> list[_Element]:
+    """The block elements in the order of the page, the root first; inline elements leave only their text.
+
+    Depth has no limit: nothing here recurses. An element that is never closed ends with the page.
+    """
+    root = _Element("", 0, None)
+    nodes, stack = [root], [root]
+    depth: dict[str, int] = {}
     at, raw_until = 0, 0
     for m in _TAG.finditer(html):
         if m.start() < raw_until:
@@ -136,28 +133,36 @@ def read_tree(html: str) -> _Element:
             if tag not in _BLOCK and tag not in _GONE and not _says_other(tag, m[2]):
                 continue
             if tag in _CLOSES_P and stack[-1].tag == "p":
-                stack.pop()
+                depth[stack.pop().tag] -= 1
             if tag in _SAME:
                 for k in range(len(stack) - 1, 0, -1):
                     if stack[k].tag in _FENCE[tag]:
                         break
                     if stack[k].tag in _SAME[tag]:
+                        for gone in stack[k:]:
+                            depth[gone.tag] -= 1
                         del stack[k:]
                         break
-            e = _Element(tag, 0 if tag == "header" else _says_other(tag, m[2]))
+            e = _Element(tag, 0 if tag == "header" else _says_other(tag, m[2]), stack[-1])
+            nodes.append(e)
             stack[-1].parts.append(e)
             if tag not in _VOID and not m[2].rstrip().endswith("/") or tag in _BLOCK and tag not in _VOID:
                 stack.append(e)
+                depth[tag] = depth.get(tag, 0) + 1
         elif closed:
             tag = closed.lower()
+            if not depth.get(tag):
+                continue
             for k in range(len(stack) - 1, 0, -1):
                 if stack[k].tag == tag:
+                    for gone in stack[k:]:
+                        depth[gone.tag] -= 1
                     del stack[k:]
                     break
     if at < len(html):
         stack[-1].parts.append(html[at:])
-    _settle(root)
-    return root
+    _settle(nodes)
+    return nodes
 
 
 def clean(text: str) -> str:
@@ -165,75 +170,94 @@ def clean(text: str) -> str:
     return _SPACE.sub(" ", unescape(text)).strip()
 
 
-def subtree_hash(e: _Element) -> int:
-    """A signed 64-bit hash of an element's tags and text."""
-    h = xxhash.xxh64()
+def _subtree_hashes(nodes: list[_Element]) -> dict[int, int]:
+    """A signed 64-bit hash of each element's tags and text, by id(): from the leaves up, each text once."""
+    out: dict[int, int] = {}
+    for e in reversed(nodes):
+        h = xxhash.xxh64(e.tag)
+        for p in e.parts:
+            h.update(clean(p).encode("utf-8", "surrogatepass") + b"\0" if isinstance(p, str) else out[id(p)].to_bytes(8, "little", signed=True))
+        out[id(e)] = h.intdigest() - (1 << 63)
+    return out
 
-    def walk(x: _Element) -> None:
-        h.update(f"<{x.tag}>")
-        for p in x.parts:
-            if isinstance(p, str):
-                h.update(clean(p).encode("utf-8", "surrogatepass"))
-            else:
-                walk(p)
-        h.update("</>")
 
-    walk(e)
-    return h.intdigest() - (1 << 63)
+@dataclass
+class Page:
+    """A page's blocks of text outside the parts that say they aren't the article.
 
+    `body` tells whether a block is text of an article other than a heading. `subtrees` are
+    (hash, first block, block after the last) of the elements that are counted: all but those of
+    whole pages and articles.
+    """
 
-def _countable(e: _Element) -> bool:
-    """Whether an element's subtree is counted: all but those of whole pages and articles."""
-    return not e.article and e.tag not in ("html", "body")
+    texts: list[str]
+    body: list[bool]
+    subtrees: list[tuple[int, int, int]]
 
+    def contexts(self) -> list[int]:
+        """Of each subtree a hash of the longest block outside of it: 0 where it is all text of the page."""
+        order = sorted(range(len(self.texts)), key=lambda k: (-len(self.texts[k]), self.texts[k]))
+        named: dict[int, int] = {}
+        out = []
+        for _, a, z in self.subtrees:
+            rest = next((k for k in order if not a <= k < z), None)
+            if rest is not None and rest not in named:
+                named[rest] = xxhash.xxh64_intdigest(self.texts[rest].encode("utf-8", "surrogatepass")) - (1 << 63)
+            out.append(0 if rest is None else named[rest])
+        return out
 
-def blocks(html: str | None) -> list[tuple[str, list[int], bool]]:
-    """Blocks of text outside the parts that say they aren't the article: text, hashes of the countable subtrees around it, and whether it is text of an article other than a heading."""
-    if not html:
-        return []
-    root = read_tree(html)
-    out: list[tuple[str, list[int], bool]] = []
-    scoped = _has_article(root)
-
-    def walk(e: _Element, inside: bool, around: list[int], heading: bool) -> None:
-        run: list[str] = []
 
-        def close() -> None:
-            text = clean("".join(run))
-            if text and (inside or not scoped):
-                out.append((text, list(around), inside and not heading))
-            run.clear()
+def read_page(html: str | None) -> Page:
+    """Parse one whole page; null or empty html has no blocks.
 
-        for p in e.parts:
+    With main, or with articles that hold at least as much text as all else that is left, only
+    those count; a page whose articles are mere teasers is taken whole.
+    """
+    page = Page([], [], [])
+    if not html:
+        return page
+    nodes = read_tree(html)
+    hashes = _subtree_hashes(nodes)
+    texts: list[tuple[str, bool, bool]] = []
+    subtrees: list[tuple[int, int, int, bool]] = []
+
+    def close(run: list[str], e: _Element, heading: bool) -> None:
+        text = clean("".join(run))
+        if text:
+            texts.append((text, e.inside, e.inside and not heading))
+        run.clear()
+
+    stack: list[tuple] = [(nodes[0], iter(nodes[0].parts), [], False, 0)]
+    while stack:
+        e, parts, run, heading, first = stack[-1]
+        for p in parts:
             if isinstance(p, str):
                 run.append(p)
-            elif p.gone:
-                if p.tag in _BLOCK:
-                    close()
-            else:
-                close()
-                within = inside or p.article
-                may = (within or not scoped) and _countable(p)
-                walk(p, within, [*around, subtree_hash(p)] if may else around, heading or p.tag in _HEADINGS)
-        close()
-
-    walk(root, False, [], False)
-    return out
-
+            elif not p.gone:
+                close(run, e, heading)
+                stack.append((p, iter(p.parts), [], heading or p.tag in _HEADINGS, len(texts)))
+                break
+            elif p.tag in _BLOCK:
+                close(run, e, heading)
+        else:
+            close(run, e, heading)
+            stack.pop()
+            if e.tag not in ("", "html", "body") and not e.article and len(texts) > first:
+                subtrees.append((hashes[id(e)], first, len(texts), e.inside))
+    held = sum(len(t) for t, inside, _ in texts if inside)
+    scoped = any(e.tag == "main" and e.article for e in nodes) or held > 0 and 2 * held >= sum(len(t) for t, _, _ in texts)
+    # numbers of the blocks that count
+    number = np.concatenate(([0], np.cumsum([inside or not scoped for _, inside, _ in texts]))).astype(int).tolist()
+    page.texts = [t for t, inside, _ in texts if inside or not scoped]
+    page.body = [b for _, inside, b in texts if inside or not scoped]
+    page.subtrees = [(h, number[a], number[z]) for h, a, z, inside in subtrees if (inside or not scoped) and number[z] > number[a]]
+    return page
 
-def subtree_contexts(html: str | None) -> dict[int, int]:
-    """Hashes of a page's countable subtrees, each with a hash of the longest block outside of it: 0 where it is all text of the page."""
-    found = blocks(html)
-    order = sorted(range(len(found)), key=lambda k: (-len(found[k][0]), found[k][0]))
-    out: dict[int, int] = {}
-    for h in {h for _, around, _ in found for h in around}:
-        rest = next((k for k in order if h not in found[k][1]), None)
-        out[h] = 0 if rest is None else xxhash.xxh64_intdigest(found[rest][0].encode("utf-8", "surrogatepass")) - (1 << 63)
-    return out
 
-
-def _has_article(e: _Element) -> bool:
-    return any(isinstance(p, _Element) and not p.gone and (p.article or _has_article(p)) for p in e.parts)
+def blocks(html: str | None) -> list[tuple[str, list[int], bool]]:
+    """Each block of a page: its text, the hashes of the counted subtrees around it, and whether it is text of an article other than a heading."""
+    page = read_page(html)
+    return [(t, [h for h, a, z in page.subtrees if a <= k < z], b) for k, (t, b) in enumerate(zip(page.texts, page.body, strict=True))]
 
 
 def extract_main_text(pages: DataFrame, min_pages: int = 10, salts: int = 32, log_bits: int = 26) -> DataFrame:
@@ -242,23 +266,40 @@ def extract_main_text(pages: DataFrame, min_pages: int = 10, salts: int = 32, lo
     A subtree is template where it stands on `min_pages` or more pages of its host that differ
     in their longest other block, however large the host is; prose of an article is no exception.
     So copied articles and copied pages stay. Where templates would leave an article nothing but
-    headings, its text stays whole. A page with article or main elements gives their text alone.
-
-    Null or empty html gives an empty text; a null or odd url counts to the host ''. Repeated
-    rows are extracted each. Each task tells at most `min_pages` different contexts of a subtree
-    before the shuffle. Pages that may hold a template, by a bitmap of fixed size, meet those of
-    their host by a join that is salted by page, since one host may have a third of all pages;
-    `salts` and `log_bits` change cost, never results.
+    headings, its text stays whole. A page with main, or with articles that hold most of its
+    text, gives their text alone.
+
+    Null or empty html gives an empty text; a null or odd url counts to the host ''. Elements
+    may be nested to any depth and never closed; a stray quote is part of the attribute it
+    stands in. Repeated rows are extracted each; other columns are not read. Every page is
+    parsed once and its blocks are written to the shared folder. Each task tells at most
+    `min_pages` different contexts of a subtree before the shuffle. Subtrees that may be
+    templates, by a bitmap of fixed size, meet those of their host by a join that is salted by
+    page, since one host may have a third of all pages; `salts` and `log_bits` change cost,
+    never results.
     """
+    spark = pages.sparkSession
     host = F.lower(F.coalesce(F.regexp_extract("url", "^[a-zA-Z][a-zA-Z0-9+.-]*://(?:[^/?#@]*@)?([^/:?#]+)", 1), F.lit("")))
-    rows = pages.select("page_id", "url", "html", host.alias("host"))
+    rows, kind = as_text(pages.select("page_id", "url", "html", host.alias("host")), "page_id")
+
+    def parse(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            for at in range(0, len(b), 256):
+                part = b.iloc[at : at + 256]
+                found = list(map(read_page, part["html"]))
+                told = [tuple(map(list, zip(*p.subtrees, strict=True))) or ([], [], []) for p in found]
+                out = {"page_id": part["page_id"], "url": part["url"], "host": part["host"], "blocks": [p.texts for p in found], "body": [p.body for p in found]}
+                yield pd.DataFrame(out | {c: [t[k] for t in told] for k, c in enumerate(("subtrees", "first", "after"))} | {"contexts": [p.contexts() for p in found]})
+
+    schema = "page_id string, url string, host string, blocks array<string>, body array<boolean>, subtrees array<bigint>, first array<int>, after array<int>, contexts array<bigint>"
+    parsed = Scratch(spark).keep(rows.mapInPandas(parse, schema).withColumn("uid", F.monotonically_increasing_id()))
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         seen: dict[tuple[str, int], set[int]] = {}
         size = 0
         for b in batches:
-            for h, html in zip(b["host"], b["html"], strict=True):
-                for x, around in subtree_contexts(html).items():
+            for h, subtrees, contexts in zip(b["host"], b["subtrees"], b["contexts"], strict=True):
+                for x, around in zip(subtrees.tolist(), contexts.tolist(), strict=True):
                     held = seen.setdefault((h, x), set())
                     if len(held) < min_pages and around not in held:
                         held.add(around)
@@ -269,31 +310,27 @@ def extract_main_text(pages: DataFrame, min_pages: int = 10, salts: int = 32, lo
         if seen:
             yield _table(seen)
 
-    contexts = rows.mapInPandas(count, "host string, subtree bigint, context bigint").distinct()
+    contexts = parsed.select("host", "subtrees", "contexts").mapInPandas(count, "host string, subtree bigint, context bigint").distinct()
     templates = materialize(contexts.groupBy("host", "subtree").agg(F.count("*").alias("n")).filter(F.col("n") >= min_pages).select("host", "subtree"))
-    bits = pages.sparkSession.sparkContext.broadcast(name_bits(templates.select(F.col("subtree").alias("sid")), log_bits))
+    bits = spark.sparkContext.broadcast(name_bits(templates.select(F.col("subtree").alias("sid")), log_bits))
 
-    rows, kind = as_text(rows, "page_id")
-
-    def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        held = bits.value
+    def maybe(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            found = list(map(blocks, b["html"]))
-            around = [[[h for h in hs if has_name(held, h, log_bits)] for _, hs, _ in f] for f in found]
-            yield pd.DataFrame({"page_id": b["page_id"], "url": b["url"], "host": b["host"], "blocks": [[t for t, _, _ in f] for f in found], "around": around, "body": [[x for _, _, x in f] for f in found], "open": [any(a) for a in around]})
-
-    parsed = rows.mapInPandas(read, "page_id string, url string, host string, blocks array<string>, around array<array<bigint>>, body array<boolean>, open boolean")
-    plain = parsed.filter("not open").select("page_id", "url", "host", F.array_join("blocks", "\n").alias("text"))
-    unsure = materialize(parsed.filter("open").withColumn("uid", F.monotonically_increasing_id()))
-    held = unsure.select("uid", "host", (F.abs(F.hash("uid")) % salts).alias("salt"), F.explode(F.array_distinct(F.flatten("around"))).alias("subtree"))
+            every = np.concatenate([*b["subtrees"], np.zeros(0, np.int64)]).astype(np.int64)
+            hit = has_names(bits.value, every, log_bits)
+            at = np.repeat(np.arange(len(b)), b["subtrees"].map(len))[hit]
+            yield pd.DataFrame({"uid": b["uid"].to_numpy()[at], "host": b["host"].to_numpy()[at], "subtree": every[hit], "first": np.concatenate([*b["first"], np.zeros(0, np.int32)])[hit].astype(np.int32), "after": np.concatenate([*b["after"], np.zeros(0, np.int32)])[hit].astype(np.int32)})
+
+    held = parsed.select("uid", "host", "subtrees", "first", "after").mapInPandas(maybe, "uid bigint, host string, subtree bigint, first int, after int").withColumn("salt", F.abs(F.hash("uid")) % salts)
     salted = templates.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-    gone = held.join(salted, ["host", "salt", "subtree"]).groupBy("uid").agg(F.collect_list("subtree").alias("gone"))
-    every = F.arrays_zip("blocks", "around", "body")
-    kept = F.filter(every, lambda x: ~F.arrays_overlap(x["around"], F.coalesce("gone", F.array().cast("array<bigint>"))))
-    told = unsure.join(gone, "uid", "left").withColumns({"every": every, "kept": kept})
-    bare = F.exists("every", lambda x: x["body"]) & ~F.exists("kept", lambda x: x["body"])
-    cleared = told.select("page_id", "url", "host", F.array_join(F.transform(F.when(bare, F.col("every")).otherwise(F.col("kept")), lambda x: x["blocks"]), "\n").alias("text"))
-    return plain.unionByName(cleared).select(F.col("page_id").cast(kind).alias("page_id"), "url", "text", F.length("text").cast("bigint").alias("n_chars"), "host")
+    gone = held.join(salted, ["host", "salt", "subtree"]).groupBy("uid").agg(F.collect_set(F.struct("first", "after")).alias("gone"))
+    every = F.zip_with(F.zip_with("blocks", "body", lambda t, b: F.struct(t.alias("t"), b.alias("b"))), F.sequence(F.lit(0), F.size("blocks")), lambda x, i: F.struct(x["t"].alias("t"), x["b"].alias("b"), i.alias("i")))
+    every = F.slice(every, 1, F.size("blocks"))
+    told = parsed.select("uid", "page_id", "url", "host", "blocks", "body").join(gone, "uid", "left").withColumn("every", every)
+    told = told.withColumn("kept", F.filter("every", lambda x: ~F.exists(F.coalesce("gone", F.array().cast("array<struct<first:int,after:int>>")), lambda g: (g["first"] <= x["i"]) & (x["i"] < g["after"]))))
+    bare = F.exists("every", lambda x: x["b"]) & ~F.exists("kept", lambda x: x["b"])
+    text = F.when(F.col("gone").isNull() | bare, F.array_join("blocks", "\n")).otherwise(F.array_join(F.transform("kept", lambda x: x["t"]), "\n"))
+    return told.select(F.col("page_id").cast(kind).alias("page_id"), "url", text.alias("text"), "host").select("page_id", "url", "text", F.length("text").cast("bigint").alias("n_chars"), "host")
 
 
 def _table(seen: dict[tuple[str, int], set[int]]) -> pd.DataFrame:
@@ -311,6 +348,7 @@ def name_bits(names: DataFrame, log_bits: int) -> np.ndarray:
     return out.view(np.uint64)
 
 
-def has_name(bits: np.ndarray, name: int, log_bits: int) -> bool:
-    at = (name & (1 << 64) - 1) >> 64 - log_bits
-    return bool(int(bits[at >> 6]) >> (at & 63) & 1)
+def has_names(bits: np.ndarray, names: np.ndarray, log_bits: int) -> np.ndarray:
+    """Which of some signed 64-bit names the bitmap may hold."""
+    at = names.view(np.uint64) >> np.uint64(64 - log_bits)
+    return (bits[(at >> np.uint64(6)).astype(np.int64)] >> (at & np.uint64(63)) & np.uint64(1)) == 1

@@ -439,3 +439,38 @@ def test_a_passage_that_unlinked_texts_share(spark):
     texts += [texts[5] + " more", texts[40] + " words"]
     got = {r.doc_id: (r.n_shingles, r.component_id) for r in near.jaccard_components(frame(spark, texts)).collect()}
     assert got == brute_components(range(len(texts)), texts)
+
+
+def test_any_nesting_and_any_quotes():
+    text = lambda html: [t for t, _, _ in pages.blocks(html)]
+    deep = "<div>" * 5000
+    assert text(f"<body>{deep}words{'</div>' * 5000}<p>more</p>") == ["words", "more"]
+    assert len(pages.read_page("<div>a" * 3000).subtrees) == 3000
+    assert text("<p title=it's>one two</p><p>three don't four</p>") == ["one two", "three don't four"]
+    assert text('<p data-x=5">words</p>') == ["words"] and text('<p title="a>b" class=x>words') == ["words"]
+    assert text("<p title='open>words</p><p>more</p>")[-1] == "more"
+    long = "<p>" + "word " * 100_000 + "</p>"
+    assert len(text(long * 2)) == 2
+
+
+def test_a_teaser_does_not_shut_out_the_page():
+    text = lambda html: [t for t, _, _ in pages.blocks(html)]
+    assert text("<article><h2>Teaser</h2></article><div><p>A long text that is the body of this page</p></div>")[-1] == "A long text that is the body of this page"
+    assert text("<main><p>x</p></main><div><p>A long text that is no body</p></div>") == ["x"]
+    two = text("<article><p>first article here</p></article><article><p>second one here</p></article><div>menu</div>")
+    assert two == ["first article here", "second one here"]
+
+
+def test_template_counts_brute_force(spark):
+    rng = random.Random(21)
+    parts = [f"<div><p>part {k}</p></div>" for k in range(6)]
+    htmls = [f"<body>{''.join(rng.sample(parts, 3))}<div><p>the own text of page {n % 40}</p></div></body>" for n in range(90)]
+    hosts = [rng.choice(["a.com", "b.com", "c.com"]) for _ in htmls]
+    got = _texts(spark, htmls, hosts)
+    found = defaultdict(set)
+    for h, html in zip(hosts, htmls, strict=True):
+        own = re.findall("<p>(.*?)</p>", html)
+        for t in own:
+            found[h, t].add(max((x for x in own if x != t), key=len))
+    for n, (h, html) in enumerate(zip(hosts, htmls, strict=True)):
+        assert got[n] == "\n".join(t for t in re.findall("<p>(.*?)</p>", html) if len(found[h, t]) < 10)
