@@ -119,40 +119,58 @@ def normalized(text: Column) -> Column:
     return F.regexp_replace(F.coalesce(text, F.lit("")), "[\\x20\\x09-\\x0D]+", " ")
 
 
-def _indexed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Entries (digest, doc_id, n_rows; negative rows delete), in any order, merged by one index."""
-    index = CuckooIndex()
-    gone: list[tuple[bytes, int]] = []
-    for b in batches:
-        for digest, doc_id, rows in zip(b["digest"], b["doc_id"].astype(object).where(b["doc_id"].notna(), None), b["n_rows"].tolist(), strict=True):
-            if rows > 0:
-                index.insert(digest, doc_id, rows)
-            else:
-                gone.append((digest, -rows))
-    for digest, rows in gone:
-        index.delete(digest, rows)
+def _out(index: CuckooIndex, kind: str) -> Iterator[pd.DataFrame]:
     held = list(index.entries())
     for at in range(0, len(held), 50_000):
         d, i, n = zip(*held[at : at + 50_000], strict=True)
-        yield pd.DataFrame({"digest": list(d), "doc_id": pd.array(i, "Int64"), "n_rows": list(n)})
+        yield pd.DataFrame({"digest": list(d), "doc_id": pd.array(i, "Int64") if kind == "bigint" else list(i), "n_rows": list(n)})
 
 
-#: Stands for a null id while entries are merged: above every other, so any other is kept.
-NO_ID = 2**63 - 1
-_ENTRY = "digest binary, doc_id bigint, n_rows bigint"
+def _indexed(kind: str, most: int | None):
+    """Entries (digest, doc_id, n_rows; negative rows delete), in any order, merged by one index.
+
+    With `most`, the index is told and begun anew whenever it holds that many digests.
+    """
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        index = CuckooIndex()
+        gone: list[tuple[bytes, int]] = []
+        for b in batches:
+            for digest, doc_id, rows in zip(b["digest"], b["doc_id"].astype(object).where(b["doc_id"].notna(), None), b["n_rows"].tolist(), strict=True):
+                if rows > 0:
+                    index.insert(digest, doc_id, rows)
+                else:
+                    gone.append((digest, -rows))
+                if most and index.size >= most:
+                    yield from _out(index, kind)
+                    index = CuckooIndex()
+        for digest, rows in gone:
+            index.delete(digest, rows)
+        yield from _out(index, kind)
+
+    return run
+
+
+#: Digests that one index is meant to hold: some 50 MB of Python objects.
+A_SHARD = 200_000
 
 
 def digest_index(entries: DataFrame, shards: int | None = None) -> DataFrame:
     """Live digests of (digest, doc_id, n_rows) entries: smallest id and rows of each.
 
-    Each task first merges what it read in an index of its own, so a digest with a third of all
-    rows leaves one entry a task; then entries are dealt out by digest and each shard's index
-    merges them. Deletions (negative n_rows) go to the shards only, after their insertions.
+    Each task first merges what it reads in an index of its own, told whenever it holds
+    `A_SHARD` digests, so a digest with a third of all rows leaves a few entries a task; then
+    entries are dealt out by digest, to as many shards as their number asks for, and each
+    shard's index merges them. Deletions (negative n_rows) go to the shards only, after their
+    insertions. Ids are whole numbers or texts; a null id counts above every other.
     """
-    n = shards or partitions(entries.sparkSession)
-    local = entries.filter("n_rows > 0").mapInPandas(_indexed, _ENTRY)
-    gone = entries.filter("n_rows < 0").select("digest", "doc_id", "n_rows")
-    return local.unionByName(gone).repartition(n, "digest").mapInPandas(_indexed, _ENTRY)
+    kind = "bigint" if entries.schema["doc_id"].dataType.simpleString() in ("tinyint", "smallint", "int", "bigint") else "string"
+    entries = entries.select("digest", F.col("doc_id").cast(kind).alias("doc_id"), "n_rows")
+    schema = f"digest binary, doc_id {kind}, n_rows bigint"
+    n = shards or max(partitions(entries.sparkSession), -(-entries.count() // A_SHARD))
+    local = entries.filter("n_rows > 0").mapInPandas(_indexed(kind, A_SHARD), schema)
+    gone = entries.filter("n_rows < 0")
+    return local.unionByName(gone).repartition(n, "digest").mapInPandas(_indexed(kind, None), schema)
 
 
 def update_index(index: DataFrame, inserted: DataFrame, deleted: DataFrame) -> DataFrame:
@@ -171,13 +189,13 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
 
     Texts are equal when their normalised forms are (see `normalized`); null counts as empty.
     The row with the smallest doc_id of equal texts stays. A null doc_id stays only where its
-    group has no other id. Of rows that repeat both text and id all are marked kept, since
+    group has no other id. Ids may be texts, too, in the order of their bytes. Of rows that repeat both text and id all are marked kept, since
     nothing tells them apart. An empty table gives no rows; other columns are not read.
     """
     hashed = materialize(docs.select(F.col(id_col).alias("doc_id"), F.unhex(F.sha2(normalized(F.col(text_col)).cast("binary"), 256)).alias("digest")))
-    known = F.coalesce(F.col("doc_id").cast("bigint"), F.lit(NO_ID))
-    index = materialize(digest_index(hashed.select("digest", known.alias("doc_id"), F.lit(1).cast("bigint").alias("n_rows"))))
-    found = hashed.join(index.select("digest", F.nullif("doc_id", F.lit(NO_ID)).alias("keep_id"), F.col("n_rows").alias("group_size")), "digest")
+    index = materialize(digest_index(hashed.select("digest", "doc_id", F.lit(1).cast("bigint").alias("n_rows"))))
+    kind = hashed.schema["doc_id"].dataType
+    found = hashed.join(index.select("digest", F.col("doc_id").cast(kind).alias("keep_id"), F.col("n_rows").alias("group_size")), "digest")
     return found.select("doc_id", "keep_id", "group_size", F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"), F.lower(F.hex("digest")).alias("text_sha256"))
 
 
