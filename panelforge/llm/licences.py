@@ -85,6 +85,40 @@ def postfix(expression: str) -> list[str] | None:
     return out
 
 
+#: Identifiers that the shape of an identifier, a digit or a hyphen, doesn't show.
+PLAIN = frozenset("mit apache gpl lgpl agpl bsd mpl epl isc bsl cc0 unlicense zlib libpng openssl postgresql python ruby php perl artistic ncsa wtfpl beerware vim curl json x11 zend intel sleepycat".split())
+
+
+def is_identifier(token: str) -> bool:
+    """Whether a token names a licence: a known name, or one with a digit or a hyphen within, as prose has few of."""
+    return token in PLAIN or token[0].isalnum() and token[-1] not in ".-" and any(c.isdigit() or c == "-" for c in token) and any(c.isalpha() for c in token)
+
+
+def leading(line: str) -> str:
+    """The longest part at a line's beginning that is a well-formed expression of identifiers; prose after it, and operators in prose, don't count. An exception, after with, may have any name."""
+    tokens = _TOKEN.findall(line.lower())
+    for k, t in enumerate(tokens):
+        if t.endswith("."):  # a sentence ends, and the expression with it
+            tokens[k:] = [t.rstrip(".")] * (t.strip(".") != "")
+            break
+    best = depth = 0
+    operand = False
+    for k, t in enumerate(tokens):
+        if t in RANK or t == ")":
+            if not operand or t == ")" and not depth:
+                break
+            depth -= t == ")"
+            operand = t == ")"
+        elif operand or t != "(" and not (is_identifier(t) or k and tokens[k - 1] == "with"):
+            break
+        else:
+            depth += t == "("
+            operand = t != "("
+        if operand and not depth:
+            best = k + 1
+    return " ".join(tokens[:best])
+
+
 def family(identifier: str) -> str:
     """The label of an identifier: its family, or itself where that is unknown."""
     known = [f for f in FAMILIES if identifier == f or identifier.startswith(f"{f}-")]
@@ -138,7 +172,8 @@ def scan(text: str | None) -> tuple[int, int, int | None, int | None, str, str,
     if b"spdx" in (low := raw.translate(_LOWER)):
         low_text = low.decode()
         for end, _ in tags.iter(low_text):
-            post = postfix(low_text[end + 1 :].split("\n", 1)[0])
+            stop = low_text.find("\n", end)
+            post = postfix(leading(low_text[end + 1 : stop if stop >= 0 else len(low_text)]))
             if post:
                 named, free = evaluate(post)
                 labels |= named | ({"permissive"} if free else set())
@@ -151,7 +186,7 @@ def licence_scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
     Words, base phrases and labels: see `scan`. `score` is the weight of evidence for a licence
     statement: 1 - product of 0.4 for each base place, 0.5 for each other notice, 0.1 for each
-    well-formed tag. Null counts as empty: 0 words, no labels, score 0. No shuffle.
+    tag with a well-formed expression, of which the longest part counts (see `leading`). Null counts as empty: 0 words, no labels, score 0; repeated rows are scanned each, other columns are not read. No shuffle.
     """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

@@ -474,3 +474,47 @@ def test_template_counts_brute_force(spark):
             found[h, t].add(max((x for x in own if x != t), key=len))
     for n, (h, html) in enumerate(zip(hosts, htmls, strict=True)):
         assert got[n] == "\n".join(t for t in re.findall("<p>(.*?)</p>", html) if len(found[h, t]) < 10)
+
+
+def test_top_k_with_large_components_ties_and_repeated_rows(spark):
+    vecs = [(0, [1e6, -2.5]), (1, [1e30, 1.0]), (2, [3e6, 1.0]), (3, [3e6, 1.0]), (3, [3e6, 1.0]), (4, [-1e30, 5.0]), (5, [1.0, 1.0]), (6, [1e6, 0.0])]
+    df = spark.createDataFrame(vecs, "vec_id bigint, embedding array<double>")
+    got = [(r["rank"], r.vec_id, r.score) for r in topk.top_k_inner(df.filter("vec_id = 0"), df, 6, row_block=3).orderBy("rank").collect()]
+    q = {i: [int(np.floor(256 * x)) for x in v] for i, v in vecs}
+    want = sorted(((-max(min(sum(x * y for x, y in zip(q[0], q[i], strict=True)), 2**63 - 1), -(2**63)), i) for i, _ in vecs if i), key=lambda x: x)[:6]
+    assert got == [(k + 1, i, -s) for k, (s, i) in enumerate(want)]
+
+
+def test_exact_dedup_with_text_ids_and_small_shards(spark, monkeypatch):
+    monkeypatch.setattr(dedup, "A_SHARD", 5)
+    rng = random.Random(20)
+    rows = [(f"id{rng.randrange(10**6)}" if k % 9 else None, f"text {rng.randrange(20)}") for k in range(120)]
+    got = Counter((r.doc_id, r.keep_id, r.group_size) for r in dedup.exact_dedup(spark.createDataFrame(rows, "doc_id string, text string")).collect())
+    groups = defaultdict(list)
+    for i, t in rows:
+        groups[t].append(i)
+    assert got == Counter((i, min((x for x in groups[t] if x is not None), default=None), len(groups[t])) for i, t in rows)
+
+
+def test_licence_expressions_brute_force(spark):
+    rng = random.Random(22)
+    names = {"mit": "mit", "gpl-2.0": "gpl", "apache-2.0": "apache", "zlib": "zlib", "x-1": "x-1"}
+    free = {"mit", "apache"}
+
+    def make(depth):
+        if depth == 0 or rng.random() < 0.3:
+            n = rng.choice(sorted(names))
+            return n, {names[n]}, names[n] in free
+        (a, x, p), (b, y, q) = make(depth - 1), make(depth - 1)
+        op = rng.choice(["and", "or"])
+        return f"({a} {op} {b})", x | y, (p and q) if op == "and" else (p or q)
+
+    for _ in range(200):
+        e, labels, ok = make(4)
+        assert licences.evaluate(licences.postfix(e)) == (labels, ok)
+        for tail in (" and some more prose", " or", " and (mit", ") x", ". See the file", ""):
+            assert licences.leading(e.upper() + tail).replace(" ", "") == e.replace(" ", "")
+    tag = "SPDX-License-Identifier: "
+    got = licences.licence_scan(frame(spark, [f"x {tag}MIT and some more prose", f"{tag}MIT OR\nnext", f"{tag}of this file", "word " * 50_000 + f"{tag}Zlib", f"{tag}MIT\n" * 2])).orderBy("doc_id").collect()
+    assert [r.labels for r in got] == ["mit,permissive", "mit,permissive", "", "zlib", "mit,permissive"]
+    assert [round(r.score, 6) for r in got] == [0.9, 0.9, 0.0, 0.9, 0.99]
