@@ -77,22 +77,72 @@ def earnings_block(day: Column, announced: Column, realized: Column, comparable:
     return F.when(realized.isNotNull() | comparable.isNotNull(), text)
 
 
-def build_panel(bars: DataFrame, index: DataFrame, universe: DataFrame, scores: DataFrame, long: int = 252, skip: int = 21, beta_rows: int = 252, beta_least: int = 200, ahead: int = 5) -> DataFrame:
-    """Days x active assets with label, price features, score and flags.
-
-    Labels come first and rows without one go before scores are joined; one shuffle by asset
-    for the windows, one by asset and day for the scores.
+FUNDAMENTAL_FEATURES = ["days_since_report", "profit_growth", "pe", "pb", "roe", "margin", "leverage"]
+MACRO_FEATURES = ["rate_level", "rate_change", "fx_change"]
+PANEL_FEATURES = ["momentum", "reversal", *FUNDAMENTAL_FEATURES, "relative_volume", *MACRO_FEATURES, "score", "confidence", "n_news"]
+PANEL_FLAGS = ["beta_fallback", "fundamentals_missing", "score_degraded"]
+
+
+def build_panel(
+    bars: DataFrame,
+    index: DataFrame,
+    universe: DataFrame,
+    scores: DataFrame,
+    long: int = 252,
+    skip: int = 21,
+    beta_rows: int = 252,
+    beta_least: int = 200,
+    ahead: int = 5,
+    fundamentals: DataFrame | None = None,
+    macro: DataFrame | None = None,
+    rate_series: str = "rate",
+    fx_series: str = "fx",
+) -> DataFrame:
+    """Days x active assets with label, PANEL_FEATURES, PANEL_FLAGS and has_event.
+
+    fundamentals: (asset, received_on, profit, pe, pb, roe, margin, leverage), of which each day
+    takes the last received by then, and the profit of 365 days before; without them these
+    features are null. macro: (series, ref_date, available_on, value), whose features are
+    those of the last observation available; changes are 0 with a short history. scores:
+    (asset, d, score, has_event), also with confidence and n_news; a missing score is 0
+    without an event. Rows without a label go. One shuffle by asset serves the windows and
+    as-of joins, one by asset and day the scores.
     """
     from . import panel as p
+    from .asof import asof_join
     from .universe import _member
 
     one = p.simple_return(index.withColumn("_one", F.lit(0)), ["_one"], "d", name="bench_ret").select("d", F.col("close").alias("bench"), "bench_ret")
-    r = p.simple_return(bars, ["asset"], "d").join(F.broadcast(one), "d")
+    r = p.simple_return(bars, ["asset"], "d").join(one, "d")
     f = p.relative_volume(p.reversal(p.momentum(p.rolling_beta(r, ["asset"], "d", "ret", "bench_ret", beta_rows, beta_least), ["asset"], "d", long, skip), ["asset"], "d", skip), ["asset"], "d")
-    y = p.forward_label(f, ["asset"], "d", ahead).join(F.broadcast(universe.select("asset", "sector", "valid_from", "valid_to")), "asset").filter(_member(F.col("d")))
-    s = scores.select("asset", "d", "score", "has_event")
-    j = y.join(s, ["asset", "d"], "left").withColumns({"score": F.coalesce("score", F.lit(0.0)), "has_event": F.coalesce("has_event", F.lit(False))})
-    return j.select("asset", "d", "sector", "momentum", "reversal", "relative_volume", "beta", "beta_fallback", "score", "has_event", "y")
+    y = p.forward_label(f, ["asset"], "d", ahead).join(universe.select("asset", "sector", "valid_from", "valid_to"), "asset").filter(_member(F.col("d")))
+    given = {c: F.col(c) if c in scores.columns else F.lit(None) for c in ("confidence", "n_news")}
+    s = scores.select("asset", "d", "score", "has_event", *(e.cast("double").alias(c) for c, e in given.items()))
+    j = y.join(s, ["asset", "d"], "left").withColumns({c: F.coalesce(F.col(c), F.lit(0.0)) for c in ("score", "confidence", "n_news")} | {"has_event": F.coalesce("has_event", F.lit(False))})
+    j = j.withColumn("score_degraded", F.col("has_event") & (F.col("confidence") == 0))
+    j = j.select("asset", "d", "sector", "momentum", "reversal", "relative_volume", "beta", "beta_fallback", "score", "confidence", "n_news", "has_event", "score_degraded", "y")
+
+    items = ["profit", "pe", "pb", "roe", "margin", "leverage"]
+    if fundamentals is None:
+        j = j.withColumns({c: F.lit(None).cast("double") for c in FUNDAMENTAL_FEATURES})
+    else:
+        j = asof_join(j, fundamentals, ["asset"], "d", "received_on", ["received_on", *items])
+        before = fundamentals.select("asset", F.col("received_on").alias("_before_on"), F.col("profit").alias("_before"))
+        j = asof_join(j, before, ["asset"], "d", "_before_on", ["_before"], offset_days=365)
+        growth = F.try_divide(F.col("profit") - F.col("_before"), F.abs("_before"))
+        j = j.withColumns({"days_since_report": F.datediff("d", "received_on").cast("double"), "profit_growth": growth}).drop("received_on", "profit", "_before")
+    j = j.withColumn("fundamentals_missing", F.col("pe").isNull() | F.col("pb").isNull())
+
+    if macro is None:
+        j = j.withColumns({c: F.lit(None).cast("double") for c in MACRO_FEATURES})
+    else:
+        known = p.macro_features(macro).join(macro.select("series", "ref_date", "available_on"), ["series", "ref_date"])
+        days = index.select("d").distinct()
+        for series, names in ((rate_series, {"level": "rate_level", "change": "rate_change"}), (fx_series, {"relative": "fx_change"})):
+            own = known.filter(F.col("series") == series).select("available_on", *(F.col(old).alias(new) for old, new in names.items()))
+            days = asof_join(days, own, [], "d", "available_on", list(names.values()), tie="available_on")
+        j = j.join(days.withColumns({c: F.coalesce(c, F.lit(0.0)) for c in ("rate_change", "fx_change")}), "d", "left")
+    return j.select("asset", "d", "sector", *PANEL_FEATURES, "beta", *PANEL_FLAGS, "has_event", "y")
 
 
 def versions_running(df: DataFrame, by: list[str]) -> DataFrame:

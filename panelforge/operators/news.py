@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 from difflib import SequenceMatcher
 from functools import reduce
 
@@ -12,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
 from ..functions.scalars import normalize_title
+from ..sources.shared import shared_folder
 
 
 def latest_version(df: DataFrame, keys: list[str], version: str, ties: list[str]) -> DataFrame:
@@ -66,7 +66,7 @@ def levenshtein_ratio(a: Column, b: Column) -> Column:
 def _written(df: DataFrame) -> DataFrame:
     sc = df.sparkSession.sparkContext
     if not sc._jsc.sc().getCheckpointDir().isDefined():
-        sc.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="checkpoint-", dir="/tmp"))
+        sc.setCheckpointDir(shared_folder(df.sparkSession))
     return df.checkpoint(eager=True)
 
 

@@ -39,31 +39,39 @@ def close_signals(positions: DataFrame, scores: DataFrame, bdays: int = 5, floor
     return j.withColumn("reason", why).filter("reason is not null").drop("score")
 
 
-def resolve_exits(entries: DataFrame, bars: DataFrame, sessions: DataFrame, stop: float = 0.92, take: float = 1.15, horizon: int = 5) -> DataFrame:
+def resolve_exits(entries: DataFrame, bars: DataFrame, sessions: DataFrame, stop: float = 0.92, take: float = 1.15, horizon: int = 5, from_entry: bool = False, reversals: DataFrame | None = None) -> DataFrame:
     """entries (trade_id, asset, entry_d, entry_px) with exit_d, exit_px and reason.
 
     The first session after entry whose low is at most stop * entry, or whose high is at least
     take * entry; stop wins on one day; days without a bar are skipped. Else the deadline: the
     open of the session after `horizon` sessions, the last close before where that has no bar,
-    and the last known close at the end of the calendar. Sessions are joined by ordinals of a
+    and the last known close at the end of the calendar. `from_entry` lets the entry's own
+    session stop or take, as for entries at its open. `reversals` (trade_id, d) closes a trade
+    at the open of the session after its first signal, if nothing else has by then; a deadline
+    on that session wins. Sessions are joined by ordinals of a
     bounded horizon, not by range.
     """
     from .asof import asof_join
 
     s = sessions.select("d", "ord")
-    at = entries.join(F.broadcast(s.select(F.col("d").alias("entry_d"), F.col("ord").alias("_e"))), "entry_d")
-    steps = at.select("trade_id", "asset", "entry_px", F.explode(F.sequence(F.col("_e") + 1, F.col("_e") + horizon)).alias("ord")).join(F.broadcast(s), "ord")
+    at = entries.join(s.select(F.col("d").alias("entry_d"), F.col("ord").alias("_e")), "entry_d").withColumn("_by", F.lit("deadline"))
+    at = at.withColumn("_due", F.col("_e") + horizon + 1)
+    if reversals is not None:
+        signals = reversals.join(s, "d").join(at.select("trade_id", "_e"), "trade_id").filter(F.col("ord") > F.col("_e")).groupBy("trade_id").agg((F.min("ord") + 1).alias("_r"))
+        at = at.join(signals, "trade_id", "left").withColumn("_by", F.when(F.col("_r") < F.col("_due"), "reversal").otherwise("deadline")).withColumn("_due", F.least("_due", "_r")).drop("_r")
+    first_step = F.col("_e") + (0 if from_entry else 1)
+    steps = at.select("trade_id", "asset", "entry_px", F.explode(F.sequence(first_step, F.greatest(first_step, F.col("_due") - 1))).alias("ord"), "_due").filter("ord < _due").drop("_due").join(s, "ord")
     seen = steps.join(bars.select("asset", "d", "low", "high"), ["asset", "d"])
     hit = seen.withColumn("_why", F.when(F.col("low") <= stop * F.col("entry_px"), F.struct(F.lit(0).alias("p"), F.lit("stop").alias("reason"), (stop * F.col("entry_px")).alias("px"))).when(F.col("high") >= take * F.col("entry_px"), F.struct(F.lit(1).alias("p"), F.lit("take").alias("reason"), (take * F.col("entry_px")).alias("px"))))
     first = hit.filter("_why is not null").groupBy("trade_id").agg(F.min_by("_why", "d").alias("_why"), F.min("d").alias("_hit_d"))
     last = s.agg(F.max("ord").alias("_last"))
-    due = at.crossJoin(F.broadcast(last)).withColumn("ord", F.least(F.col("_e") + horizon + 1, F.col("_last"))).join(F.broadcast(s.select("ord", F.col("d").alias("_due_d"))), "ord").withColumn("_open_ended", F.col("_e") + horizon + 1 > F.col("_last"))
+    due = at.crossJoin(F.broadcast(last)).withColumn("ord", F.least("_due", "_last")).join(s.select("ord", F.col("d").alias("_due_d")), "ord").withColumn("_open_ended", F.col("_due") > F.col("_last"))
     marked = asof_join(due, bars.select("asset", F.col("d").alias("_bar_d"), "open", "close"), ["asset"], "_due_d", "_bar_d", ["_bar_d", "open", "close"])
     px = F.when(F.col("_open_ended"), F.coalesce("close", "entry_px")).when(F.col("_bar_d") == F.col("_due_d"), F.col("open")).otherwise(F.coalesce("close", "entry_px"))
     j = marked.join(first, "trade_id", "left")
     return j.select(
         "trade_id", "asset", "entry_d", "entry_px", F.coalesce("_hit_d", "_due_d").alias("exit_d"), F.coalesce("_why.px", px).alias("exit_px"),
-        F.coalesce("_why.reason", F.when(F.col("_open_ended"), F.lit("end of window")).otherwise(F.lit("deadline"))).alias("reason"),
+        F.coalesce("_why.reason", F.when(F.col("_open_ended"), F.lit("end of window")).otherwise(F.col("_by"))).alias("reason"),
     )
 
 

@@ -2,10 +2,9 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import functions as F
 
+from ..functions.scalars import event_weight
 from ..operators import filings, model, panel
 from ..streaming import twins
 from . import views as v
@@ -84,12 +83,55 @@ def small_panel(spark, d):
 FEATURES = ["momentum", "reversal", "relative_volume", "beta", "score"]
 
 
-@query("w18_build_panel", sql("select asset, b.d, sector, round(y, 6) as y, round(score, 6) as score from labels_1 b join universe using (asset) join scores using (asset, d) where (valid_from is null or valid_from <= b.d) and (valid_to is null or b.d <= valid_to)".replace("labels_1", "labels_y"), "labels_y", "universe", "scores"))
+def panel_inputs(spark, d):
+    """Fundamentals by asset (the brand's number names the nation that files for it) and macro series with their dates of availability."""
+    h = v.filing_headers(spark, d).select("entity", "ref_date", F.coalesce("received_on", F.date_add("ref_date", 45)).alias("received_on"))
+    r = filings.valuation_ratios(fundamentals(spark, d).withColumn("market_cap", F.lit(1e6))).join(h, ["entity", "ref_date"])
+    own = v.universe(spark, d).select("asset", (F.col("k") % 25).alias("entity"))
+    f = own.join(r, "entity").select("asset", "received_on", "profit", "pe", "pb", "roe", "margin", "leverage")
+    return f, v.macro(spark, d).withColumn("available_on", F.date_add(F.last_day("ref_date"), 11))
+
+
+_PANEL_SQL = f"""with {_LINES}, {_FUND},
+    ix as (select d, close, close / lag(close) over (order by d) - 1 as bench_ret from index_bars),
+    ret as (select b.*, b.close / lag(b.close) over (partition by asset order by b.d) - 1 as ret, i.close as bench, i.bench_ret from bars b join ix i on b.d = i.d),
+    w as (select asset, d, close, lag(close, 21) over o / lag(close, 252) over o - 1 as momentum, close / lag(close, 21) over o - 1 as reversal,
+          case when count(volume) over q >= 20 and avg(volume) over q > 0 then volume / avg(volume) over q end as relative_volume,
+          regr_slope(ret, bench_ret) over z as s, regr_count(ret, bench_ret) over z as n, lead(close, 5) over o / close - 1 as ahead, lead(bench, 5) over o / bench - 1 as bench_ahead
+          from ret window o as (partition by asset order by d), q as (partition by asset order by d rows between 20 preceding and 1 preceding), z as (partition by asset order by d rows between 250 preceding and current row)),
+    y as (select *, case when n >= 200 and s is not null then s else 1 end as beta, not (n >= 200 and s is not null) as beta_fallback from w where ahead is not null),
+    fu as (select asset, coalesce(received_on, f.ref_date + 45) as received_on, profit, case when profit > 0 then 1e6 / profit end as pe, case when equity > 0 then 1e6 / equity end as pb,
+           profit / nullif(equity, 0) as roe, profit / nullif(revenue, 0) as margin, (debt - cash) / nullif(ebitda, 0) as leverage
+           from f join filing_headers h on f.entity = h.entity and f.ref_date = h.ref_date join universe u on u.k % 25 = f.entity),
+    mf as (select series, (last_day(ref_date) + 11)::date as available_on, value as level, coalesce(value - o, 0) as change, coalesce(value / nullif(o, 0) - 1, 0) as relative from (select *, lag(value, 21) over (partition by series order by ref_date) as o from macro)),
+    mr as (select * from mf where series = '1-URGENT'), mx as (select * from mf where series = '2-HIGH')
+    select y.asset, y.d, u.sector, round(momentum, 6) as momentum, round(reversal, 6) as reversal, datediff('day', a.received_on, y.d)::double as days_since_report,
+           round((a.profit - b.profit) / nullif(abs(b.profit), 0), 6) as profit_growth, round(a.pe, 6) as pe, round(a.pb, 6) as pb, round(a.roe, 6) as roe, round(a.margin, 6) as margin, round(a.leverage, 6) as leverage,
+           round(relative_volume, 6) as relative_volume, round(mr.level, 6) as rate_level, round(coalesce(mr.change, 0), 6) as rate_change, round(coalesce(mx.relative, 0), 6) as fx_change,
+           round(score, 6) as score, round(case when has_event and hash_zero then 0 else confidence end, 6) as confidence, has_event::int::double as n_news, round(beta, 6) as beta, beta_fallback,
+           a.pe is null or a.pb is null as fundamentals_missing, has_event and hash_zero as score_degraded, has_event, round(ahead - beta * bench_ahead, 6) as y
+    from y join universe u on y.asset = u.asset and (valid_from is null or valid_from <= y.d) and (valid_to is null or y.d <= valid_to)
+    join (select *, score > 0.9 as hash_zero from scores) s on s.asset = y.asset and s.d = y.d
+    asof left join fu a on y.asset = a.asset and y.d >= a.received_on
+    asof left join fu b on y.asset = b.asset and y.d - 365 >= b.received_on
+    asof left join mr on y.d >= mr.available_on asof left join mx on y.d >= mx.available_on"""
+
+
+def full_panel(spark, d):
+    f, m = panel_inputs(spark, d)
+    s = v.scores(spark, d).withColumns({"n_news": F.col("has_event").cast("int"), "confidence": F.when(F.col("has_event") & (F.col("score") > 0.9), 0.0).otherwise(F.col("confidence"))})
+    return filings.build_panel(v.bars(spark, d), v.index_bars(spark, d), v.universe(spark, d), s, fundamentals=f, macro=m, rate_series="1-URGENT", fx_series="2-HIGH")
+
+
+@query("w18_build_panel", sql(_PANEL_SQL, "bars", "index_bars", "statement_lines", "filing_headers", "universe", "macro", "scores"))
 def w18(spark, d):
-    p = filings.build_panel(v.bars(spark, d), v.index_bars(spark, d), v.universe(spark, d), v.scores(spark, d), beta_least=10_000)
-    return p.select("asset", "d", "sector", F.round("y", 6).alias("y"), F.round("score", 6).alias("score"))
+    p = full_panel(spark, d)
+    return p.select(*(F.round(c, 6).alias(c) if t == "double" else c for c, t in p.dtypes))
 
 
+@query("m8_event_weight", sql("select asset, d, case when has_event then 5.0 else 1.0 end::double as weight from scores", "scores"))
+def m8(spark, d):
+    return v.scores(spark, d).select("asset", "d", event_weight(F.col("has_event")).cast("double").alias("weight"))
 
 
 @query("m1_purged_folds", sql("with o as (select asset, d, dense_rank() over (order by d) - 1 as ord from labels_y), n as (select count(distinct d) as n from labels_y), f as (select i as fold, n - (n // 6) * 5 + (i - 1) * (n // 6) as first, n - (n // 6) * 5 + i * (n // 6) - 1 as last from n, range(1, 6) r(i)) select fold::int as fold, case when ord >= first then 'test' else 'train' end as side, count(*) as n from o join f on ord + 10 <= first or ord between first and last group by 1, 2", "labels_y"))
@@ -135,16 +177,16 @@ def event_stream(spark, d):
 @query("x1_stream_dedupe")
 def x1(spark, d):
     s = event_stream(spark, d).withColumn("title", F.concat_ws(" ", "event_type", "props"))
-    return twins.run_once(spark, twins.stream_dedupe(s, ["user_id"], "title", "ts").select("event_id", "user_id"), f"x1_{uuid.uuid4().hex}")
+    return twins.run_once(spark, twins.stream_dedupe(s, ["user_id"], "title", "ts").select("event_id", "user_id"), "x1")
 
 
 @query("x2_stream_cooldown")
 def x2(spark, d):
-    s = event_stream(spark, d).select((F.col("user_id") % 5).alias("portfolio"), F.col("ts").cast("date").alias("d"), (100 + F.col("value")).alias("equity"))
-    return twins.run_once(spark, twins.stream_cooldown(s), f"x2_{uuid.uuid4().hex}", "append")
+    s = event_stream(spark, d).select(F.col("user_id").alias("portfolio"), F.col("ts").cast("date").alias("d"), (100 + F.col("value")).alias("equity"))
+    return twins.run_once(spark, twins.stream_cooldown(s), "x2")
 
 
 @query("x3_stream_daily", "select ts::date as d, event_type, count(*) as n, round(sum(value), 4) as total from events where ts::date < (select max(ts) - interval 1 day from events)::date group by 1, 2")
 def x3(spark, d):
-    out = twins.run_once(spark, twins.stream_daily(event_stream(spark, d), ["event_type"], "ts", "value"), f"x3_{uuid.uuid4().hex}")
+    out = twins.run_once(spark, twins.stream_daily(event_stream(spark, d), ["event_type"], "ts", "value"), "x3")
     return out.select("d", "event_type", "n", F.round("total", 4).alias("total"))

@@ -98,7 +98,7 @@ def p17(spark, d):
     return un.sector_members(v.universe(spark, d)).select("sector", F.array_join("assets", ",").alias("assets"))
 
 
-@query("j11_pair_scores", sql("select a.event_id, round(a.score, 6) as score_a, round(b.score, 6) as score_b, round(a.y, 6) as y from evaluations a join evaluations b on a.event_id = b.event_id and a.model = 'a' and b.model = 'b'", "evaluations"))
+@query("j11_pair_scores", sql("select event_id, round(max(score) filter (model = 'a'), 6) as score_a, round(max(score) filter (model = 'b'), 6) as score_b, round(max(y) filter (model = 'a'), 6) as y from evaluations group by 1 having count(distinct model) = 2", "evaluations"))
 def j11(spark, d):
     e = v.evaluations(spark, d)
     p = un.pair_scores(e.filter("model = 'a'"), e.filter("model = 'b'"), "event_id")
@@ -120,7 +120,7 @@ def j12(spark, d):
     return j.select("asset", "day", F.size(items).cast("bigint").alias("n"), F.array_min(F.transform(items, lambda x: x["news_id"])).alias("first_id"), "version")
 
 
-@query("j13_pending", sql("select event_id from evaluations where model = 'a' and event_id not in (select event_id from evaluations where model = 'b' and tokens_in > 25)", "evaluations"))
+@query("j13_pending", sql("select event_id from evaluations group by 1 having count_if(model = 'a') > 0 and count_if(model = 'b' and tokens_in > 25) = 0", "evaluations"))
 def j13(spark, d):
     e = v.evaluations(spark, d)
     return un.pending(e.filter("model = 'a'"), e.filter("model = 'b' and tokens_in > 25"), ["event_id"]).select("event_id")
@@ -199,7 +199,7 @@ def u6(spark, d):
 @query("u7_unify_sources")
 def u7(spark, d):
     n = v.news(spark, d)
-    return nw.unify_sources([n.filter("news_id % 2 = 0"), n.filter("news_id % 2 = 1")], ["asset"], "2000-02-01 00:00:00", 10, "title", "published_at", "source_weight", "news_id").select("asset", "news_id")
+    return nw.unify_sources([n.filter("news_id % 2 = 0"), n.filter("news_id % 2 = 1")], ["asset"], "9999-01-01 00:00:00", 10, "title", "published_at", "source_weight", "news_id").select("asset", "news_id")
 
 
 @query("u8_set_diff", sql("select asset, d, 'only left' as side from (select asset, d from bars except select asset, d from scores where has_event) union all select asset, d, 'only right' from (select asset, d from scores where has_event except select asset, d from bars)", "bars", "scores"))

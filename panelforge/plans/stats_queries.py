@@ -61,25 +61,25 @@ def pair(spark, d):
     return e.filter("model = 'a'").join(b, "event_id").select("asset", "d", block.alias("block"), F.col("score").alias("score_a"), "score_b", "y")
 
 
-@query("a4_bootstrap_ic", sql(f"with {_PAIR}, {_boot('pair', 'asset', 'd', ['score_a'], 20)} select asset, rep::int as rep, round(ic_score_a, 6) as ic_score_a from reps", "evaluations"))
+@query("a4_bootstrap_ic", sql(f"with {_PAIR}, {_boot('pair', 'asset', 'd', ['score_a'], 100)} select asset, rep::int as rep, round(ic_score_a, 6) as ic_score_a from reps", "evaluations"))
 def a4(spark, d):
-    return stats.bootstrap_ic(pair(spark, d), ["asset"], "d", ["score_a"], "y", 20).select("asset", "rep", *r6("ic_score_a"))
+    return stats.bootstrap_ic(pair(spark, d), ["asset"], "d", ["score_a"], "y", 100).select("asset", "rep", *r6("ic_score_a"))
 
 
-@query("a5_bootstrap_by_date", sql(f"with {_PAIR}, {_boot('pair', 'asset', 'd', ['score_a'], 20)} select asset, round(quantile_cont(ic_score_a, 0.025), 6) as lo, round(quantile_cont(ic_score_a, 0.975), 6) as hi, round(avg((ic_score_a <= 0)::int), 6) as p_not_positive, count(*) as n_reps from reps where ic_score_a is not null group by 1", "evaluations"))
+@query("a5_bootstrap_by_date", sql(f"with {_PAIR}, {_boot('pair', 'asset', 'd', ['score_a'], 100)} select asset, round(quantile_cont(ic_score_a, 0.025), 6) as lo, round(quantile_cont(ic_score_a, 0.975), 6) as hi, round(avg((ic_score_a <= 0)::int), 6) as p_not_positive, count(*) as n_reps from reps where ic_score_a is not null group by 1", "evaluations"))
 def a5(spark, d):
-    reps = stats.bootstrap_ic(pair(spark, d), ["asset"], "d", ["score_a"], "y", 20)
+    reps = stats.bootstrap_ic(pair(spark, d), ["asset"], "d", ["score_a"], "y", 100)
     return stats.bootstrap_summary(reps, ["asset"], "ic_score_a").select("asset", *r6("lo", "hi", "p_not_positive"), "n_reps")
 
 
-@query("a7_bootstrap_by_block", sql(f"with {_PAIR}, {_boot('pair', 'asset', 'block', ['score_a'], 20)} select asset, rep::int as rep, round(ic_score_a, 6) as ic_score_a from reps", "evaluations"))
+@query("a7_bootstrap_by_block", sql(f"with {_PAIR}, {_boot('pair', 'asset', 'block', ['score_a'], 100)} select asset, rep::int as rep, round(ic_score_a, 6) as ic_score_a from reps", "evaluations"))
 def a7(spark, d):
-    return stats.bootstrap_ic(pair(spark, d), ["asset"], "block", ["score_a"], "y", 20).select("asset", "rep", *r6("ic_score_a"))
+    return stats.bootstrap_ic(pair(spark, d), ["asset"], "block", ["score_a"], "y", 100).select("asset", "rep", *r6("ic_score_a"))
 
 
-@query("a8_paired_bootstrap", sql(f"with {_PAIR}, {_boot('pair', 'asset', 'block', ['score_a', 'score_b'], 20)} select asset, rep::int as rep, round(ic_score_b - ic_score_a, 6) as delta from reps", "evaluations"))
+@query("a8_paired_bootstrap", sql(f"with {_PAIR}, {_boot('pair', 'asset', 'block', ['score_a', 'score_b'], 100)} select asset, rep::int as rep, round(ic_score_b - ic_score_a, 6) as delta from reps", "evaluations"))
 def a8(spark, d):
-    reps = stats.bootstrap_ic(pair(spark, d), ["asset"], "block", ["score_a", "score_b"], "y", 20)
+    reps = stats.bootstrap_ic(pair(spark, d), ["asset"], "block", ["score_a", "score_b"], "y", 100)
     return reps.select("asset", "rep", F.round(F.col("ic_score_b") - F.col("ic_score_a"), 6).alias("delta"))
 
 
@@ -218,23 +218,52 @@ def b2(spark, d):
     return pf.close_signals(s.select("asset", F.date_sub("d", 4).alias("entry_d"), "d"), s, bdays=3)
 
 
-def entries(spark, d):
-    e = v.scores(spark, d).filter("has_event").join(v.bars(spark, d).select("asset", "d", "close"), ["asset", "d"])
-    return e.select(F.concat_ws("|", "asset", F.col("d").cast("string")).alias("trade_id"), "asset", F.col("d").alias("entry_d"), F.col("close").alias("entry_px"))
+def entries(spark, d, price="close"):
+    e = v.scores(spark, d).filter("has_event").join(v.bars(spark, d).select("asset", "d", price), ["asset", "d"])
+    return e.select(F.concat_ws("|", "asset", F.col("d").cast("string")).alias("trade_id"), "asset", F.col("d").alias("entry_d"), F.col(price).alias("entry_px"))
 
 
-@query("b3_resolve_exits", sql("""with e as (select asset || '|' || d::varchar as trade_id, asset, d as entry_d, close as entry_px, ord from scores join bars b using (asset, d) join sessions s using (d) where has_event),
+def _exits(price: str, first: int, signals: bool) -> str:
+    """Exits in SQL: entries at a bar's price, from how many sessions later they may stop or take, and whether signals close them."""
+    reversal = "(select e.trade_id, min(s.ord) + 1 as r from e join scores x using (asset) join sessions s on s.d = x.d where s.ord > e.ord and s.ord < e.ord + 6 and x.score < -0.9 group by 1)" if signals else "(select null::varchar as trade_id, null::bigint as r)"
+    return f"""with e as (select asset || '|' || d::varchar as trade_id, asset, d as entry_d, {price} as entry_px, ord from scores join bars b using (asset, d) join sessions s using (d) where has_event),
+    g as (select e.*, least(e.ord + 6, coalesce(r, e.ord + 6)) as due, case when r < e.ord + 6 then 'reversal' else 'deadline' end as by_what from e left join {reversal} q using (trade_id)),
     mx as (select max(ord) as m from sessions),
-    h as (select trade_id, s.d, case when low <= 0.92::double * entry_px then 'stop' else 'take' end as why, case when low <= 0.92::double * entry_px then 0.92::double * entry_px else 1.15::double * entry_px end as px from e join sessions s on s.ord > e.ord and s.ord <= e.ord + 5 join bars b on b.asset = e.asset and b.d = s.d where low <= 0.92::double * entry_px or high >= 1.15::double * entry_px),
+    h as (select trade_id, s.d, case when low <= 0.92::double * entry_px then 'stop' else 'take' end as why, case when low <= 0.92::double * entry_px then 0.92::double * entry_px else 1.15::double * entry_px end as px from g join sessions s on s.ord >= g.ord + {first} and s.ord < due join bars b on b.asset = g.asset and b.d = s.d where low <= 0.92::double * entry_px or high >= 1.15::double * entry_px),
     f as (select trade_id, min(d) as hit_d, arg_min(why, d) as why, arg_min(px, d) as px from h group by 1),
-    u as (select e.*, s.d as due_d, e.ord + 6 > m as open_ended from e, mx join sessions s on s.ord = least(e.ord + 6, m)),
-    k as (select u.*, b.d as bar_d, b.open, b.close from u asof left join bars b on u.asset = b.asset and u.due_d >= b.d)
-    select k.trade_id, k.asset, entry_d, coalesce(hit_d, due_d) as exit_d, coalesce(px, case when open_ended then coalesce(close, entry_px) when bar_d = due_d then open else coalesce(close, entry_px) end) as exit_px, coalesce(why, case when open_ended then 'end of window' else 'deadline' end) as reason from k left join f using (trade_id)""", "scores", "bars", "sessions"))
+    u as (select g.*, s.d as due_d, due > m as open_ended from g, mx join sessions s on s.ord = least(due, m)),
+    k as (select u.*, b.d as bar_d, b.open, b.close from u asof left join bars b on u.asset = b.asset and u.due_d >= b.d),
+    x as (select k.trade_id, k.asset, entry_d, entry_px, coalesce(hit_d, due_d) as exit_d, coalesce(px, case when open_ended then coalesce(close, entry_px) when bar_d = due_d then open else coalesce(close, entry_px) end) as exit_px, coalesce(why, case when open_ended then 'end of window' else by_what end) as reason from k left join f using (trade_id))
+    select trade_id, asset, entry_d, exit_d, exit_px, reason from x"""
+
+
+@query("b3_resolve_exits", sql(_exits("close", 1, False), "scores", "bars", "sessions"))
 def b3(spark, d):
     x = pf.resolve_exits(entries(spark, d), v.bars(spark, d), v.sessions(spark, d))
     return x.select("trade_id", "asset", "entry_d", "exit_d", "exit_px", "reason")
 
 
+@query("b3_exits_from_open", sql(_exits("open", 0, False), "scores", "bars", "sessions"))
+def b3_open(spark, d):
+    x = pf.resolve_exits(entries(spark, d, "open"), v.bars(spark, d), v.sessions(spark, d), from_entry=True)
+    return x.select("trade_id", "asset", "entry_d", "exit_d", "exit_px", "reason")
+
+
+@query("b4_reversal_exits", sql(_exits("close", 1, True), "scores", "bars", "sessions"))
+def b4(spark, d):
+    e = entries(spark, d)
+    late = F.col("d").between(F.date_add("entry_d", 1), F.date_add("entry_d", 60))
+    signals = e.select("trade_id", "asset", "entry_d").join(v.scores(spark, d).filter("score < -0.9").select("asset", "d"), "asset").filter(late).select("trade_id", "d")
+    x = pf.resolve_exits(e, v.bars(spark, d), v.sessions(spark, d), reversals=signals)
+    return x.select("trade_id", "asset", "entry_d", "exit_d", "exit_px", "reason")
+
+
+@query("b5_end_of_window", sql(_exits("close", 1, False) .replace("select trade_id, asset, entry_d, exit_d, exit_px, reason from x", "select trade_id, exit_d, round(exit_px, 6) as exit_px, round(0.004 * 100 * exit_px, 6) as exit_cost, round((exit_px - entry_px) * 100 - 0.004 * 100 * (entry_px + exit_px), 6) as net from x where reason = 'end of window'"), "scores", "bars", "sessions"))
+def b5(spark, d):
+    x = pf.resolve_exits(entries(spark, d), v.bars(spark, d), v.sessions(spark, d)).filter("reason = 'end of window'").withColumn("qty", F.lit(100))
+    return pf.trade_pnl(x).select("trade_id", "exit_d", *r6("exit_px"), F.round(0.004 * F.col("qty") * F.col("exit_px"), 6).alias("exit_cost"), *r6("net"))
+
+
 @query("b6_size_orders", sql("select portfolio, e.d, (case when b.open > 0 then floor(0.15::double * equity / b.open) else 0 end)::bigint as qty, case when b.open is null or b.open <= 0 then 'no price' when floor(0.15::double * equity / b.open) = 0 then 'too small' end as skipped from equity e left join bars b on b.asset = 'Brand#' || (portfolio + 1) and b.d = e.d", "equity", "bars"))
 def b6(spark, d):
     e = v.equity(spark, d).withColumn("asset", F.concat(F.lit("Brand#"), (F.col("portfolio") + 1).cast("string")))
@@ -305,7 +334,7 @@ def b16(spark, d):
 
 
 _DRAW = f"""t as (select portfolio, net, row_number() over (partition by portfolio order by trade_id) - 1 as i, count(*) over (partition by portfolio) as n from trades),
-    p as (select s.portfolio, rep, s.i as slot, (select 0) as z, floor({v._u('s.portfolio', 'rep', 's.i')} * s.n)::bigint as j from t s, range(10) r(rep)),
+    p as (select s.portfolio, rep, s.i as slot, (select 0) as z, floor({v._u('s.portfolio', 'rep', 's.i')} * s.n)::bigint as j from t s, range(100) r(rep)),
     q as (select p.portfolio, p.rep, p.slot, 100000 + sum(t.net) over w as eq from p join t on t.portfolio = p.portfolio and t.i = p.j window w as (partition by p.portfolio, p.rep order by p.slot rows unbounded preceding)),
     e as (select *, greatest(100000, max(eq) over (partition by portfolio, rep order by slot rows unbounded preceding)) as top from q),
     paths as (select portfolio, rep, arg_max(eq, slot) / 100000 - 1 as ret, least(0, min((eq - top) / top)) as max_drawdown from e group by 1, 2)"""
@@ -314,19 +343,19 @@ _DRAW = f"""t as (select portfolio, net, row_number() over (partition by portfol
 @query("b17_bootstrap_trades", sql(f"with {_DRAW} select portfolio, rep::int as rep, round(ret, 6) as ret, round(max_drawdown, 6) as max_drawdown from paths", "trades"))
 def b17(spark, d):
     t = v.trades(spark, d)
-    return pf.bootstrap_trades(t, ["portfolio"], "trade_id", 10).select("portfolio", "rep", *r6("ret", "max_drawdown"))
+    return pf.bootstrap_trades(t, ["portfolio"], "trade_id", 100).select("portfolio", "rep", *r6("ret", "max_drawdown"))
 
 
-@query("b18_permute_trades", sql(f"""with s as (select portfolio, net, rep, {v._u('rep', 'trade_id')} as u, trade_id from trades, range(10) r(rep)),
+@query("b18_permute_trades", sql(f"""with s as (select portfolio, net, rep, {v._u('rep', 'trade_id')} as u, trade_id from trades, range(100) r(rep)),
     q as (select *, 100000 + sum(net) over w as eq, row_number() over w as slot from s window w as (partition by portfolio, rep order by u, trade_id rows unbounded preceding)),
     e as (select *, greatest(100000, max(eq) over (partition by portfolio, rep order by slot rows unbounded preceding)) as top from q)
     select portfolio, rep::int as rep, round(arg_max(eq, slot) / 100000 - 1, 6) as ret, round(least(0, min((eq - top) / top)), 6) as max_drawdown from e group by 1, 2""", "trades"))
 def b18(spark, d):
     t = v.trades(spark, d)
-    return pf.permute_trades(t, ["portfolio"], "trade_id", 10).select("portfolio", "rep", *r6("ret", "max_drawdown"))
+    return pf.permute_trades(t, ["portfolio"], "trade_id", 100).select("portfolio", "rep", *r6("ret", "max_drawdown"))
 
 
 @query("b19_distribution_summary", sql(f"with {_DRAW} select portfolio, round(quantile_cont(ret, 0.05), 6) as p05, round(quantile_cont(ret, 0.5), 6) as p50, round(quantile_cont(ret, 0.95), 6) as p95, round(avg(ret), 6) as mean, round(stddev_pop(ret), 6) as sd, avg((ret > 0)::int) as p_gain, avg((max_drawdown > -0.2)::int) as p_shallow from paths group by 1", "trades"))
 def b19(spark, d):
-    paths = pf.bootstrap_trades(v.trades(spark, d), ["portfolio"], "trade_id", 10)
+    paths = pf.bootstrap_trades(v.trades(spark, d), ["portfolio"], "trade_id", 100)
     return pf.distribution_summary(paths, ["portfolio"]).select("portfolio", *r6("p05", "p50", "p95", "mean", "sd"), "p_gain", "p_shallow")

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from ..functions.scalars import normalize_title
+from ..sources.shared import new_path
 
 
 def stream_dedupe(df: DataFrame, by: list[str], title: str, ts: str, within: str = "24 hours") -> DataFrame:
@@ -48,7 +49,8 @@ def stream_cooldown(df: DataFrame, limit: float = 0.10, days: int = 7, rows: int
 
 
 def run_once(spark: SparkSession, df: DataFrame, name: str, mode: str = "append") -> DataFrame:
-    """Run a stream over what is there now, into a table in memory; for tests and small inputs."""
-    q = df.writeStream.outputMode(mode).format("memory").queryName(name).trigger(availableNow=True).start()
+    """Run a stream over what is there now into Parquet in the shared folder, its state and progress beside it, and read that."""
+    at = new_path(spark, name)
+    q = df.writeStream.outputMode(mode).format("parquet").option("path", f"{at}/rows").option("checkpointLocation", f"{at}/state").trigger(availableNow=True).start()
     q.awaitTermination()
-    return spark.table(name)
+    return spark.read.schema(df.schema).parquet(f"{at}/rows")
