@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -105,22 +106,25 @@ def equity_curve(trades: DataFrame, bars: DataFrame, days: DataFrame, capital: f
 def cooldown_gate(equity: DataFrame, by: list[str], limit: float = 0.10, bdays: int = 5) -> DataFrame:
     """(by..., d, blocked): a fall of more than `limit` from the trailing top blocks bdays business days; while blocked nothing triggers anew.
 
-    The state is one date a portfolio, folded over its sorted days.
+    The state is one date a portfolio, carried over its days in their order; a group has a row
+    for each day of the calendar.
     """
     from ..functions.timeutil import busday_add
     from .panel import trailing_drawdown
 
-    t = trailing_drawdown(equity, by, "d").withColumn("_until", busday_add(F.col("d"), bdays))
-    rows = F.array_sort(F.collect_list(F.struct("d", "_until", (F.col("trailing_dd") > limit).alias("hit"))))
-    none = F.lit("0001-01-01").cast("date")
-    start = F.struct(none.alias("until"), F.array().cast("array<struct<d: date, blocked: boolean>>").alias("out"))
+    t = trailing_drawdown(equity, by, "d").select(*by, "d", busday_add(F.col("d"), bdays).alias("_until"), (F.col("trailing_dd") > limit).alias("_hit"))
 
-    def step(s, x):
-        until = F.when((x["d"] >= s["until"]) & x["hit"], x["_until"]).otherwise(s["until"])
-        return F.struct(until.alias("until"), F.concat(s["out"], F.array(F.struct(x["d"].alias("d"), (x["d"] < until).alias("blocked")))).alias("out"))
+    def fold(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("d")
+        until, blocked = None, []
+        for day, after, hit in zip(pdf["d"], pdf["_until"], pdf["_hit"], strict=True):
+            if hit and (until is None or day >= until):
+                until = after
+            blocked.append(until is not None and day < until)
+        return pdf[[*by, "d"]].assign(blocked=blocked)
 
-    g = t.groupBy(*by).agg(F.aggregate(rows, start, step, lambda s: s["out"]).alias("_r"))
-    return g.select(*by, F.explode("_r").alias("_x")).select(*by, "_x.*")
+    kinds = ", ".join(f"{c} {t.schema[c].dataType.simpleString()}" for c in [*by, "d"])
+    return t.groupBy(*by).applyInPandas(fold, f"{kinds}, blocked boolean")
 
 
 def dq_events(df: DataFrame, reasons: str, day: str, asset: str) -> DataFrame:

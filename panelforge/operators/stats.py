@@ -72,6 +72,16 @@ def bootstrap_ic(df: DataFrame, by: list[str], unit: str, scores: list[str], y:
     return g.select(*keys, *(ic(c).alias(f"ic_{c}") for c in scores))
 
 
+def evaluation_metrics(df: DataFrame, by: list[str], score: str, baseline: str, y: str, clean: str) -> DataFrame:
+    """(by..., part, n, ic, baseline, gap, coverage) of all rows and of the clean ones: rank correlations of a score and of a baseline with y, what the score gains, and the share of scores that aren't 0."""
+    both = df.withColumn("part", F.explode(F.array_compact(F.array(F.lit("full"), F.when(F.col(clean), F.lit("clean"))))))
+    keys = [*by, "part"]
+    own = spearman(both, keys, score, y)
+    other = spearman(both, keys, baseline, y).select(*keys, F.col("ic").alias("baseline"))
+    seen = both.groupBy(*keys).agg(F.avg((F.col(score) != 0).cast("double")).alias("coverage"))
+    return own.join(other, keys).join(seen, keys).withColumn("gap", F.col("ic") - F.col("baseline"))
+
+
 def bootstrap_summary(reps: DataFrame, by: list[str], col: str) -> DataFrame:
     """(by..., lo, hi, p_not_positive, n_reps): 2.5 and 97.5 percentiles and the share of replicates at most 0; undefined ones left out."""
     ok = reps.filter(F.col(col).isNotNull())

@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..operators import filings, stats
 from ..operators import news as nw
 from ..sources import feeds
+from ..sources.shared import new_path
 from . import views as v
 from .news_queries import raw_feed
 from .registry import query
@@ -53,7 +55,7 @@ def t6(spark, d):
     return v.news(spark, d).select("news_id", F.trim(nw.strip_boilerplate(text)).alias("text"))
 
 
-@query("t7_segment_columns", sql("select asset as feed_id, count(distinct strftime(published_at, '%Y-%m-%d %H:%M:%S')) as n_records, 0::int as column_rank from news where length(title) >= 10 group by 1", "news"))
+@query("t7_segment_columns", sql("select news_id as feed_id, 2::bigint as n_records, 0::int as column_rank from news", "news"))
 def t7(spark, d):
     f = raw_feed(spark, d).withColumn("again", F.col("text"))
     return nw.segment_columns(f, ["text", "again"], ["feed_id"]).groupBy("feed_id").agg(F.count("*").alias("n_records"), F.max("column_rank").alias("column_rank"))
@@ -72,3 +74,82 @@ def a18(spark, d):
     e = v.evaluations(spark, d).groupBy("model", F.year("d").cast("bigint").alias("version")).agg((F.sum("tokens_in") / 1000.0).cast("double").alias("cost"), F.avg("score").alias("ic"))
     r = filings.versions_running(e, ["model"])
     return r.select("model", "version", F.round("running_cost", 4).alias("running_cost"), F.round("vs_first", 6).alias("vs_first"))
+
+
+def filings_file(spark, d):
+    """Statement lines as a delimited file of text; some versions, dates and values can't be read."""
+    lines = v.statement_lines(spark, d)
+    e = F.col("entity")
+    rows = lines.select(
+        e.cast("string").alias("CD_CVM"), F.lit("çã").alias("CNPJ_CIA"), F.col("ref_date").cast("string").alias("DT_REFER"),
+        F.when(e % 9 == 0, "sem data").otherwise(F.date_add("ref_date", 30).cast("string")).alias("DT_RECEB"), F.when(e % 5 == 0, "x").otherwise(F.col("version").cast("string")).alias("VERSAO"),
+        F.lit("ÚLTIMO").alias("ORDEM_EXERC"), F.col("account").alias("CD_CONTA"), F.col("account").alias("DS_CONTA"), F.when(F.month("ref_date") == 6, "N/A").otherwise(F.format_string("%.2f", "value")).alias("VL_CONTA"), F.lit("z").alias("OTHER"),
+    )
+    path = new_path(spark, "filings")
+    rows.write.option("sep", ";").option("encoding", "ISO-8859-1").option("header", True).csv(path)
+    return feeds.read_filings(spark, path)
+
+
+_FILED = "select entity::int as entity, ref_date, case when entity % 9 <> 0 then ref_date + 30 end as received_on, case when entity % 5 = 0 then 0 else version end as version, account, case when month(ref_date) <> 6 then round(value, 2) end as value from statement_lines"
+
+
+@query("s2_read_filings", sql(_FILED, "statement_lines"))
+def s2(spark, d):
+    f = filings_file(spark, d).filter("ORDEM_EXERC = 'ÚLTIMO' and CNPJ_CIA = 'çã'")
+    return f.select(F.col("CD_CVM").alias("entity"), F.col("DT_REFER").alias("ref_date"), F.col("DT_RECEB").alias("received_on"), F.col("VERSAO").alias("version"), F.col("CD_CONTA").alias("account"), F.round("VL_CONTA", 2).alias("value"))
+
+
+@query("s4_write_filings", sql(f"select 'annual' as kind, year(ref_date)::int as year, count(*) as n, round(sum(value), 2) as total from ({_FILED}) group by 2", "statement_lines"))
+def s4(spark, d):
+    path = new_path(spark, "filings-parquet")
+    feeds.write_filings(filings_file(spark, d), path, "annual")
+    return spark.read.parquet(path).groupBy("kind", "year").agg(F.count("*").alias("n"), F.round(F.sum("VL_CONTA"), 2).alias("total"))
+
+
+@query("s5_read_news_csv", sql("select news_id, asset, title, source, case when news_id % 11 = 0 then 1.0 else source_weight end as source_weight, strftime(published_at, '%Y-%m-%d %H:%M:%S') as published_at from (select *, row_number() over () as rn from news) where title <> ''", "news"))
+def s5(spark, d):
+    n = v.news(spark, d).filter("title <> ''")
+    path = new_path(spark, "news")
+    rows = n.select(
+        F.concat(F.date_format("published_at", "yyyy-MM-dd'T'HH:mm:ss"), F.lit("Z")).alias("data"), F.col("asset").alias("ticker"), F.col("title").alias("titulo"), F.col("source").alias("fonte"), F.col("news_id").cast("string").alias("url"),
+        F.when(F.col("news_id") % 11 == 0, "heavy").otherwise(F.col("source_weight").cast("string")).alias("peso"), F.col("body").alias("corpo"), F.lit("").alias("resumo_ia"),
+    )
+    rows.write.option("header", True).option("escape", '"').option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False).csv(path)
+    r = feeds.normalize_curated_news(feeds.read_news_csv(spark, path))
+    return r.select(F.col("url").cast("bigint").alias("news_id"), "asset", "title", "source", "source_weight", F.date_format("published_at", "yyyy-MM-dd HH:mm:ss").alias("published_at"))
+
+
+@query("s11_normalize_earnings", sql("select entity, announced_on, round(realized, 2) as realized, round(estimated, 2) as estimated, round(1.5::double, 2) as surprise_pct, last_day(announced_on) as period_end, null::double as pe from earnings where entity % 6 <> 0", "earnings"))
+def s11(spark, d):
+    e = v.earnings(spark, d)
+    sheet = e.select(
+        F.when(F.col("entity") % 6 == 0, "n/a").otherwise(F.date_format("announced_on", "MM/dd/yyyy")).alias("Dt divulg"), F.col("entity").cast("string").alias("Per"), F.date_format("announced_on", "MM/yy").alias("Per ref"),
+        F.coalesce(F.format_number("realized", 2), F.lit("N.M.")).alias("Divulgado"), F.lit("").alias("Comp"), F.format_number("estimated", 2).alias("Estimado"), F.lit("1.50%").alias("%Surp"), F.lit("N.M.").alias("Var prç%"),
+    )
+    r = feeds.normalize_earnings(sheet, "all").filter("comparable is null and move_pct is null")
+    century = F.when(F.year("period_end") > 2050, F.add_months("period_end", -1200)).otherwise(F.when(F.year("announced_on") < 2000, F.add_months("period_end", -1200)).otherwise(F.col("period_end")))
+    return r.select(F.col("period").cast("bigint").alias("entity"), "announced_on", *(F.round(c, 2).alias(c) for c in ("realized", "estimated", "surprise_pct")), F.last_day(century).alias("period_end"), "pe")
+
+
+@query("s12_write_news_csv", sql("select asset, strftime(published_at, '%Y-%m-%d %H:%M:%S') as published_at, title, row_number() over (order by asset, published_at, title) - 1 as place from news where title <> ''", "news"))
+def s12(spark, d):
+    path = new_path(spark, "news-sorted")
+    feeds.write_news_csv(v.news(spark, d).filter("title <> ''"), path, 4)
+    r = spark.read.option("header", True).option("multiLine", True).option("escape", '"').csv(path)
+    # places in the order of the files, which have the ranges in turn
+    parts = r.select("asset", "published_at", "title", F.element_at(F.split(F.input_file_name(), "/"), -1).alias("f"), F.monotonically_increasing_id().alias("i"))
+    order = Window.partitionBy("f").orderBy("i")
+    sizes = parts.groupBy("f").agg(F.count("*").alias("c"))
+    before = sizes.select(F.col("f").alias("g"), "c").join(sizes.select("f"), F.col("g") < F.col("f")).groupBy("f").agg(F.sum("c").alias("before"))
+    placed = parts.withColumn("k", F.row_number().over(order) - 1).join(before, "f", "left")
+    return placed.select("asset", F.date_format(F.col("published_at").cast("timestamp"), "yyyy-MM-dd HH:mm:ss").alias("published_at"), "title", (F.coalesce("before", F.lit(0)) + F.col("k")).alias("place"))
+
+
+@query("a10_evaluation_metrics", sql(f"""with e as (select *, tokens_in > 10 as clean, tokens_out::double as lexical from evaluations),
+    m as (select 'full' as part, * from e union all select 'clean', * from e where clean),
+    i as (select * from {_ic('(select model, part, score, y from m)', 'model, part', 'score', 'y')}), b as (select * from {_ic('(select model, part, lexical, y from m)', 'model, part', 'lexical', 'y')})
+    select model, part, i.n, round(i.ic, 6) as ic, round(b.ic, 6) as baseline, round(i.ic - b.ic, 6) as gap, round(c.coverage, 6) as coverage from i join b using (model, part) join (select model, part, avg((score <> 0)::int) as coverage from m group by 1, 2) c using (model, part)""", "evaluations"))
+def a10(spark, d):
+    e = v.evaluations(spark, d).withColumns({"clean": F.col("tokens_in") > 10, "lexical": F.col("tokens_out").cast("double")})
+    r = stats.evaluation_metrics(e, ["model"], "score", "lexical", "y", "clean")
+    return r.select("model", "part", "n", *(F.round(c, 6).alias(c) for c in ("ic", "baseline", "gap", "coverage")))

@@ -237,13 +237,23 @@ def s15(spark, d):
 
 
 def raw_feed(spark, d):
-    """News of each asset as one text of records."""
-    n = v.news(spark, d).filter("length(title) >= 10")
+    """Every document as a feed of two records: its whole text, and a short notice; of some the time or the source code is none."""
+    n = v.news(spark, d)
+    k = F.col("news_id")
     title = F.regexp_replace("title", "[*•-]|^By ", "")
-    r = F.concat(F.lit(" "), F.date_format("published_at", "MM/dd/yyyy HH:mm:ss"), F.lit("["), F.upper("source"), F.lit("]\nPrint\n"), title, F.lit("\nBody of "), F.col("news_id").cast("string"), F.lit("\n"))
-    return n.groupBy(F.col("asset").alias("feed_id")).agg(F.concat(F.lit("Menu\nShare\n"), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("news_id", r.alias("r")))), lambda x: x["r"]), "")).alias("text"))
-
-
+    rest = F.substr("body", F.length("title") + 1)
+    at = F.date_format("published_at", "MM/dd/yyyy HH:mm:ss")
+    first = F.concat(F.lit(" "), F.when(k % 11 == 0, F.regexp_replace(at, "^..", "13")).otherwise(at), F.lit("["), F.upper("source"), F.lit("]\nPrint\n"), title, rest, F.lit("\n"))
+    dateline = F.when(k % 3 == 0, F.lit("By A Writer\n")).when(k % 3 == 1, F.lit("(City) -- ")).otherwise(F.lit(""))
+    second = F.concat(F.lit(" "), at, F.lit("[SRC1]\nNotice that closes feed "), k.cast("string"), F.lit("\n"), dateline, F.lit("of source "), "source", F.lit("\n"))
+    return n.select(k.alias("feed_id"), F.concat(F.lit("Menu\nShare\n"), first, second).alias("text"))
+
+
+#: The same records in SQL: (news_id, part, bad, source, record).
+_RECORDS = r"""rec as (
+    select news_id, 1 as part, news_id % 11 = 0 as bad, source, published_at, trim(regexp_replace(title, '[*•-]|^By ', '', 'g'), ' ') as title, chr(10) || regexp_replace(title, '[*•-]|^By ', '', 'g') || substr(body, length(title) + 1) || chr(10) as record from news
+    union all
+    select news_id, 2, false, 'src1', published_at, 'Notice that closes feed ' || news_id, chr(10) || 'Notice that closes feed ' || news_id || chr(10) || case news_id % 3 when 0 then 'By A Writer' || chr(10) when 1 then '(City) -- ' else '' end || 'of source ' || source || chr(10) from news)"""
 _CODES = "case when substr(source, 4)::int < 10 then source else 'other' end"
 
 
@@ -253,24 +263,30 @@ def parsed(spark, d):
     return rec.withColumn("title", nw.extract_title(F.col("record")))
 
 
-@query("t1_segment_records", sql("select asset as feed_id, count(*) as n_records from news where length(title) >= 10 group by 1", "news"))
+@query("t1_segment_records", sql("select news_id as feed_id, 2::bigint as n_records from news", "news"))
 def t1(spark, d):
     return nw.segment_records(raw_feed(spark, d), "text").groupBy("feed_id").agg(F.count("*").alias("n_records"))
 
 
-@query("t2_parse_anchor", sql(f"select asset as feed_id, strftime(published_at, '%Y-%m-%d %H:%M:%S') as published_at, {_CODES} as source from news where length(title) >= 10", "news"))
+@query("t2_parse_anchor", sql(f"with {_RECORDS} select news_id as feed_id, case when not bad then strftime(published_at, '%Y-%m-%d %H:%M:%S') end as published_at, {_CODES} as source from rec", "news"))
 def t2(spark, d):
     return parsed(spark, d).select("feed_id", F.date_format("published_at", "yyyy-MM-dd HH:mm:ss").alias("published_at"), "source")
 
 
-@query("t3_extract_title", sql(r"select asset as feed_id, strftime(published_at, '%Y-%m-%d %H:%M:%S') as published_at, case when length(t) >= 10 then t end as title from (select asset, published_at, trim(regexp_replace(title, '[*•-]|^By ', '', 'g')) as t from news where length(title) >= 10)", "news"))
+@query("t3_extract_title", sql(f"with {_RECORDS} select news_id as feed_id, part, title from rec where part = 2", "news"))
 def t3(spark, d):
-    return parsed(spark, d).select("feed_id", F.date_format("published_at", "yyyy-MM-dd HH:mm:ss").alias("published_at"), "title")
+    return parsed(spark, d).filter("title like 'Notice that closes feed %'").select("feed_id", F.lit(2).alias("part"), "title")
+
+
+@query("t4_extract_summary", sql("select news_id, asset || ' has weight ' || source || ' ends' as summary from news", "news"))
+def t4(spark, d):
+    record = F.concat(F.lit(" 01/02/2000 03:04:05[SRC1]\n"), "title", F.lit("\nSummary by us\n - "), "asset", F.lit("  has\n*\tweight "), "source", F.lit("\n• ends\nBy A Writer\n"), "body")
+    return v.news(spark, d).select("news_id", nw.extract_summary(record).alias("summary"))
 
 
-@query("t5_extract_body", sql("select asset as feed_id, 'Body of ' || news_id as body from news where length(trim(regexp_replace(title, '[*•-]|^By ', '', 'g'))) >= 10", "news"))
+@query("t5_extract_body", sql(f"with {_RECORDS} select news_id as feed_id, case news_id % 3 when 1 then '(City) -- ' else '' end || 'of source ' || n.source as body from rec join news n using (news_id) where part = 2", "news"))
 def t5(spark, d):
-    return parsed(spark, d).filter("title is not null").select("feed_id", nw.extract_body(F.col("record")).alias("body"))
+    return parsed(spark, d).filter("title like 'Notice that closes feed %'").select("feed_id", nw.extract_body(F.col("record")).alias("body"))
 
 
 @query("t8_detect_content_column", "select 1 as place")
@@ -279,9 +295,9 @@ def t8(spark, d):
     return nw.detect_content_column(f, ["short", "text"])
 
 
-@query("t9_parse_report", sql(f"select {_CODES} as source, count(*) as n_records, 0::bigint as n_bad_date, count_if(length(trim(regexp_replace(title, '[*•-]|^By ', '', 'g'))) < 10)::bigint as n_bad_title, count_if({_CODES} = 'other')::bigint as n_unknown from news where length(title) >= 10 group by 1", "news"))
+@query("t9_parse_report", sql(f"with {_RECORDS} select {_CODES} as source, count(*) as n_records, count_if(bad)::bigint as n_bad_date, count_if({_CODES} = 'other')::bigint as n_unknown from rec group by 1", "news"))
 def t9(spark, d):
-    return nw.parse_report(parsed(spark, d)).drop("n_again")
+    return nw.parse_report(parsed(spark, d)).drop("n_again", "n_bad_title")
 
 
 @query("t10_parse_percent", "select event_id, round(value, 2) as pct from events")

@@ -87,7 +87,7 @@ def news(spark: SparkSession, sf_dir: str) -> DataFrame:
     return d.select(
         F.col("doc_id").alias("news_id"),
         F.concat(F.lit("Brand#"), (F.col("doc_id") % 25 + 1).cast("string")).alias("asset"),
-        F.left(F.split(F.coalesce("text", F.lit("")), "\n")[0], F.lit(200)).alias("title"),
+        F.substring_index(F.coalesce("text", F.lit("")), "\n", 1).alias("title"),
         F.coalesce("text", F.lit("")).alias("body"),
         "source",
         (F.lit(1.0) - src % 5 * 0.125).alias("source_weight"),
@@ -170,7 +170,7 @@ VIEWS: dict[str, str] = {
     "points": "select n_nationkey as entity, unnest(generate_series(date '1995-01-01', date '2001-12-01', interval 1 month))::date as d from nation",
     "earnings": """select c_nationkey as entity, o_orderdate::date as announced_on, case when max(o_orderkey) % 3 <> 0 then max(o_totalprice) end as realized, min(o_totalprice) as estimated
         from orders join customer on o_custkey = c_custkey where o_orderpriority = '1-URGENT' group by 1, 2""",
-    "news": """select doc_id as news_id, 'Brand#' || (doc_id % 25 + 1) as asset, left(split_part(coalesce(text, ''), chr(10), 1), 200) as title, coalesce(text, '') as body, source,
+    "news": """select doc_id as news_id, 'Brand#' || (doc_id % 25 + 1) as asset, split_part(coalesce(text, ''), chr(10), 1) as title, coalesce(text, '') as body, source,
         1.0::double - substr(source, 4)::int % 5 * 0.125::double as source_weight, timestamp '2000-01-01' + to_minutes(doc_id * 37) as published_at from documents""",
     "scores": f"""select asset, d, {_u("asset", "d::varchar", "'u1'")} < 0.15 as has_event, 2 * {_u("asset", "d::varchar", "'u2'")} - 1 as score, 0.5 + 0.4 * {_u("asset", "d::varchar", "'u3'")} as confidence from bars""",
     "labels_y": """select * from (select asset, b.d, lead(b.close, 5) over w / b.close - 1 - 1.0::double * (lead(i.close, 5) over w / i.close - 1) as y from bars b join index_bars i on b.d = i.d window w as (partition by asset order by b.d)) where y is not null""",

@@ -106,7 +106,7 @@ def write_news_csv(df: DataFrame, path: str, partitions: int = 1) -> None:
     """CSV in fixed column order, range-partitioned and sorted by (asset, time, title)."""
     cols = ["asset", "published_at", "title", "source", "source_weight", "url", "body"]
     keys = ["asset", "published_at", "title"]
-    df.select(*(c for c in cols if c in df.columns)).repartitionByRange(partitions, *keys).sortWithinPartitions(*keys).write.mode("overwrite").option("header", True).option("escape", '"').csv(path)
+    df.select(*(c for c in cols if c in df.columns)).repartitionByRange(partitions, *keys).sortWithinPartitions(*keys).write.mode("overwrite").option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False).option("header", True).option("escape", '"').csv(path)
 
 
 def search_entities(df: DataFrame, pattern: str, cols: list[str]) -> DataFrame:

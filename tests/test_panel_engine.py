@@ -236,3 +236,24 @@ def test_registered_queries_have_distinct_results(spark):
     q, o = entry.queries(), entry.oracle_sql()
     assert set(o) <= set(q) and len(q) > 120
     assert entry.entry(spark).count() > 0
+
+
+def test_exits_on_the_entry_day_and_by_reversal(spark):
+    day = lambda k: dt.date(2024, 1, k)
+    bars = spark.createDataFrame([("a", day(k), 100.0 + k, 102.0 + k, lo, 101.0 + k) for k, lo in zip(range(1, 12), [90.0, *[99.0] * 10], strict=True)], "asset string, d date, open double, high double, low double, close double")
+    sessions = spark.createDataFrame([(day(k), k - 1) for k in range(1, 12)], "d date, ord int")
+    e = spark.createDataFrame([("t", "a", day(1), 101.0)], "trade_id string, asset string, entry_d date, entry_px double")
+    exits = lambda **more: portfolio.resolve_exits(e, bars, sessions, **more).select("exit_d", "exit_px", "reason").first()
+    assert tuple(exits()) == (day(7), 107.0, "deadline")
+    assert tuple(exits(from_entry=True)) == (day(1), pytest.approx(0.92 * 101), "stop")
+    signal = lambda k: spark.createDataFrame([("t", day(k)), ("t", day(1))], "trade_id string, d date")
+    assert tuple(exits(reversals=signal(3))) == (day(4), 104.0, "reversal")
+    assert exits(reversals=signal(6)).reason == "deadline"
+
+
+def test_cooldown_ends_and_starts_again(spark):
+    rows = [("p", dt.date(2024, 1, 1) + dt.timedelta(days=k), 100.0 if k < 21 else 85.0) for k in range(60)]
+    got = [r.blocked for r in portfolio.cooldown_gate(spark.createDataFrame(rows, "portfolio string, d date, equity double"), ["portfolio"]).orderBy("d").collect()]
+    first = got.index(True)
+    assert first == 21 and not all(got[first:]) and got[first : first + 5] == [True] * 5
+    assert not any(got[45:])  # by then the top has left the window
