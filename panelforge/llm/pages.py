@@ -16,9 +16,11 @@ from html import unescape
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import BooleanType, StructField, StructType
 
 from .common import Scratch, as_text, materialize
 
@@ -326,11 +328,24 @@ def extract_main_text(pages: DataFrame, min_pages: int = 10, salts: int = 32, lo
     gone = held.join(salted, ["host", "salt", "subtree"]).groupBy("uid").agg(F.collect_set(F.struct("first", "after")).alias("gone"))
     every = F.zip_with(F.zip_with("blocks", "body", lambda t, b: F.struct(t.alias("t"), b.alias("b"))), F.sequence(F.lit(0), F.size("blocks")), lambda x, i: F.struct(x["t"].alias("t"), x["b"].alias("b"), i.alias("i")))
     every = F.slice(every, 1, F.size("blocks"))
-    told = parsed.select("uid", "page_id", "url", "host", "blocks", "body").join(gone, "uid", "left").withColumn("every", every)
+    rows = parsed.select("uid", "page_id", "url", "host", "blocks", "body", "subtrees")
+
+    def flag(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            subtrees = b.column(b.schema.get_field_index("subtrees"))
+            hit = has_names(bits.value, subtrees.flatten().to_numpy(zero_copy_only=False).astype(np.int64), log_bits)
+            at = np.repeat(np.arange(b.num_rows), subtrees.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64))
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(np.bincount(at[hit], minlength=b.num_rows) > 0)], names=[*b.schema.names, "open"])
+
+    # only pages that may hold a template cross a shuffle
+    flagged = rows.mapInArrow(flag, StructType([*rows.schema.fields, StructField("open", BooleanType())])).drop("subtrees")
+    plain = flagged.filter("not open").select("page_id", "url", "host", F.array_join("blocks", "\n").alias("text"))
+    told = flagged.filter("open").drop("open").join(gone, "uid", "left").withColumn("every", every)
     told = told.withColumn("kept", F.filter("every", lambda x: ~F.exists(F.coalesce("gone", F.array().cast("array<struct<first:int,after:int>>")), lambda g: (g["first"] <= x["i"]) & (x["i"] < g["after"]))))
     bare = F.exists("every", lambda x: x["b"]) & ~F.exists("kept", lambda x: x["b"])
     text = F.when(F.col("gone").isNull() | bare, F.array_join("blocks", "\n")).otherwise(F.array_join(F.transform("kept", lambda x: x["t"]), "\n"))
-    return told.select(F.col("page_id").cast(kind).alias("page_id"), "url", text.alias("text"), "host").select("page_id", "url", "text", F.length("text").cast("bigint").alias("n_chars"), "host")
+    cleared = told.select("page_id", "url", "host", text.alias("text"))
+    return plain.unionByName(cleared).select(F.col("page_id").cast(kind).alias("page_id"), "url", "text", F.length("text").cast("bigint").alias("n_chars"), "host")
 
 
 def _table(seen: dict[tuple[str, int], set[int]]) -> pd.DataFrame:
