@@ -151,6 +151,8 @@ def _indexed(kind: str, most: int | None):
     return run
 
 
+#: Stands for a null number while entries are merged: above every other, so any other is kept.
+NO_ID = 2**63 - 1
 #: Digests that one index is meant to hold: some 50 MB of Python objects.
 A_SHARD = 200_000
 
@@ -165,12 +167,15 @@ def digest_index(entries: DataFrame, shards: int | None = None) -> DataFrame:
     insertions. Ids are whole numbers or texts; a null id counts above every other.
     """
     kind = "bigint" if entries.schema["doc_id"].dataType.simpleString() in ("tinyint", "smallint", "int", "bigint") else "string"
-    entries = entries.select("digest", F.col("doc_id").cast(kind).alias("doc_id"), "n_rows")
+    # whole numbers beside nulls would come to pandas as floats
+    known = F.coalesce(F.col("doc_id").cast("bigint"), F.lit(NO_ID)) if kind == "bigint" else F.col("doc_id").cast("string")
+    entries = entries.select("digest", known.alias("doc_id"), "n_rows")
     schema = f"digest binary, doc_id {kind}, n_rows bigint"
     n = shards or max(partitions(entries.sparkSession), -(-entries.count() // A_SHARD))
     local = entries.filter("n_rows > 0").mapInPandas(_indexed(kind, A_SHARD), schema)
     gone = entries.filter("n_rows < 0")
-    return local.unionByName(gone).repartition(n, "digest").mapInPandas(_indexed(kind, None), schema)
+    index = local.unionByName(gone).repartition(n, "digest").mapInPandas(_indexed(kind, None), schema)
+    return index.withColumn("doc_id", F.nullif("doc_id", F.lit(NO_ID))) if kind == "bigint" else index
 
 
 def update_index(index: DataFrame, inserted: DataFrame, deleted: DataFrame) -> DataFrame:
