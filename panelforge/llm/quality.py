@@ -1,142 +1,135 @@
-"""Quality by perplexity under an interpolated modified Kneser-Ney model of words.
+"""Quality by perplexity under an interpolated modified Kneser-Ney model of token bigrams.
 
-The model has the bigrams and words of all trusted text, grows with it and stays in Spark
-tables. Its base, below the words, spells: a Kneser-Ney model of byte trigrams, whose alphabet
-is fixed (2^24 log probabilities in 16 bits), gives any string a probability.
+Tokens are those of a public byte-level vocabulary, so any text has a probability. The model has
+the bigrams of all trusted text, grows with it and stays in a Spark table; what is kept for each
+token alone (its probability, its weight as a context) is as long as the vocabulary and broadcast.
 
-log P(text) is a sum: what spelling costs, and for every word and bigram that the trusted text
-has a correction that doesn't depend on the document. So the n-grams of documents meet the
-corrections in one join, sharded by n-gram, and are summed by document. The most frequent
-n-grams, a list of fixed size, are broadcast instead: no shard gets a key that every document has.
+log P(text) is a sum: what each token costs when its bigram is unseen, and for every bigram that
+the trusted text has a correction that doesn't depend on the document. So the bigrams of
+documents meet the counts in one join, sharded by bigram, and are summed by document. The most
+frequent bigrams, a list of fixed size, are broadcast instead; a shard that many documents ask
+for all the same is met in several parts.
 
-A trusted document is judged by what others hold: an n-gram that only it has counts as unseen.
+A trusted document is judged by what others hold: a bigram that only it has counts as unseen.
 """
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pandas as pd
-import xxhash
+import public_tokenizers
+import pyarrow as pa
 import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import as_text, materialize, partitions
-from .shingles import mix
+from .common import Scratch, as_text, materialize, partitions
+from .tokens import DEFAULT_TOKENIZER, encoder, load_tokenizer
 
 
 #: Steps of a unit of log probability.
 STEPS = 2000
-_WORD = re.compile(r"\w+|[^\w\s]+")
-_START, _END = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
+#: Bits of the filter of trusted ids: 8 MB, whatever the corpus.
+_BITS = 1 << 26
+#: Bytes of text for each shard, and bytes of packs from which a shard is met in parts.
+_SHARD, _PART = 32_000_000, 16_000_000
 
 
-def words_of(text: str | None) -> list[str]:
-    """Runs of letters and digits, and runs of other signs, in the order of the text."""
-    return _WORD.findall(text or "")
+class Backoff(NamedTuple):
+    """What the model keeps for each token, the boundary of texts being the last one."""
 
+    p1: np.ndarray
+    total: np.ndarray
+    back: np.ndarray
+    discounts: np.ndarray
 
-def word_hashes(words: list[str]) -> np.ndarray:
-    """Names of the words between a start and an end."""
-    out = np.empty(len(words) + 2, np.uint64)
-    out[0], out[-1] = _START, _END
-    out[1:-1] = [xxhash.xxh3_64_intdigest(w.encode()) for w in words]
-    return out
+    def costs(self) -> tuple[np.ndarray, np.ndarray]:
+        """Steps that leaving each context and naming each token cost where their bigram is unseen."""
+        return tuple(np.rint(-np.log(p) * STEPS).astype(np.int64) for p in (self.back, self.p1))
 
+    def values(self, v: np.ndarray, w: np.ndarray, n: np.ndarray) -> np.ndarray:
+        """The correction of that cost, in steps, for bigrams that the trusted text has n times."""
+        seen = (n - self.discounts[np.minimum(n, 3)]) / self.total[v]
+        return np.rint(-np.log1p(np.maximum(seen, 0) / (self.back[v] * self.p1[w])) * STEPS).astype(np.int64)
 
-def pair_keys(v: np.ndarray, w: np.ndarray) -> np.ndarray:
-    return mix(mix(v) * np.uint64(0xE7037ED1A0B428DB) + w)
 
+def vocabulary(path: str) -> int:
+    """The number of ids; the next one stands for the boundary of texts."""
+    return max(load_tokenizer(path).get_vocab().values()) + 1
 
-def codes(text: str | None) -> np.ndarray:
-    """The byte trigrams of a text between two zero bytes before and one after it."""
-    b = np.frombuffer(b"\0\0" + (text or "").encode() + b"\0", np.uint8).astype(np.uint32)
-    return b[:-2] << 16 | b[1:-1] << 8 | b[2:]
 
+def bigrams(text: str | None, path: str, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """The text's tokens after a boundary and before one, as the first and the second of each bigram."""
+    ids = np.frombuffer(encoder(path).encode(text), np.uint32).astype(np.int64)
+    return np.concatenate(([size], ids)), np.concatenate((ids, [size]))
 
-def _trusted_texts(docs: DataFrame, trusted: DataFrame) -> DataFrame:
-    """(z): the trusted documents' texts, compressed for the shuffle."""
+
+def _place(doc_id: Column) -> Column:
+    return F.pmod(F.xxhash64(doc_id.cast("string")), F.lit(_BITS))
+
+
+def trusted_texts(docs: DataFrame, trusted: DataFrame) -> DataFrame:
+    """(z): the trusted documents' texts, compressed.
+
+    A filter of fixed size holds a bit for each trusted id, so that few other texts cross the
+    shuffle of the join that decides; where the filter is full, more do.
+    """
+    place = _place(F.col("doc_id"))
+    bits = trusted.select(place.alias("at")).groupBy(F.shiftright("at", 6).alias("at")).agg(F.bit_or(F.expr("shiftleft(1L, int(at & 63))")).alias("bits"))
+    # at most 2^20 rows
+    held = np.zeros(_BITS // 64, np.int64)
+    rows = bits.toPandas()
+    held[rows["at"].to_numpy(np.int64)] = rows["bits"].to_numpy(np.int64)
+    filled = docs.sparkSession.sparkContext.broadcast(held)
 
     def squeeze(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        pack = zstandard.ZstdCompressor(level=1)
+        pack = zstandard.ZstdCompressor(level=3)
         for b in batches:
+            at = b["place"].to_numpy(np.int64)
+            b = b[(filled.value[at >> 6] >> (at & 63) & 1).astype(bool)]
             yield pd.DataFrame({"doc_id": b["doc_id"], "z": [pack.compress((t or "").encode()) for t in b["text"]]})
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    small = docs.filter("doc_id is not null").select("doc_id", "text").mapInPandas(squeeze, f"doc_id {kind}, z binary")
+    small = docs.filter("doc_id is not null").select("doc_id", "text", place.alias("place")).mapInPandas(squeeze, f"doc_id {kind}, z binary")
     # a merge join at every size: the trusted ids grow with the corpus
     return small.join(trusted.hint("merge"), "doc_id", "left_semi").select("z")
 
 
-def _byte_counts(texts: DataFrame, by_word: bool) -> DataFrame:
-    """(u, v, w, n): byte trigrams of compressed texts, each task's summed first; by_word puts two zero bytes between words."""
+def bigram_counts(texts: DataFrame, path: str) -> DataFrame:
+    """(v, w, n): token bigrams of compressed texts, each task's summed first."""
+    size = vocabulary(path)
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         unpack = zstandard.ZstdDecompressor()
-        held: list[np.ndarray] = []
-        size = 0
+        keys, counts, pending = [], [], 0
+
+        def merge() -> None:
+            nonlocal keys, counts, pending
+            own, place = np.unique(np.concatenate(keys), return_inverse=True)
+            keys, counts, pending = [own], [np.bincount(place, np.concatenate(counts)).astype(np.int64)], 0
 
         def table() -> pd.DataFrame:
-            at, n = np.unique(np.concatenate(held), return_counts=True)
-            return pd.DataFrame({"u": (at >> 16).astype(np.int32), "v": (at >> 8 & 255).astype(np.int32), "w": (at & 255).astype(np.int32), "n": n})
+            return pd.DataFrame({"v": (keys[0] >> 32).astype(np.int32), "w": (keys[0] & 0xFFFFFFFF).astype(np.int32), "n": counts[0]})
 
         for b in batches:
             for z in b["z"]:
-                text = unpack.decompress(z).decode()
-                held.append(codes("\0\0".join(words_of(text)) if by_word else text))
-                size += len(held[-1])
-                if size > 4_000_000:
-                    yield table()
-                    held, size = [], 0
-        if held:
+                v, w = bigrams(unpack.decompress(z).decode(), path, size)
+                keys.append(v << 32 | w)
+                counts.append(np.ones(len(v), np.int64))
+                pending += len(v)
+                if pending > 1_000_000:
+                    merge()
+                    if len(keys[0]) > 2_000_000:
+                        yield table()
+                        keys, counts = [], []
+        if keys:
+            merge()
             yield table()
 
-    return texts.mapInPandas(count, "u int, v int, w int, n bigint").groupBy("u", "v", "w").agg(F.sum("n").alias("n"))
-
-
-def trigram_counts(docs: DataFrame, trusted: DataFrame) -> DataFrame:
-    """(u, v, w, n): byte trigrams of the trusted documents' texts, in shards by trigram."""
-    return _byte_counts(_trusted_texts(docs, trusted), False)
-
-
-def bigram_counts(texts: DataFrame, table) -> DataFrame:
-    """(v, w, spell, n): word bigrams of compressed texts, each task's summed first, and what spelling w costs under the broadcast table."""
-
-    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        unpack = zstandard.ZstdDecompressor()
-        cost = table.value
-        held: list[pd.DataFrame] = []
-        size = 0
-
-        def summed() -> pd.DataFrame:
-            return pd.concat(held).groupby(["v", "w"], as_index=False, sort=False).agg({"spell": "first", "n": "sum"})
-
-        for b in batches:
-            for z in b["z"]:
-                words = words_of(unpack.decompress(z).decode())
-                h = word_hashes(words).view(np.int64)
-                held.append(pd.DataFrame({"v": h[:-1], "w": h[1:], "spell": spelling(words, cost), "n": 1}))
-                size += len(h)
-                if size > 1_000_000:
-                    yield summed()
-                    held, size = [], 0
-        if held:
-            yield summed()
-
-    return texts.mapInPandas(count, "v bigint, w bigint, spell bigint, n bigint").groupBy("v", "w").agg(F.first("spell").alias("spell"), F.sum("n").alias("n"))
-
-
-def spelling(words: list[str], cost: np.ndarray) -> np.ndarray:
-    """What spelling each word, and the end, costs in steps."""
-    lengths = [len(w.encode()) for w in words]
-    c = cost[codes("\0\0".join([*words, ""]))].astype(np.int64)
-    # a word of k bytes has k + 1 trigrams; the one that ends in its second zero byte is left out
-    start = np.concatenate(([0], np.cumsum([n + 2 for n in lengths]))).astype(np.int64)
-    total = np.concatenate(([0], np.cumsum(c)))
-    return total[start + np.array([*lengths, 0]) + 1] - total[start]
+    return texts.mapInPandas(count, "v int, w int, n bigint").groupBy("v", "w").agg(F.sum("n").alias("n"))
 
 
 def _discounts(counts: DataFrame) -> list[float]:
@@ -153,190 +146,154 @@ def _less(n: Column, d: list[float]) -> Column:
     return F.when(n == 1, d[0]).when(n == 2, d[1]).otherwise(d[2])
 
 
-def _contexts(counts: DataFrame, by: list[str], d: list[float], name: str) -> DataFrame:
-    """Total and back-off weight of each context."""
-    return counts.groupBy(*by).agg(F.sum("n").alias(f"total{name}"), (F.sum(_less(F.col("n"), d)) / F.sum("n")).alias(f"back{name}"))
+def backoff(counts: DataFrame, size: int) -> Backoff:
+    """What the model keeps for each of `size` tokens and the boundary; the driver gets two rows a token at most."""
+    c1 = counts.groupBy("w").agg(F.count("*").alias("n"))
+    d2, d1 = _discounts(counts), np.array([0.0, *_discounts(c1)])
+    contexts = counts.groupBy("v").agg(F.sum("n").alias("total"), F.sum(_less(F.col("n"), d2)).alias("less")).toPandas()
+    followed = c1.toPandas()
+    types = np.zeros(size + 1, np.int64)
+    types[followed["w"].to_numpy(np.int64)] = followed["n"].to_numpy(np.int64)
+    p1 = np.full(size + 1, 1 / (size + 1))
+    if types.sum():
+        less = np.minimum(d1[np.minimum(types, 3)], types)
+        p1 = (types - less) / types.sum() + p1 * less.sum() / types.sum()
+    total, back = np.ones(size + 1), np.ones(size + 1)
+    at = contexts["v"].to_numpy(np.int64)
+    total[at] = contexts["total"].to_numpy(float)
+    back[at] = contexts["less"].to_numpy(float) / total[at]
+    return Backoff(p1, total, back, np.array([0.0, *d2]))
 
 
-def kneser_ney_table(counts: DataFrame) -> np.ndarray:
-    """-log P(w | u v) of every byte trigram, seen or not, in steps of 1 / STEPS, at u << 16 | v << 8 | w.
+def _press(*arrays: np.ndarray) -> bytes:
+    return zstandard.ZstdCompressor(level=1).compress(b"".join(a.tobytes() for a in arrays))
 
-    Discounted counts and continuation counts meet by joins over their shards; what reaches
-    the driver is at most a number for each of 2^24 trigrams and 2^16 contexts.
-    """
-    c3 = materialize(counts)
-    c2 = materialize(c3.groupBy("v", "w").agg(F.count("*").alias("n")))
-    c1 = c2.groupBy("w").agg(F.count("*").alias("n"))
-    d3, d2, d1 = _discounts(c3), _discounts(c2), _discounts(c1)
-    p1 = np.full(256, 1 / 256)
-    rows = c1.collect()
-    if rows:
-        total = sum(r["n"] for r in rows)
-        p1 *= sum(min(d1[min(r["n"], 3) - 1], r["n"]) for r in rows) / total
-        for r in rows:
-            p1[r["w"]] += max(r["n"] - d1[min(r["n"], 3) - 1], 0) / total
-    x2, x3 = _contexts(c2, ["v"], d2, "2"), _contexts(c3, ["u", "v"], d3, "3")
-    p2 = np.tile(p1, (256, 1))
-    for r in x2.collect():
-        p2[r["v"]] *= r["back2"]
-    own2 = c2.join(x2, "v").select("v", "w", (F.greatest(F.col("n") - _less(F.col("n"), d2), F.lit(0.0)) / F.col("total2")).alias("p")).toPandas()
-    p2[own2["v"].to_numpy(), own2["w"].to_numpy()] += own2["p"].to_numpy()
-    table = np.tile(p2.astype(np.float32).reshape(1, 256, 256), (256, 1, 1))
-    back = x3.select("u", "v", "back3").toPandas()
-    table[back["u"].to_numpy(), back["v"].to_numpy()] *= back["back3"].to_numpy(np.float32)[:, None]
-    own3 = c3.join(x3, ["u", "v"]).select("u", "v", "w", (F.greatest(F.col("n") - _less(F.col("n"), d3), F.lit(0.0)) / F.col("total3")).cast("float").alias("p")).toPandas()
-    table[own3["u"].to_numpy(), own3["v"].to_numpy(), own3["w"].to_numpy()] += own3["p"].to_numpy()
-    flat = table.reshape(-1)
-    np.log(flat, out=flat)
-    return np.clip(np.rint(flat * -STEPS), 0, 65535).astype(np.uint16)
-
-
-def word_model(c2: DataFrame) -> tuple[DataFrame, int]:
-    """(a, b, pair, value, n) of every bigram (a, b) and word a of the trusted text, and the cost of leaving the words.
-
-    value is the correction of the cost in steps, n how often the trusted text has it. A word's
-    value holds both its own probability against its spelling and its weight as a context.
-    """
-    c1 = materialize(c2.groupBy("w").agg(F.count("*").alias("types"), F.sum("n").alias("n"), F.first("spell").alias("spell")))
-    d2, d1 = _discounts(c2), _discounts(c1.select(F.col("types").alias("n")))
-    types = F.col("types")
-    total, left = c1.agg(F.sum("types"), F.sum(F.least(_less(types, d1), types.cast("double")))).first()
-    if not total:
-        empty = c2.select(F.col("v").alias("a"), F.col("w").alias("b"), F.lit(1).alias("pair"), F.lit(0).cast("bigint").alias("value"), "n")
-        return empty, 0
-    back1 = left / total
-    p1 = F.greatest(types - _less(types, d1), F.lit(0.0)) / total + back1 * F.exp(-F.col("spell") / STEPS)
-    c1 = c1.select("w", "n", p1.alias("p1"), (-F.log(p1) - (F.col("spell") / STEPS - F.log(F.lit(back1)))).alias("own"))
-    x2 = _contexts(c2, ["v"], d2, "2")
-    steps = lambda x: F.round(x * STEPS).cast("bigint").alias("value")
-    ends = c1.join(x2.withColumnRenamed("v", "w"), "w", "full")
-    words = ends.select(F.col("w").alias("a"), F.lit(0).cast("bigint").alias("b"), F.lit(0).alias("pair"), steps(F.coalesce("own", F.lit(0.0)) - F.coalesce(F.log("back2"), F.lit(0.0))), F.greatest("n", "total2").alias("n"))
-    ratio = F.greatest(F.col("n") - _less(F.col("n"), d2), F.lit(0.0)) / F.col("total2") / (F.col("back2") * F.col("p1"))
-    pairs = c2.join(x2, "v").join(c1.select("w", "p1"), "w").select(F.col("v").alias("a"), F.col("w").alias("b"), F.lit(1).alias("pair"), steps(-F.log(1 + ratio)), "n")
-    return materialize(words.union(pairs)), round(-STEPS * float(np.log(back1)))
-
-
-def perplexity(docs: DataFrame, table, model: DataFrame, leave: int, hot: int = 1 << 17) -> DataFrame:
-    """(doc_id, lang, n_bytes, perplexity, perplexity_by_others) of every whole text.
-
-    `table` is the broadcast spelling. The `hot` most frequent n-grams are looked up in place,
-    all others are sent to the shards of the model in packs; `hot` changes cost, never results.
+
+_SENT = pa.schema(
+    [("uid", pa.int64()), ("doc_id", pa.string()), ("lang", pa.string()), ("n_bytes", pa.int64()), ("cost", pa.int64()), ("by_others", pa.int64())]
+    + [("bucket", pa.int32()), ("asked", pa.binary()), ("uids", pa.binary())]
+)
+
+
+def perplexity(docs: DataFrame, counts: DataFrame, kept: Backoff, path: str, hot: int = 1 << 17, scratch: Scratch | None = None) -> DataFrame:
+    """(doc_id, lang, n_bytes, perplexity, perplexity_by_others) of every whole text, by byte.
+
+    The `hot` most frequent bigrams of the model are looked up in place, all others are sent to
+    its shards in packs; `hot` changes cost, never results. The packs are written to `scratch`,
+    which the caller drops once the result is written.
     """
     spark = docs.sparkSession
-    size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    buckets = max(2 * partitions(spark), size // 4_000_000)
-    top = model.orderBy(F.desc("n"), "a", "b").limit(hot).toPandas()
-    held = spark.sparkContext.broadcast(_sorted_model(top))
-
-    def ask(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        cost, (hot_keys, hot_values, hot_n) = table.value, held.value
+    scratch = scratch or Scratch(spark)
+    chars = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    buckets = min(max(2 * partitions(spark), chars // _SHARD), 1 << 30)
+    size = len(kept.p1) - 1
+    model = spark.sparkContext.broadcast(kept)
+    held = spark.sparkContext.broadcast(_sorted(counts.orderBy(F.desc("n"), "v", "w").limit(hot).toPandas(), kept))
+
+    def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        (leave, name), (hot_keys, hot_values, hot_n) = model.value.costs(), held.value
         asked: list[tuple[np.ndarray, ...]] = []
         pending = 0
 
-        def packs() -> pd.DataFrame:
-            keys, to, m, uid = (np.concatenate(x) for x in zip(*asked, strict=True))
-            order = np.argsort(to, kind="stable")
-            keys, to, m, uid = keys[order], to[order], m[order], uid[order]
+        def rows(**columns: list) -> pa.RecordBatch:
+            n = len(next(iter(columns.values())))
+            return pa.RecordBatch.from_arrays([pa.array(columns.get(f.name, [None] * n), f.type) for f in _SENT], schema=_SENT)
+
+        def packs() -> pa.RecordBatch:
+            keys, m, uid = (np.concatenate(x) for x in zip(*asked, strict=True))
+            to = (keys >> 32) * 40503 + (keys & 0xFFFFFFFF)
+            to %= buckets
+            order = np.lexsort((keys, to))
+            keys, m, uid, to = keys[order], m[order], uid[order], to[order]
             edge = np.flatnonzero(np.concatenate(([True], to[1:] != to[:-1], [True])))
-            rows = []
+            bucket, pressed, uids = [], [], []
             for a, z in zip(edge[:-1], edge[1:], strict=True):
                 own, place = np.unique(uid[a:z], return_inverse=True)
-                rows.append((int(to[a]), keys[a:z].tobytes(), own.tobytes(), place.astype(np.int32).tobytes(), m[a:z].tobytes()))
-            return pd.DataFrame(rows, columns=["bucket", "keys", "uids", "places", "counts"])
+                bucket.append(int(to[a]))
+                pressed.append(_press(np.diff(keys[a:z], prepend=0), place.astype(np.int64), m[a:z]))
+                uids.append(_press(np.diff(own, prepend=0)))
+            return rows(bucket=bucket, asked=pressed, uids=uids)
 
         for b in batches:
-            told = []
-            for uid, doc_id, lang, text in zip(b["uid"], b["doc_id"], b["lang"], b["text"], strict=True):
-                words = words_of(text)
-                h = word_hashes(words)
-                base = int(spelling(words, cost).sum()) + leave * (len(words) + 1)
-                keys, first, m = np.unique(np.concatenate((h, pair_keys(h[:-1], h[1:]))), return_index=True, return_counts=True)
-                to = (np.concatenate((h, h[:-1] ^ h[1:])).view(np.int64) % buckets)[first].astype(np.int32)
+            cols = [b.column(c).to_pylist() for c in ("uid", "doc_id", "lang", "text")]
+            sizes, cost, by_others = [], [], []
+            for uid, text in zip(cols[0], cols[3], strict=True):
+                v, w = bigrams(text, path, size)
+                keys, m = np.unique(v << 32 | w, return_counts=True)
                 at = np.minimum(np.searchsorted(hot_keys, keys), max(len(hot_keys) - 1, 0))
                 known = hot_keys[at] == keys if len(hot_keys) else np.zeros(len(keys), bool)
                 value, others = m[known] * hot_values[at[known]], hot_n[at[known]] > m[known]
-                told.append((int(uid % buckets), uid, doc_id, lang, len((text or "").encode()), base + int(value.sum()), base + int(value[others].sum())))
-                cold = ~known
-                if cold.any():
-                    asked.append((keys[cold], to[cold], m[cold].astype(np.int32), np.full(int(cold.sum()), uid, np.int64)))
+                base = int(leave[v].sum() + name[w].sum())
+                sizes.append(len((text or "").encode()))
+                cost.append(base + int(value.sum()))
+                by_others.append(base + int(value[others].sum()))
+                if not known.all():
+                    asked.append((keys[~known], m[~known], np.full(int((~known).sum()), uid, np.int64)))
                     pending += len(asked[-1][0])
-                if pending > 500_000:
+                if pending > 1_000_000:
                     yield packs()
                     asked, pending = [], 0
-            yield pd.DataFrame(told, columns=["bucket", "uid", "doc_id", "lang", "n_bytes", "cost", "by_others"])
+            yield rows(uid=cols[0], doc_id=cols[1], lang=cols[2], n_bytes=sizes, cost=cost, by_others=by_others)
         if asked:
             yield packs()
 
-    def ordered(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        names = ["bucket", "uid", "doc_id", "lang", "n_bytes", "cost", "by_others", "keys", "uids", "places", "counts"]
-        for b in ask(batches):
-            b = b.reindex(columns=names)
-            for c in ("uid", "n_bytes", "cost", "by_others"):
-                b[c] = b[c].astype("Int64")
-            yield b.astype({c: object for c in ("doc_id", "lang", "keys", "uids", "places", "counts")}).where(b.notna(), None)
-
-    def meet(asked: pd.DataFrame, shard: pd.DataFrame) -> pd.DataFrame:
-        names = ["uid", "doc_id", "lang", "n_bytes", "cost", "by_others"]
-        out = asked.loc[asked["keys"].isna(), names]
-        packs = asked[asked["keys"].notna()]
-        if shard.empty or packs.empty:
-            return out
-        have, values, total = _sorted_model(shard)
-        uids, cost, by_others = [], [], []
-        for k, u, p, c in zip(packs["keys"], packs["uids"], packs["places"], packs["counts"], strict=True):
-            k, u, p, m = np.frombuffer(k, np.uint64), np.frombuffer(u, np.int64), np.frombuffer(p, np.int32), np.frombuffer(c, np.int32).astype(np.int64)
+    def meet(packs: pd.DataFrame, shard: pd.DataFrame) -> pd.DataFrame:
+        have, values, total = _sorted(shard, model.value)
+        unpack, out = zstandard.ZstdDecompressor(), [pd.DataFrame({c: np.zeros(0, np.int64) for c in ("uid", "cost", "by_others")})]
+        for pressed, uids in zip(packs["asked"], packs["uids"], strict=True) if len(have) else ():
+            k, place, m = np.frombuffer(unpack.decompress(pressed), np.int64).reshape(3, -1)
+            k, uid = np.cumsum(k), np.cumsum(np.frombuffer(unpack.decompress(uids), np.int64))
             at = np.minimum(np.searchsorted(have, k), len(have) - 1)
-            hit = have[at] == k
-            value = np.where(hit, m * values[at], 0)
-            full, less = np.zeros(len(u), np.int64), np.zeros(len(u), np.int64)
-            np.add.at(full, p, value)
-            np.add.at(less, p, np.where(total[at] > m, value, 0))
-            some = np.bincount(p, hit, len(u)) > 0
-            uids.append(u[some])
-            cost.append(full[some])
-            by_others.append(less[some])
-        part = pd.DataFrame({"uid": np.concatenate(uids), "cost": np.concatenate(cost), "by_others": np.concatenate(by_others)}).groupby("uid", as_index=False).sum()
-        return pd.concat([out, part.reindex(columns=names).astype({"doc_id": object, "lang": object}).assign(doc_id=None, lang=None)]) if len(part) else out
+            hit = np.flatnonzero(have[at] == k)
+            value = m[hit] * values[at[hit]]
+            out.append(pd.DataFrame({"uid": uid[place[hit]], "cost": value, "by_others": np.where(total[at[hit]] > m[hit], value, 0)}))
+        return pd.concat(out).groupby("uid", as_index=False).sum()
 
     rows, kind = as_text(docs.select("doc_id", "lang", "text"), "doc_id")
-    sent = rows.withColumn("uid", F.monotonically_increasing_id()).mapInPandas(ordered, "bucket int, uid bigint, doc_id string, lang string, n_bytes bigint, cost bigint, by_others bigint, keys binary, uids binary, places binary, counts binary")
-    place = F.when(F.col("pair") == 1, F.col("a").bitwiseXOR(F.col("b"))).otherwise(F.col("a"))
-    shards = model.withColumn("bucket", F.pmod(place, F.lit(buckets)).cast("int"))
-    met = sent.groupBy("bucket").cogroup(shards.groupBy("bucket")).applyInPandas(meet, "uid bigint, doc_id string, lang string, n_bytes bigint, cost bigint, by_others bigint")
+    kinds = "uid bigint, doc_id string, lang string, n_bytes bigint, cost bigint, by_others bigint, bucket int, asked binary, uids binary"
+    sent = scratch.keep(rows.withColumn("uid", F.monotonically_increasing_id()).mapInArrow(ask, kinds))
+    packs = sent.filter("bucket is not null").select("bucket", "asked", "uids")
+    parts = packs.groupBy("bucket").agg(F.ceil(F.sum(F.octet_length("asked")) / _PART).cast("int").alias("parts")).filter("parts > 1")
+    of_part = packs.join(parts, "bucket", "left").withColumn("part", F.pmod(F.xxhash64("asked"), F.coalesce("parts", F.lit(1))).cast("int"))
+    shards = counts.withColumn("bucket", F.pmod(F.col("v").cast("bigint") * 40503 + F.col("w"), F.lit(buckets)).cast("int"))
+    shards = shards.join(parts, "bucket", "left").withColumn("part", F.explode(F.sequence(F.lit(0), F.coalesce("parts", F.lit(1)) - 1)))
+    met = of_part.groupBy("bucket", "part").cogroup(shards.select("bucket", "part", "v", "w", "n").groupBy("bucket", "part")).applyInPandas(meet, "uid bigint, cost bigint, by_others bigint")
+    whole = sent.filter("bucket is null").select("uid", "doc_id", "lang", "n_bytes", "cost", "by_others").unionByName(met, allowMissingColumns=True)
     first = [F.max(c).alias(c) for c in ("doc_id", "lang", "n_bytes")]
-    whole = met.groupBy("uid").agg(*first, F.sum("cost").alias("cost"), F.sum("by_others").alias("by_others"))
+    whole = whole.groupBy("uid").agg(*first, F.sum("cost").alias("cost"), F.sum("by_others").alias("by_others"))
     a_byte = lambda c: F.exp(F.col(c) / (F.col("n_bytes") + 1) / STEPS)
     return whole.select(F.col("doc_id").cast(kind).alias("doc_id"), "lang", "n_bytes", a_byte("cost").alias("perplexity"), a_byte("by_others").alias("perplexity_by_others"))
 
 
-def _sorted_model(rows: pd.DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Keys in order, their corrections and counts."""
-    a, b = (rows[c].to_numpy(np.int64).view(np.uint64) for c in ("a", "b"))
-    keys = np.where(rows["pair"].to_numpy() == 1, pair_keys(a, b), a)
+def _sorted(counts: pd.DataFrame, kept: Backoff) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Bigrams in order, their corrections and counts."""
+    v, w, n = (counts[c].to_numpy(np.int64) for c in ("v", "w", "n"))
+    keys = v << 32 | w
     order = np.argsort(keys)
-    return keys[order], rows["value"].to_numpy(np.int64)[order], rows["n"].to_numpy(np.int64)[order]
+    return keys[order], kept.values(v, w, n)[order], n[order]
 
 
-def quality_filter(docs: DataFrame, labels: DataFrame, quantile: float = 0.99) -> DataFrame:
+def quality_filter(docs: DataFrame, labels: DataFrame, quantile: float = 0.99, tokenizer: str | None = None) -> DataFrame:
     """(doc_id, lang, n_bytes, perplexity, threshold, kept) of every row.
 
     Trusted text: documents whose label has quality 1. A document is kept where its perplexity
     is at most the `quantile` of trusted documents of its language, read from an exact histogram
     of log perplexity in steps of 0.001; a language without trusted text (null too) takes the
     quantile over all languages. Without any trusted text everything is kept. Null counts as
-    empty text, which is one end byte; repeated rows are judged each.
+    empty text, which is one boundary; repeated rows are judged each. `tokenizer`: path of a
+    byte-level BPE file, on every executor.
     """
+    path = tokenizer or public_tokenizers.path(DEFAULT_TOKENIZER)
     rows = docs.select("doc_id", "text", "lang")
     trusted = labels.filter("quality = 1 and doc_id is not null").select("doc_id").distinct()
-    texts = materialize(_trusted_texts(rows, trusted))
-    table = rows.sparkSession.sparkContext.broadcast(kneser_ney_table(_byte_counts(texts, True)))
-    model, leave = word_model(materialize(bigram_counts(texts, table)))
-    scored = perplexity(rows, table, model, leave).join(trusted.select("doc_id", F.lit(True).alias("own")), "doc_id", "left")
-    scored = materialize(scored.select("doc_id", "lang", "n_bytes", F.when(F.col("own"), F.col("perplexity_by_others")).otherwise(F.col("perplexity")).alias("perplexity")))
-    step = F.ceil(F.log("perplexity") * 1000)
-    bins = scored.join(trusted, "doc_id", "left_semi").groupBy("lang", step.alias("bin")).agg(F.count("*").alias("n")).groupBy("lang", "bin").agg(F.sum("n").alias("n"))
+    scratch = Scratch(rows.sparkSession)
+    counts = scratch.keep(bigram_counts(trusted_texts(rows, trusted), path))
+    scored = perplexity(rows, counts, backoff(counts, vocabulary(path)), path, scratch=scratch)
+    scored = scored.join(trusted.select("doc_id", F.lit(True).alias("own")), "doc_id", "left")
+    scored = materialize(scored.select("doc_id", "lang", "n_bytes", F.when(F.col("own"), F.col("perplexity_by_others")).otherwise(F.col("perplexity")).alias("perplexity"), "own"))
+    scratch.drop()
     # a few thousand bins a language, whatever the corpus
-    hist = bins.toPandas()
+    hist = scored.filter("own").groupBy("lang", F.ceil(F.log("perplexity") * 1000).alias("bin")).agg(F.count("*").alias("n")).toPandas()
 
     def cut(h: pd.DataFrame) -> float | None:
         if h.empty:
@@ -348,4 +305,4 @@ def quality_filter(docs: DataFrame, labels: DataFrame, quantile: float = 0.99) -
     limit = F.lit(overall).cast("double")
     for lang, h in hist[hist["lang"].notna()].groupby("lang"):
         limit = F.when(F.col("lang") == lang, F.lit(cut(h))).otherwise(limit)
-    return scored.withColumn("threshold", limit).withColumn("kept", F.coalesce(F.col("perplexity") <= F.col("threshold"), F.lit(True)))
+    return scored.drop("own").withColumn("threshold", limit).withColumn("kept", F.coalesce(F.col("perplexity") <= F.col("threshold"), F.lit(True)))

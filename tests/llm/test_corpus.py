@@ -216,12 +216,26 @@ def test_templates_without_an_article(spark):
     assert got[4] == "text 4" and got[50] == "Welcome to us"
 
 
+PATH = public_tokenizers.path("byte_bpe_50k.json")
+
+
+def _bigram_model(docs, n):
+    counts = quality.bigram_counts(quality.trusted_texts(docs, docs.filter(f"doc_id < {n}").select("doc_id")), PATH).cache()
+    return counts, quality.backoff(counts, quality.vocabulary(PATH))
+
+
 def test_kneser_ney_sums_to_one(spark):
     docs = frame(spark, ["the cat sat on the mat", "the dog sat", None, ""])
-    trusted = docs.select("doc_id")
-    table = quality.kneser_ney_table(quality.trigram_counts(docs, trusted)).reshape(256, 256, 256)
-    for u, v in ((ord("t"), ord("h")), (ord("q"), ord("z")), (0, 0)):
-        assert np.exp(-table[u, v].astype(float) / quality.STEPS).sum() == pytest.approx(1, abs=2e-3)
+    counts, kept = _bigram_model(docs, 4)
+    size = len(kept.p1)
+    leave, name = kept.costs()
+    seen = counts.toPandas()
+    the, unseen = (tokens.encoder(PATH).encode(t) for t in (" the", " Zürich"))
+    for v in (size - 1, int(np.frombuffer(the, np.uint32)[0]), int(np.frombuffer(unseen, np.uint32)[0])):
+        cost = leave[v] + name
+        own = seen[seen["v"] == v]
+        cost[own["w"]] += kept.values(own["v"].to_numpy(np.int64), own["w"].to_numpy(np.int64), own["n"].to_numpy(np.int64))
+        assert np.exp(-cost / quality.STEPS).sum() == pytest.approx(1, abs=2e-3)
     labels = spark.createDataFrame([(0, 1, 0), (1, 1, 0), (None, 1, 0)], "doc_id bigint, quality int, toxic int")
     r = quality.quality_filter(docs.unionByName(frame(spark, ["%%%$$$###"], [9])), labels).collect()
     assert {x.doc_id: x.kept for x in r}[9] is False and {x.doc_id: x.kept for x in r}[0] is True
@@ -345,26 +359,25 @@ def test_word_model_sees_the_order_of_words(spark):
     assert p[4] > 1.5 * p[3] and p[5] > 1.5 * p[3]
 
 
-def test_word_model_grows_and_hot_words_change_nothing(spark):
+def test_bigram_model_grows_and_hot_bigrams_and_parts_change_nothing(spark, library, monkeypatch):
     rng = random.Random(11)
     texts = [" ".join("".join(rng.choices("abcde", k=4)) for _ in range(50)) for _ in range(40)]
     docs = frame(spark, texts)
+    (small, _), (large, kept) = _bigram_model(docs, 10), _bigram_model(docs, 40)
+    assert large.count() > 2 * small.count()
 
-    def model(n):
-        held = quality._trusted_texts(docs, docs.filter(f"doc_id < {n}").select("doc_id"))
-        table = spark.sparkContext.broadcast(quality.kneser_ney_table(quality._byte_counts(held, True)))
-        return table, *quality.word_model(quality.bigram_counts(held, table).cache())
+    def scores(hot):
+        return {r.doc_id: (r.perplexity, r.perplexity_by_others) for r in quality.perplexity(docs, large, kept, PATH, hot).collect()}
 
-    (_, small, _), (table, large, leave) = model(10), model(40)
-    assert large.count() > 3 * small.count()
-    a, b = ({r.doc_id: (r.perplexity, r.perplexity_by_others) for r in quality.perplexity(docs, table, large, leave, hot).collect()} for hot in (0, 1 << 17))
-    assert a == b and len(a) == 40
+    a = scores(1 << 17)
+    assert a == scores(0) == scores(100) and len(a) == 40
+    monkeypatch.setattr(quality, "_PART", 200)
+    assert a == scores(0)
     # brute force: the interpolated model without logarithms of parts
-    c2, spell = Counter(), {}
-    for t in texts:
-        w = t.split()
-        c2.update(zip(["<s>", *w], [*w, "</s>"], strict=True))
-        spell |= dict(zip([*w, "</s>"], np.exp(-quality.spelling(w, table.value) / quality.STEPS), strict=True))
+    size = library.get_vocab_size()
+    ids = [[size, *library.encode(t, add_special_tokens=False).ids, size] for t in texts]
+    c2 = Counter(p for i in ids for p in zip(i, i[1:]))
+    assert {(r.v, r.w): r.n for r in large.collect()} == c2
     c1, total, ctx = Counter(w for _, w in c2), Counter(), defaultdict(list)
     for (v, _), n in c2.items():
         total[v] += n
@@ -373,19 +386,29 @@ def test_word_model_grows_and_hot_words_change_nothing(spark):
     def less(counts):
         k = Counter(counts)
         if not (k[1] and k[2] and k[3]):
-            return lambda n: [0.5, 0.75, 0.9][min(n, 3) - 1]
+            return lambda n: [0, 0.5, 0.75, 0.9][min(n, 3)]
         y = k[1] / (k[1] + 2 * k[2])
-        d = [min(max(i - (i + 1) * y * k[i + 1] / k[i], 0.01), i) for i in (1, 2, 3)]
-        return lambda n: d[min(n, 3) - 1]
+        d = [0, *(min(max(i - (i + 1) * y * k[i + 1] / k[i], 0.01), i) for i in (1, 2, 3))]
+        return lambda n: d[min(n, 3)]
 
     d2, d1 = less(c2.values()), less(c1.values())
     back1 = sum(min(d1(n), n) for n in c1.values()) / len(c2)
     for i in (0, 7):
-        w, cost = texts[i].split(), 0.0
-        for v, x in zip(["<s>", *w], [*w, "</s>"], strict=True):
-            p1 = max(c1[x] - d1(c1[x]), 0) / len(c2) + back1 * spell[x]
-            cost -= np.log(max(c2[v, x] - d2(c2[v, x]), 0) / total[v] + sum(map(d2, ctx[v])) / total[v] * p1)
-        assert a[i][0] == pytest.approx(np.exp(cost / (len(texts[i]) + 1)), rel=1e-3)
+        for at in (0, 1):
+            own, cost = Counter(zip(ids[i], ids[i][1:])), 0.0
+            for (v, x), m in own.items():
+                p1 = (c1[x] - min(d1(c1[x]), c1[x])) / len(c2) + back1 / (size + 1)
+                n = c2[v, x] if not at or c2[v, x] > m else 0
+                cost -= m * np.log(max(n - d2(n), 0) / total[v] + sum(map(d2, ctx[v])) / total[v] * p1)
+            assert a[i][at] == pytest.approx(np.exp(cost / (len(texts[i]) + 1)), rel=1e-3)
+
+
+def test_quality_of_odd_rows(spark):
+    docs = frame(spark, [*ODD, "a b c"], [*range(len(ODD)), 4])
+    labels = spark.createDataFrame([(i, 1, 0) for i in (4, 5, 6, 7, 9)], "doc_id bigint, quality int, toxic int")
+    got = quality.quality_filter(docs, labels).collect()
+    assert sorted(r.doc_id for r in got) == sorted([*range(len(ODD)), 4]) and all(r.perplexity >= 1 and r.threshold for r in got)
+    assert {r.doc_id: r.n_bytes for r in got}[9] == len(LONG)
 
 
 def _texts(spark, htmls, hosts=None):
