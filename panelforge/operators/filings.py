@@ -145,6 +145,41 @@ def build_panel(
     return j.select("asset", "d", "sector", *PANEL_FEATURES, "beta", *PANEL_FLAGS, "has_event", "y")
 
 
+def build_context(points: DataFrame, news: DataFrame, fundamentals: DataFrame, macro: DataFrame, bars: DataFrame, earnings: DataFrame, series: list[str], most: int = 8, days: int = 60, hidden: bool = False) -> DataFrame:
+    """points (asset, d, sector, ...) with `context`: what was known of the asset on that day, as JSON, and after a blank line the block of its last earnings.
+
+    The `most` best news of the day by weight, time and id (news: asset, d, news_id, title, body,
+    source, source_weight, published_at); the last fundamentals received (asset, received_on,
+    pe, pb, roe, margin, leverage); the last available value of each of `series` (macro: series,
+    available_on, value); the mean of the sector's returns over `days` calendar days at its last
+    session; earnings: (asset, announced_on, realized, comparable, estimated, move_pct). What is
+    missing isn't in the JSON. `hidden` leaves the asset and all but the news out. Only lists of
+    at most `most` news are gathered.
+    """
+    from .asof import asof_join
+    from .panel import topk
+
+    top = topk(news, ["asset", "d"], [F.desc("source_weight"), F.desc("published_at"), "news_id"], most)
+    place = F.struct((-F.col("source_weight")).alias("a"), (-F.unix_micros(F.col("published_at").cast("timestamp"))).alias("b"), F.col("news_id").alias("c"), F.struct("news_id", "title", "source", "source_weight", F.col("published_at").cast("string").alias("published_at"), F.col("body").alias("content")).alias("item"))
+    told = top.groupBy("asset", "d").agg(F.transform(F.array_sort(F.collect_list(place)), lambda x: x["item"]).alias("news"))
+    j = points.join(told, ["asset", "d"], "left").withColumn("news", F.coalesce("news", F.filter(F.array(F.lit(None).cast(told.schema["news"].dataType.elementType)), lambda x: x.isNotNull())))
+    if hidden:
+        return j.withColumn("context", F.to_json(F.struct(F.col("d").alias("day"), "news"))).drop("news")
+    ratios = ["pe", "pb", "roe", "margin", "leverage"]
+    j = asof_join(j, fundamentals, ["asset"], "d", "received_on", ["received_on", *ratios])
+    asked = points.select("d").distinct().withColumn("series", F.explode(F.array(*map(F.lit, series))))
+    known = asof_join(asked, macro.select("series", "available_on", "value"), ["series"], "d", "available_on", ["value"], tie="available_on")
+    known = known.filter("value is not null").groupBy("d").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("series", "value")))).alias("macro"))
+    span = Window.partitionBy("asset").orderBy(F.datediff("d", F.lit("1970-01-01"))).rangeBetween(-days, 0)
+    own = bars.select("asset", "d", (F.col("close") / F.first("close").over(span) - 1).alias("_r"), F.count("*").over(span).alias("_n")).filter("_n >= 2")
+    sectors = own.join(points.select("asset", "sector").distinct(), "asset").groupBy("sector", F.col("d").alias("_session")).agg(F.avg("_r").alias("sector_return"))
+    j = asof_join(j.join(known, "d", "left"), sectors, ["sector"], "d", "_session", ["sector_return"])
+    j = asof_join(j, earnings, ["asset"], "d", "announced_on", ["announced_on", "realized", "comparable", "estimated", "move_pct"])
+    block = earnings_block(F.col("d"), *(F.col(c) for c in ("announced_on", "realized", "comparable", "estimated", "move_pct")))
+    payload = F.to_json(F.struct(F.col("d").alias("day"), "asset", "news", "sector", F.when(F.col("received_on").isNotNull(), F.struct(*ratios)).alias("fundamentals"), "macro", "sector_return"))
+    return j.select(*points.columns, F.concat_ws("\n\n", payload, block).alias("context"))
+
+
 def versions_running(df: DataFrame, by: list[str]) -> DataFrame:
     """Version rows with a running cost and the change from first and previous version."""
     w = Window.partitionBy(*by).orderBy("version")

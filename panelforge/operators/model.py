@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.scalars import event_weight
-from .panel import rank_cross_section
+from .panel import impute_cross_section, rank_cross_section
 from .stats import spearman
 
 
@@ -64,6 +64,26 @@ def plateau(ics: DataFrame) -> int:
     return best["stage"] if first < 0.3 * best["stage"] else first
 
 
+def plateau_table(ics: DataFrame) -> DataFrame:
+    """(stage, mean_ic, sd, chosen): each stage's mean and population deviation over folds, and whether the plateau rule takes it."""
+    g = ics.groupBy("stage").agg(F.avg("ic").alias("mean_ic"), F.stddev_pop("ic").alias("sd"))
+    return g.withColumn("chosen", F.col("stage") == plateau(ics))
+
+
+def predict_universe(model: GBTRegressionModel, panel: DataFrame, features: list[str], news: DataFrame, train_end) -> DataFrame:
+    """(asset, d, y_pred, score, has_event, rank, relative_volume, latest_news, sector): a scored cross-section for each day of the panel.
+
+    Missing features are imputed by the day's median, else that of days up to `train_end`;
+    relative_volume stays as measured, since filters read it. news: (asset, d, published_at);
+    latest_news is null without an event.
+    """
+    raw = panel.withColumn("_raw", F.col("relative_volume"))
+    scored = predict(model, impute_cross_section(raw, features, "d", train_end), features)
+    latest = news.groupBy("asset", "d").agg(F.max("published_at").alias("_at"))
+    j = scored.join(latest, ["asset", "d"], "left").withColumn("latest_news", F.when(F.col("has_event"), F.col("_at")))
+    return j.select("asset", "d", "y_pred", "score", "has_event", "rank", F.col("_raw").alias("relative_volume"), "latest_news", "sector")
+
+
 def walk_forward(panel: DataFrame, features: list[str], months: list[str], ahead: int = 5, embargo: int = 5, least: int = 20, trees: int = 10) -> DataFrame:
     """Predictions for each month from a model fitted on rows whose labels end an embargo before its first day.
 

@@ -172,10 +172,41 @@ def signal_sweep(panel: DataFrame, alphas: list[float], keys: list[str], z: str,
     return raised.withColumn("signal", F.greatest(F.lit(-1.0), F.least(F.lit(1.0), a * F.col(z) + F.sqrt(1 - a * a) * noise)))
 
 
-def variant_report(df: DataFrame, variant: str, pred: str, y: str) -> DataFrame:
-    """(variant, ic, n, n_distinct): correlation and how many different predictions, at 6 places."""
+def variant_report(df: DataFrame, variant: str, pred: str, y: str, event: str | None = None, baseline: str | None = None, importances: DataFrame | None = None) -> DataFrame:
+    """(variant, ic, n, n_distinct): correlation and how many different predictions, at 6 places.
+
+    With `event`, a boolean column, also ic_event over those rows; with `baseline` as well the
+    gap, what ic_event gains over the baseline's correlation on the same rows. importances:
+    (variant, importance), joined on.
+    """
     d = df.groupBy(variant).agg(F.count_distinct(F.round(pred, 6)).alias("n_distinct"))
-    return spearman(df, [variant], pred, y).join(d, variant)
+    out = spearman(df, [variant], pred, y).join(d, variant)
+    if event:
+        some = df.filter(event)
+        out = out.join(spearman(some, [variant], pred, y).select(variant, F.col("ic").alias("ic_event")), variant, "left")
+        if baseline:
+            base = spearman(some, [variant], baseline, y).select(variant, F.col("ic").alias("_base"))
+            out = out.join(base, variant, "left").withColumn("gap", F.col("ic_event") - F.col("_base")).drop("_base")
+    return out if importances is None else out.join(importances.select(variant, "importance"), variant, "left")
+
+
+def version_summary(df: DataFrame, by: list[str], score: str, lexical: str, y: str, clean: str, degraded: str, unit: str, replicates: int = 100) -> DataFrame:
+    """A row for each version: how many rows, correlations of all and of clean rows with their bootstrap intervals over `unit`, gaps over the lexical baseline, cost, share degraded, median latency, and the spread and zeros of scores that aren't degraded.
+
+    df has `cost` and `latency`; `clean` and `degraded` are boolean columns.
+    """
+    keys = [*by, "part"]
+    parts = df.withColumn("part", F.explode(F.array_compact(F.array(F.lit("full"), F.when(F.col(clean), F.lit("clean"))))))
+    interval = bootstrap_summary(bootstrap_ic(parts, keys, unit, [score], y, replicates), keys, f"ic_{score}").select(*keys, "lo", "hi")
+    m = evaluation_metrics(df, by, score, lexical, y, clean).join(interval, keys, "left")
+    of = lambda part, col: F.max(F.when(F.col("part") == part, F.col(col)))
+    wide = m.groupBy(*by).agg(*(of(part, c).alias(f"{c}_{part}") for part in ("full", "clean") for c in ("n", "ic", "lo", "hi", "gap")), of("clean", "baseline").alias("lexical_clean"))
+    valid = F.when(~F.coalesce(F.col(degraded), F.lit(False)), F.col(score))
+    told = df.groupBy(*by).agg(
+        F.sum("cost").alias("cost"), F.avg(F.coalesce(F.col(degraded), F.lit(False)).cast("double")).alias("degraded_rate"), F.percentile("latency", F.lit(0.5)).alias("latency"),
+        F.stddev_samp(valid).alias("dispersion"), F.count_if(valid == 0).alias("zeros"),
+    )
+    return told.join(wide, by, "left")
 
 
 def sample_profile(df: DataFrame, by: list[str], score: str, y: str, crowd: int = 5) -> DataFrame:
@@ -190,6 +221,13 @@ def run_profile(trades: DataFrame, reasons: DataFrame) -> DataFrame:
     return F.broadcast(reasons).join(n, "reason", "left").select("reason", F.coalesce("n", F.lit(0)).alias("n"))
 
 
+def top_warnings(dq: DataFrame, n: int = 5) -> DataFrame:
+    """(kind, n, first_d, first_asset): the n most frequent kinds of warnings with their first example; ties go to the smaller kind."""
+    first = F.min(F.struct("d", "asset"))
+    g = dq.groupBy("kind").agg(F.count("*").alias("n"), first.alias("_f"))
+    return g.orderBy(F.desc("n"), "kind").limit(n).select("kind", "n", F.col("_f.d").alias("first_d"), F.col("_f.asset").alias("first_asset"))
+
+
 def worst_discordance(df: DataFrame, by: list[str], a: str, b: str, n: int, tie: list[str]) -> DataFrame:
     """The n rows of each group whose ranks by a and b disagree most: least (pct_rank(a) - .5)(pct_rank(b) - .5)."""
     w = Window.partitionBy(*by)

@@ -129,6 +129,41 @@ def w18(spark, d):
     return p.select(*(F.round(c, 6).alias(c) if t == "double" else c for c, t in p.dtypes))
 
 
+_CONTEXT_SQL = f"""with {_LINES}, {_FUND},
+    fu as (select asset, coalesce(received_on, f.ref_date + 45) as received_on, profit / nullif(equity, 0) as roe, profit / nullif(revenue, 0) as margin from f join filing_headers h on f.entity = h.entity and f.ref_date = h.ref_date join universe u on u.k % 25 = f.entity),
+    p as (select distinct n.asset, published_at::date as d, sector, k from news n join universe u on n.asset = u.asset),
+    top as (select asset, d, count(*) as n_news, min(news_id) as least_id, max(case when rn = 1 then news_id end) as first_id, sum(length(body)) as n_chars from (select *, published_at::date as d, row_number() over (partition by asset, published_at::date order by source_weight desc, published_at desc, news_id) as rn from news) where rn <= 8 group by 1, 2),
+    mr as (select (last_day(ref_date) + 11)::date as available_on, value from macro where series = '1-URGENT'),
+    own as (select asset, d, close / first_value(close) over w - 1 as r, count(*) over w as n from bars window w as (partition by asset order by d range between interval 60 days preceding and current row)),
+    sec as (select sector, d, avg(r) as sector_return from own join universe using (asset) where n >= 2 and asset in (select asset from p) group by 1, 2),
+    ea as (select asset, announced_on, realized from earnings join universe u on u.k % 25 = entity)
+    select p.asset, p.d, n_news, first_id, n_chars::bigint as n_chars, round(a.roe, 6) as roe, round(a.margin, 6) as margin, round(mr.value, 6) as rate, round(sector_return, 6) as sector_return, case when ea.realized is not null then 'announced: ' || ea.announced_on end as announced
+    from p join top on p.asset = top.asset and p.d = top.d
+    asof left join fu a on p.asset = a.asset and p.d >= a.received_on
+    asof left join mr on p.d >= mr.available_on
+    asof left join sec on p.sector = sec.sector and p.d >= sec.d
+    asof left join ea on p.asset = ea.asset and p.d >= ea.announced_on"""
+
+
+@query("j12_full_context", sql(_CONTEXT_SQL, "bars", "statement_lines", "filing_headers", "universe", "macro", "news", "earnings"))
+def j12_full(spark, d):
+    fundamentals, m = panel_inputs(spark, d)
+    n = v.news(spark, d).withColumn("d", F.col("published_at").cast("date"))
+    u = v.universe(spark, d).select("asset", "sector", F.col("k").alias("_k"))
+    own = u.select("asset", (F.col("_k") % 25).alias("entity"))
+    e = v.earnings(spark, d).join(own, "entity").select("asset", "announced_on", "realized", F.lit(None).cast("double").alias("comparable"), "estimated", F.lit(None).cast("double").alias("move_pct"))
+    points = n.select("asset", "d").distinct().join(u.drop("_k"), "asset")
+    c = filings.build_context(points, n, fundamentals, m, v.bars(spark, d), e, ["1-URGENT", "2-HIGH"])
+    kind = "struct<news: array<struct<news_id: bigint, content: string>>, fundamentals: struct<roe: double, margin: double>, macro: map<string, double>, sector_return: double>"
+    parts = F.split("context", "\n\nannounced: ", 2)
+    c = c.withColumns({"j": F.from_json(parts[0], kind), "announced": F.regexp_extract("context", r"\}\n\n(announced: \S+)\n", 1)})
+    return c.select(
+        "asset", "d", F.size("j.news").cast("bigint").alias("n_news"), F.col("j.news")[0]["news_id"].alias("first_id"), F.aggregate("j.news", F.lit(0).cast("bigint"), lambda t, x: t + F.length(x["content"])).alias("n_chars"),
+        *(F.round(F.col(c), 6).alias(name) for c, name in (("j.fundamentals.roe", "roe"), ("j.fundamentals.margin", "margin"))), F.round(F.col("j.macro")["1-URGENT"], 6).alias("rate"), F.round("j.sector_return", 6).alias("sector_return"),
+        F.when(F.col("announced") != "", F.col("announced")).alias("announced"),
+    )
+
+
 @query("m8_event_weight", sql("select asset, d, case when has_event then 5.0 else 1.0 end::double as weight from scores", "scores"))
 def m8(spark, d):
     return v.scores(spark, d).select("asset", "d", event_weight(F.col("has_event")).cast("double").alias("weight"))
@@ -148,6 +183,15 @@ def m2(spark, d):
     return model.predict(m, p.filter("d >= date'2000-01-01'"), FEATURES).select("asset", "d", "y_pred", "rank")
 
 
+@query("m5_predict_universe")
+def m5(spark, d):
+    p = full_panel(spark, d).filter("y is not null")
+    ready = panel.impute_cross_section(p, filings.PANEL_FEATURES, "d", "1999-12-31")
+    m = model.train_gbt(ready.filter("d <= date'1999-12-31'"), filings.PANEL_FEATURES, trees=5)
+    news = v.news(spark, d).select("asset", F.col("published_at").cast("date").alias("d"), "published_at")
+    return model.predict_universe(m, p.filter("d > date'1999-12-31'"), filings.PANEL_FEATURES, news, "1999-12-31")
+
+
 @query("m3_staged_ic")
 def m3(spark, d):
     p = small_panel(spark, d).withColumn("fold", F.lit(1))

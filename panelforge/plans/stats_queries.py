@@ -44,10 +44,11 @@ def _boot(src: str, by: str, unit: str, scores: list[str], reps: int) -> str:
     """DuckDB's twin of stats.bootstrap_ic, on the expanded sample."""
     ics = ", ".join(f"case when var_pop(r_{s}) > 0 and var_pop(r_y) > 0 then corr(r_{s}, r_y) end as ic_{s}" for s in scores)
     ranks = ", ".join(f"{_rank(c, by + ', rep')} as r_{c}" for c in ["y", *scores])
+    same = " and ".join(f"x.{c} = u.{c}" for c in [*by.split(", "), unit])
     return f"""units as (select *, row_number() over (partition by {by} order by {unit}) - 1 as i, count(*) over (partition by {by}) as m from (select distinct {by}, {unit} from {src})),
         drawn as (select {by}, rep, floor({v._u(by, 'rep', 'i')} * m)::bigint as i from units, range({reps}) r(rep)),
         times as (select {by}, rep, i, count(*) as k from drawn group by all),
-        boot as (select x.*, t.rep from times t join units u using ({by}, i) join {src} x on x.{by} = u.{by} and x.{unit} = u.{unit}, range(t.k)),
+        boot as (select x.*, t.rep from times t join units u using ({by}, i) join {src} x on {same}, range(t.k)),
         reps as (select {by}, rep, {ics} from (select {by}, rep, {ranks} from boot) group by {by}, rep)"""
 
 
@@ -160,6 +161,15 @@ def a22(spark, d):
     return stats.variant_report(v.evaluations(spark, d), "model", "score", "y").select("model", *r6("ic"), "n", "n_distinct")
 
 
+@query("a22_variant_gaps", sql(f"""with e as (select *, tokens_in > 20 as event, tokens_out::double as base from evaluations)
+    select model, round(i.ic, 6) as ic, round(x.ic, 6) as ic_event, round(x.ic - b.ic, 6) as gap, i.n, k as n_distinct
+    from {_ic('e', 'model', 'score', 'y')} i join {_ic('(select * from e where event)', 'model', 'score', 'y')} x using (model) join {_ic('(select * from e where event)', 'model', 'base', 'y')} b using (model)
+    join (select model, count(distinct round(score, 6)) as k from evaluations group by 1) using (model)""", "evaluations"))
+def a22_gaps(spark, d):
+    e = v.evaluations(spark, d).withColumns({"event": F.col("tokens_in") > 20, "base": F.col("tokens_out").cast("double")})
+    return stats.variant_report(e, "model", "score", "y", "event", "base").select("model", *r6("ic", "ic_event", "gap"), "n", "n_distinct")
+
+
 @query("a23_latest_time", sql("select b.asset, b.d, m as latest from (select distinct asset, d from bars) b left join (select asset, published_at::date as d, max(published_at) as m from news group by 1, 2) using (asset, d)", "bars", "news"))
 def a23(spark, d):
     m = v.news(spark, d).groupBy("asset", F.col("published_at").cast("date").alias("d")).agg(F.max("published_at").alias("latest"))
@@ -178,6 +188,34 @@ def a25(spark, d):
     return stats.run_profile(v.trades(spark, d), reasons)
 
 
+_PARTS = ("full", "clean")
+_SUMMARY = [f"{c}_{part}" for part in _PARTS for c in ("ic", "lo", "hi", "gap")] + ["lexical_clean", "cost", "degraded_rate", "latency", "dispersion"]
+
+
+@query("a18_version_table", sql(f"""with e as (select *, model || year(d)::varchar as version, tokens_in > 10 as clean, tokens_in <= 5 as degraded, tokens_out::double as lexical from {_COST}),
+    p as (select *, 'full' as part from e union all select *, 'clean' from e where clean), {_boot('p', 'version, part', 'd', ['score'], 100)},
+    ci as (select version, part, quantile_cont(ic_score, 0.025) as lo, quantile_cont(ic_score, 0.975) as hi from reps where ic_score is not null group by 1, 2),
+    m as (select i.version, i.part, i.n, i.ic, l.ic as lexical, i.ic - l.ic as gap, lo, hi from {_ic('p', 'version, part', 'score', 'y')} i join {_ic('p', 'version, part', 'lexical', 'y')} l on i.version = l.version and i.part = l.part left join ci on i.version = ci.version and i.part = ci.part),
+    t as (select version, sum(cost) as cost, avg(degraded::int) as degraded_rate, quantile_cont(latency, 0.5) as latency, stddev_samp(score) filter (not degraded) as dispersion, (count(*) filter (not degraded and score = 0))::bigint as zeros from e group by 1)
+    select t.version, f.n as n_full, c.n as n_clean, zeros, round(f.ic, 6) as ic_full, round(f.lo, 6) as lo_full, round(f.hi, 6) as hi_full, round(f.gap, 6) as gap_full, round(c.ic, 6) as ic_clean, round(c.lo, 6) as lo_clean, round(c.hi, 6) as hi_clean, round(c.gap, 6) as gap_clean,
+           round(c.lexical, 6) as lexical_clean, round(cost, 6) as cost, round(degraded_rate, 6) as degraded_rate, round(latency, 6) as latency, round(dispersion, 6) as dispersion
+    from t left join (select * from m where part = 'full') f using (version) left join (select * from m where part = 'clean') c using (version)""", "evaluations"))
+def a18_table(spark, d):
+    e = costs(spark, d).withColumns({"version": F.concat("model", F.year("d").cast("string")), "clean": F.col("tokens_in") > 10, "degraded": F.col("tokens_in") <= 5, "lexical": F.col("tokens_out").cast("double")})
+    r = stats.version_summary(e, ["version"], "score", "lexical", "y", "clean", "degraded", "d")
+    return r.select("version", "n_full", "n_clean", "zeros", *r6(*_SUMMARY))
+
+
+@query("m4_plateau", sql(f"""with g as (select stage, avg(ic) as mean_ic, stddev_pop(ic) as sd from {_ic('(select *, month(d)::int as stage from evaluations)', 'model, stage', 'score', 'y')} group by 1),
+    b as (select * from g order by mean_ic desc, stage limit 1), f as (select min(g.stage) as first from g, b where g.mean_ic >= b.mean_ic - 0.5 * b.sd)
+    select g.stage, round(g.mean_ic, 6) as mean_ic, round(g.sd, 6) as sd, g.stage = case when first < 0.3 * b.stage then b.stage else first end as chosen from g, b, f""", "evaluations"))
+def m4(spark, d):
+    from ..operators.model import plateau_table
+
+    ics = stats.spearman(v.evaluations(spark, d).withColumn("stage", F.month("d")), ["model", "stage"], "score", "y")
+    return plateau_table(ics).select("stage", *r6("mean_ic", "sd"), "chosen")
+
+
 @query("f19_verdict", sql(f"select asset, case when ic is null then 'undefined' when ic > 0.15 then 'strong' when ic >= 0.10 then 'good' when ic >= 0 then 'weak' else 'negative' end as verdict from {_ic('signals', 'asset', 'score', 'y')}", "signals"))
 def f19(spark, d):
     return stats.spearman(v.signals(spark, d), ["asset"], "score", "y").select("asset", scalars.verdict(F.col("ic")).alias("verdict"))
@@ -292,12 +330,20 @@ def b9(spark, d):
     return pf.cooldown_gate(v.equity(spark, d), ["portfolio"], limit=0.02)
 
 
-@query("b10_dq_events", sql("select unnest(string_split(q, '|')) as kind, d, asset from (select asset, d, concat_ws('|', case when volume < 20 then 'zero volume' end, case when abs(close / lag(close) over (partition by asset order by d) - 1) > 0.30 then 'large move' end) as q from bars) where q <> ''", "bars"))
+_DQ = "select unnest(string_split(q, '|')) as kind, d, asset from (select asset, d, concat_ws('|', case when volume < 20 then 'zero volume' end, case when abs(close / lag(close) over (partition by asset order by d) - 1) > 0.30 then 'large move' end) as q from bars) where q <> ''"
+
+
+@query("b10_dq_events", sql(_DQ, "bars"))
 def b10(spark, d):
     b = panel.quality_flags(v.bars(spark, d).withColumn("volume", F.when(F.col("volume") < 20, 0).otherwise(F.col("volume"))), ["asset"])
     return pf.dq_events(b.filter("quality <> ''").withColumn("why", F.split("quality", "\\|")), "why", "d", "asset")
 
 
+@query("a25_top_warnings", sql(f"select kind, n, f.d as first_d, f.asset as first_asset from (select kind, count(*) as n, min({{'d': d, 'asset': asset}}) as f from ({_DQ}) group by 1) order by n desc, kind limit 5", "bars"))
+def a25_warnings(spark, d):
+    return stats.top_warnings(b10(spark, d))
+
+
 @query("b11_attribution", sql("select portfolio, reason, n, round(total, 4) as total, round(mean, 4) as mean, round(hit_rate, 6) as hit_rate, round(total / nullif(sum(total) over (partition by portfolio), 0), 6) as share from (select portfolio, reason, count(*) as n, sum(net) as total, avg(net) as mean, avg((net > 0)::int) as hit_rate from trades group by 1, 2)", "trades"))
 def b11(spark, d):
     a = pf.attribution(v.trades(spark, d), ["portfolio"], "reason")

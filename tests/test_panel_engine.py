@@ -1,6 +1,7 @@
 """Analytic values and edge rules of the panel engine."""
 
 import datetime as dt
+import json
 from difflib import SequenceMatcher
 
 import numpy as np
@@ -257,3 +258,43 @@ def test_cooldown_ends_and_starts_again(spark):
     first = got.index(True)
     assert first == 21 and not all(got[first:]) and got[first : first + 5] == [True] * 5
     assert not any(got[45:])  # by then the top has left the window
+
+
+def test_context_as_of_the_day(spark):
+    day = lambda x: F.lit(x).cast("date")
+    points = spark.createDataFrame([("A", "s", 7), ("B", "s", 7)], "asset string, sector string, extra int").withColumn("d", day("2020-03-10"))
+    news = spark.createDataFrame([("A", i, f"t{i}", "b", "src", float(i % 3)) for i in range(10)], "asset string, news_id bigint, title string, body string, source string, source_weight double")
+    news = news.withColumns({"d": day("2020-03-10"), "published_at": F.lit("2020-03-10 10:00:00").cast("timestamp")})
+    fundamentals = spark.createDataFrame([("A", "2020-03-01", 5.0), ("A", "2020-03-11", 9.0)], "asset string, r string, pe double").select("asset", F.col("r").cast("date").alias("received_on"), "pe", *(F.lit(None).cast("double").alias(c) for c in ("pb", "roe", "margin", "leverage")))
+    macro = spark.createDataFrame([("rate", "2020-01-11", 4.0), ("rate", "2020-04-11", 3.0)], "series string, a string, value double").select("series", F.col("a").cast("date").alias("available_on"), "value")
+    bars = spark.createDataFrame([("A", "2020-03-02", 10.0), ("A", "2020-03-09", 11.0), ("A", "2020-03-11", 99.0)], "asset string, t string, close double").select("asset", F.col("t").cast("date").alias("d"), "close")
+    earnings = spark.createDataFrame([("A", 2.0)], "asset string, realized double").select("asset", day("2020-03-05").alias("announced_on"), "realized", *(F.lit(None).cast("double").alias(c) for c in ("comparable", "estimated", "move_pct")))
+    got = {r.asset: r for r in filings.build_context(points, news, fundamentals, macro, bars, earnings, ["rate", "fx"]).collect()}
+    assert got["A"].extra == 7
+    text, block = got["A"].context.split("\n\n")
+    j = json.loads(text)
+    assert [n["news_id"] for n in j["news"]] == [2, 5, 8, 1, 4, 7, 0, 3] and j["fundamentals"] == {"pe": 5.0} and j["macro"] == {"rate": 4.0}
+    assert j["sector_return"] == pytest.approx(0.1) and block.startswith("announced: 2020-03-05\nrealized: 2.00")
+    assert json.loads(got["B"].context)["news"] == [] and "fundamentals" not in json.loads(got["B"].context)
+    hidden = {r.asset: json.loads(r.context) for r in filings.build_context(points, news, fundamentals, macro, bars, earnings, ["rate"], hidden=True).collect()}
+    assert set(hidden["A"]) == {"day", "news"} and len(hidden["A"]["news"]) == 8
+
+
+def test_plateau_takes_the_first_near_the_best(spark):
+    ics = spark.createDataFrame([(f, s, ic + 0.02 * f) for f in (0, 1) for s, ic in ((1, 0.0), (4, 0.095), (8, 0.1))], "fold int, stage int, ic double")
+    assert {r.stage: r.chosen for r in model.plateau_table(ics).collect()} == {1: False, 4: True, 8: False}
+
+
+def test_universe_prediction_keeps_the_measured_volume(spark):
+    rows = [("A", 1.0, 0.1, True), ("B", None, 0.3, False), ("C", 2.0, 0.2, True)]
+    p = spark.createDataFrame(rows, "asset string, relative_volume double, score double, has_event boolean").withColumns({"sector": F.lit("s"), "d": F.lit("2020-01-02").cast("date"), "y": F.col("score")})
+    m = model.train_gbt(p.filter("relative_volume is not null").unionByName(p.filter("relative_volume is not null")), ["relative_volume", "score"], trees=2)
+    news = spark.createDataFrame([("A", "2020-01-02 09:00:00"), ("A", "2020-01-02 10:00:00"), ("B", "2020-01-02 10:00:00")], "asset string, t string").select("asset", F.col("t").cast("date").alias("d"), F.col("t").cast("timestamp").alias("published_at"))
+    got = {r.asset: r for r in model.predict_universe(m, p, ["relative_volume", "score"], news, "2019-12-31").collect()}
+    assert got["B"].relative_volume is None and got["B"].latest_news is None and got["A"].latest_news.hour == 10 and got["C"].latest_news is None
+    assert sorted(r["rank"] for r in got.values()) == [1, 2, 3] and got["C"]["rank"] < got["A"]["rank"]
+
+
+def test_top_warnings_with_first_examples(spark):
+    dq = spark.createDataFrame([("x", "2020-01-03", "A"), ("x", "2020-01-02", "B"), ("y", "2020-01-01", "A"), ("z", "2020-01-01", "A")], "kind string, d string, asset string")
+    assert [tuple(r) for r in stats.top_warnings(dq, 2).collect()] == [("x", 2, "2020-01-02", "B"), ("y", 1, "2020-01-01", "A")]
