@@ -45,6 +45,10 @@ class Mixture:
     variances: list[list[float]]
     errors: list[list[float]] = field(default_factory=list)
     least: float = 0.0
+    #: Share of the token budget by which each domain misses its target after all steps.
+    residuals: dict[str, float] = field(default_factory=dict)
+    #: Domains with a target that no labelled document has, or no document's tokens.
+    unmet: list[str] = field(default_factory=list)
 
     def posterior(self, f: Column) -> Column:
         """Gaussian naive Bayes posteriors, in the order of `domains`."""
@@ -77,6 +81,10 @@ def fit_mixture(docs: DataFrame, labelled: DataFrame, targets: dict[str, float],
     the step of 1 is the inverse of the objective's largest curvature. A step is one aggregation
     of one number a domain; steps end where targets are met or nothing moves. `least` is the
     smallest rate allowed, 0 or more: with 1 no document is dropped. Without labelled documents or tokens every rate is 1.
+
+    `residuals` of the result tells by how much of the budget each domain misses its target, and
+    `unmet` the domains that can't be met: those without a labelled document, whose weight goes
+    to the others in proportion, and those without expected tokens, with which every rate is 1.
     """
     f = features(docs.select(F.col(id_col).alias("_mix_id"), F.col(text_col).alias("_mix_text")), "_mix_text").select("_mix_id", "_mix_t", "_mix_f")
     held = materialize(f)
@@ -84,9 +92,10 @@ def fit_mixture(docs: DataFrame, labelled: DataFrame, targets: dict[str, float],
     stats = [x for k in range(len(FEATURES)) for x in (F.avg(F.col("_mix_f")[k]).alias(f"m{k}"), F.var_pop(F.col("_mix_f")[k]).alias(f"v{k}"))]
     rows = sorted(held.join(known, "_mix_id").groupBy("_mix_domain").agg(F.count("*").alias("n"), *stats).collect(), key=lambda r: r["_mix_domain"])
     if not rows:
-        return Mixture(["all"], [1.0], [[0.0] * len(FEATURES)], [[1.0] * len(FEATURES)], least=least)
+        return Mixture(["all"], [1.0], [[0.0] * len(FEATURES)], [[1.0] * len(FEATURES)], least=least, unmet=sorted(targets))
     total = sum(r["n"] for r in rows)
     mix = Mixture([r["_mix_domain"] for r in rows], [r["n"] / total for r in rows], [[r[f"m{k}"] for k in range(len(FEATURES))] for r in rows], [[max(r[f"v{k}"], 1e-3) for k in range(len(FEATURES))] for r in rows], least=least)
+    mix.unmet = sorted(set(targets) - set(mix.domains))
     kinds = range(len(rows))
     soft = materialize(held.select("_mix_t", mix.posterior(F.col("_mix_f")).alias("p")))
 
@@ -99,6 +108,7 @@ def fit_mixture(docs: DataFrame, labelled: DataFrame, targets: dict[str, float],
     weight = [targets[d] for d in mix.domains]
     weight = [w / sum(weight) for w in weight]
     if not all(start):
+        mix.unmet = sorted({*mix.unmet, *(d for d, a in zip(mix.domains, start, strict=True) if not a)})
         return mix
     budget = max(a / w for a, w in zip(start, weight, strict=True) if w > 0)
     far = lambda a, b: max(abs(x - y) for x, y in zip(a, b, strict=True)) > tolerance * budget
@@ -106,6 +116,7 @@ def fit_mixture(docs: DataFrame, labelled: DataFrame, targets: dict[str, float],
     while len(mix.errors) < steps and far(now, goal) and far(now, last):
         mix.errors.append([(a - g) / s for a, g, s in zip(now, goal, start, strict=True)])
         last, now = now, masses()
+    mix.residuals = {d: (a - g) / budget for d, a, g in zip(mix.domains, now, goal, strict=True)}
     return mix
 
 

@@ -252,11 +252,15 @@ def test_mixing_meets_its_targets(spark):
     good = mix.domains.index("good")
     mass = [sum(x.rate * x.n_tokens * x.posterior[k] for x in r) for k in range(2)]
     assert mass[good] / sum(mass) == pytest.approx(0.9, abs=0.01) and all(x.rate >= 0 for x in r)
+    assert set(mix.residuals) == {"good", "bad"} and max(map(abs, mix.residuals.values())) < 1e-3 and mix.unmet == []
+    assert mixing.fit_mixture(docs, lab, {"good": 0.5, "bad": 0.2, "never": 0.3}).unmet == ["never"]
     out = mixing.apply_rates(docs.withColumnRenamed("source", "_mix_f"), mixing.fit_mixture(docs, lab, {"good": 0.9, "bad": 0.1}, least=1.0))
     assert out.select("doc_id").distinct().count() == 200 and "_mix_f" in out.columns
     odd = mixing.document_rates(frame(spark, ODD), mix)
     assert odd.count() == len(ODD) and odd.filter("rate is null or isnan(rate)").count() == 0
-    assert mixing.document_rates(docs, mixing.fit_mixture(docs, lab.limit(0), {"good": 1.0})).filter("rate <> 1").count() == 0
+    untaught = mixing.fit_mixture(docs, lab.limit(0), {"good": 1.0})
+    assert mixing.document_rates(docs, untaught).filter("rate <> 1").count() == 0 and untaught.unmet == ["good"]
+    assert mixing.fit_mixture(docs.limit(0), lab, {"good": 1.0}).unmet == ["good"]
 
 
 def test_toxicity_learns_from_confirmed_rows(spark):
