@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from multiprocessing.pool import ThreadPool
+
+from pyspark import inheritable_thread_target
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.regression import GBTRegressionModel, GBTRegressor
 from pyspark.sql import DataFrame
@@ -84,23 +88,30 @@ def predict_universe(model: GBTRegressionModel, panel: DataFrame, features: list
     return j.select("asset", "d", "y_pred", "score", "has_event", "rank", F.col("_raw").alias("relative_volume"), "latest_news", "sector")
 
 
-def walk_forward(panel: DataFrame, features: list[str], months: list[str], ahead: int = 5, embargo: int = 5, least: int = 20, trees: int = 10) -> DataFrame:
+def walk_forward(panel: DataFrame, features: list[str], months: list[str] | None = None, ahead: int = 5, embargo: int = 5, least: int = 20, trees: int = 10, parallel: int = 4) -> DataFrame:
     """Predictions for each month from a model fitted on rows whose labels end an embargo before its first day.
 
-    The loop runs over months; each fit and each prediction is a Spark job on the panel (with `ord`).
+    `months` (yyyy-MM) are all of the panel where none are named; those with fewer than `least`
+    training rows have no prediction. The panel (with `ord`) should be a written table: one
+    aggregation finds the months' bounds, then each fit and each prediction is a Spark job on
+    it, `parallel` months at a time.
     """
-    out = None
-    for m in months:
-        test = panel.filter(F.date_format("d", "yyyy-MM") == m)
-        start = test.agg(F.min("ord")).first()[0]
-        if start is None:
-            continue
-        train = panel.filter(F.col("ord") + ahead + embargo <= start)
-        if train.limit(least).count() < least:
-            continue
-        part = predict(train_gbt(train, features, trees=trees), test, features).withColumn("month", F.lit(m))
-        out = part if out is None else out.unionByName(part)
-    return out if out is not None else panel.limit(0).withColumns({"y_pred": F.lit(None).cast("double"), "rank": F.lit(None).cast("int"), "month": F.lit(None).cast("string")})
+    month = F.date_format("d", "yyyy-MM")
+    days = panel.groupBy("ord", month.alias("month")).agg(F.count("*").alias("n")).collect()
+    starts: dict[str, int] = {}
+    for r in days:
+        starts[r["month"]] = min(r["ord"], starts.get(r["month"], r["ord"]))
+    asked = [m for m in sorted(starts) if months is None or m in months]
+    asked = [m for m in asked if sum(r["n"] for r in days if r["ord"] + ahead + embargo <= starts[m]) >= least]
+
+    def one(m: str) -> DataFrame:
+        model = train_gbt(panel.filter(F.col("ord") + ahead + embargo <= starts[m]), features, trees=trees)
+        return predict(model, panel.filter(month == m), features).withColumn("month", F.lit(m))
+
+    with ThreadPool(max(1, parallel)) as pool:
+        parts = pool.map(inheritable_thread_target(panel.sparkSession)(one), asked)
+    empty = panel.limit(0).withColumns({"y_pred": F.lit(None).cast("double"), "rank": F.lit(None).cast("int"), "month": F.lit(None).cast("string")})
+    return reduce(DataFrame.unionByName, parts) if parts else empty
 
 
 def importance_signs(model: GBTRegressionModel, df: DataFrame, features: list[str], expected: dict[str, int]) -> DataFrame:

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions.scalars import event_weight
 from ..operators import filings, model, panel
+from ..sources.shared import new_path
 from ..streaming import twins
 from . import views as v
 from .registry import query
@@ -201,7 +202,9 @@ def m3(spark, d):
 
 @query("m6_walk_forward")
 def m6(spark, d):
-    return model.walk_forward(small_panel(spark, d), FEATURES, ["2000-01", "2000-02"], trees=3).select("asset", "d", "y_pred", "rank", "month")
+    path = new_path(spark, "panel")
+    small_panel(spark, d).write.parquet(path)
+    return model.walk_forward(spark.read.parquet(path), FEATURES, trees=3, parallel=8).select("asset", "d", "y_pred", "rank", "month")
 
 
 @query("m7_importance_signs")

@@ -298,3 +298,14 @@ def test_universe_prediction_keeps_the_measured_volume(spark):
 def test_top_warnings_with_first_examples(spark):
     dq = spark.createDataFrame([("x", "2020-01-03", "A"), ("x", "2020-01-02", "B"), ("y", "2020-01-01", "A"), ("z", "2020-01-01", "A")], "kind string, d string, asset string")
     assert [tuple(r) for r in stats.top_warnings(dq, 2).collect()] == [("x", 2, "2020-01-02", "B"), ("y", 1, "2020-01-01", "A")]
+
+
+def test_walk_forward_learns_from_the_past_alone(spark):
+    days = [D(2020, 1, 1) + dt.timedelta(k) for k in range(90)]
+    p = spark.createDataFrame([(f"a{i}", day, k, float(i), float(i) * (1 if k < 60 else -1), False) for k, day in enumerate(days) for i in range(4)], "asset string, d date, ord int, x double, y double, has_event boolean")
+    got = model.walk_forward(p, ["x"], trees=2).collect()
+    assert {r.month for r in got} == {"2020-02", "2020-03"} and len(got) == 4 * (29 + 30)
+    # what turns in March isn't known before its labels end an embargo earlier
+    assert all(r["rank"] == 1 for r in got if r.asset == "a3")
+    assert {r.month for r in model.walk_forward(p, ["x"], ["2020-03"], trees=2).collect()} == {"2020-03"}
+    assert model.walk_forward(p.limit(0), ["x"]).count() == 0
