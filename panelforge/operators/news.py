@@ -57,6 +57,11 @@ def similarity_ratio(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series([SequenceMatcher(None, x or "", y or "").ratio() for x, y in zip(a, b, strict=True)])
 
 
+def _sign_counts(title: Column) -> Column:
+    """How often each sign that a normalised title can have stands in it."""
+    return F.array(*(F.length(title) - F.length(F.translate(title, c, "")) for c in " abcdefghijklmnopqrstuvwxyz0123456789"))
+
+
 def levenshtein_ratio(a: Column, b: Column) -> Column:
     """1 - edit distance / longer length; 1 for two empty texts."""
     longer = F.greatest(F.length(a), F.length(b))
@@ -80,13 +85,17 @@ def dedupe_fuzzy(df: DataFrame, by: list[str], title: str, ts: str, order: list[
     seconds = hours * 3600
     t = F.unix_timestamp(F.col(ts).cast("timestamp"))
     rows = df.select(*by, F.col(uid).alias("_u"), normalize_title(F.col(title)).alias("_title"), t.alias("_s"), F.struct(*[-F.col(c) for c in order], F.col(uid)).alias("_o"))
+    bounded = ratio is similarity_ratio
+    rows = rows.withColumn("_signs", _sign_counts(F.col("_title")) if bounded else F.lit(None))
     a = rows.withColumn("_b", F.floor(F.col("_s") / seconds))
     b = rows.withColumn("_b", F.explode(F.array(F.floor(F.col("_s") / seconds) - 1, F.floor(F.col("_s") / seconds), F.floor(F.col("_s") / seconds) + 1)))
-    other = b.select(*by, "_b", F.col("_u").alias("_v"), F.col("_title").alias("_title2"), F.col("_s").alias("_s2"), F.col("_o").alias("_o2"))
+    other = b.select(*by, "_b", F.col("_u").alias("_v"), F.col("_title").alias("_title2"), F.col("_s").alias("_s2"), F.col("_o").alias("_o2"), F.col("_signs").alias("_signs2"))
     near = a.join(other, [*by, "_b"]).filter((F.col("_o") < F.col("_o2")) & (F.abs(F.col("_s") - F.col("_s2")) < seconds))
-    # no ratio can pass where the lengths differ too much
-    la, lb = F.length("_title"), F.length("_title2")
-    near = near.filter(2 * F.least(la, lb) > threshold * (la + lb)) if ratio is similarity_ratio else near
+    if bounded:
+        # what two titles share is at most what their counts of signs and their lengths share
+        la, lb = F.length("_title"), F.length("_title2")
+        shared = F.aggregate(F.zip_with("_signs", "_signs2", lambda x, y: F.least(x, y)), F.lit(0), lambda n, x: n + x)
+        near = near.filter((2 * F.least(la, lb) > threshold * (la + lb)) & (2 * shared > threshold * (la + lb)))
     edges = _written(near.filter(ratio(F.col("_title"), F.col("_title2")) > threshold).select(F.col("_u").alias("first"), F.col("_v").alias("then")))
     open_edges, gone = edges, df.select(F.col(uid).alias("_gone")).limit(0)
     while not open_edges.isEmpty():
@@ -186,7 +195,7 @@ def parse_report(records: DataFrame) -> DataFrame:
 
 def anonymize_entities(df: DataFrame, names: DataFrame, key: str, cols: list[str]) -> DataFrame:
     """cols with the literal name of the row's entity replaced, whatever its case; names: (key, name, replacement)."""
-    j = df.join(F.broadcast(names), key, "left")
+    j = df.join(names, key, "left")
     quoted = F.concat(F.lit("(?i)"), F.regexp_replace(F.col("name"), "([\\\\.^$|?*+()\\[\\]{}])", "\\\\$1"))
     return j.withColumns({c: F.when(F.col("name").isNull(), F.col(c)).otherwise(F.regexp_replace(F.col(c), quoted, F.col("replacement"))) for c in cols}).drop("name", "replacement")
 

@@ -132,7 +132,7 @@ def sector_returns(bars: DataFrame, universe: DataFrame, at, days: int = 60) ->
     """Per sector: mean, median and number of the assets' last/first - 1 within the calendar days up to `at`."""
     inside = bars.filter((F.col("d") <= F.lit(at)) & (F.col("d") >= F.date_sub(F.lit(at).cast("date"), days)))
     own = inside.groupBy("asset").agg((F.max_by("close", "d") / F.min_by("close", "d") - 1).alias("r"), F.count("*").alias("points")).filter("points >= 2")
-    return own.join(F.broadcast(universe.select("asset", "sector")), "asset").groupBy("sector").agg(F.avg("r").alias("mean"), F.median("r").alias("median"), F.count("*").alias("n"))
+    return own.join(universe.select("asset", "sector"), "asset").groupBy("sector").agg(F.avg("r").alias("mean"), F.median("r").alias("median"), F.count("*").alias("n"))
 
 
 def trailing_drawdown(df: DataFrame, by: list[str], order: str, col: str = "equity", rows: int = 21) -> DataFrame:

@@ -42,7 +42,8 @@ def bootstrap_ic(df: DataFrame, by: list[str], unit: str, scores: list[str], y:
     """(by..., rep, ic_<score>...): rank correlations of resampled units (rows, dates or blocks).
 
     A replicate draws as many units as there are, with replacement, by hashes; what is joined
-    to the rows is each unit's multiplicity, so rows aren't repeated. Correlations are Pearson's
+    to the rows is each unit's multiplicity, so a row stands once in each replicate that draws it
+    (some 0.63 of them), however often. Correlations are Pearson's
     over weighted mid-ranks, which equals Spearman's on the expanded sample; all scores share
     the draws, so differences are paired.
     """

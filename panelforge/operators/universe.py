@@ -14,13 +14,13 @@ def _member(day: Column) -> Column:
 
 def active_universe(dates: DataFrame, universe: DataFrame, day: str = "d") -> DataFrame:
     """(day, asset, sector) for each asset that is a member on the day, both ends included. The universe is a list of names, broadcast."""
-    return dates.join(F.broadcast(universe), _member(F.col(day))).select(day, "asset", "sector")
+    return dates.join(universe, _member(F.col(day))).select(day, "asset", "sector")
 
 
 def clip_to_membership(bars: DataFrame, universe: DataFrame, day: str = "d") -> DataFrame:
     """bars without days after an asset's exit; assets outside the universe stay."""
     u = universe.select("asset", "valid_to")
-    return bars.join(F.broadcast(u), "asset", "left").filter(F.col("valid_to").isNull() | (F.col(day) <= F.col("valid_to"))).drop("valid_to")
+    return bars.join(u, "asset", "left").filter(F.col("valid_to").isNull() | (F.col(day) <= F.col("valid_to"))).drop("valid_to")
 
 
 def asof_cut(df: DataFrame, ts: str, cutoff) -> DataFrame:
@@ -53,12 +53,12 @@ def weight_sources(df: DataFrame, whitelist: DataFrame, domain: str, url: str) -
 
 def resolve_names(df: DataFrame, names: DataFrame) -> DataFrame:
     """df with `display`, the asset's name, else the asset itself."""
-    return df.join(F.broadcast(names.select("asset", "name")), "asset", "left").withColumn("display", F.coalesce("name", "asset")).drop("name")
+    return df.join(names.select("asset", "name"), "asset", "left").withColumn("display", F.coalesce("name", "asset")).drop("name")
 
 
 def attach_sector(df: DataFrame, universe: DataFrame, strict: bool = True) -> DataFrame:
     """df with `sector`; with `strict` reading an unknown asset raises."""
-    j = df.join(F.broadcast(universe.select("asset", "sector")), "asset", "left")
+    j = df.join(universe.select("asset", "sector"), "asset", "left")
     if strict:
         return j.withColumn("sector", F.when(F.col("sector").isNull(), F.raise_error(F.concat(F.lit("unknown asset "), F.col("asset"))).cast("int")).otherwise(F.col("sector")))
     return j
@@ -66,7 +66,7 @@ def attach_sector(df: DataFrame, universe: DataFrame, strict: bool = True) -> Da
 
 def sector_peer(dates: DataFrame, universe: DataFrame, order: str = "k", day: str = "d") -> DataFrame:
     """(day, asset, peer): the first other active asset of the sector in universe order, else null."""
-    act = dates.join(F.broadcast(universe), _member(F.col(day))).select(day, "asset", "sector", order)
+    act = dates.join(universe, _member(F.col(day))).select(day, "asset", "sector", order)
     by = Window.partitionBy(day, "sector").orderBy(order)
     first = F.first("asset").over(by.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
     second = F.nth_value("asset", 2).over(by.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))

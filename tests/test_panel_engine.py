@@ -309,3 +309,23 @@ def test_walk_forward_learns_from_the_past_alone(spark):
     assert all(r["rank"] == 1 for r in got if r.asset == "a3")
     assert {r.month for r in model.walk_forward(p, ["x"], ["2020-03"], trees=2).collect()} == {"2020-03"}
     assert model.walk_forward(p.limit(0), ["x"]).count() == 0
+
+
+def test_fuzzy_dedupe_equals_a_greedy_loop(spark):
+    rng = np.random.default_rng(5)
+    base = ["shares of the mill rise on strong sales", "shares of the mine rise on strong sales", "rates stay where they are", "rates fall"]
+    data = []
+    for i in range(120):
+        t = list(base[rng.integers(4)])
+        for _ in range(rng.integers(0, 8)):
+            t[rng.integers(len(t))] = rng.choice(list("abcxyz "))
+        data.append((i, "ab"[i % 2], "".join(t) if i % 17 else None, dt.datetime(2024, 1, 1) + dt.timedelta(hours=int(rng.integers(0, 120))), float(rng.integers(1, 4))))
+    df = spark.createDataFrame(data, "id int, asset string, title string, ts timestamp, weight double")
+    got = {r.id for r in news.dedupe_fuzzy(df, ["asset"], "title", "ts", ["weight"], "id").collect()}
+    norm = {r.id: r.t for r in df.select("id", scalars.normalize_title(F.col("title")).alias("t")).collect()}
+    kept: list[tuple] = []
+    for row in sorted(data, key=lambda r: (-r[4], r[0])):
+        near = (k for k in kept if k[1] == row[1] and abs((k[3] - row[3]).total_seconds()) < 86400)
+        if not any(norm[k[0]] is not None and norm[row[0]] is not None and SequenceMatcher(None, norm[k[0]], norm[row[0]]).ratio() > 0.85 for k in near):
+            kept.append(row)
+    assert got == {k[0] for k in kept} and 20 < len(got) < 110
