@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -24,8 +25,8 @@ def stream_daily(df: DataFrame, by: list[str], ts: str, value: str, late: str =
     return g.select(F.col("window.start").cast("date").alias("d"), *by, "n", "total")
 
 
-def stream_cooldown(df: DataFrame, limit: float = 0.10, days: int = 7, rows: int = 21) -> DataFrame:
-    """(portfolio, d, blocked) of an equity stream (portfolio, d, equity): a fall of more than `limit` from the top of the last `rows` values blocks `days` calendar days.
+def stream_cooldown(df: DataFrame, limit: float = 0.10, bdays: int = 5, rows: int = 21) -> DataFrame:
+    """(portfolio, d, blocked) of an equity stream (portfolio, d, equity): a fall of more than `limit` from the top of the last `rows` values blocks `bdays` days from Monday to Friday, as `cooldown_gate` has it.
 
     The state of a portfolio is its last values and one date; rows of a batch are taken in the order of d.
     """
@@ -38,9 +39,9 @@ def stream_cooldown(df: DataFrame, limit: float = 0.10, days: int = 7, rows: int
         for d, e in zip(pdf["d"], pdf["equity"], strict=True):
             last = [*last, float(e)][-rows:]
             fall = (max(last) - e) / max(last) if len(last) >= rows else 0.0
-            if str(d) >= until and fall > limit:
-                until = str(d + pd.Timedelta(days=days))[:10]
-            out.append((key[0], d, str(d) < until))
+            if str(d)[:10] >= until and fall > limit:
+                until = str(np.busday_offset(str(d)[:10], bdays, roll="backward"))
+            out.append((key[0], d, str(d)[:10] < until))
         state.update((last, until))
         yield pd.DataFrame(out, columns=["portfolio", "d", "blocked"])
 

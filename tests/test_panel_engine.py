@@ -329,3 +329,15 @@ def test_fuzzy_dedupe_equals_a_greedy_loop(spark):
         if not any(norm[k[0]] is not None and norm[row[0]] is not None and SequenceMatcher(None, norm[k[0]], norm[row[0]]).ratio() > 0.85 for k in near):
             kept.append(row)
     assert got == {k[0] for k in kept} and 20 < len(got) < 110
+
+
+def test_stream_cooldown_is_the_gate(spark, tmp_path):
+    rng = np.random.default_rng(7)
+    rows = [(p, D(2024, 1, 1) + dt.timedelta(k), float(100 + 12 * rng.standard_normal())) for p in "pq" for k in range(70)]
+    df = spark.createDataFrame(rows, "portfolio string, d date, equity double")
+    df.write.parquet(str(tmp_path / "e"))
+    got = twins.run_once(spark, twins.stream_cooldown(spark.readStream.schema(df.schema).parquet(str(tmp_path / "e"))), "cooldown_test")
+    want = portfolio.cooldown_gate(df, ["portfolio"])
+    key = lambda x: {(r.portfolio, r.d): r.blocked for r in x.select("portfolio", "d", "blocked").collect()}
+    told = key(got)
+    assert told == key(want) and 0 < sum(told.values()) < 140
