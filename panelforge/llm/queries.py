@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import dedup, licences, mixing, near, packing, pages, quality, tokens, topk, toxicity
+from . import dedup, licences, mixing, near, packing, pages, quality, repair, tokens, topk, toxicity
 from .common import read_table
 
 
@@ -64,6 +64,10 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score_toxicity(docs, toxicity.train_toxicity(docs, read_table(spark, sf_dir, "labels")))
 
 
+def op12_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repair.repair_conversations(read_table(spark, sf_dir, "conversations"), damage=True)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_html_extraction": op1_html_extraction,
     "op2_jaccard_join": op2_jaccard_join,
@@ -75,8 +79,17 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_topk_search": op8_topk_search,
     "op9_mixing": op9_mixing,
     "op10_toxicity": op10_toxicity,
+    "op12_conversation_repair": op12_conversation_repair,
 }
 
+
+def _crc32(text: str) -> str:
+    """DuckDB SQL of the unsigned crc32 of an ASCII text."""
+    shifts = ", ".join(["-1"] * 8)
+    step = "case when v >= 0 then xor(a, v) else xor(a >> 1, (a & 1) * 3988292384) end"
+    return f"xor(list_reduce(list_prepend(4294967295::bigint, flatten(list_transform(string_split({text}, ''), lambda ch: [ascii(ch)::bigint, {shifts}]))), lambda a, v: {step}), 4294967295)"
+
+
 ORACLE_SQL: dict[str, str] = {
     "op5_exact_dedup": r"""
         with t as (select doc_id, sha256(regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g')) as text_sha256 from documents)
@@ -92,4 +105,53 @@ ORACLE_SQL: dict[str, str] = {
              r as (select *, row_number() over (partition by query_id order by score desc, vec_id) as rank from s)
         select query_id, rank::int as rank, vec_id, score from r where rank <= 5
     """,
+    # rows one by one, with the best edits for each place in the order of roles
+    "op12_conversation_repair": rf"""
+        with recursive base as (
+            select conv_id, turn, coalesce(role, ' ') as role, coalesce(text, ' ') as text,
+                   {_crc32("(coalesce(conv_id::varchar, ' ') || ':' || coalesce(turn::varchar, ' '))")} % 20 as hit from conversations),
+        damaged as (
+            select conv_id, turn, case hit when 4 then 'user' else role end as role, unnest(range(case hit when 0 then 0 when 3 then 2 else 1 end)) as copy,
+                   case hit when 1 then '' when 2 then regexp_replace(text, '[.!?]', '', 'g') else text end as text from base),
+        numbered as (
+            select *, row_number() over (partition by conv_id order by turn nulls first, role, sha256(length(role) || ':' || role || text)) as n,
+                   regexp_extract(text, '([^\x20\x09-\x0D])[\x20\x09-\x0D]*$', 1) as tail from damaged),
+        seen as (select *, row_number() over (partition by conv_id, role, text order by n) as time from numbered),
+        rows_ as (
+            select *, left(role, 1) as i, case when tail = '' then 'blank' when time > 1 then 'duplicate' when tail not in ('.', '!', '?') then 'truncated' end as fault,
+                   lag(left(role, 1)) over (partition by conv_id order by n) as before from seen),
+        ins(p, q, c, a) as (values (0,0,0,''), (0,2,3,'I'), (0,3,6,'II'), (1,1,0,''), (1,2,3,'I'), (1,3,6,'II'), (2,2,0,''), (2,3,3,'I'), (3,3,0,''), (3,2,3,'I')),
+        ops(p, q, c, a, i) as (values (0,0,4,'D',''), (1,1,4,'D',''), (2,2,4,'D',''), (3,3,4,'D',''), (0,2,3,'R',''), (1,2,3,'R',''), (3,2,3,'R',''), (2,3,3,'R',''),
+                                      (0,1,0,'K','s'), (0,2,0,'K','u'), (1,2,0,'K','u'), (3,2,0,'K','u'), (2,3,0,'K','a')),
+        ids as (select distinct conv_id from conversations),
+        best as (
+            select conv_id, 0::bigint as n, 0 as p, 0::bigint as cost, '' as audit from ids
+            union all
+            select conv_id, n, p, cost, audit from (
+                select *, row_number() over (partition by conv_id, p order by cost, audit) as k from (
+                    select b.conv_id, b.n + 1 as n, o.q as p, b.audit || e.a || o.a as audit,
+                           b.cost + e.c + o.c + case when r.fault = 'truncated' and o.a <> 'D' then 3 else 0 end as cost
+                    from best b join rows_ r on r.conv_id is not distinct from b.conv_id and r.n = b.n + 1
+                    join ins e on e.p = b.p join ops o on o.p = e.q and (o.i = '' or o.i = r.i) and (o.a = 'D' or coalesce(r.fault, '') not in ('blank', 'duplicate'))))
+            where k = 1),
+        ended as (
+            select conv_id, min((b.cost + e.c, b.audit || e.a)) as x, max(n) as n from best b join ins e on e.p = b.p and e.q in (0, 3)
+            where n = (select count(*) from rows_ r where r.conv_id is not distinct from b.conv_id) group by conv_id),
+        edits as (
+            select conv_id, spot, x[2][spot] as op, len(replace(x[2][:spot], 'I', '')) as n, len(replace(x[2][:spot], 'D', '')) as m
+            from (select conv_id, x, unnest(range(1, len(x[2]) + 1)) as spot from ended)),
+        written as (
+            select e.conv_id, e.spot, e.op, e.m, r.role, r.text, max(case when e.m = 1 and e.op = 'K' and r.i = 's' then 1 else 0 end) over (partition by e.conv_id) as s
+            from edits e left join rows_ r on e.op <> 'I' and r.conv_id is not distinct from e.conv_id and r.n = e.n where e.op <> 'D'),
+        repaired as (
+            select conv_id, string_agg(case when op = 'K' then role when (m - s) % 2 = 1 then 'user' else 'assistant' end || ':' || case when op = 'I' then '' else text end, chr(10) order by spot) as t
+            from written group by conv_id),
+        counts as (
+            select conv_id, coalesce(max(turn) - min(turn) + 1 - count(distinct turn), 0) as gaps, count(*) filter (fault = 'blank') as blank, count(*) filter (fault = 'duplicate') as duplicate,
+                   count(*) filter (fault = 'truncated') as truncated, count(*) filter (before is not null and before || i not in ('su', 'ua', 'au')) as illegal from rows_ group by conv_id)
+        select ids.conv_id, coalesce(gaps, 0) as gaps, coalesce(blank, 0) as blank, coalesce(duplicate, 0) as duplicate, coalesce(truncated, 0) as truncated,
+               coalesce(illegal, 0) as illegal, x[1]::bigint as cost, x[2] as audit, sha256(coalesce(t, '')) as repaired_sha256
+        from ids join ended on ended.conv_id is not distinct from ids.conv_id left join counts on counts.conv_id is not distinct from ids.conv_id
+        left join repaired on repaired.conv_id is not distinct from ids.conv_id
+    """,
 }
