@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import dedup, licences, mixing, near, packing, pages, quality, repair, tokens, topk, toxicity
+from . import dedup, licences, merkle, mixing, near, packing, pages, quality, repair, tokens, topk, toxicity
 from .common import read_table
 
 
@@ -68,6 +68,11 @@ def op12_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repair.repair_conversations(read_table(spark, sf_dir, "conversations"), damage=True)
 
 
+def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents")
+    return merkle.manifest(docs, tampered={"text": merkle.lowered_fifth(docs)})
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_html_extraction": op1_html_extraction,
     "op2_jaccard_join": op2_jaccard_join,
@@ -80,6 +85,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_mixing": op9_mixing,
     "op10_toxicity": op10_toxicity,
     "op12_conversation_repair": op12_conversation_repair,
+    "op13_merkle_manifest": op13_merkle_manifest,
 }
 
 
@@ -90,6 +96,31 @@ def _crc32(text: str) -> str:
     return f"xor(list_reduce(list_prepend(4294967295::bigint, flatten(list_transform(string_split({text}, ''), lambda ch: [ascii(ch)::bigint, {shifts}]))), lambda a, v: {step}), 4294967295)"
 
 
+def _tree(name: str, leaves: str, levels: int) -> str:
+    """DuckDB CTEs of a tree over (g, i, n, h): its levels name_0, name_1, ... and name_top."""
+    made = [f"{name}_0 as ({leaves})"]
+    for k in range(levels):
+        made.append(f"""{name}_{k + 1} as (select g, i // 16 as i, (n + 15) // 16 as n, sha256(string_agg(h, '' order by i)) as h
+            from {name}_{k} where n > 1 group by g, i // 16, n)""")
+    tops = " union all ".join(f"select g, h from {name}_{k} where n = 1" for k in range(levels + 1))
+    return ",\n".join([*made, f"{name}_top as ({tops})"])
+
+
+def _fold(name: str, levels: int, start: str) -> str:
+    """DuckDB CTEs that take rows of `start` (g, i, x, y, proof, ...) up a tree; y is folded, x their own node."""
+    made = [f"{name}_up_0 as ({start})"]
+    for k in range(levels):
+        made.append(f"""{name}_run_{k} as (select g, i // 16 as p, list(h order by i) as hs from {name}_{k} where n > 1 group by g, i // 16),
+        {name}_up_{k + 1} as (select u.* replace (u.i // 16 as i, case when hs is null then y
+                else sha256(array_to_string(hs[:u.i % 16], '') || y || array_to_string(hs[u.i % 16 + 2:], '')) end as y,
+                proof || case when hs is null then '' else array_to_string(hs[:u.i % 16], '') || array_to_string(hs[u.i % 16 + 2:], '') end as proof)
+            from {name}_up_{k} u left join {name}_run_{k} r on r.g is not distinct from u.g and r.p = u.i // 16)""")
+    return ",\n".join(made)
+
+
+_LEAF = "sha256(" + " || ".join(f"coalesce(strlen({v}::varchar)::varchar || ':' || {v}::varchar, '-')" for v in ("doc_id", "source", "lang", "n_chars", "{text}")) + ")"
+_TAMPERED = f"""case when {_crc32("doc_id::varchar")} % 5 = 0 then translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') else text end"""
+
 ORACLE_SQL: dict[str, str] = {
     "op5_exact_dedup": r"""
         with t as (select doc_id, sha256(regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g')) as text_sha256 from documents)
@@ -154,4 +185,15 @@ ORACLE_SQL: dict[str, str] = {
         from ids join ended on ended.conv_id is not distinct from ids.conv_id left join counts on counts.conv_id is not distinct from ids.conv_id
         left join repaired on repaired.conv_id is not distinct from ids.conv_id
     """,
+    # a tree of up to 16^6 leaves for each source, and of up to 16^4 sources
+    "op13_merkle_manifest": f"""
+        with leaves as materialized (
+            select doc_id, source as g, {_LEAF.format(text="text")} as h, {_LEAF.format(text=_TAMPERED)} as other,
+                   row_number() over (partition by source order by doc_id nulls first, {_LEAF.format(text="text")}) - 1 as i, count(*) over (partition by source) as n from documents),
+        {_tree("leaf", "select g, i, n, h from leaves", 6)},
+        {_tree("src", "select 0 as g, row_number() over (order by g nulls first) - 1 as i, count(*) over () as n, h, g as source from leaf_top", 4)},
+        {_fold("leaf", 6, "select doc_id, g, i, h as x, other as y, '' as proof from leaves")},
+        {_fold("src", 4, "select u.doc_id, s.g, s.i, u.x, u.y, u.proof, s.h as subroot from leaf_up_6 u join src_0 s on s.source is not distinct from u.g")}
+        select doc_id, x as leaf, subroot, t.h as root, sha256(proof) as proof_sha256, y as folded_root, y = t.h as verified from src_up_4, src_top t
+    """,
 }
