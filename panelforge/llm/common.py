@@ -43,10 +43,11 @@ class Scratch:
         self.spark, self.at = spark, f"{shared_folder(spark)}/scratch-{uuid.uuid4().hex}"
         self.count = 0
 
-    def keep(self, df: DataFrame) -> DataFrame:
+    def keep(self, df: DataFrame, *by: str) -> DataFrame:
+        """df, written and read again; in a folder for each value of the columns `by`."""
         path = f"{self.at}/{self.count}"
         self.count += 1
-        df.write.option("compression", "zstd").parquet(path)
+        df.write.option("compression", "zstd").partitionBy(*by).parquet(path)
         return self.spark.read.schema(df.schema).parquet(path)
 
     def drop(self, *numbers: int) -> None:

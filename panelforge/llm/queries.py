@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import dedup, licences, merkle, mixing, near, packing, pages, quality, repair, tokens, topk, toxicity
+from . import dedup, licences, linededup, merkle, mixing, near, packing, pages, quality, repair, tokens, topk, toxicity
 from .common import read_table
 
 
@@ -64,6 +64,11 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score_toxicity(docs, toxicity.train_toxicity(docs, read_table(spark, sf_dir, "labels")))
 
 
+def op11_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kept = linededup.drop_frequent_lines(read_table(spark, sf_dir, "documents"), least=10, shortest=1)
+    return kept.select("doc_id", "n_lines", "n_dropped", F.sha2(F.col("text").cast("binary"), 256).alias("kept_sha256"))
+
+
 def op12_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repair.repair_conversations(read_table(spark, sf_dir, "conversations"), damage=True)
 
@@ -84,6 +89,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_topk_search": op8_topk_search,
     "op9_mixing": op9_mixing,
     "op10_toxicity": op10_toxicity,
+    "op11_line_dedup": op11_line_dedup,
     "op12_conversation_repair": op12_conversation_repair,
     "op13_merkle_manifest": op13_merkle_manifest,
 }
@@ -136,6 +142,15 @@ ORACLE_SQL: dict[str, str] = {
              r as (select *, row_number() over (partition by query_id order by score desc, vec_id) as rank from s)
         select query_id, rank::int as rank, vec_id, score from r where rank <= 5
     """,
+    "op11_line_dedup": """
+        with d as (select row_number() over () as r, doc_id, string_split(coalesce(text, ''), chr(10)) as ls from documents),
+        l as (select r, doc_id, unnest(ls) as line, unnest(range(len(ls))) as spot from d),
+        k as (select *, translate(trim(line, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as key from l),
+        f as (select key from k where key <> '' group by key having count(distinct r) >= 10)
+        select doc_id, count(*) as n_lines, count(f.key) as n_dropped,
+               sha256(coalesce(string_agg(line, chr(10) order by spot) filter (f.key is null), '')) as kept_sha256
+        from k left join f on f.key = k.key group by r, doc_id
+    """,
     # rows one by one, with the best edits for each place in the order of roles
     "op12_conversation_repair": rf"""
         with recursive base as (
