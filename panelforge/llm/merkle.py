@@ -63,14 +63,13 @@ def _parents(nodes: DataFrame, held: Column) -> DataFrame:
 
 def _children(parents: DataFrame, nested: bool) -> DataFrame:
     """Each child of parents that have `path`: g, i, the held slot, and the path with this level's siblings in front."""
-    digest = [F.col(f"c{k}.h") if nested else F.col(f"c{k}") for k in range(FANOUT)]
-    slots = [
-        F.struct(F.lit(k).alias("k"), F.col(f"c{k}").alias("c"), F.concat_ws("", *digest[:k]).alias("l"), F.concat_ws("", *digest[k + 1 :]).alias("r"))
-        for k in range(FANOUT)
-    ]
-    each = parents.select("g", "i", "subroot", "path", F.explode(F.array(*slots)).alias("s")).filter("s.c is not null")
-    step = F.array(F.struct(F.col("s.l").alias("l"), F.col("s.r").alias("r")))
-    return each.select("g", (F.col("i") * FANOUT + F.col("s.k")).alias("i"), F.col("s.c").alias("c"), "subroot", F.concat(step, "path").alias("path"))
+    every = F.array(*[f"c{k}" for k in range(FANOUT)])
+    digests = F.array(*[F.col(f"c{k}.h") if nested else F.col(f"c{k}") for k in range(FANOUT)])
+    rows = parents.select("g", "i", "subroot", "path", digests.alias("hs"), F.posexplode(every).alias("k", "c")).filter("c is not null")
+    own = F.col("k")
+    left, right = F.array_join(F.slice("hs", F.lit(1), own), ""), F.array_join(F.slice("hs", own + 2, F.lit(FANOUT)), "")
+    step = F.array(F.struct(left.alias("l"), right.alias("r")))
+    return rows.select("g", (F.col("i") * FANOUT + own).alias("i"), "c", "subroot", F.concat(step, "path").alias("path"))
 
 
 class Forest:
