@@ -1,4 +1,4 @@
-"""As-of joins by union and fill: one shuffle by key, linear in both sides, no range join."""
+"""As-of joins by union and fill, in slices of time: linear in both sides, no range join."""
 
 from __future__ import annotations
 
@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.timeutil import busday_count
+from .ranks import cut_points, part_of, parts_of
 
 
 def asof_join(
@@ -19,32 +20,37 @@ def asof_join(
     direction: str = "backward",
     strict: bool = False,
     tie: str | None = None,
+    slices: int | None = None,
 ) -> DataFrame:
     """left with the columns of the last right row whose time is at most left's (minus offset_days).
 
     `direction="forward"` takes the first right row at or after it; `strict` excludes equal
     times. Of right rows at one time the greatest `tie` counts. Left rows without a match, a
-    null time or a null key get nulls; repeated left rows stay. Without `by`, times are spread
-    over months, each of which also knows the last right row before it, so that no window
-    takes all rows.
+    null time or a null key get nulls; repeated left rows stay.
+
+    With `slices`, a key's rows are cut at that many quantiles of all times, and each slice is
+    told the last right row before it (the first after it), so a key with a third of all rows is
+    as many tasks' work. Without `by` that is always done.
     """
     cols = value_cols or [c for c in right.columns if c not in by]
     back = direction == "backward"
-    keys = by or ["_month"]
     at = F.date_sub(left[left_time].cast("date"), offset_days) if offset_days else left[left_time]
     lt = left.withColumn("_t", at)
     packed = F.struct(*(right[c] for c in cols))
     rt = right.filter(right[right_time].isNotNull()).select(*by, right[right_time].alias("_t"), packed.alias("_v"), (right[tie] if tie else F.lit(0)).alias("_tie"))
-    if not by:
-        month = lambda c: F.trunc(c.cast("date"), "month")
-        lt = lt.withColumn("_month", month(F.col("_t")))
-        months = lt.select("_month").distinct()
-        own = rt.withColumn("_month", month(F.col("_t")))
-        # the nearest right row outside of each month: months and right months are few
-        edge = own.groupBy("_month").agg((F.max_by if back else F.min_by)(F.struct("_t", "_v", "_tie"), F.struct("_t", "_tie")).alias("_e"))
-        outer = months.select(F.col("_month").alias("_m")).join(edge, F.col("_month") < F.col("_m") if back else F.col("_month") > F.col("_m"))
-        outer = outer.groupBy(F.col("_m").alias("_month")).agg((F.max_by if back else F.min_by)("_e", F.struct("_e._t", "_e._tie")).alias("_e"))
-        rt = own.select("_month", "_t", "_v", "_tie").unionByName(outer.select("_month", "_e._t", "_e._v", "_e._tie"))
+    keys = list(by)
+    if slices or not by:
+        cuts = cut_points(lt.select("_t").unionByName(rt.select("_t")), F.col("_t"), slices or parts_of(left))
+        lt, rt = (x.withColumn("_slice", part_of(F.col("_t"), cuts)) for x in (lt, rt))
+        # a row for each slice of a key on either side: the key's slices are fewer than the cuts
+        ends = rt.groupBy(*by, "_slice", "_t").agg(F.max_by(F.struct("_t", "_v", "_tie"), "_tie").alias("_e"))
+        ends = ends.groupBy(*by, "_slice").agg((F.max_by if back else F.min_by)("_e", "_t").alias("_e"))
+        asked = lt.groupBy(*by, "_slice").agg(F.first(F.lit(True)).alias("_asked"))
+        told = asked.unionByName(ends, allowMissingColumns=True).groupBy(*by, "_slice").agg(F.first("_asked", True).alias("_asked"), F.first("_e", True).alias("_e"))
+        over = Window.partitionBy(*by).orderBy(F.col("_slice") if back else F.col("_slice").desc()).rowsBetween(Window.unboundedPreceding, -1)
+        carried = told.withColumn("_e", F.last("_e", True).over(over)).filter("_asked and _e is not null")
+        rt = rt.select(*by, "_slice", "_t", "_v", "_tie").unionByName(carried.select(*by, "_slice", "_e._t", "_e._v", "_e._tie"))
+        keys.append("_slice")
     left_cols = [c for c in left.columns]
     rows = lt.withColumn("_l", F.struct(*(left[c] for c in left_cols))).select(*keys, "_t", "_l").withColumn("_right", F.lit(False)).unionByName(rt.withColumn("_right", F.lit(True)), allowMissingColumns=True)
     # at equal times right rows come first, unless only strictly earlier (later) ones count

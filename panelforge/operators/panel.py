@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .ranks import exact_quantiles
+
 
 def _w(by: list[str], order: str) -> Window:
     return Window.partitionBy(*by).orderBy(order)
@@ -104,11 +106,11 @@ def date_ordinal(df: DataFrame, day: str = "d") -> DataFrame:
 
 def impute_cross_section(df: DataFrame, features: list[str], day: str, train_end) -> DataFrame:
     """Nulls become the day's median, else the median of days up to train_end, else 0; `<f>_missing` tells."""
-    train = df.filter(F.col(day) <= F.lit(train_end)).agg(*(F.median(f).alias(f"_m_{f}") for f in features))
+    train = df.filter(F.col(day) <= F.lit(train_end))
+    known = {f: exact_quantiles(train, f, [0.5])[0] for f in features}
     w = Window.partitionBy(day)
-    wide = df.withColumns({f"{f}_missing": F.col(f).isNull() for f in features}).join(F.broadcast(train))
-    out = wide.withColumns({f: F.coalesce(F.col(f), F.median(f).over(w), F.col(f"_m_{f}"), F.lit(0.0)) for f in features})
-    return out.drop(*(f"_m_{f}" for f in features))
+    told = df.withColumns({f"{f}_missing": F.col(f).isNull() for f in features})
+    return told.withColumns({f: F.coalesce(F.col(f), F.median(f).over(w), F.lit(known[f]).cast("double"), F.lit(0.0)) for f in features})
 
 
 def zscore(df: DataFrame, by: list[str], col: str, name: str = "z", least: int = 3) -> DataFrame:

@@ -6,7 +6,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.scalars import hash_uniform
+from .replicates import resampled_paths
 
 
 def trade_pnl(df: DataFrame, rate: float = 0.004) -> DataFrame:
@@ -190,27 +190,14 @@ def risk_free(windows: DataFrame, macro: DataFrame, series: str, override: float
     return g.select(*windows.columns, F.coalesce(given, "_m", F.lit(0.0)).alias("rate"), label.alias("label"))
 
 
-def _paths(drawn: DataFrame, by: list[str], capital: float) -> DataFrame:
-    """(by..., rep, ret, max_drawdown) of additive paths in the order of `slot`."""
-    keys = [*by, "rep"]
-    run = Window.partitionBy(*keys).orderBy("slot").rowsBetween(Window.unboundedPreceding, 0)
-    p = drawn.withColumn("_eq", capital + F.sum("net").over(run)).withColumn("_top", F.greatest(F.lit(capital), F.max("_eq").over(run)))
-    return p.groupBy(*keys).agg((F.max_by("_eq", "slot") / capital - 1).alias("ret"), F.least(F.lit(0.0), F.min((F.col("_eq") - F.col("_top")) / F.col("_top"))).alias("max_drawdown"))
+def bootstrap_trades(trades: DataFrame, by: list[str], order: str, replicates: int = 10_000, seed: int = 42, capital: float = 100_000.0) -> DataFrame:
+    """(by..., rep, ret, max_drawdown) of as many trades as a group has, drawn with replacement; without trades an error."""
+    return resampled_paths(trades, by, order, replicates, seed, capital, permute=False)
 
 
-def bootstrap_trades(trades: DataFrame, by: list[str], order: str, replicates: int, seed: int = 42, capital: float = 100_000.0) -> DataFrame:
-    """Replicates of as many trades as there are, drawn with replacement by hashes."""
-    w = Window.partitionBy(*by)
-    t = trades.select(*by, "net", (F.row_number().over(w.orderBy(order)) - 1).alias("_i"), F.count("*").over(w).alias("_n"))
-    slots = t.select(*by, F.col("_i").alias("slot"), "_n", F.explode(F.sequence(F.lit(0), F.lit(replicates - 1))).alias("rep"))
-    picked = slots.withColumn("_i", F.floor(hash_uniform(*by, F.col("rep"), F.col("slot"), seed=seed) * F.col("_n")).cast("int"))
-    return _paths(picked.join(t.select(*by, "_i", "net"), [*by, "_i"]), by, capital)
-
-
-def permute_trades(trades: DataFrame, by: list[str], order: str, replicates: int, seed: int = 42, capital: float = 100_000.0) -> DataFrame:
-    """Replicates of the same trades in an order by hashes; the return is always the same."""
-    reps = trades.select(*by, "net", F.col(order).alias("_o"), F.explode(F.sequence(F.lit(0), F.lit(replicates - 1))).alias("rep"))
-    return _paths(reps.withColumn("slot", F.struct(hash_uniform(F.col("rep"), F.col("_o"), seed=seed), F.col("_o"))), by, capital)
+def permute_trades(trades: DataFrame, by: list[str], order: str, replicates: int = 10_000, seed: int = 42, capital: float = 100_000.0) -> DataFrame:
+    """(by..., rep, ret, max_drawdown) of a group's trades in random orders; the return is always the same. Under two trades an error."""
+    return resampled_paths(trades, by, order, replicates, seed, capital, permute=True)
 
 
 def distribution_summary(paths: DataFrame, by: list[str], bench: float | None = None) -> DataFrame:

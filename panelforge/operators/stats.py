@@ -6,7 +6,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalars import hash_uniform
-from ..functions.timeutil import busday_count
+from .ranks import global_spearman
+from .replicates import resampled_correlations
 
 
 def average_rank(col: str, by: list[str]) -> Column:
@@ -15,7 +16,9 @@ def average_rank(col: str, by: list[str]) -> Column:
 
 
 def spearman(df: DataFrame, by: list[str], a: str, b: str, least: int = 3) -> DataFrame:
-    """(by..., ic, n): Spearman correlation of the pairs without nulls; null under `least` pairs or for a constant."""
+    """(by..., ic, n): Spearman correlation of the pairs without nulls; null under `least` pairs or for a constant. Without `by`, over all rows, ranked in parts."""
+    if not by:
+        return global_spearman(df, a, b, least)
     pairs = df.filter(F.col(a).isNotNull() & F.col(b).isNotNull())
     ranked = pairs.select(*by, average_rank(a, by).alias("_a"), average_rank(b, by).alias("_b"))
     g = ranked.groupBy(*by).agg(F.covar_pop("_a", "_b").alias("_c"), F.count("*").alias("n"), F.var_pop("_a").alias("_va"), F.var_pop("_b").alias("_vb"))
@@ -38,39 +41,14 @@ def ic_baselines(df: DataFrame, by: list[str], model: str, baselines: list[str],
     return out.withColumn("gap", F.col(f"ic_{model}") - best)
 
 
-def bootstrap_ic(df: DataFrame, by: list[str], unit: str, scores: list[str], y: str, replicates: int = 100, seed: int = 42) -> DataFrame:
-    """(by..., rep, ic_<score>...): rank correlations of resampled units (rows, dates or blocks).
+def bootstrap_ic(df: DataFrame, by: list[str], unit: str, scores: list[str], y: str, replicates: int = 1000, seed: int = 42) -> DataFrame:
+    """(by..., rep, ic_<score>..., n, n_units): rank correlations of resampled units: rows, whole dates or blocks.
 
-    A replicate draws as many units as there are, with replacement, by hashes; what is joined
-    to the rows is each unit's multiplicity, so a row stands once in each replicate that draws it
-    (some 0.63 of them), however often. Correlations are Pearson's
-    over weighted mid-ranks, which equals Spearman's on the expanded sample; all scores share
-    the draws, so differences are paired.
+    A replicate draws as many units as there are, with replacement, and takes all rows of each as
+    often as it is drawn; without `by`, a date is drawn with all assets. All scores share the
+    draws, so differences are paired. A constant replicate has no correlation.
     """
-    rows = df.dropna(subset=[y, *scores])
-    units = rows.select(*by, unit).distinct()
-    w = Window.partitionBy(*by)
-    numbered = units.withColumns({"_i": F.row_number().over(w.orderBy(unit)) - 1, "_m": F.count("*").over(w)})
-    slots = numbered.select(*by, "_i", "_m").withColumn("rep", F.explode(F.sequence(F.lit(0), F.lit(replicates - 1))))
-    drawn = slots.withColumn("_i", F.floor(hash_uniform(*by, F.col("rep"), F.col("_i"), seed=seed) * F.col("_m")).cast("int"))
-    times = drawn.groupBy(*by, "rep", "_i").agg(F.count("*").alias("_k")).join(numbered.select(*by, "_i", unit), [*by, "_i"])
-    j = rows.join(times.select(*by, unit, "rep", "_k"), [*by, unit])
-    keys = [*by, "rep"]
-
-    def mid_rank(c: str) -> Column:
-        below = F.sum("_k").over(Window.partitionBy(*keys).orderBy(c).rangeBetween(Window.unboundedPreceding, 0))
-        tied = F.sum("_k").over(Window.partitionBy(*keys, c))
-        return below - tied + (tied + 1) / 2
-
-    ranked = j.select(*keys, F.col("_k").cast("double").alias("_k"), *(mid_rank(c).alias(f"_r_{c}") for c in [y, *scores]))
-    sums = [F.sum("_k").alias("_n")]
-    for c in [y, *scores]:
-        sums += [F.sum(F.col("_k") * F.col(f"_r_{c}")).alias(f"_s_{c}"), F.sum(F.col("_k") * F.col(f"_r_{c}") * F.col(f"_r_{c}")).alias(f"_q_{c}")]
-    sums += [F.sum(F.col("_k") * F.col(f"_r_{c}") * F.col(f"_r_{y}")).alias(f"_p_{c}") for c in scores]
-    g = ranked.groupBy(*keys).agg(*sums)
-    var = lambda c: F.col(f"_q_{c}") * F.col("_n") - F.col(f"_s_{c}") * F.col(f"_s_{c}")
-    ic = lambda c: F.when((var(c) > 0) & (var(y) > 0), (F.col(f"_p_{c}") * F.col("_n") - F.col(f"_s_{c}") * F.col(f"_s_{y}")) / F.sqrt(var(c) * var(y)))
-    return g.select(*keys, *(ic(c).alias(f"ic_{c}") for c in scores))
+    return resampled_correlations(df, by, unit, scores, y, replicates, seed)
 
 
 def evaluation_metrics(df: DataFrame, by: list[str], score: str, baseline: str, y: str, clean: str) -> DataFrame:
@@ -83,10 +61,20 @@ def evaluation_metrics(df: DataFrame, by: list[str], score: str, baseline: str,
     return own.join(other, keys).join(seen, keys).withColumn("gap", F.col("ic") - F.col("baseline"))
 
 
-def bootstrap_summary(reps: DataFrame, by: list[str], col: str) -> DataFrame:
-    """(by..., lo, hi, p_not_positive, n_reps): 2.5 and 97.5 percentiles and the share of replicates at most 0; undefined ones left out."""
-    ok = reps.filter(F.col(col).isNotNull())
-    return ok.groupBy(*by).agg(F.percentile(col, F.lit(0.025)).alias("lo"), F.percentile(col, F.lit(0.975)).alias("hi"), F.avg((F.col(col) <= 0).cast("double")).alias("p_not_positive"), F.count("*").alias("n_reps"))
+def bootstrap_summary(reps: DataFrame, by: list[str], col: str, least_units: int = 0, undefined: float | None = None) -> DataFrame:
+    """(by..., lo, hi, mean, p_not_positive, n_reps, n, n_units, note): 2.5 and 97.5 percentiles, mean and the share of replicates at most 0.
+
+    Replicates without a value are left out, or count as `undefined`. Under `least_units` units
+    nothing is told but the note.
+    """
+    value = F.col(col) if undefined is None else F.coalesce(F.col(col), F.lit(undefined))
+    few = F.col("n_units") < least_units
+    g = reps.withColumn("_x", value).groupBy(*by).agg(
+        F.percentile("_x", F.lit(0.025)).alias("lo"), F.percentile("_x", F.lit(0.975)).alias("hi"), F.avg("_x").alias("mean"),
+        F.avg((F.col("_x") <= 0).cast("double")).alias("p_not_positive"), F.count("_x").alias("n_reps"), F.max("n").alias("n"), F.max("n_units").alias("n_units"),
+    )
+    told = {c: F.when(~few, F.col(c)) for c in ("lo", "hi", "mean", "p_not_positive")}
+    return g.withColumns(told | {"note": F.when(few, F.concat(F.lit("fewer than "), F.lit(str(least_units)), F.lit(" units")))})
 
 
 def ic_by_group(df: DataFrame, key: list[str], score: str, y: str, least: int = 10) -> DataFrame:
@@ -191,7 +179,7 @@ def variant_report(df: DataFrame, variant: str, pred: str, y: str, event: str |
     return out if importances is None else out.join(importances.select(variant, "importance"), variant, "left")
 
 
-def version_summary(df: DataFrame, by: list[str], score: str, lexical: str, y: str, clean: str, degraded: str, unit: str, replicates: int = 100) -> DataFrame:
+def version_summary(df: DataFrame, by: list[str], score: str, lexical: str, y: str, clean: str, degraded: str, unit: str, replicates: int = 1000) -> DataFrame:
     """A row for each version: how many rows, correlations of all and of clean rows with their bootstrap intervals over `unit`, gaps over the lexical baseline, cost, share degraded, median latency, and the spread and zeros of scores that aren't degraded.
 
     df has `cost` and `latency`; `clean` and `degraded` are boolean columns.

@@ -225,12 +225,12 @@ def j1(spark, d):
 
 @query("j2_asof_join", sql("select p.entity, p.d, e.announced_on, round(e.estimated, 6) as estimated from points p asof left join earnings e on p.entity = e.entity and p.d >= e.announced_on", "points", "earnings"))
 def j2(spark, d):
-    return asof.asof_join(v.points(spark, d), v.earnings(spark, d), ["entity"], "d", "announced_on", ["announced_on", "estimated"]).select("entity", "d", "announced_on", *r6("estimated"))
+    return asof.asof_join(v.points(spark, d), v.earnings(spark, d), ["entity"], "d", "announced_on", ["announced_on", "estimated"], slices=16).select("entity", "d", "announced_on", *r6("estimated"))
 
 
 @query("j3_asof_year_before", sql("select p.entity, p.d, e.announced_on from points p asof left join earnings e on p.entity = e.entity and p.d - 365 >= e.announced_on", "points", "earnings"))
 def j3(spark, d):
-    return asof.asof_join(v.points(spark, d), v.earnings(spark, d), ["entity"], "d", "announced_on", ["announced_on"], offset_days=365).select("entity", "d", "announced_on")
+    return asof.asof_join(v.points(spark, d), v.earnings(spark, d), ["entity"], "d", "announced_on", ["announced_on"], offset_days=365, slices=16).select("entity", "d", "announced_on")
 
 
 @query("j4_asof_shares", sql("select p.entity, p.d, round(case when year(e.announced_on) >= year(p.d) - 1 then greatest(0, e.estimated - coalesce(e.realized, 0)) end, 6) as outstanding from points p asof left join earnings e on p.entity = e.entity and p.d >= e.announced_on", "points", "earnings"))

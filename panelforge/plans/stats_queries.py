@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import scalars
-from ..operators import panel, stats
+from ..operators import panel, stats, universe
 from ..operators import portfolio as pf
 from . import views as v
 from .registry import query
@@ -30,6 +30,21 @@ def a1(spark, d):
     return stats.spearman(v.signals(spark, d), ["d"], "score", "y").select("d", *r6("ic"), "n")
 
 
+def _whole_ic(src: str, a: str, b: str, least: int = 3) -> str:
+    """The same over all rows."""
+    return f"(select ic, n from {_ic(f'(select 1 as one, * from {src})', 'one', a, b, least)})"
+
+
+@query("a1_global", sql(f"select round(ic, 6) as ic, n from {_whole_ic('signals', 'score', 'y')}", "signals"))
+def a1_global(spark, d):
+    return stats.spearman(v.signals(spark, d), [], "score", "y").select(*r6("ic"), "n")
+
+
+@query("a2_global", sql(f"select round(ic, 6) as ic, n, 'all' as scope from {_whole_ic('signals', 'score', 'y')} union all select round(ic, 6), n, 'event' from {_whole_ic('(select * from signals where has_event)', 'score', 'y')}", "signals"))
+def a2_global(spark, d):
+    return stats.ic_report(v.signals(spark, d), "score", "y", "has_event", []).select(*r6("ic"), "n", "scope")
+
+
 @query("a2_ic_report", sql(f"select asset, round(ic, 6) as ic, n, 'all' as scope from {_ic('signals', 'asset', 'score', 'y')} union all select asset, round(ic, 6), n, 'event' from {_ic('(select * from signals where has_event)', 'asset', 'score', 'y')}", "signals"))
 def a2(spark, d):
     return stats.ic_report(v.signals(spark, d), "score", "y", "has_event", ["asset"]).select("asset", *r6("ic"), "n", "scope")
@@ -41,47 +56,60 @@ def a3(spark, d):
 
 
 def _boot(src: str, by: str, unit: str, scores: list[str], reps: int) -> str:
-    """DuckDB's twin of stats.bootstrap_ic, on the expanded sample."""
+    """DuckDB's twin of stats.bootstrap_ic, on the expanded sample; `by` may be empty."""
+    keys, over = (f"{by}, ", f"partition by {by}") if by else ("", "")
     ics = ", ".join(f"case when var_pop(r_{s}) > 0 and var_pop(r_y) > 0 then corr(r_{s}, r_y) end as ic_{s}" for s in scores)
-    ranks = ", ".join(f"{_rank(c, by + ', rep')} as r_{c}" for c in ["y", *scores])
-    same = " and ".join(f"x.{c} = u.{c}" for c in [*by.split(", "), unit])
-    return f"""units as (select *, row_number() over (partition by {by} order by {unit}) - 1 as i, count(*) over (partition by {by}) as m from (select distinct {by}, {unit} from {src})),
-        drawn as (select {by}, rep, floor({v._u(by, 'rep', 'i')} * m)::bigint as i from units, range({reps}) r(rep)),
-        times as (select {by}, rep, i, count(*) as k from drawn group by all),
-        boot as (select x.*, t.rep from times t join units u using ({by}, i) join {src} x on {same}, range(t.k)),
-        reps as (select {by}, rep, {ics} from (select {by}, rep, {ranks} from boot) group by {by}, rep)"""
+    ranks = ", ".join(f"{_rank(c, keys + 'rep')} as r_{c}" for c in ["y", *scores])
+    same = " and ".join(f"x.{c} = u.{c}" for c in [*(by.split(", ") if by else []), unit])
+    word = v.group_word(*(by.split(", ") if by else ["null"]))
+    return f"""units as (select *, row_number() over ({over} order by {unit}) - 1 as i, count(*) over ({over}) as m, {word} as g from (select distinct {keys}{unit} from {src})),
+        {v.words('units', 'i', reps)},
+        drawn as (select {keys}rep, ((word * m::ubigint) >> 32)::bigint as i from words),
+        times as (select {keys}rep, i, count(*) as k from drawn group by all),
+        boot as (select x.*, t.rep, u.m from times t join units u using ({keys}i) join {src} x on {same}, range(t.k)),
+        reps as (select {keys}rep, max(m) as n_units, {ics} from (select {keys}rep, m, {ranks} from boot) group by {keys}rep)"""
 
 
-_PAIR = "pair as (select a.asset, a.d, floor(datediff('day', date '1995-01-02', a.d) / 7)::int as block, a.score as score_a, b.score as score_b, a.y from evaluations a join evaluations b on a.event_id = b.event_id and a.model = 'a' and b.model = 'b')"
+_BLOCK = "floor((5 * (datediff('day', date '1995-01-02', a.d) // 7) + least(datediff('day', date '1995-01-02', a.d) % 7, 5)) / 5)::int"
+_PAIR = f"pair as (select a.asset, a.d, {_BLOCK} as block, a.score as score_a, b.score as score_b, a.y from evaluations a join evaluations b on a.event_id = b.event_id and a.model = 'a' and b.model = 'b')"
 
 
 def pair(spark, d):
     e = v.evaluations(spark, d)
     b = e.filter("model = 'b'").select("event_id", F.col("score").alias("score_b"))
-    block = F.floor(F.datediff("d", F.lit("1995-01-02").cast("date")) / 7).cast("int")
-    return e.filter("model = 'a'").join(b, "event_id").select("asset", "d", block.alias("block"), F.col("score").alias("score_a"), "score_b", "y")
+    both = e.filter("model = 'a'").join(b, "event_id").select("asset", "d", F.col("score").alias("score_a"), "score_b", "y")
+    return universe.add_blocks(both, "d", "1995-01-02")
 
 
-@query("a4_bootstrap_ic", sql(f"with {_PAIR}, {_boot('pair', 'asset', 'd', ['score_a'], 100)} select asset, rep::int as rep, round(ic_score_a, 6) as ic_score_a from reps", "evaluations"))
+@query("a4_bootstrap_ic", sql(f"with {_PAIR}, {_boot('pair', 'asset', 'd', ['score_a'], 1000)} select asset, rep::int as rep, round(ic_score_a, 6) + 0.0 as ic_score_a from reps", "evaluations"))
 def a4(spark, d):
-    return stats.bootstrap_ic(pair(spark, d), ["asset"], "d", ["score_a"], "y", 100).select("asset", "rep", *r6("ic_score_a"))
+    # of one asset and day there is one row, so rows are drawn
+    return stats.bootstrap_ic(pair(spark, d), ["asset"], "d", ["score_a"], "y").select("asset", "rep", (F.round("ic_score_a", 6) + 0.0).alias("ic_score_a"))
+
+
+def _interval(x: str, src: str = "reps") -> str:
+    return f"round(quantile_cont({x}, 0.025), 6) as lo, round(quantile_cont({x}, 0.975), 6) as hi, round(avg({x}), 6) as mean, round(avg(({x} <= 0)::int), 6) as p_not_positive, count({x}) as n_reps, (select count(*) from pair) as n, max(n_units) as n_units from {src}"
 
 
-@query("a5_bootstrap_by_date", sql(f"with {_PAIR}, {_boot('pair', 'asset', 'd', ['score_a'], 100)} select asset, round(quantile_cont(ic_score_a, 0.025), 6) as lo, round(quantile_cont(ic_score_a, 0.975), 6) as hi, round(avg((ic_score_a <= 0)::int), 6) as p_not_positive, count(*) as n_reps from reps where ic_score_a is not null group by 1", "evaluations"))
+_TOLD = ("lo", "hi", "mean", "p_not_positive")
+
+
+@query("a5_bootstrap_by_date", sql(f"with {_PAIR}, {_boot('pair', '', 'd', ['score_a'], 1000)} select {_interval('coalesce(ic_score_a, 0)')}", "evaluations"))
 def a5(spark, d):
-    reps = stats.bootstrap_ic(pair(spark, d), ["asset"], "d", ["score_a"], "y", 100)
-    return stats.bootstrap_summary(reps, ["asset"], "ic_score_a").select("asset", *r6("lo", "hi", "p_not_positive"), "n_reps")
+    reps = stats.bootstrap_ic(pair(spark, d), [], "d", ["score_a"], "y")
+    return stats.bootstrap_summary(reps, [], "ic_score_a", least_units=10, undefined=0.0).select(*r6(*_TOLD), "n_reps", "n", "n_units")
 
 
-@query("a7_bootstrap_by_block", sql(f"with {_PAIR}, {_boot('pair', 'asset', 'block', ['score_a'], 100)} select asset, rep::int as rep, round(ic_score_a, 6) as ic_score_a from reps", "evaluations"))
+@query("a7_bootstrap_by_block", sql(f"with {_PAIR}, {_boot('pair', '', 'block', ['score_a'], 1000)} select {_interval('ic_score_a')}", "evaluations"))
 def a7(spark, d):
-    return stats.bootstrap_ic(pair(spark, d), ["asset"], "block", ["score_a"], "y", 100).select("asset", "rep", *r6("ic_score_a"))
+    reps = stats.bootstrap_ic(pair(spark, d), [], "block", ["score_a"], "y")
+    return stats.bootstrap_summary(reps, [], "ic_score_a").select(*r6(*_TOLD), "n_reps", "n", "n_units")
 
 
-@query("a8_paired_bootstrap", sql(f"with {_PAIR}, {_boot('pair', 'asset', 'block', ['score_a', 'score_b'], 100)} select asset, rep::int as rep, round(ic_score_b - ic_score_a, 6) as delta from reps", "evaluations"))
+@query("a8_paired_bootstrap", sql(f"with {_PAIR}, {_boot('pair', '', 'block', ['score_a', 'score_b'], 1000)} select {_interval('ic_score_b - ic_score_a')}", "evaluations"))
 def a8(spark, d):
-    reps = stats.bootstrap_ic(pair(spark, d), ["asset"], "block", ["score_a", "score_b"], "y", 100)
-    return reps.select("asset", "rep", F.round(F.col("ic_score_b") - F.col("ic_score_a"), 6).alias("delta"))
+    reps = stats.bootstrap_ic(pair(spark, d), [], "block", ["score_a", "score_b"], "y").withColumn("delta", F.col("ic_score_b") - F.col("ic_score_a"))
+    return stats.bootstrap_summary(reps, [], "delta").select(*r6(*_TOLD), "n_reps", "n", "n_units")
 
 
 @query("a9_ic_by_group", sql(f"with g as (select asset, count(*) as n, count_if(round(score, 1) = 0) as n_zero from (select * from evaluations where model = 'a') group by 1 having count(*) >= 10) select asset, g.n, n_zero::bigint as n_zero, round(ic, 6) as ic from g join {_ic('(select asset, round(score, 1) as s1, y from evaluations where model = chr(97))', 'asset', 's1', 'y')} i using (asset)", "evaluations"))
@@ -193,7 +221,7 @@ _SUMMARY = [f"{c}_{part}" for part in _PARTS for c in ("ic", "lo", "hi", "gap")]
 
 
 @query("a18_version_table", sql(f"""with e as (select *, model || year(d)::varchar as version, tokens_in > 10 as clean, tokens_in <= 5 as degraded, tokens_out::double as lexical from {_COST}),
-    p as (select *, 'full' as part from e union all select *, 'clean' from e where clean), {_boot('p', 'version, part', 'd', ['score'], 100)},
+    p as (select *, 'full' as part from e union all select *, 'clean' from e where clean), {_boot('p', 'version, part', 'd', ['score'], 1000)},
     ci as (select version, part, quantile_cont(ic_score, 0.025) as lo, quantile_cont(ic_score, 0.975) as hi from reps where ic_score is not null group by 1, 2),
     m as (select i.version, i.part, i.n, i.ic, l.ic as lexical, i.ic - l.ic as gap, lo, hi from {_ic('p', 'version, part', 'score', 'y')} i join {_ic('p', 'version, part', 'lexical', 'y')} l on i.version = l.version and i.part = l.part left join ci on i.version = ci.version and i.part = ci.part),
     t as (select version, sum(cost) as cost, avg(degraded::int) as degraded_rate, quantile_cont(latency, 0.5) as latency, stddev_samp(score) filter (not degraded) as dispersion, (count(*) filter (not degraded and score = 0))::bigint as zeros from e group by 1)
@@ -379,29 +407,36 @@ def b16(spark, d):
     return pf.risk_free(w, v.macro(spark, d), "1-URGENT").select("portfolio", *r6("rate"), "label")
 
 
-_DRAW = f"""t as (select portfolio, net, row_number() over (partition by portfolio order by trade_id) - 1 as i, count(*) over (partition by portfolio) as n from trades),
-    p as (select s.portfolio, rep, s.i as slot, (select 0) as z, floor({v._u('s.portfolio', 'rep', 's.i')} * s.n)::bigint as j from t s, range(100) r(rep)),
-    q as (select p.portfolio, p.rep, p.slot, 100000 + sum(t.net) over w as eq from p join t on t.portfolio = p.portfolio and t.i = p.j window w as (partition by p.portfolio, p.rep order by p.slot rows unbounded preceding)),
-    e as (select *, greatest(100000, max(eq) over (partition by portfolio, rep order by slot rows unbounded preceding)) as top from q),
+_REPS = 1000
+_NUMBERED = f"t as (select portfolio, trade_id, net, row_number() over (partition by portfolio order by trade_id, net) - 1 as i, count(*) over (partition by portfolio) as n, {v.group_word('portfolio')} as g from trades), {v.words('(select portfolio, i, n, g from t)', 'i', _REPS)}"
+_RUN = """e as (select *, greatest(100000, max(eq) over (partition by portfolio, rep order by slot rows unbounded preceding)) as top from q),
     paths as (select portfolio, rep, arg_max(eq, slot) / 100000 - 1 as ret, least(0, min((eq - top) / top)) as max_drawdown from e group by 1, 2)"""
+_DRAW = f"""{_NUMBERED}, q as (select p.portfolio, p.rep, p.i as slot, 100000 + sum(t.net) over w as eq from words p join t on t.portfolio = p.portfolio and t.i = ((p.word * p.n::ubigint) >> 32)::bigint
+        window w as (partition by p.portfolio, p.rep order by p.i rows unbounded preceding)), {_RUN}"""
+_SHUFFLE = f"""{_NUMBERED}, q as (select p.portfolio, p.rep, row_number() over w as slot, 100000 + sum(t.net) over w as eq from words p join t on t.portfolio = p.portfolio and t.i = p.i
+        window w as (partition by p.portfolio, p.rep order by p.word, p.i rows unbounded preceding)), {_RUN}"""
 
 
 @query("b17_bootstrap_trades", sql(f"with {_DRAW} select portfolio, rep::int as rep, round(ret, 6) as ret, round(max_drawdown, 6) as max_drawdown from paths", "trades"))
 def b17(spark, d):
-    t = v.trades(spark, d)
-    return pf.bootstrap_trades(t, ["portfolio"], "trade_id", 100).select("portfolio", "rep", *r6("ret", "max_drawdown"))
+    return pf.bootstrap_trades(v.trades(spark, d), ["portfolio"], "trade_id", _REPS).select("portfolio", "rep", *r6("ret", "max_drawdown"))
 
 
-@query("b18_permute_trades", sql(f"""with s as (select portfolio, net, rep, {v._u('rep', 'trade_id')} as u, trade_id from trades, range(100) r(rep)),
-    q as (select *, 100000 + sum(net) over w as eq, row_number() over w as slot from s window w as (partition by portfolio, rep order by u, trade_id rows unbounded preceding)),
-    e as (select *, greatest(100000, max(eq) over (partition by portfolio, rep order by slot rows unbounded preceding)) as top from q)
-    select portfolio, rep::int as rep, round(arg_max(eq, slot) / 100000 - 1, 6) as ret, round(least(0, min((eq - top) / top)), 6) as max_drawdown from e group by 1, 2""", "trades"))
+@query("b18_permute_trades", sql(f"with {_SHUFFLE} select portfolio, rep::int as rep, round(ret, 6) as ret, round(max_drawdown, 6) as max_drawdown from paths", "trades"))
 def b18(spark, d):
-    t = v.trades(spark, d)
-    return pf.permute_trades(t, ["portfolio"], "trade_id", 100).select("portfolio", "rep", *r6("ret", "max_drawdown"))
+    return pf.permute_trades(v.trades(spark, d), ["portfolio"], "trade_id", _REPS).select("portfolio", "rep", *r6("ret", "max_drawdown"))
 
 
 @query("b19_distribution_summary", sql(f"with {_DRAW} select portfolio, round(quantile_cont(ret, 0.05), 6) as p05, round(quantile_cont(ret, 0.5), 6) as p50, round(quantile_cont(ret, 0.95), 6) as p95, round(avg(ret), 6) as mean, round(stddev_pop(ret), 6) as sd, avg((ret > 0)::int) as p_gain, avg((max_drawdown > -0.2)::int) as p_shallow from paths group by 1", "trades"))
 def b19(spark, d):
-    paths = pf.bootstrap_trades(v.trades(spark, d), ["portfolio"], "trade_id", 100)
+    paths = pf.bootstrap_trades(v.trades(spark, d), ["portfolio"], "trade_id", _REPS)
     return pf.distribution_summary(paths, ["portfolio"]).select("portfolio", *r6("p05", "p50", "p95", "mean", "sd"), "p_gain", "p_shallow")
+
+
+@query("b19_final_report")
+def b19_final(spark, d):
+    """Both kinds of replicates at the 10,000 of a final report; SQL would make a row of each draw."""
+    t = v.trades(spark, d)
+    kinds = {"bootstrap": pf.bootstrap_trades(t, ["portfolio"], "trade_id"), "permutation": pf.permute_trades(t, ["portfolio"], "trade_id")}
+    told = [pf.distribution_summary(x, ["portfolio"]).withColumn("kind", F.lit(k)) for k, x in kinds.items()]
+    return told[0].unionByName(told[1])

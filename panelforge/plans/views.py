@@ -201,3 +201,28 @@ def sql(body: str, *views: str) -> str:
     head = ", ".join(f"{v} as materialized ({VIEWS[v]})" for v in order)
     body = body.strip()
     return f"with {head}, {body[5:]}" if body.lower().startswith("with ") else f"with {head} {body}"
+
+
+_WORD = 4294967295
+
+
+def _mixed(expr: str, name: str) -> str:
+    """DuckDB columns that end in `name`: the twin of replicates.mixed."""
+    x, steps = f"({expr})::ubigint", []
+    for k, (shift, factor) in enumerate(((16, 0x7FEB352D), (15, 0x846CA68B))):
+        steps += [f"{x} as {name}_{k}a", f"xor({name}_{k}a, {name}_{k}a >> {shift}) as {name}_{k}b", f"({name}_{k}b * {factor}::ubigint) & {_WORD}::ubigint as {name}_{k}c"]
+        x = f"{name}_{k}c"
+    return ", ".join([*steps, f"xor({x}, {x} >> 16) as {name}"])
+
+
+def group_word(*by: str, seed: int = 42) -> str:
+    """DuckDB's twin of replicates.group_word."""
+    return f"('0x' || substr(md5(concat_ws('|', '{seed}', {', '.join(by)})), 1, 8))::bigint"
+
+
+def words(src: str, slot: str, replicates: int, name: str = "words") -> str:
+    """DuckDB CTEs that end in `name`: src (.., g) for each replicate, with its `word`."""
+    return f"""{name}_0 as (select *, {_mixed("g", "wa")}, {_mixed(f"(g + 1) & {_WORD}", "wb")} from {src}),
+        {name}_1 as (select *, {_mixed(f"xor({slot}::ubigint, wa)", "wc")} from {name}_0),
+        {name}_2 as (select w.*, rep, {_mixed("xor(rep::ubigint, wb)", "wd")} from {name}_1 w, range({replicates}) r(rep)),
+        {name} as (select *, {_mixed(f"(wc + wd) & {_WORD}::ubigint", "word")} from {name}_2)"""
