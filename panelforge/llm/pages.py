@@ -42,16 +42,32 @@ _NAMES = frozenset(
     "nav navbar navigation menu breadcrumb breadcrumbs header masthead topbar footer foot sidebar aside rail ad ads advert adverts advertisement advertising banner promo promoted sponsor sponsored sponsors cookie cookies consent gdpr notice notices alert popup modal overlay newsletter subscribe subscription signup login comment comments disqus respond replies reply share sharing social related recommended pagination pager widget widgets toolbar skip copyright legal disclaimer".split()
 )
 _COMMENTS = frozenset("comment comments reply replies respond disqus".split())
+#: First parts of names that say what an element lacks or what lies beside it.
+_DENIES = frozenset("has no not with without hide hidden show js is wp".split())
+#: Names that a section of an article may have as its subject.
+_SUBJECTS = frozenset("legal related social notice notices disclaimer copyright alert banner cookie cookies consent gdpr signup login toolbar widget widgets".split())
 _CLOSES_P = _BLOCK - {"template"}
 _SAME = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}}
 _FENCE = {"li": {"ul", "ol", "menu"}, "dt": {"dl"}, "dd": {"dl"}, "tr": {"table"}, "td": {"tr", "table"}, "th": {"tr", "table"}}
 
 
-_SURE, _NAMED = 2, 1
+_SURE, _NAMED, _LOOSE = 3, 2, 1
+
+
+def _named(value: str, names: frozenset[str]) -> str | None:
+    """The name that a class or id is, or ends with after a hyphen or underline."""
+    for token in value.split():
+        parts = re.split("[-_]+", token)
+        if len(parts) > 1 and parts[0] in _DENIES:
+            continue
+        for found in (token, parts[-1]):
+            if found in names:
+                return found
+    return None
 
 
 def _says_other(tag: str, attrs: str) -> int:
-    """Whether an element says that it holds no article text: surely, or by a name that may mean something else."""
+    """Whether an element says that it holds no article text: surely, by a name, or by a name that a section of an article may have, too."""
     if tag in _GONE:
         return _NAMED if tag in ("form", "fieldset") else _SURE
     if not attrs or tag in ("html", "body", "main"):
@@ -61,8 +77,8 @@ def _says_other(tag: str, attrs: str) -> int:
     for name, value in _ATTR.findall(attrs):
         name, value = name.lower(), value.strip("\"'").lower()
         if name in ("class", "id"):
-            if not names.isdisjoint(value.split()):
-                said = _NAMED
+            if found := _named(value, names):
+                said = max(said, _LOOSE if tag == "section" and found in _SUBJECTS else _NAMED)
         elif tag == "article":
             continue
         elif name == "hidden" or name == "aria-hidden" and value == "true" or name == "style" and "display:none" in value.replace(" ", ""):
@@ -93,7 +109,7 @@ def _settle(nodes: list[_Element]) -> None:
             continue
         e, own = p.parent, p.tag in ("article", "main") and not p.said
         e.articles += p.articles + own
-        e.free += (p.free + own) * (p.said != _NAMED)
+        e.free += (p.free + own) * (p.said not in (_NAMED, _LOOSE))
         # a headline within an article counts with the article
         e.head |= p.tag in ("main", "h1") or p.head and p.tag != "article"
     free = nodes[0].free
@@ -101,6 +117,8 @@ def _settle(nodes: list[_Element]) -> None:
         e = p.parent
         # the header of an article holds its headline; that of a page doesn't
         said = (0 if e.inside else _SURE) if p.tag == "header" else p.said
+        if said == _LOOSE:
+            said = 0 if e.inside else _NAMED
         p.gone = e.gone or said == _SURE or said == _NAMED and not (p.head or p.tag == "h1" or p.articles and not free)
         p.article = p.tag in ("article", "main") and not p.gone
         p.inside = e.inside or p.article
@@ -188,20 +206,21 @@ class Page:
     """A page's blocks of text outside the parts that say they aren't the article.
 
     `body` tells whether a block is text of an article other than a heading. `subtrees` are
-    (hash, first block, block after the last) of the elements that are counted: all but those of
-    whole pages and articles.
+    (hash, first block, block after the last, prose) of the elements that are counted: all but those of
+    whole pages and articles, and of headings within articles. The last number tells whether it
+    is prose of an article.
     """
 
     texts: list[str]
     body: list[bool]
-    subtrees: list[tuple[int, int, int]]
+    subtrees: list[tuple[int, int, int, bool]]
 
     def contexts(self) -> list[int]:
         """Of each subtree a hash of the longest block outside of it: 0 where it is all text of the page."""
         order = sorted(range(len(self.texts)), key=lambda k: (-len(self.texts[k]), self.texts[k]))
         named: dict[int, int] = {}
         out = []
-        for _, a, z in self.subtrees:
+        for _, a, z, _ in self.subtrees:
             rest = next((k for k in order if not a <= k < z), None)
             if rest is not None and rest not in named:
                 named[rest] = xxhash.xxh64_intdigest(self.texts[rest].encode("utf-8", "surrogatepass")) - (1 << 63)
@@ -212,8 +231,10 @@ class Page:
 def read_page(html: str | None) -> Page:
     """Parse one whole page; null or empty html has no blocks.
 
-    With main, or with articles that hold at least as much text as all else that is left, only
-    those count; a page whose articles are mere teasers is taken whole.
+    Where main holds text other than headings, only main counts; else, where the page's first
+    headline of the highest level stands in an article, or there is none, only articles with
+    text do. A page whose main is
+    empty or holds a headline alone, or whose articles are mere teasers, is taken whole.
     """
     page = Page([], [], [])
     if not html:
@@ -222,13 +243,17 @@ def read_page(html: str | None) -> Page:
     hashes = _subtree_hashes(nodes)
     texts: list[tuple[str, bool, bool]] = []
     subtrees: list[tuple[int, int, int, bool]] = []
+    in_main: list[bool] = []
+    best: tuple[str, bool] | None = None  # the headline's tag, and whether it is an article's
 
     def close(run: list[str], e: _Element, heading: bool) -> None:
         text = clean("".join(run))
         if text:
             texts.append((text, e.inside, e.inside and not heading))
+            in_main.append(mains > 0)
         run.clear()
 
+    mains = 0
     stack: list[tuple] = [(nodes[0], iter(nodes[0].parts), [], False, 0)]
     while stack:
         e, parts, run, heading, first = stack[-1]
@@ -237,6 +262,9 @@ def read_page(html: str | None) -> Page:
                 run.append(p)
             elif not p.gone:
                 close(run, e, heading)
+                mains += p.tag == "main"
+                if p.tag in _HEADINGS and (best is None or p.tag < best[0]):
+                    best = (p.tag, p.inside)
                 stack.append((p, iter(p.parts), [], heading or p.tag in _HEADINGS, len(texts)))
                 break
             elif p.tag in _BLOCK:
@@ -244,32 +272,35 @@ def read_page(html: str | None) -> Page:
         else:
             close(run, e, heading)
             stack.pop()
-            if e.tag not in ("", "html", "body") and not e.article and len(texts) > first:
+            mains -= e.tag == "main"
+            if e.tag not in ("", "html", "body") and not e.article and not (e.inside and (heading or e.head)) and len(texts) > first:
                 subtrees.append((hashes[id(e)], first, len(texts), e.inside))
-    held = sum(len(t) for t, inside, _ in texts if inside)
-    scoped = any(e.tag == "main" and e.article for e in nodes) or held > 0 and 2 * held >= sum(len(t) for t, _, _ in texts)
+    by_main = any(m and b for m, (_, _, b) in zip(in_main, texts, strict=True))
+    articles = any(b for _, _, b in texts) and (best is None or best[1])
+    counts = [m if by_main else inside or not articles for m, (_, inside, _) in zip(in_main, texts, strict=True)]
     # numbers of the blocks that count
-    number = np.concatenate(([0], np.cumsum([inside or not scoped for _, inside, _ in texts]))).astype(int).tolist()
-    page.texts = [t for t, inside, _ in texts if inside or not scoped]
-    page.body = [b for _, inside, b in texts if inside or not scoped]
-    page.subtrees = [(h, number[a], number[z]) for h, a, z, inside in subtrees if (inside or not scoped) and number[z] > number[a]]
+    number = np.concatenate(([0], np.cumsum(counts))).astype(int).tolist()
+    page.texts = [t for (t, _, _), c in zip(texts, counts, strict=True) if c]
+    page.body = [b for (_, _, b), c in zip(texts, counts, strict=True) if c]
+    page.subtrees = [(h, number[a], number[z], inside) for h, a, z, inside in subtrees if number[z] > number[a]]
     return page
 
 
 def blocks(html: str | None) -> list[tuple[str, list[int], bool]]:
     """Each block of a page: its text, the hashes of the counted subtrees around it, and whether it is text of an article other than a heading."""
     page = read_page(html)
-    return [(t, [h for h, a, z in page.subtrees if a <= k < z], b) for k, (t, b) in enumerate(zip(page.texts, page.body, strict=True))]
+    return [(t, [h for h, a, z, _ in page.subtrees if a <= k < z], b) for k, (t, b) in enumerate(zip(page.texts, page.body, strict=True))]
 
 
 def extract_main_text(pages: DataFrame, min_pages: int = 10, salts: int = 32, log_bits: int = 26) -> DataFrame:
     """(page_id, url, text, n_chars, host) of every page from its whole html.
 
     A subtree is template where it stands on `min_pages` or more pages of its host that differ
-    in their longest other block, however large the host is; prose of an article is no exception.
-    So copied articles and copied pages stay. Where templates would leave an article nothing but
-    headings, its text stays whole. A page with main, or with articles that hold most of its
-    text, gives their text alone.
+    in their longest other block, however large the host is. Prose of an article must be the
+    host's own for that: what another host has, too, is text that is passed on, and stays.
+    Headings of articles are never counted. So copied articles and copied pages stay. Where
+    templates would leave an article nothing but headings, its text stays whole. Which parts of
+    a page count is told at `read_page`.
 
     Null or empty html gives an empty text; a null or odd url counts to the host ''. Elements
     may be nested to any depth and never closed; a stray quote is part of the attribute it
@@ -289,11 +320,11 @@ def extract_main_text(pages: DataFrame, min_pages: int = 10, salts: int = 32, lo
             for at in range(0, len(b), 256):
                 part = b.iloc[at : at + 256]
                 found = list(map(read_page, part["html"]))
-                told = [tuple(map(list, zip(*p.subtrees, strict=True))) or ([], [], []) for p in found]
+                told = [tuple(map(list, zip(*p.subtrees, strict=True))) or ([], [], [], []) for p in found]
                 out = {"page_id": part["page_id"], "url": part["url"], "host": part["host"], "blocks": [p.texts for p in found], "body": [p.body for p in found]}
-                yield pd.DataFrame(out | {c: [t[k] for t in told] for k, c in enumerate(("subtrees", "first", "after"))} | {"contexts": [p.contexts() for p in found]})
+                yield pd.DataFrame(out | {c: [t[k] for t in told] for k, c in enumerate(("subtrees", "first", "after", "prose"))} | {"contexts": [p.contexts() for p in found]})
 
-    schema = "page_id string, url string, host string, blocks array<string>, body array<boolean>, subtrees array<bigint>, first array<int>, after array<int>, contexts array<bigint>"
+    schema = "page_id string, url string, host string, blocks array<string>, body array<boolean>, subtrees array<bigint>, first array<int>, after array<int>, prose array<boolean>, contexts array<bigint>"
     parsed = Scratch(spark).keep(rows.mapInPandas(parse, schema).withColumn("uid", F.monotonically_increasing_id()))
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -316,16 +347,27 @@ def extract_main_text(pages: DataFrame, min_pages: int = 10, salts: int = 32, lo
     templates = materialize(contexts.groupBy("host", "subtree").agg(F.count("*").alias("n")).filter(F.col("n") >= min_pages).select("host", "subtree"))
     bits = spark.sparkContext.broadcast(name_bits(templates.select(F.col("subtree").alias("sid")), log_bits))
 
+    def hosts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        """Which hosts have what may be a template, once for each batch."""
+        for b in batches:
+            every = np.concatenate([*b["subtrees"], np.zeros(0, np.int64)]).astype(np.int64)
+            hit = has_names(bits.value, every, log_bits)
+            at = np.repeat(np.arange(len(b)), b["subtrees"].map(len))[hit]
+            yield pd.DataFrame({"host": b["host"].to_numpy()[at], "subtree": every[hit]}).drop_duplicates()
+
+    spread = parsed.select("host", "subtrees").mapInPandas(hosts, "host string, subtree bigint").distinct().groupBy("subtree").agg(F.count("*").alias("hosts"))
+    templates = materialize(templates.join(spread, "subtree").select("host", "subtree", (F.col("hosts") == 1).alias("own")))
+
     def maybe(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             every = np.concatenate([*b["subtrees"], np.zeros(0, np.int64)]).astype(np.int64)
             hit = has_names(bits.value, every, log_bits)
             at = np.repeat(np.arange(len(b)), b["subtrees"].map(len))[hit]
-            yield pd.DataFrame({"uid": b["uid"].to_numpy()[at], "host": b["host"].to_numpy()[at], "subtree": every[hit], "first": np.concatenate([*b["first"], np.zeros(0, np.int32)])[hit].astype(np.int32), "after": np.concatenate([*b["after"], np.zeros(0, np.int32)])[hit].astype(np.int32)})
+            yield pd.DataFrame({"uid": b["uid"].to_numpy()[at], "host": b["host"].to_numpy()[at], "subtree": every[hit], "first": np.concatenate([*b["first"], np.zeros(0, np.int32)])[hit].astype(np.int32), "after": np.concatenate([*b["after"], np.zeros(0, np.int32)])[hit].astype(np.int32), "prose": np.concatenate([*b["prose"], np.zeros(0, bool)])[hit].astype(bool)})
 
-    held = parsed.select("uid", "host", "subtrees", "first", "after").mapInPandas(maybe, "uid bigint, host string, subtree bigint, first int, after int").withColumn("salt", F.abs(F.hash("uid")) % salts)
+    held = parsed.select("uid", "host", "subtrees", "first", "after", "prose").mapInPandas(maybe, "uid bigint, host string, subtree bigint, first int, after int, prose boolean").withColumn("salt", F.abs(F.hash("uid")) % salts)
     salted = templates.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-    gone = held.join(salted, ["host", "salt", "subtree"]).groupBy("uid").agg(F.collect_set(F.struct("first", "after")).alias("gone"))
+    gone = held.join(salted, ["host", "salt", "subtree"]).filter("own or not prose").groupBy("uid").agg(F.collect_set(F.struct("first", "after")).alias("gone"))
     every = F.zip_with(F.zip_with("blocks", "body", lambda t, b: F.struct(t.alias("t"), b.alias("b"))), F.sequence(F.lit(0), F.size("blocks")), lambda x, i: F.struct(x["t"].alias("t"), x["b"].alias("b"), i.alias("i")))
     every = F.slice(every, 1, F.size("blocks"))
     rows = parsed.select("uid", "page_id", "url", "host", "blocks", "body", "subtrees")
