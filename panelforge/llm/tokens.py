@@ -5,6 +5,10 @@ vocabulary string that the library turns into exactly one token when encoded alo
 merging wherever it stands as a pre-token. `whole_tokens` proves this for every vocabulary
 string with the library itself; `Encoder` then looks pre-tokens up and sends only the rest to
 the library, once for each different pre-token.
+
+Pre-tokens are cut by a pattern of letters, numbers and white space, of which the library and
+Python may know different versions of Unicode. `unproved` asks the library about every code
+point; a text with one that it classes otherwise goes to the library as a whole.
 """
 
 from __future__ import annotations
@@ -34,7 +38,6 @@ _N = "0-9²³¹¼-¾"
 _S = "\t-\r \u0085 "
 _LATIN = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d| ?[{_L}]+| ?[{_N}]+| ?[^{_S}{_L}{_N}]+|[{_S}]+(?![^{_S}])|[{_S}]+")
 _ANY = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+")
-_ODD = re.compile("[\x1c-\x1f]")
 
 DEFAULT_TOKENIZER = "byte_bpe_50k.json"
 
@@ -48,6 +51,62 @@ def load_tokenizer(path: str) -> Tokenizer:
     return tok
 
 
+def require_byte_level(path: str) -> None:
+    """Raise unless the file is a byte-level BPE that this module's cuts and merges are right for."""
+    with open(path, encoding="utf-8") as f:
+        told = json.load(f)
+    model, cut = told["model"], told.get("pre_tokenizer") or {}
+    right = {
+        "model": model.get("type", "BPE") == "BPE" and not any(model.get(k) for k in ("dropout", "continuing_subword_prefix", "end_of_word_suffix", "byte_fallback", "ignore_merges")),
+        "pre_tokenizer": cut.get("type") == "ByteLevel" and not cut.get("add_prefix_space") and cut.get("use_regex", True),
+        "normalizer": told.get("normalizer") is None,
+    }
+    if wrong := [k for k, ok in right.items() if not ok]:
+        raise ValueError(f"{path}: no plain byte-level BPE, see its {', '.join(wrong)}")
+
+
+#: A sign of each class of the pattern; more of its class make one pre-token with it.
+_CLASSES = {"letters": "a", "numbers": "1", "space": "\t", "others": "!"}
+
+
+def _run_classes(first: int, stop: int) -> Iterator[tuple[str, str]]:
+    """(class, run) of consecutive code points, as this module's patterns class them."""
+    text = "".join(map(chr, (c for c in range(first, stop) if not 0xD800 <= c < 0xE000)))
+    pattern = regex.compile(r"(?P<letters>\p{L}+)|(?P<numbers>\p{N}+)|(?P<space>\s+)|(?P<others>[^\s\p{L}\p{N}]+)")
+    latin = re.compile(f"(?P<letters>[{_L}]+)|(?P<numbers>[{_N}]+)|(?P<space>[{_S}]+)|(?P<others>[^{_S}{_L}{_N}]+)")
+    for m in (latin if stop <= 256 else pattern).finditer(text):
+        yield m.lastgroup, m.group()
+
+
+def _disagreeing(pre, first: int, stop: int) -> Iterator[str]:
+    """Code points that the library's pre-tokenizer classes otherwise; runs are halved until they agree."""
+    for kind, run in _run_classes(first, stop):
+        parts = [run[k : k + 4096] for k in range(0, len(run), 4096)]
+        while parts:
+            part = parts.pop()
+            if len(pre.pre_tokenize_str(_CLASSES[kind] + part)) > 1:
+                if len(part) == 1:
+                    yield part
+                else:
+                    parts += [part[: len(part) // 2], part[len(part) // 2 :]]
+
+
+@lru_cache(maxsize=4)
+def unproved(path: str) -> re.Pattern:
+    """Finds a code point that this module and the library class differently, anywhere in Unicode."""
+    pre = load_tokenizer(path).pre_tokenizer
+    if odd := list(_disagreeing(pre, 0, 256)):
+        raise ValueError(f"{path}: the library classes {odd!r} of Latin-1 otherwise")
+    found = sorted(map(ord, _disagreeing(pre, 0, 0x110000)))
+    spans: list[list[int]] = []
+    for c in found:
+        if spans and spans[-1][1] == c - 1:
+            spans[-1][1] = c
+        else:
+            spans.append([c, c])
+    return re.compile("[" + "".join(f"{re.escape(chr(a))}-{re.escape(chr(b))}" for a, b in spans) + "]" if spans else "(?!)")
+
+
 @lru_cache(maxsize=4)
 def whole_tokens(path: str) -> dict[str, bytes]:
     """Vocabulary strings that encode alone as exactly their own token, with that id's four bytes."""
@@ -96,16 +155,21 @@ class Encoder:
 
     def __init__(self, path: str, memory: int = 100_000):
         self.tok, self.whole, self.specials, self.memory = load_tokenizer(path), whole_tokens(path), specials(path), memory
-        self.ranks = merger(path)
+        require_byte_level(path)
+        self.ranks, self.unproved = merger(path), unproved(path)
         self.known: dict[str, bytes] = dict(self.whole)
 
-    def pieces(self, text: str) -> list[str]:
-        """The pre-tokens of a text without special strings."""
+    def pieces(self, text: str) -> list[str] | None:
+        """The pre-tokens of a text without special strings; None for the library to cut it."""
         try:
             text.encode("latin-1")
         except UnicodeEncodeError:
-            return _ANY.findall(text)
-        return _ANY.findall(text) if _ODD.search(text) else _LATIN.findall(text)
+            return None if self.unproved.search(text) else _ANY.findall(text)
+        return _LATIN.findall(text)
+
+    def _whole(self, text: str) -> bytes:
+        ids = self.tok.encode(text, add_special_tokens=False).ids
+        return struct.pack(f"<{len(ids)}I", *ids)
 
     def merge(self, piece: str) -> bytes:
         """Merge one pre-token that is no whole token, and remember it."""
@@ -120,9 +184,10 @@ class Encoder:
         if not text:
             return b""
         if any(s in text for s in self.specials):
-            ids = self.tok.encode(text, add_special_tokens=False).ids
-            return struct.pack(f"<{len(ids)}I", *ids)
+            return self._whole(text)
         pieces = self.pieces(text)
+        if pieces is None:
+            return self._whole(text)
         found = list(map(self.known.get, pieces))
         if None in found:
             found = [f if f is not None else self.known.get(p) or self.merge(p) for p, f in zip(pieces, found, strict=True)]
@@ -138,7 +203,8 @@ def encoder(path: str) -> Encoder:
 def count_tokens(docs: DataFrame, tokenizer: str | None = None, limit: int = 1024, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Bytes and tokens of every whole text: (doc_id, n_bytes, n_tokens, over_limit).
 
-    `tokenizer`: path of a byte-level BPE file of the `tokenizers` library, on every executor.
+    `tokenizer`: path of a byte-level BPE file of the `tokenizers` library, on every executor;
+    a file with another model, a normaliser or another cut raises.
     Null texts count as empty: 0 bytes, 0 tokens. A null id and repeated rows stay as they are;
     other columns are not read; an empty table gives no rows. No shuffle; memory is bounded by
     an Arrow batch and by the encoder's memory.
