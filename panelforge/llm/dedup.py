@@ -17,7 +17,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, partitions
+from .common import materialize, packed, partitions
 
 
 class CuckooIndex:
@@ -206,11 +206,10 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
 
 def drop_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of docs that `exact_dedup` keeps, all their columns; of rows equal in id and text one."""
-    kept = exact_dedup(docs, id_col, text_col).filter("kept").select(F.col("doc_id").alias("_kept_id"), F.col("text_sha256").alias("_kept_text"))
-    held = docs.withColumn("_text_sha256", F.sha2(normalized(F.col(text_col)).cast("binary"), 256))
-    same = F.col(id_col).eqNullSafe(F.col("_kept_id")) & (F.col("_text_sha256") == F.col("_kept_text"))
-    one = held.join(materialize(kept.distinct()), same, "left_semi").dropDuplicates([id_col, "_text_sha256"])
-    return one.select([F.col(f"`{c}`") for c in docs.columns])
+    kept = materialize(exact_dedup(docs, id_col, text_col).filter("kept").select(F.col("doc_id").alias("kept_id"), F.col("text_sha256").alias("kept_text")).distinct())
+    held = packed(docs, i=docs[f"`{id_col}`"], t=F.sha2(normalized(docs[f"`{text_col}`"]).cast("binary"), 256))
+    same = F.col("i").eqNullSafe(F.col("kept_id")) & (F.col("t") == F.col("kept_text"))
+    return held.join(kept, same, "left_semi").dropDuplicates(["i", "t"]).select("row.*")
 
 
 def digest_of(text: str | None) -> bytes:

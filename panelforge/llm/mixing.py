@@ -13,7 +13,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import materialize, packed
 
 FEATURES = ("odd", "spread", "width", "fresh", "size")
 
@@ -136,12 +136,11 @@ def document_rates(docs: DataFrame, mix: Mixture, id_col: str = "doc_id", text_c
 
 def apply_rates(docs: DataFrame, mix: Mixture, seed: int = 0, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """docs with every row floor(rate) times, and once more by a hash of its id with the odds of the rest."""
-    cols = docs.columns
-    f = features(docs.withColumn("_mix_text", F.col(text_col)), "_mix_text")
+    f = features(packed(docs, i=docs[f"`{id_col}`"], _mix_text=docs[f"`{text_col}`"]), "_mix_text")
     # a row number in a projection keeps the optimiser from copying its expressions into each use
     p = f.withColumns({"_mix_w": F.monotonically_increasing_id()}).withColumns({"_mix_p": mix.posterior(F.col("_mix_f")), "_mix_k": F.monotonically_increasing_id()})
     rate = p.withColumn("_mix_r", mix.rate(F.col("_mix_p")))
-    u = (F.pmod(F.xxhash64(F.col(id_col), F.lit(seed)), F.lit(1_000_003)) + 0.5) / 1_000_003
+    u = (F.pmod(F.xxhash64("i", F.lit(seed)), F.lit(1_000_003)) + 0.5) / 1_000_003
     copies = F.floor(F.col("_mix_r") + u).cast("int")
     repeated = rate.withColumn("_mix_n", copies).withColumn("_mix_n", F.explode(F.array_repeat(F.lit(0), F.col("_mix_n"))))
-    return repeated.select(*(F.col(f"`{c}`") for c in cols))
+    return repeated.select("row.*")

@@ -32,7 +32,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import Scratch, materialize, partitions
+from .common import Scratch, materialize, packed, partitions
 from .shingles import mix, set_id, shingle_set
 
 SUBSET = 2
@@ -412,9 +412,9 @@ def keep_one_of_each(docs: DataFrame, percent: int = 80, words: int = 5, id_col:
     """
     texts = docs.select(F.col(id_col).cast("string").alias("doc_id"), F.col(text_col).alias("text"))
     kind = docs.schema[id_col].dataType.simpleString()
-    rows = _classes(texts, percent, words, 1, Scratch(docs.sparkSession)).filter("label is not null").select(F.col("doc_id").cast(kind).alias("_near_id"), F.col("h").alias("_near_text"), "label")
-    first = F.min(F.struct(F.col("_near_id").isNull().alias("no_id"), F.col("_near_id").alias("i"), F.col("_near_text").alias("t")))
+    rows = _classes(texts, percent, words, 1, Scratch(docs.sparkSession)).filter("label is not null").select(F.col("doc_id").cast(kind).alias("near_id"), F.col("h").alias("near_text"), "label")
+    first = F.min(F.struct(F.col("near_id").isNull().alias("no_id"), F.col("near_id").alias("i"), F.col("near_text").alias("t")))
     kept = materialize(rows.groupBy("label").agg(first.alias("kept"), F.count("*").alias("c")).filter("c > 1").select("label", "kept.i", "kept.t"))
-    gone = materialize(rows.join(kept, "label").filter(~(F.col("_near_id").eqNullSafe(F.col("i")) & (F.col("_near_text") == F.col("t")))).select("_near_id", "_near_text").distinct())
-    same = F.col(f"`{id_col}`").eqNullSafe(F.col("_near_id")) & (F.xxhash64(F.col(f"`{text_col}`")) == F.col("_near_text"))
-    return docs.join(gone, same, "left_anti")
+    gone = materialize(rows.join(kept, "label").filter(~(F.col("near_id").eqNullSafe(F.col("i")) & (F.col("near_text") == F.col("t")))).select("near_id", "near_text").distinct())
+    held = packed(docs, i=docs[f"`{id_col}`"], t=F.xxhash64(docs[f"`{text_col}`"]))
+    return held.join(gone, F.col("i").eqNullSafe(F.col("near_id")) & (F.col("t") == F.col("near_text")), "left_anti").select("row.*")
