@@ -91,6 +91,20 @@ def asof_earnings(points: DataFrame, earnings: DataFrame, by: list[str], time: s
     return j.withColumns({c: F.when(near, F.col(c)) for c in cols})
 
 
+def days_since(points: DataFrame, reports: DataFrame, by: list[str], time: str, reported: str, slices: int | None = None) -> DataFrame:
+    """Points with `days`, the calendar days since the last report by then; null without one."""
+    j = asof_join(points, reports.select(*by, F.col(reported).alias("_reported")), by, time, "_reported", ["_reported"], slices=slices)
+    return j.withColumn("days", F.datediff(time, "_reported")).drop("_reported")
+
+
+def yoy_growth(points: DataFrame, values: DataFrame, by: list[str], time: str, told: str, value: str, slices: int | None = None) -> DataFrame:
+    """Points with `growth`: (last value by then - the one of 365 days before) / its size; null without both, or where the old one is 0."""
+    known = values.filter(F.col(value).isNotNull())
+    j = asof_join(points, known.select(*by, told, F.col(value).alias("_new")), by, time, told, ["_new"], slices=slices)
+    j = asof_join(j, known.select(*by, told, F.col(value).alias("_old")), by, time, told, ["_old"], offset_days=365, slices=slices)
+    return j.withColumn("growth", F.try_divide(F.col("_new") - F.col("_old"), F.abs("_old"))).drop("_new", "_old")
+
+
 def align_benchmark(bars: DataFrame, index: DataFrame, time: str = "d", value: str = "close") -> DataFrame:
     """Bars with `bench`, the benchmark's last value by each bar's day."""
     return asof_join(bars, index.select(F.col(time).alias("_bench_d"), F.col(value).alias("bench")), [], time, "_bench_d", ["bench"])
@@ -101,9 +115,10 @@ def align_inner(a: DataFrame, b: DataFrame, on: list[str], a_col: str, b_col: st
     return a.join(b, on).filter(F.col(a_col).isNotNull() & F.col(b_col).isNotNull())
 
 
-def bar_on(points: DataFrame, bars: DataFrame, by: list[str], time: str = "d") -> DataFrame:
-    """Points with the close of exactly their day, else null; of repeated bars the one of greatest close."""
-    one = bars.groupBy(*by, time).agg(F.max("close").alias("close"))
+def bar_on(points: DataFrame, bars: DataFrame, by: list[str], time: str = "d", order: str | None = None) -> DataFrame:
+    """Points with the close of exactly their day, else null; of repeated bars the last by `order`, else the one of greatest close: a table has no order of its own."""
+    last = F.max_by("close", F.struct(*([order] if order else []), "close"))
+    one = bars.groupBy(*by, time).agg(last.alias("close"))
     return points.join(one, [*by, time], "left")
 
 

@@ -33,6 +33,31 @@ def ttm(lines: DataFrame, keys: list[str]) -> DataFrame:
     return j.select(*keys, "ref_date", out.alias("value"), reason.alias("reason"))
 
 
+def ttm_known(points: DataFrame, lines: DataFrame, keys: list[str], time: str, fallback_days: int = 45, slices: int | None = None) -> DataFrame:
+    """points (keys..., time) with (ref_date, value, reason): trailing twelve months of what was received by then.
+
+    lines: (keys..., ref_date, received_on, version, value), year-to-date values, each version with
+    its own receipt. The last filing received by the time counts, of one day the later ref_date,
+    then the later version. Its year of ago and the annual before are likewise those received by
+    the time, so a later receipt never changes an earlier value. A missing receipt is ref_date +
+    fallback_days, but an annual without one never counts for others.
+    """
+    from .asof import asof_join
+
+    seen = lines.select(*keys, "ref_date", "version", "value", "received_on", F.coalesce("received_on", F.date_add("ref_date", fallback_days)).alias("_seen"))
+    filed = seen.select(*keys, "_seen", "ref_date", F.col("value").alias("_now"), F.struct("ref_date", "version").alias("_k"))
+    j = asof_join(points, filed, keys, time, "_seen", ["ref_date", "_now"], tie="_k", slices=slices)
+    j = j.withColumns({"_annual_on": F.make_date(F.year("ref_date") - 1, F.lit(12), F.lit(31)), "_year_ago": F.last_day(F.add_months("ref_date", -12))})
+    annual = seen.filter(F.month("ref_date") == 12).select(*keys, F.col("ref_date").alias("_annual_on"), "received_on", "version", F.col("value").alias("_annual"))
+    before = seen.select(*keys, F.col("ref_date").alias("_year_ago"), "_seen", "version", F.col("value").alias("_before"))
+    j = asof_join(j, annual, [*keys, "_annual_on"], time, "received_on", ["_annual"], tie="version", slices=slices)
+    j = asof_join(j, before, [*keys, "_year_ago"], time, "_seen", ["_before"], tie="version", slices=slices)
+    whole = F.month("ref_date") == 12
+    reason = F.when(F.col("ref_date").isNull(), "no filing").when(F.col("_now").isNull(), "no year to date").when(whole, None).when(F.col("_before").isNull(), "no prior year to date").when(F.col("_annual").isNull(), "no prior annual")
+    value = F.when(whole, F.col("_now")).otherwise(F.col("_now") + (F.col("_annual") - F.col("_before")))
+    return j.select(*points.columns, "ref_date", value.alias("value"), reason.alias("reason"))
+
+
 def extract_fundamentals(items: DataFrame, keys: list[str]) -> DataFrame:
     """One row per key from long items (item, value): cash and debt are sums whose all-zero total is null; ebitda is ebit plus |d&a|, else ebit with a warning."""
     v = lambda *names: F.sum(F.when(F.col("item").isin(list(names)), F.col("value")))

@@ -24,9 +24,8 @@ def cut_points(df: DataFrame, value: Column, parts: int) -> list:
 
 def part_of(value: Column, cuts: list) -> Column:
     """How many of the cuts are at most the value; 0 for a null."""
-    if not cuts:
-        return F.lit(0)
-    return F.size(F.filter(F.array(*map(F.lit, cuts)), lambda c: c <= value))
+    # plain comparisons: a lambda here can end in constraints that Spark 4.1 fails to carry over a union
+    return F.coalesce(sum(((value >= F.lit(c)).cast("int") for c in cuts), F.lit(0)), F.lit(0))
 
 
 def parts_of(df: DataFrame) -> int:

@@ -31,12 +31,25 @@ def ic_report(df: DataFrame, score: str, y: str, event: str, segments: list[str]
     return every.unionByName(spearman(df.filter(event), segments, score, y).withColumn("scope", F.lit("event")))
 
 
-def ic_baselines(df: DataFrame, by: list[str], model: str, baselines: list[str], y: str) -> DataFrame:
-    """(by..., ic_<col>..., gap): the model's correlation, the baselines' and its lead over the best of them and of a constant, 0."""
+def ic_baselines(df: DataFrame, by: list[str], model: str, baselines: list[str], y: str, event: str | None = None, least_events: int = 30) -> DataFrame:
+    """(by..., ic_<col>..., gap): the model's correlation, the baselines' and its lead over the best of them and of a constant, 0.
+
+    With `event`, a boolean column, a row more for each of `by`, by `scope` 'all' and 'event':
+    the same over event rows. There baselines count only where more than `least_events` rows are;
+    with fewer they and the lead are null.
+    """
+    if event:
+        some = df.filter(event)
+        n = some.groupBy(*by).agg(F.count("*").alias("_n"))
+        told = ic_baselines(some, by, model, baselines, y)
+        told = told.join(n, by) if by else told.join(F.broadcast(n))
+        many = F.col("_n") > least_events
+        told = told.withColumns({c: F.when(many, F.col(c)) for c in ["gap", *(f"ic_{b}" for b in baselines)]}).drop("_n")
+        return ic_baselines(df, by, model, baselines, y).withColumn("scope", F.lit("all")).unionByName(told.withColumn("scope", F.lit("event")))
     out = None
     for c in [model, *baselines]:
         ic = spearman(df, by, c, y).select(*by, F.col("ic").alias(f"ic_{c}"))
-        out = ic if out is None else out.join(ic, by, "full")
+        out = ic if out is None else out.join(ic, by, "full") if by else out.join(F.broadcast(ic))
     best = F.greatest(F.lit(0.0), *(F.col(f"ic_{c}") for c in baselines))
     return out.withColumn("gap", F.col(f"ic_{model}") - best)
 
@@ -96,6 +109,26 @@ def calibration_report(df: DataFrame, segments: list[str], score: str, y: str, d
     return split_valid(df, segments, degraded).join(spearman(df.filter(~F.coalesce(degraded, F.lit(False))), segments, score, y).drop("n"), segments, "left")
 
 
+def full_calibration(df: DataFrame, segment: str, score: str, y: str, y_beta: str, baseline: str, flags: str, degraded: Column, unit: str, replicates: int = 1000) -> DataFrame:
+    """(part, n, ic, lo, hi, ic_beta, ic_baseline, gap, n_flagged, n_all, n_degraded, rate, note) of all rows and of each segment.
+
+    Correlations, their intervals by resampled units, the lead over the baseline and the rows
+    whose `flags` array isn't empty are of rows that aren't degraded and have y; degradation is
+    of all rows. `part` is 'all' or the segment.
+    """
+    both = df.withColumn("part", F.explode(F.array(F.lit("all"), F.col(segment).cast("string"))))
+    keys = ["part"]
+    good = both.filter(~F.coalesce(degraded, F.lit(False)) & F.col(y).isNotNull())
+    ic = lambda a, b, name: spearman(good, keys, a, b).select("part", F.col("ic").alias(name))
+    interval = bootstrap_summary(bootstrap_ic(good, keys, unit, [score], y, replicates), keys, f"ic_{score}").select("part", "lo", "hi")
+    told = good.groupBy("part").agg(F.count("*").alias("n"), F.count_if(F.size(flags) > 0).alias("n_flagged"))
+    out = split_valid(both, keys, degraded).withColumnRenamed("n", "n_all")
+    for more in (told, ic(score, y, "ic"), interval, ic(score, y_beta, "ic_beta"), ic(baseline, y, "ic_baseline")):
+        out = out.join(more, "part", "left")
+    out = out.withColumn("gap", F.col("ic") - F.col("ic_baseline"))
+    return out.select("part", F.coalesce("n", F.lit(0)).alias("n"), "ic", "lo", "hi", "ic_beta", "ic_baseline", "gap", F.coalesce("n_flagged", F.lit(0)).alias("n_flagged"), "n_all", "n_degraded", "rate", "note")
+
+
 def paired_delta(df: DataFrame, by: list[str], a: str, b: str, y: str) -> DataFrame:
     """(by..., ic_a, ic_b, delta, share_close): both scores on the same rows, and how often they are within 0.2."""
     ia = spearman(df, by, a, y).select(*by, F.col("ic").alias("ic_a"))
@@ -125,6 +158,13 @@ def usage_cost(df: DataFrame, prices: DataFrame, strict: bool = True) -> DataFra
     return j.withColumn("cost", F.when(F.col("price_in").isNull(), unknown).otherwise(cost)).drop("price_in", "price_out")
 
 
+def usage_estimate(costs: DataFrame, n_events: int) -> DataFrame:
+    """(model, n_events, cost, low, high): what that many events would cost at each model's mean cost, with two standard errors either way."""
+    g = costs.groupBy("model").agg(F.avg("cost").alias("_m"), F.coalesce(F.stddev_samp("cost"), F.lit(0.0)).alias("_s"))
+    spread = 2 * F.col("_s") * F.sqrt(F.lit(float(n_events)))
+    return g.select("model", F.lit(n_events).alias("n_events"), (F.col("_m") * n_events).alias("cost"), (F.col("_m") * n_events - spread).alias("low"), (F.col("_m") * n_events + spread).alias("high"))
+
+
 def usage_summary(df: DataFrame, by: list[str], fallback: Column) -> DataFrame:
     """Calls, costs, latency percentiles (linear interpolation) and share of fallbacks."""
     p = lambda q: F.percentile("latency", F.lit(q))
@@ -161,6 +201,39 @@ def signal_sweep(panel: DataFrame, alphas: list[float], keys: list[str], z: str,
     return raised.withColumn("signal", F.greatest(F.lit(-1.0), F.least(F.lit(1.0), a * F.col(z) + F.sqrt(1 - a * a) * noise)))
 
 
+def find_alphas(panel: DataFrame, targets: list[float], keys: list[str], z: str, y: str, seed: int = 42, event_share: float = 0.15, tolerance: float = 0.005, cuts: int = 16, rounds: int = 8) -> DataFrame:
+    """(target, alpha, ic): the strength of a controlled signal whose rank correlation with y is the target, to `tolerance`.
+
+    Each round tries `cuts` + 1 strengths within the bracket of every target that is still open,
+    all in one aggregation; the bracket becomes the two neighbours between which the correlation
+    first reaches the target. A target of 0 or less has strength 0; one that no strength reaches
+    gets the nearest.
+    """
+    brackets = {t: (0.0, 1.0) for t in targets if t > 0}
+    best: dict[float, tuple[float, float, float | None]] = {}
+
+    def tried(alphas: set[float]) -> dict[float, float]:
+        s = signal_sweep(panel, sorted(alphas), keys, z, seed, event_share)
+        return {r["alpha"]: r["ic"] or 0.0 for r in spearman(s, ["alpha"], "signal", y).collect()}
+
+    if any(t <= 0 for t in targets):
+        none = tried({0.0}).get(0.0, 0.0)
+        best |= {t: (abs(none - t), 0.0, none) for t in targets if t <= 0}
+    for _ in range(rounds):
+        if not brackets:
+            break
+        grids = {t: [lo + (hi - lo) * k / cuts for k in range(cuts + 1)] for t, (lo, hi) in brackets.items()}
+        ics = tried({a for g in grids.values() for a in g})
+        for t, g in grids.items():
+            near = min((abs(ics.get(a, 0.0) - t), a, ics.get(a, 0.0)) for a in g)
+            best[t] = min(best.get(t, near), near)
+            over = next((k for k, a in enumerate(g) if ics.get(a, 0.0) >= t), cuts)
+            brackets[t] = (g[max(over - 1, 0)], g[max(over, 1)])
+            if best[t][0] < tolerance:
+                del brackets[t]
+    return panel.sparkSession.createDataFrame([(t, best[t][1], best[t][2]) for t in targets], "target double, alpha double, ic double")
+
+
 def variant_report(df: DataFrame, variant: str, pred: str, y: str, event: str | None = None, baseline: str | None = None, importances: DataFrame | None = None) -> DataFrame:
     """(variant, ic, n, n_distinct): correlation and how many different predictions, at 6 places.
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
 from ..functions.timeutil import busday_count
@@ -41,14 +41,36 @@ def lookahead_violations(df: DataFrame, ts: str, cutoff, strict: bool = False) -
     return df.filter(late)
 
 
-def weight_sources(df: DataFrame, whitelist: DataFrame, domain: str, url: str) -> DataFrame:
-    """Rows whose "domain url" contains a whitelist entry, with the weight of the first such entry in list order (ord, entry, weight)."""
+def lookahead_report(kinds: dict[str, tuple[DataFrame, str]], cutoff) -> DataFrame:
+    """(kind, n, n_late, latest) for each kind of source, (rows, their time column), against the cutoff.
+
+    Days are compared as days. A time without a zone can't be placed against a cutoff: it raises.
+    """
+    out = None
+    for kind, (df, ts) in kinds.items():
+        held = df.schema[ts].dataType.simpleString()
+        if held not in ("date", "timestamp"):
+            raise ValueError(f"{kind}: {ts} is {held}, a day or a time with a zone is needed")
+        at = F.lit(cutoff).cast("timestamp")
+        late = F.col(ts) > (at.cast("date") if held == "date" else at)
+        told = df.agg(F.count("*").alias("n"), F.count_if(late).alias("n_late"), F.max(ts).cast("timestamp").alias("latest")).withColumn("kind", F.lit(kind))
+        out = told if out is None else out.unionByName(told)
+    return out.select("kind", "n", "n_late", "latest")
+
+
+def require_no_lookahead(kinds: dict[str, tuple[DataFrame, str]], cutoff) -> None:
+    """Raise if any kind of source has a row later than the cutoff; one count of each."""
+    late = {r["kind"]: (r["n_late"], r["latest"]) for r in lookahead_report(kinds, cutoff).collect() if r["n_late"]}
+    if late:
+        raise ValueError(f"look-ahead past {cutoff}: {late}")
+
+
+def weight_sources(df: DataFrame, whitelist: list[tuple[str, float]], domain: str, url: str) -> DataFrame:
+    """Rows whose "domain url" contains an entry of the list, with the weight of the first such entry. The list is looked through in place: no shuffle."""
     text = F.concat_ws(" ", F.lower(domain), F.lower(url))
-    cols = df.columns
-    uid = df.withColumn("_uid", F.monotonically_increasing_id())
-    hit = uid.join(F.broadcast(whitelist), text.contains(F.lower(F.col("entry"))))
-    best = hit.groupBy("_uid").agg(F.min_by(F.struct(*cols), "ord").alias("_r"), F.min_by("weight", "ord").alias("weight"))
-    return best.select("_r.*", "weight")
+    entries = F.array(*(F.struct(F.lit(e.lower()).alias("e"), F.lit(float(w)).alias("w")) for e, w in whitelist))
+    first = F.get(F.filter(entries, lambda x: text.contains(x["e"])), F.lit(0)) if whitelist else F.lit(None).cast("struct<e: string, w: double>")
+    return df.withColumn("_hit", first).filter("_hit is not null").select(*df.columns, F.col("_hit.w").alias("weight"))
 
 
 def resolve_names(df: DataFrame, names: DataFrame) -> DataFrame:
@@ -79,9 +101,17 @@ def tag_exposure(df: DataFrame, event_day: str, latest_news: str, cutoff) -> Dat
     return df.withColumns({"segment": seg, "clean": F.coalesce(F.col(latest_news) >= F.lit(cutoff), F.lit(False))})
 
 
-def sector_members(universe: DataFrame) -> DataFrame:
-    """(sector, assets) over the whole universe."""
-    return universe.groupBy("sector").agg(F.array_sort(F.collect_list("asset")).alias("assets"))
+def sector_members(universe: DataFrame, dates: DataFrame | None = None, day: str = "d") -> DataFrame:
+    """(sector, assets) over the whole universe; with dates (day, sector, assets) of the assets that are members on each day."""
+    keys, members = ([day, "sector"], active_universe(dates, universe, day)) if dates is not None else (["sector"], universe)
+    return members.groupBy(*keys).agg(F.array_sort(F.collect_list("asset")).alias("assets"))
+
+
+def active_over(universe: DataFrame, start, stop) -> DataFrame:
+    """(asset): assets that are members on some day of [start, stop]; none if it is inverted."""
+    first, last = F.lit(start).cast("date"), F.lit(stop).cast("date")
+    begins, ends = F.coalesce("valid_from", first), F.coalesce("valid_to", last)
+    return universe.filter((first <= last) & (begins <= ends) & (begins <= last) & (ends >= first)).select("asset").distinct()
 
 
 def add_blocks(df: DataFrame, day: str, base, days: int = 5) -> DataFrame:
@@ -91,12 +121,28 @@ def add_blocks(df: DataFrame, day: str, base, days: int = 5) -> DataFrame:
 
 def sample_events(sessions: DataFrame, universe: DataFrame, news: DataFrame, labels: DataFrame, lookback: int = 7) -> DataFrame:
     """(d, asset, n_news, set_key): active asset-days with news within `lookback` days and a label, the first day of each news set only."""
+    return judged_events(sessions, universe, news, labels, lookback).filter("verdict = 'sampled'").select("d", "asset", "n_news", "set_key")
+
+
+def judged_events(sessions: DataFrame, universe: DataFrame, news: DataFrame, labels: DataFrame, lookback: int = 7, counts: Observation | None = None) -> DataFrame:
+    """(d, asset, n_news, set_key, verdict) of every active asset-day: 'sampled', 'no news', 'duplicate' of a set sampled on an earlier day, or 'no label'.
+
+    With `counts`, one action on the result also tells how many of each there are, by
+    `counts.get`: n_candidates, n_sampled, n_no_news, n_duplicate and n_no_label.
+    """
     act = active_universe(sessions.select("d"), universe)
     near = news.select("asset", "news_id", F.explode(F.sequence(F.col("published_at").cast("date"), F.date_add(F.col("published_at").cast("date"), lookback))).alias("d"))
     sets = near.groupBy("asset", "d").agg(F.count("*").alias("n_news"), F.sha2(F.array_join(F.array_sort(F.collect_list(F.col("news_id").cast("string"))), "||").cast("binary"), 256).alias("set_key"))
-    j = act.join(sets, ["asset", "d"]).join(labels.select("asset", "d"), ["asset", "d"], "left_semi")
-    first = F.row_number().over(Window.partitionBy("asset", "set_key").orderBy("d"))
-    return j.withColumn("_rn", first).filter("_rn = 1").select("d", "asset", "n_news", "set_key")
+    known = labels.select("asset", "d").distinct().withColumn("_y", F.lit(True))
+    j = act.join(sets, ["asset", "d"], "left").join(known, ["asset", "d"], "left")
+    accepted = F.min(F.when(F.col("_y") & F.col("set_key").isNotNull(), F.col("d"))).over(Window.partitionBy("asset", "set_key"))
+    first = F.col("_first")
+    verdict = F.when(F.col("set_key").isNull(), "no news").when(F.col("d") > first, "duplicate").when(F.col("_y") & (F.col("d") == first), "sampled").otherwise("no label")
+    out = j.withColumn("_first", accepted).withColumn("verdict", verdict).select("d", "asset", "n_news", "set_key", "verdict")
+    if counts is None:
+        return out
+    of = lambda v: F.count_if(F.col("verdict") == v)
+    return out.observe(counts, F.count(F.lit(1)).alias("n_candidates"), of("sampled").alias("n_sampled"), of("no news").alias("n_no_news"), of("duplicate").alias("n_duplicate"), of("no label").alias("n_no_label"))
 
 
 def sample_random(df: DataFrame, keys: list[str], n: int, seed: int = 42) -> DataFrame:
@@ -104,6 +150,24 @@ def sample_random(df: DataFrame, keys: list[str], n: int, seed: int = 42) -> Dat
     return df.orderBy(F.md5(F.concat_ws("|", F.lit(str(seed)), *keys).cast("binary")), *keys).limit(n)
 
 
+def sample_passing(df: DataFrame, keys: list[str], n: int, filters: dict[str, Column], seed: int = 42) -> tuple[DataFrame, DataFrame]:
+    """(the first n rows in the order of `sample_random` that pass all filters, (n_probed, n_taken, failed_<filter>...)).
+
+    Counters are those of rows that come no later than the last one taken, or of all rows where
+    fewer than n pass; a row that fails counts for the first filter it fails.
+    """
+    told = F.struct(F.md5(F.concat_ws("|", F.lit(str(seed)), *keys).cast("binary")).alias("h"), *keys)
+    verdict = F.lit(None).cast("string")
+    for name, ok in reversed(filters.items()):
+        verdict = F.when(~F.coalesce(ok, F.lit(False)), F.lit(name)).otherwise(verdict)
+    judged = df.withColumns({"_spot": told, "_failed": verdict})
+    taken = judged.filter("_failed is null").orderBy("_spot").limit(n)
+    last = taken.agg(F.max("_spot").alias("_last"), F.count("*").alias("_n"))
+    probed = judged.join(F.broadcast(last)).filter((F.col("_n") < n) | (F.col("_spot") <= F.col("_last")))
+    failed = [F.count_if(F.col("_failed") == name).alias(f"failed_{name}") for name in filters]
+    return taken.drop("_spot", "_failed"), probed.agg(F.count("*").alias("n_probed"), F.count_if(F.col("_failed").isNull()).alias("n_taken"), *failed)
+
+
 def pending(events: DataFrame, done: DataFrame, keys: list[str]) -> DataFrame:
     """Events not yet evaluated."""
     return events.join(done.select(*keys).distinct(), keys, "left_anti")

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import panel, stats
-from . import feed_queries, model_queries, news_queries, panel_queries, stats_queries  # noqa: F401  they register their queries
+from . import feed_queries, model_queries, news_queries, panel_queries, report_queries, stats_queries  # noqa: F401  they register their queries
 from .registry import ORACLE_SQL, QUERIES
 
 __all__ = ["ORACLE_SQL", "QUERIES", "flagship"]

@@ -39,13 +39,12 @@ def p5(spark, d):
     return un.lookahead_violations(v.table(spark, d, "events"), "ts", "2024-01-25 00:00:00").groupBy("event_type").agg(F.count("*").alias("n"))
 
 
-_WHITE = [(0, "src1", 0.9), (1, "src7", 0.75), (2, "src", 0.5)]
+_WHITE = [("src1", 0.9), ("src7", 0.75), ("src", 0.5)]
 
 
 @query("p8_weight_sources", sql("select news_id, arg_min(w, ord) as weight from news, (values (0, 'src1', 0.9::double), (1, 'src7', 0.75::double), (2, 'src', 0.5::double)) t(ord, entry, w) where contains(source || ' ' || lower(asset), entry) group by 1", "news"))
 def p8(spark, d):
-    white = spark.createDataFrame(_WHITE, "ord int, entry string, weight double")
-    return un.weight_sources(v.news(spark, d).select("news_id", "source", "asset"), white, "source", "asset").select("news_id", "weight")
+    return un.weight_sources(v.news(spark, d).select("news_id", "source", "asset"), _WHITE, "source", "asset").select("news_id", "weight")
 
 
 @query("p9_resolve_names", sql("select news_id, coalesce(case when substr(n.asset, 7)::int <= 20 then 'Company ' || substr(n.asset, 7) end, n.asset) as display from news n", "news"))

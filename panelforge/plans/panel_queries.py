@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import scalars, timeutil
 from ..operators import asof, panel
+from ..sources import feeds
 from . import views as v
 from .registry import query
 from .views import sql
@@ -27,10 +28,10 @@ _RET = """with ret as materialized (select b.*, b.close / lag(b.close) over (par
     from bars b join (select d, close, close / lag(close) over (order by d) - 1 as bench_ret from index_bars) i on b.d = i.d) """
 
 
-@query("s1_load_bars", sql("select b.asset, b.d, b.close as close, volume, round(i.close, 6) as close_raw from bars b left join index_bars i using (d) where d between date '1996-01-01' and date '2000-06-30'", "bars", "index_bars"))
+@query("s1_load_bars", sql("select b.asset, b.d, b.close as close, volume, r.open as close_raw from bars b left join (select asset, d, open from bars where volume > 20) r on r.asset = b.asset and r.d = b.d where b.d between date '1996-01-01' and date '2000-06-30'", "bars"))
 def s1(spark, d):
-    raw = v.index_bars(spark, d).withColumnRenamed("close", "close_raw")
-    return v.bars(spark, d).join(raw, "d", "left").filter("d between date'1996-01-01' and date'2000-06-30'").select("asset", "d", "close", "volume", *r6("close_raw"))
+    raw = v.bars(spark, d).filter("volume > 20").select("asset", "d", F.col("open").alias("close"))
+    return feeds.load_bars(v.bars(spark, d), raw, "1996-01-01", "2000-06-30", "1995-06-01").select("asset", "d", "close", "volume", "close_raw")
 
 
 @query("f1_quality_flags", sql("select asset, d, concat_ws('|', case when volume = 0 then 'zero volume' end, case when close is null then 'null close' end, case when abs(close / lag(close) over (partition by asset order by d) - 1) > 0.30 then 'large move' end) as quality from bars", "bars"))
@@ -120,7 +121,7 @@ def w3(spark, d):
 @query("w4_days_since", sql("select entity, d, datediff('day', received_on, d) as days from points asof left join (select entity, coalesce(received_on, ref_date + 45) as received_on from filing_headers) h using (entity) where true" .replace("using (entity) where true", "on points.entity = h.entity and points.d >= h.received_on").replace("select entity, d,", "select points.entity, points.d,", 1), "points", "filing_headers"))
 def w4(spark, d):
     h = v.filing_headers(spark, d).select("entity", F.coalesce("received_on", F.date_add("ref_date", 45)).alias("received_on"))
-    return asof.asof_join(v.points(spark, d), h, ["entity"], "d", "received_on", ["received_on"]).select("entity", "d", F.datediff("d", "received_on").alias("days"))
+    return asof.days_since(v.points(spark, d), h, ["entity"], "d", "received_on").select("entity", "d", "days")
 
 
 _E = "(select entity, announced_on, realized from earnings where realized is not null)"
@@ -128,10 +129,8 @@ _E = "(select entity, announced_on, realized from earnings where realized is not
 
 @query("w5_yoy_growth", sql(f"select p.entity, p.d, round((e.realized - o.realized) / nullif(abs(o.realized), 0), 6) as growth from points p asof left join {_E} e on p.entity = e.entity and p.d >= e.announced_on asof left join {_E} o on p.entity = o.entity and p.d - 365 >= o.announced_on", "points", "earnings"))
 def w5(spark, d):
-    e = v.earnings(spark, d).filter("realized is not null").select("entity", "announced_on", "realized")
-    j = asof.asof_join(v.points(spark, d), e, ["entity"], "d", "announced_on", ["realized"])
-    j = asof.asof_join(j, e.withColumnRenamed("realized", "old"), ["entity"], "d", "announced_on", ["old"], offset_days=365)
-    return j.select("entity", "d", F.round(F.try_divide(F.col("realized") - F.col("old"), F.abs("old")), 6).alias("growth"))
+    g = asof.yoy_growth(v.points(spark, d), v.earnings(spark, d), ["entity"], "d", "announced_on", "realized", slices=8)
+    return g.select("entity", "d", *r6("growth"))
 
 
 @query("w6_rolling_beta", sql(_RET + "select asset, d, round(case when n >= 200 and s is not null then s else 1 end, 6) as beta, not (n >= 200 and s is not null) as beta_fallback from (select asset, d, regr_slope(ret, bench_ret) over w as s, regr_count(ret, bench_ret) over w as n from ret window w as (partition by asset order by d rows between 250 preceding and current row))", "bars", "index_bars"))

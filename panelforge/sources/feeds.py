@@ -27,8 +27,9 @@ def read_filings(spark: SparkSession, path: str) -> DataFrame:
 
 
 def write_filings(df: DataFrame, path: str, kind: str) -> None:
-    """Parquet by kind and year of the reference date."""
-    df.withColumn("kind", F.lit(kind)).withColumn("year", F.year("DT_REFER")).write.mode("append").partitionBy("kind", "year").parquet(path)
+    """Parquet by kind and year of the reference date; the years that df has are replaced, so writing again changes nothing."""
+    told = df.withColumn("kind", F.lit(kind)).withColumn("year", F.year("DT_REFER"))
+    told.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("kind", "year").parquet(path)
 
 
 def read_news_csv(spark: SparkSession, path: str) -> DataFrame:
