@@ -33,6 +33,14 @@ def purged_folds(panel: DataFrame, n_dates: int, k: int = 5, ahead: int = 5, emb
     return j.withColumn("side", F.when(F.col("ord") >= F.col("first"), "test").otherwise("train")).drop("first", "last")
 
 
+def embargoed(panel: DataFrame, first_day, ahead: int = 5, embargo: int = 5) -> tuple[DataFrame, DataFrame]:
+    """(train, test) about the first test day: a training row's label, `ahead` ordinals on, ends an embargo before it."""
+    first = panel.filter(F.col("d") >= F.lit(first_day)).agg(F.min("ord")).first()[0]
+    if first is None:
+        raise ValueError(f"no day from {first_day} on")
+    return panel.filter(F.col("ord") + ahead + embargo <= first), panel.filter(F.col("ord") >= first)
+
+
 def train_gbt(train: DataFrame, features: list[str], label: str = "y", trees: int = 30, depth: int = 3, rate: float = 0.05, sample: float = 0.8, seed: int = 42) -> GBTRegressionModel:
     """Boosted regression trees with event rows weighted five times."""
     ready = VectorAssembler(inputCols=features, outputCol="_x", handleInvalid="skip").transform(train.withColumn("_w", event_weight(F.col("has_event"))))
@@ -60,6 +68,25 @@ def staged_ic(model: GBTRegressionModel, test: DataFrame, features: list[str], b
     return spearman(long, [*by, "stage"], "_p", label)
 
 
+def cross_validated_stages(panel: DataFrame, n_dates: int, features: list[str], k: int = 5, ahead: int = 5, embargo: int = 5, trees: int = 30, least: int = 20, parallel: int = 4) -> DataFrame:
+    """(fold, stage, ic, n): `staged_ic` on the test block of each purged, embargoed fold, of a model fitted on its training rows.
+
+    The panel (with `ord`) should be a written table: each fold is a fit on it, `parallel` at a
+    time. A fold with fewer than `least` training rows has no stages.
+    """
+    folds = purged_folds(panel, n_dates, k, ahead, embargo)
+    sizes = {r["fold"]: r["count"] for r in folds.filter("side = 'train'").groupBy("fold").count().collect()}
+
+    def one(fold: int) -> DataFrame:
+        mine = folds.filter(F.col("fold") == fold)
+        model = train_gbt(mine.filter("side = 'train'"), features, trees=trees)
+        return staged_ic(model, mine.filter("side = 'test'"), features, ["fold"])
+
+    with ThreadPool(max(1, parallel)) as pool:
+        parts = pool.map(inheritable_thread_target(panel.sparkSession)(one), sorted(f for f, n in sizes.items() if n >= least))
+    return reduce(DataFrame.unionByName, parts) if parts else panel.sparkSession.createDataFrame([], "fold int, stage int, ic double, n bigint")
+
+
 def plateau(ics: DataFrame) -> int:
     """Trees to keep, from (fold, stage, ic): the fewest whose mean is within half a deviation of the best, or the best where that is under 0.3 of it."""
     rows = ics.groupBy("stage").agg(F.avg("ic").alias("m"), F.stddev_pop("ic").alias("s")).orderBy("stage").collect()

@@ -77,8 +77,11 @@ def f10(spark, d):
 
 
 def small_panel(spark, d):
-    p = filings.build_panel(v.bars(spark, d), v.index_bars(spark, d), v.universe(spark, d), v.scores(spark, d), 60, 5, 60, 20)
-    return panel.date_ordinal(panel.impute_cross_section(p, ["momentum", "reversal", "relative_volume"], "d", "1999-12-31"))
+    """The panel of prices and scores with whole windows, written: fits read it again and again."""
+    p = filings.build_panel(v.bars(spark, d), v.index_bars(spark, d), v.universe(spark, d), v.scores(spark, d))
+    path = new_path(spark, "panel")
+    panel.date_ordinal(panel.impute_cross_section(p, ["momentum", "reversal", "relative_volume"], "d", "1999-12-31")).write.parquet(path)
+    return spark.read.parquet(path)
 
 
 FEATURES = ["momentum", "reversal", "relative_volume", "beta", "score"]
@@ -180,37 +183,35 @@ def m1(spark, d):
 @query("m2_train_predict")
 def m2(spark, d):
     p = small_panel(spark, d)
-    m = model.train_gbt(p.filter("d < date'2000-01-01'"), FEATURES, trees=5)
-    return model.predict(m, p.filter("d >= date'2000-01-01'"), FEATURES).select("asset", "d", "y_pred", "rank")
+    train, test = model.embargoed(p, "2000-01-01")
+    return model.predict(model.train_gbt(train, FEATURES), test, FEATURES).select("asset", "d", "y_pred", "rank")
 
 
 @query("m5_predict_universe")
 def m5(spark, d):
     p = full_panel(spark, d).filter("y is not null")
-    ready = panel.impute_cross_section(p, filings.PANEL_FEATURES, "d", "1999-12-31")
-    m = model.train_gbt(ready.filter("d <= date'1999-12-31'"), filings.PANEL_FEATURES, trees=5)
+    ready = panel.date_ordinal(panel.impute_cross_section(p, filings.PANEL_FEATURES, "d", "1999-12-31"))
+    m = model.train_gbt(model.embargoed(ready, "2000-01-01")[0], filings.PANEL_FEATURES)
     news = v.news(spark, d).select("asset", F.col("published_at").cast("date").alias("d"), "published_at")
     return model.predict_universe(m, p.filter("d > date'1999-12-31'"), filings.PANEL_FEATURES, news, "1999-12-31")
 
 
 @query("m3_staged_ic")
 def m3(spark, d):
-    p = small_panel(spark, d).withColumn("fold", F.lit(1))
-    m = model.train_gbt(p.filter("d < date'2000-01-01'"), FEATURES, trees=5)
-    return model.staged_ic(m, p.filter("d >= date'2000-01-01'"), FEATURES, ["fold"])
+    p = small_panel(spark, d)
+    n = p.agg(F.max("ord") + 1).first()[0] or 0
+    return model.cross_validated_stages(p, n, FEATURES)
 
 
 @query("m6_walk_forward")
 def m6(spark, d):
-    path = new_path(spark, "panel")
-    small_panel(spark, d).write.parquet(path)
-    return model.walk_forward(spark.read.parquet(path), FEATURES, trees=3, parallel=8).select("asset", "d", "y_pred", "rank", "month")
+    return model.walk_forward(small_panel(spark, d), FEATURES, trees=3, parallel=8).select("asset", "d", "y_pred", "rank", "month")
 
 
 @query("m7_importance_signs")
 def m7(spark, d):
     p = small_panel(spark, d)
-    m = model.train_gbt(p.filter("d < date'2000-01-01'"), FEATURES, trees=5)
+    m = model.train_gbt(model.embargoed(p, "2000-01-01")[0], FEATURES)
     return model.importance_signs(m, p, FEATURES, {"score": 1, "momentum": 1, "reversal": -1})
 
 

@@ -156,3 +156,24 @@ def test_bar_of_repeats_is_the_last(spark):
     p = spark.createDataFrame([("a", D(2024, 1, 1)), ("a", D(2024, 1, 2))], "k string, d date")
     assert [r.close for r in asof.bar_on(p, bars, ["k"], order="n").orderBy("d").collect()] == [5.0, None]
     assert [r.close for r in asof.bar_on(p, bars, ["k"]).orderBy("d").collect()] == [9.0, None]
+
+
+def test_training_ends_an_embargo_before_the_test(spark):
+    from panelforge.operators import model
+
+    rng = random.Random(7)
+    rows = [(a, D(2024, 1, 1) + dt.timedelta(k), k, x := rng.random(), (rng.random() + x) * 0.1, rng.random() < 0.2) for k in range(66) for a in "abcd"]
+    p = spark.createDataFrame(rows, "asset string, d date, ord int, x double, y double, has_event boolean").cache()
+    train, test = model.embargoed(p, "2024-02-10")
+    assert train.agg(F.max("ord")).first()[0] + 10 == test.agg(F.min("ord")).first()[0] == 40
+    with pytest.raises(ValueError, match="no day"):
+        model.embargoed(p, "2025-01-01")
+    got = {(r.fold, r.stage): (r.ic, r.n) for r in model.cross_validated_stages(p, 66, ["x"], k=2, trees=3).collect()}
+    # blocks of 22: the folds' tests are 22..43 and 44..65
+    assert set(got) == {(f, s) for f in (1, 2) for s in (1, 2, 3)} and {n for _, n in got.values()} == {88}
+    for fold, first in ((1, 22), (2, 44)):
+        m = model.train_gbt(p.filter(F.col("ord") <= first - 10), ["x"], trees=3)
+        own = p.filter(F.col("ord").between(first, first + 21))
+        last = model.predict(m, own, ["x"]).toPandas()
+        assert got[fold, 3][0] == pytest.approx(spearman(last["y_pred"], last["y"]))
+    assert model.cross_validated_stages(p.filter("ord < 30"), 30, ["x"], k=2, trees=2, least=200).count() == 0
