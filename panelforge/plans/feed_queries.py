@@ -55,10 +55,14 @@ def t6(spark, d):
     return v.news(spark, d).select("news_id", F.trim(nw.strip_boilerplate(text)).alias("text"))
 
 
-@query("t7_segment_columns", sql("select news_id as feed_id, 2::bigint as n_records, 0::int as column_rank from news", "news"))
+@query("t7_segment_columns", sql("select news_id as feed_id, case when news_id % 4 = 3 then 2 else 3 end::bigint as n_records, case when news_id % 4 = 3 then 0 else 1 end::int as column_rank from news", "news"))
 def t7(spark, d):
-    f = raw_feed(spark, d).withColumn("again", F.col("text"))
-    return nw.segment_columns(f, ["text", "again"], ["feed_id"]).groupBy("feed_id").agg(F.count("*").alias("n_records"), F.max("column_rank").alias("column_rank"))
+    """The second column holds a record of its own and, of every other feed, the first column's notice again; of a fourth it is empty."""
+    k = F.col("feed_id")
+    own = F.concat(F.lit(" 01/02/2003 04:05:06[SRC2]\nOther column of feed "), k.cast("string"), F.lit("\nsaid there\n"))
+    other = F.when(k % 4 != 3, F.concat(own, F.when(k % 2 == 0, F.col("notice")).otherwise(F.lit("")))).otherwise(F.lit(""))
+    f = raw_feed(spark, d).withColumn("other", other)
+    return nw.segment_columns(f, ["text", "other"], ["feed_id"]).groupBy("feed_id").agg(F.count("*").alias("n_records"), F.max("column_rank").alias("column_rank"))
 
 
 @query("a13_placebo_delta", sql(f"with pair as (select a.asset, a.d, a.score as score_a, b.score as score_b, a.y from evaluations a join evaluations b on a.event_id = b.event_id and a.model = 'a' and b.model = 'b') select year, round(a.ic - b.ic, 6) as delta from {_ic('(select *, year(d) as year from pair)', 'year', 'score_a', 'y')} a join {_ic('(select *, year(d) as year from pair)', 'year', 'score_b', 'y')} b using (year)", "evaluations"))

@@ -57,10 +57,24 @@ def f3(spark, d):
     return r.select("entity", "ref_date", *(F.round(c, 6).alias(c) for c in ("margin", "roe", "leverage", "pe", "pb")))
 
 
-@query("f8_parse_score_response", "select event_id, greatest(-1, least(1, value / 50))::double as score_total, greatest(-1, least(1, value / 100))::double as score_news, false as rejected, abs(greatest(-1, least(1, value / 50)) - greatest(-1, least(1, value / 100))) > 0.25 as far from events")
+_SCORES = ("score_total", "score_news", "score_macro", "score_sector", "score_fundamentals")
+
+
+@query("f8_parse_score_response", """with t as (select event_id, event_type, event_id % 7 as k, greatest(-1, least(1, value / 50))::double as a, greatest(-1, least(1, value / 100))::double as b from events)
+    select event_id, case when k < 3 then 0 when k = 3 then 1 else a end::double as score_total, case when k < 3 then 0 when k = 3 then -1 else b end::double as score_news,
+           case when k < 3 then 0 when k = 3 then 1 else 0.25 end::double as score_macro, case when k < 3 then 0 when k = 3 then -1 else -0.5 end::double as score_sector,
+           case when k < 3 then 0 when k = 3 then 1 else 0.75 end::double as score_fundamentals, case when k < 3 then 0 when k = 3 then 1 else 0.5 end::double as confidence,
+           case when k = 2 then 'text' when k = 3 then 'far' when k > 3 then 'of ' || event_type end as reason, k < 2 as rejected,
+           case when k < 3 then false when k = 3 then true else abs(a - b) > 0.25 end as far from t""")
 def f8(spark, d):
-    e = v.table(spark, d, "events").withColumn("j", F.to_json(F.struct((F.col("value") / 50).alias("score_total"), (F.col("value") / 100).alias("score_news"), F.lit(0.5).alias("confidence"))))
-    return filings.parse_score_response(e, "j").select("event_id", "score_total", "score_news", "rejected", (F.size("warnings") > 0).alias("far"))
+    """Responses that are cut off, no object, texts in place of numbers, out of range, or whole."""
+    k, value = F.col("event_id") % 7, F.col("value")
+    whole = F.to_json(F.struct((value / 50).alias("score_total"), (value / 100).alias("score_news"), F.lit("0.25").alias("score_macro"), F.lit(-0.5).alias("score_sector"), F.lit(0.75).alias("score_fundamentals"), F.lit(0.5).alias("confidence"), F.concat(F.lit("of "), "event_type").alias("reason")))
+    far = '{"score_total": 5, "score_news": -9, "score_macro": 1e9, "score_sector": "-2", "score_fundamentals": 1.5, "confidence": 7, "reason": "far"}'
+    texts = '{"score_total": "abc", "score_news": null, "confidence": "NaN", "reason": "text"}'
+    response = F.when(k == 0, F.lit('{"score_total": 0.5, "conf')).when(k == 1, F.lit("[1, 2]")).when(k == 2, F.lit(texts)).when(k == 3, F.lit(far)).otherwise(whole)
+    e = v.table(spark, d, "events").withColumn("j", response)
+    return filings.parse_score_response(e, "j").select("event_id", *_SCORES, "confidence", "reason", "rejected", (F.size("warnings") > 0).alias("far"))
 
 
 @query("f9_neutral_fill", sql("select b.asset, b.d, round(case when has_event then score else 0 end, 6) as score, coalesce(has_event, false) as has_event from bars b left join scores using (asset, d)", "bars", "scores"))

@@ -236,7 +236,7 @@ def s15(spark, d):
 
 
 def raw_feed(spark, d):
-    """Every document as a feed of two records: its whole text, and a short notice; of some the time or the source code is none."""
+    """Every document as a feed of two records, its whole text and a short notice, which a fifth of the feeds tell twice; of some the time or the source code is none."""
     n = v.news(spark, d)
     k = F.col("news_id")
     title = F.regexp_replace("title", "[*•-]|^By ", "")
@@ -245,14 +245,14 @@ def raw_feed(spark, d):
     first = F.concat(F.lit(" "), F.when(k % 11 == 0, F.regexp_replace(at, "^..", "13")).otherwise(at), F.lit("["), F.upper("source"), F.lit("]\nPrint\n"), title, rest, F.lit("\n"))
     dateline = F.when(k % 3 == 0, F.lit("By A Writer\n")).when(k % 3 == 1, F.lit("(City) -- ")).otherwise(F.lit(""))
     second = F.concat(F.lit(" "), at, F.lit("[SRC1]\nNotice that closes feed "), k.cast("string"), F.lit("\n"), dateline, F.lit("of source "), "source", F.lit("\n"))
-    return n.select(k.alias("feed_id"), F.concat(F.lit("Menu\nShare\n"), first, second).alias("text"))
+    return n.select(k.alias("feed_id"), F.concat(F.lit("Menu\nShare\n"), first, second, F.when(k % 5 == 4, second).otherwise(F.lit(""))).alias("text"), second.alias("notice"))
 
 
 #: The same records in SQL: (news_id, part, bad, source, record).
 _RECORDS = r"""rec as (
     select news_id, 1 as part, news_id % 11 = 0 as bad, source, published_at, trim(regexp_replace(title, '[*•-]|^By ', '', 'g'), ' ') as title, chr(10) || regexp_replace(title, '[*•-]|^By ', '', 'g') || substr(body, length(title) + 1) || chr(10) as record from news
     union all
-    select news_id, 2, false, 'src1', published_at, 'Notice that closes feed ' || news_id, chr(10) || 'Notice that closes feed ' || news_id || chr(10) || case news_id % 3 when 0 then 'By A Writer' || chr(10) when 1 then '(City) -- ' else '' end || 'of source ' || source || chr(10) from news)"""
+    select news_id, unnest(range(2, case when news_id % 5 = 4 then 4 else 3 end)), false, 'src1', published_at, 'Notice that closes feed ' || news_id, chr(10) || 'Notice that closes feed ' || news_id || chr(10) || case news_id % 3 when 0 then 'By A Writer' || chr(10) when 1 then '(City) -- ' else '' end || 'of source ' || source || chr(10) from news)"""
 _CODES = "case when substr(source, 4)::int < 10 then source else 'other' end"
 
 
@@ -262,7 +262,7 @@ def parsed(spark, d):
     return rec.withColumn("title", nw.extract_title(F.col("record")))
 
 
-@query("t1_segment_records", sql("select news_id as feed_id, 2::bigint as n_records from news", "news"))
+@query("t1_segment_records", sql(f"with {_RECORDS} select news_id as feed_id, count(*) as n_records from rec group by 1", "news"))
 def t1(spark, d):
     return nw.segment_records(raw_feed(spark, d), "text").groupBy("feed_id").agg(F.count("*").alias("n_records"))
 
@@ -272,7 +272,7 @@ def t2(spark, d):
     return parsed(spark, d).select("feed_id", F.date_format("published_at", "yyyy-MM-dd HH:mm:ss").alias("published_at"), "source")
 
 
-@query("t3_extract_title", sql(f"with {_RECORDS} select news_id as feed_id, part, title from rec where part = 2", "news"))
+@query("t3_extract_title", sql(f"with {_RECORDS} select news_id as feed_id, 2 as part, title from rec where part >= 2", "news"))
 def t3(spark, d):
     return parsed(spark, d).filter("title like 'Notice that closes feed %'").select("feed_id", F.lit(2).alias("part"), "title")
 
@@ -283,20 +283,20 @@ def t4(spark, d):
     return v.news(spark, d).select("news_id", nw.extract_summary(record).alias("summary"))
 
 
-@query("t5_extract_body", sql(f"with {_RECORDS} select news_id as feed_id, case news_id % 3 when 1 then '(City) -- ' else '' end || 'of source ' || n.source as body from rec join news n using (news_id) where part = 2", "news"))
+@query("t5_extract_body", sql(f"with {_RECORDS} select news_id as feed_id, case news_id % 3 when 1 then '(City) -- ' else '' end || 'of source ' || n.source as body from rec join news n using (news_id) where part >= 2", "news"))
 def t5(spark, d):
     return parsed(spark, d).filter("title like 'Notice that closes feed %'").select("feed_id", nw.extract_body(F.col("record")).alias("body"))
 
 
-@query("t8_detect_content_column", "select 1 as place")
+@query("t8_detect_content_column", sql(f"with {_RECORDS} select case when count(*) filter (part = 1) >= count(*) then 0 else 1 end as place from rec", "news"))
 def t8(spark, d):
     f = raw_feed(spark, d).withColumn("short", F.left("text", F.lit(50)))
     return nw.detect_content_column(f, ["short", "text"])
 
 
-@query("t9_parse_report", sql(f"with {_RECORDS} select {_CODES} as source, count(*) as n_records, count_if(bad)::bigint as n_bad_date, count_if({_CODES} = 'other')::bigint as n_unknown from rec group by 1", "news"))
+@query("t9_parse_report", sql(f"with {_RECORDS} select {_CODES} as source, count(*) as n_records, count_if(bad)::bigint as n_bad_date, count_if({_CODES} = 'other')::bigint as n_unknown, count_if(part = 3)::bigint as n_again from rec group by 1", "news"))
 def t9(spark, d):
-    return nw.parse_report(parsed(spark, d)).drop("n_again", "n_bad_title")
+    return nw.parse_report(parsed(spark, d)).drop("n_bad_title")
 
 
 @query("t10_parse_percent", "select event_id, round(value, 2) as pct from events")

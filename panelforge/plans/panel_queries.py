@@ -254,11 +254,12 @@ def j7(spark, d):
     return asof.align_benchmark(o, v.index_bars(spark, d)).select("o_orderkey", *r6("bench"))
 
 
-@query("j8_align_inner", sql(_RET + "select a.d, round(a.ret, 6) as ret_a, round(b.ret, 6) as ret_b from ret a join ret b on a.d = b.d where a.asset = 'Brand#1' and b.asset = 'Brand#2' and a.ret is not null and b.ret is not null", "bars", "index_bars"))
+@query("j8_align_inner", sql(_RET + "select a.asset, a.d, round(a.ret, 6) as ret_a, round(b.ret, 6) as ret_b from ret a join ret b on a.d = b.d and substr(b.asset, 7)::int = substr(a.asset, 7)::int + 1 where a.ret is not null and b.ret is not null", "bars", "index_bars"))
 def j8(spark, d):
-    r = panel.simple_return(v.bars(spark, d), ["asset"], "d")
-    a, b = (r.filter(F.col("asset") == x).select("d", F.round("ret", 6).alias(n)) for x, n in (("Brand#1", "ret_a"), ("Brand#2", "ret_b")))
-    return asof.align_inner(a, b, ["d"], "ret_a", "ret_b")
+    """Each asset beside the one of the next number."""
+    r = panel.simple_return(v.bars(spark, d), ["asset"], "d").select("asset", "d", F.round("ret", 6).alias("ret_a"))
+    before = F.concat(F.lit("Brand#"), (F.substring("asset", 7, 9).cast("int") - 1).cast("string"))
+    return asof.align_inner(r, r.select(before.alias("asset"), "d", F.col("ret_a").alias("ret_b")), ["asset", "d"], "ret_a", "ret_b")
 
 
 @query("j9_bar_on", sql("select n.news_id, b.close from news n left join bars b on n.asset = b.asset and n.published_at::date = b.d", "bars", "news"))
