@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions.scalars import event_weight
-from ..operators import filings, model, panel
+from ..operators import boosting, filings, model, panel
 from ..sources.shared import new_path
 from ..streaming import twins
 from . import views as v
@@ -219,7 +219,7 @@ def m3(spark, d):
 
 @query("m6_walk_forward")
 def m6(spark, d):
-    return model.walk_forward(small_panel(spark, d), FEATURES, trees=3, parallel=8).select("asset", "d", "y_pred", "rank", "month")
+    return boosting.walk_forward_windows(small_panel(spark, d), FEATURES).select("asset", "d", "y_pred", "rank", "month")
 
 
 @query("m7_importance_signs")
