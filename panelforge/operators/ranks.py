@@ -12,6 +12,8 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.shared import new_path
+
 
 def cut_points(df: DataFrame, value: Column, parts: int) -> list:
     """At most parts - 1 different values that cut the rows in parts of about the same size."""
@@ -32,11 +34,11 @@ def parts_of(df: DataFrame) -> int:
     return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
 
-def value_ranks(df: DataFrame, value: str, parts: int | None = None) -> tuple[DataFrame, int]:
-    """((value, rank) of every different value, all rows): 1-based ranks with ties at their mean. Nulls have no rank."""
-    rows = df.filter(F.col(value).isNotNull()).select(F.col(value).alias("_v"))
+def value_ranks(df: DataFrame, value: str, parts: int | None = None, times: str | None = None) -> tuple[DataFrame, int]:
+    """((value, rank) of every different value, all rows): 1-based ranks with ties at their mean. Nulls have no rank; with `times`, a row stands for that many."""
+    rows = df.filter(F.col(value).isNotNull()).select(F.col(value).alias("_v"), (F.col(times) if times else F.lit(1)).alias("_k"))
     cuts = cut_points(rows, F.col("_v"), parts or parts_of(df))
-    counts = rows.groupBy("_v").agg(F.count("*").alias("_n")).withColumn("_part", part_of(F.col("_v"), cuts))
+    counts = rows.groupBy("_v").agg(F.sum("_k").alias("_n")).withColumn("_part", part_of(F.col("_v"), cuts))
     held = {r["_part"]: r["n"] for r in counts.groupBy("_part").agg(F.sum("_n").alias("n")).collect()}
     below, total = [], 0
     for k in range(len(cuts) + 1):
@@ -51,13 +53,15 @@ def value_ranks(df: DataFrame, value: str, parts: int | None = None) -> tuple[Da
 def global_spearman(df: DataFrame, a: str, b: str, least: int = 3, parts: int | None = None) -> DataFrame:
     """One row (ic, n): Spearman correlation over all rows without nulls; null under `least` rows or for a constant.
 
-    Equal pairs are counted before they meet their ranks, and sums are taken about the mean rank,
-    which is known beforehand.
+    Equal pairs are counted and written, since several passes read them; sums are taken about the
+    mean rank, which is known beforehand.
     """
-    pairs = df.filter(F.col(a).isNotNull() & F.col(b).isNotNull()).select(F.col(a).alias("_x"), F.col(b).alias("_y"))
-    rx, n = value_ranks(pairs, "_x", parts)
-    ry, _ = value_ranks(pairs, "_y", parts)
-    met = pairs.groupBy("_x", "_y").agg(F.count("*").alias("_k"))
+    pairs = df.filter(F.col(a).isNotNull() & F.col(b).isNotNull()).groupBy(F.col(a).alias("_x"), F.col(b).alias("_y")).agg(F.count("*").alias("_k"))
+    path = new_path(df.sparkSession, "pairs")
+    pairs.write.parquet(path)
+    met = df.sparkSession.read.schema(pairs.schema).parquet(path)
+    rx, n = value_ranks(met, "_x", parts, "_k")
+    ry, _ = value_ranks(met, "_y", parts, "_k")
     met = met.join(rx.withColumnRenamed("rank", "_rx"), "_x").join(ry.withColumnRenamed("rank", "_ry"), "_y")
     x, y, k = F.col("_rx") - (n + 1) / 2, F.col("_ry") - (n + 1) / 2, F.col("_k")
     g = met.agg(F.sum(k * x * y).alias("_c"), F.sum(k * x * x).alias("_va"), F.sum(k * y * y).alias("_vb"))
