@@ -20,13 +20,20 @@ from pyspark.sql.types import DoubleType, StructField, StructType
 #: Numbers that a task holds in one array of lanes.
 A_BLOCK = 1 << 21
 
+#: Slots whose words are made at once, and those of a stretch of a path that is told by its sums.
+A_CACHE, A_STRETCH = 1 << 16, 1 << 10
+
 
 def mixed(x: np.ndarray) -> np.ndarray:
     """A bijection of 32-bit words whose output bits each hang on all input bits."""
     x = x.astype(np.uint32)
-    for shift, factor in ((16, 0x7FEB352D), (15, 0x846CA68B)):
-        x = (x ^ (x >> np.uint32(shift))) * np.uint32(factor)
-    return x ^ (x >> np.uint32(16))
+    part = x >> np.uint32(16)
+    for shift, factor in ((15, 0x7FEB352D), (16, 0x846CA68B)):
+        x ^= part
+        x *= np.uint32(factor)
+        np.right_shift(x, np.uint32(shift), out=part)
+    x ^= part
+    return x
 
 
 def counters(group: int, reps: np.ndarray, slots: np.ndarray) -> np.ndarray:
@@ -37,7 +44,12 @@ def counters(group: int, reps: np.ndarray, slots: np.ndarray) -> np.ndarray:
 
 def drawn(words: np.ndarray, n: int) -> np.ndarray:
     """Words as places 0 to n - 1."""
-    return ((words.astype(np.uint64) * np.uint64(n)) >> np.uint64(32)).astype(np.int64)
+    return ((words.astype(np.uint64) * np.uint64(n)) >> np.uint64(32)).view(np.int64)
+
+
+def by_word(words: np.ndarray, slots: np.ndarray) -> np.ndarray:
+    """Ascending slots by their words: both are sorted as one number, which is faster than by index."""
+    return (np.sort((words.astype(np.uint64) << np.uint64(32)) | slots.astype(np.uint64)) & np.uint64(0xFFFFFFFF)).astype(np.int64)
 
 
 def group_word(by: list[str], seed: int) -> Column:
@@ -67,21 +79,107 @@ class Path:
         self.at, self.top = path[:, -1], tops[:, -1]
 
 
+def _walk(start: float, top: float, steps: np.ndarray) -> tuple[float, float]:
+    """(highest amount, deepest relative fall) of a path from `start` under a former `top`."""
+    path = np.cumsum(np.concatenate([[start], steps]))[1:]
+    tops = np.maximum(np.maximum.accumulate(path), top)
+    return float(path.max()), float(((path - tops) / tops).min())
+
+
+def bounded_fall(gains: np.ndarray, losses: np.ndarray, capital: float, steps_of) -> tuple[float, float] | None:
+    """(last amount, deepest relative fall) of a path told in stretches by their sums of gains and of losses.
+
+    Within a stretch the path lies between its start less the losses and its start plus the
+    gains. Stretches that can hold a new top are walked first; then tops are known, and only
+    those that can fall deeper than the ends of stretches do are walked. `steps_of(stretches)`
+    gives their amounts in order. None where many stretches can hold a top: then all are walked.
+    """
+    ends = capital + np.cumsum(gains - losses)
+    if not np.isfinite(ends[-1]):
+        return None
+    at = np.concatenate([[capital], ends[:-1]])
+    slack = 1e-9 * (np.abs(at) + gains + losses + capital)
+    tops = np.maximum.accumulate(np.concatenate([[capital], ends]))
+    rising = np.flatnonzero(at + gains + slack > tops[:-1])
+    if len(rising) > max(8, len(at) // 4):
+        return None
+    for k, steps in zip(rising, steps_of(rising), strict=True):
+        if len(steps):
+            tops[k + 1] = max(tops[k + 1], _walk(at[k], capital, steps)[0])
+    tops = np.maximum.accumulate(tops)
+    worst = min(0.0, float(((ends - tops[1:]) / tops[1:]).min()))
+    deep = np.flatnonzero((at - losses - slack) / tops[:-1] - 1 < worst)
+    # a stretch with a new top may fall from that
+    deep = np.union1d(deep, rising)
+    for k, steps in zip(deep, steps_of(deep), strict=True):
+        if len(steps):
+            worst = min(worst, _walk(at[k], tops[k], steps)[1])
+    return float(ends[-1]), worst
+
+
+class _Lanes:
+    """Replicates of one group: what each word of a slot is, in blocks that a processor's cache holds."""
+
+    def __init__(self, group: int, net: np.ndarray, capital: float):
+        self.net, self.capital, self.n = net, capital, len(net)
+        a, self.b = mixed(np.array([group & 0xFFFFFFFF, (group + 1) & 0xFFFFFFFF]))
+        self.slots = mixed(np.arange(self.n, dtype=np.uint32) ^ a)
+        self.gains, self.losses = np.maximum(net, 0.0), np.maximum(-net, 0.0)
+
+    def words(self, rep: int, first: int, last: int) -> np.ndarray:
+        return mixed(self.slots[first:last] + mixed(np.array([rep], np.uint32) ^ self.b))
+
+    def drawn(self, rep: int) -> tuple[float, float]:
+        """Trades drawn with replacement; a stretch is A_STRETCH slots."""
+        gains, losses = [], []
+        wide = A_STRETCH * max(1, A_CACHE // A_STRETCH)
+        take = lambda s, e: self.net.take(drawn(self.words(rep, s, e), self.n))
+        for s in range(0, self.n, wide):
+            x = take(s, min(self.n, s + wide))
+            places = np.arange(0, len(x), A_STRETCH)
+            total, size = np.add.reduceat(x, places), np.add.reduceat(np.abs(x), places)
+            gains.append((size + total) / 2)
+            losses.append((size - total) / 2)
+        told = bounded_fall(np.concatenate(gains), np.concatenate(losses), self.capital, lambda ks: [take(k * A_STRETCH, min(self.n, (k + 1) * A_STRETCH)) for k in ks])
+        return told or self._whole(take(s, min(self.n, s + A_BLOCK)) for s in range(0, self.n, A_BLOCK))
+
+    def permuted(self, rep: int) -> tuple[float, float]:
+        """All trades by their words; a stretch is the words with the same first bits, some A_STRETCH."""
+        bits = min(16, max(0, (self.n // A_STRETCH).bit_length()))
+        words, buckets = np.empty(self.n, np.uint32), 1 << bits
+        gains, losses = np.zeros(buckets), np.zeros(buckets)
+        place = lambda w: (w >> np.uint32(32 - bits)).astype(np.int64) if bits else np.zeros(len(w), np.int64)
+        for s in range(0, self.n, A_CACHE):
+            e = min(self.n, s + A_CACHE)
+            words[s:e] = self.words(rep, s, e)
+            at = place(words[s:e])
+            gains += np.bincount(at, self.gains[s:e], buckets)
+            losses += np.bincount(at, self.losses[s:e], buckets)
+
+        def steps_of(ks: np.ndarray) -> list[np.ndarray]:
+            asked = np.zeros(buckets, bool)
+            asked[ks] = True
+            found = np.concatenate([s + np.flatnonzero(asked[place(words[s : s + A_CACHE])]) for s in range(0, self.n, A_CACHE)])
+            found = by_word(words[found], found)
+            return np.split(self.net[found], np.searchsorted(place(words[found]), ks[1:])) if len(ks) else []
+
+        if told := bounded_fall(gains, losses, self.capital, steps_of):
+            return told
+        return self._whole([self.net[by_word(words, np.arange(self.n))]])
+
+    def _whole(self, blocks) -> tuple[float, float]:
+        path = Path(1, self.capital)
+        for x in blocks:
+            for s in range(0, len(x), A_CACHE):
+                path.append(x[None, s : s + A_CACHE])
+        return float(path.at[0]), float(path.worst[0])
+
+
 def path_lanes(group: int, net: np.ndarray, reps: np.ndarray, capital: float, permute: bool) -> tuple[np.ndarray, np.ndarray]:
     """(return, deepest relative fall) of each replicate: trades drawn with replacement, or all in another order."""
-    n, ret, fall = len(net), [], []
-    wide = max(1, A_BLOCK // max(n, 1))
-    for k in range(0, len(reps), wide):
-        mine = reps[k : k + wide]
-        path = Path(len(mine), capital)
-        if permute:
-            path.append(net[np.argsort(counters(group, mine, np.arange(n)), axis=1, kind="stable")])
-        else:
-            for s in range(0, n, A_BLOCK):
-                path.append(net[drawn(counters(group, mine, np.arange(s, min(n, s + A_BLOCK))), n)])
-        ret.append(path.at / capital - 1)
-        fall.append(path.worst)
-    return np.concatenate(ret), np.concatenate(fall)
+    lanes = _Lanes(group, net, capital)
+    told = np.array([lanes.permuted(r) if permute else lanes.drawn(r) for r in reps.tolist()])
+    return told[:, 0] / capital - 1, told[:, 1]
 
 
 def _packed(names: list[str], schema: pa.Schema, piece: int = 1 << 16):
@@ -136,11 +234,12 @@ def _run_paths(names: list[str], lanes: int, replicates: int, capital: float, pe
     return run
 
 
-def resampled_paths(trades: DataFrame, by: list[str], order: str, replicates: int, seed: int, capital: float, permute: bool, lanes: int = 256) -> DataFrame:
+def resampled_paths(trades: DataFrame, by: list[str], order: str, replicates: int, seed: int, capital: float, permute: bool, lanes: int = 128) -> DataFrame:
     """(by..., rep, ret, max_drawdown) of replicates of each group's trades by `order`, then by amount.
 
-    A group's amounts reach a block of lanes as pieces of 8 bytes a trade; that, and arrays of
-    A_BLOCK numbers, is what a task holds. A permutation needs a lane's whole order at once.
+    A group's amounts reach a block of lanes as pieces of 8 bytes a trade; a task holds some four
+    numbers a trade, and arrays of A_BLOCK. A permutation needs a lane's whole order at once. Blocks
+    are few and large, so they are dealt over more partitions than usual.
     """
     least = 2 if permute else 1
     if trades.isEmpty():
@@ -151,7 +250,7 @@ def resampled_paths(trades: DataFrame, by: list[str], order: str, replicates: in
     kind = StructType([*keys, *StructType.fromDDL("_g bigint, _at bigint, _net binary").fields])
     sorted_ = told.repartition(n, *by).sortWithinPartitions(*by, "_o", "net")
     pieces = sorted_.mapInArrow(_packed([*by, "_g"], to_arrow_schema(kind)), kind)
-    blocks = in_lanes(pieces, replicates, lanes).repartition(n, *by, "_lane").sortWithinPartitions(*by, "_lane", "_at")
+    blocks = in_lanes(pieces, replicates, lanes).repartition(4 * n, *by, "_lane").sortWithinPartitions(*by, "_lane", "_at")
     kind = StructType([*keys, *StructType.fromDDL("rep int, ret double, max_drawdown double").fields])
     return blocks.mapInArrow(_run_paths([*by, "_g"], lanes, replicates, capital, permute, least, to_arrow_schema(kind)), kind)
 

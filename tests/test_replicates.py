@@ -57,6 +57,30 @@ def test_paths_equal_a_loop(spark, monkeypatch, block):
         assert all(got[k] == pytest.approx(want[k], abs=1e-12) for k in want)
 
 
+@pytest.mark.parametrize("drift", [-4000, -300, 0, 300, 4000])
+@pytest.mark.parametrize("permute", [False, True])
+def test_stretches_that_are_not_walked_hold_no_deeper_fall(monkeypatch, drift, permute):
+    monkeypatch.setattr(replicates, "A_CACHE", 16)
+    monkeypatch.setattr(replicates, "A_STRETCH", 8)
+    rng = np.random.default_rng(3)
+    walked = []
+    walk = replicates._walk
+    monkeypatch.setattr(replicates, "_walk", lambda start, top, steps: walked.append(len(steps)) or walk(start, top, steps))
+    for n in (1, 2, 7, 8, 9, 500):
+        net = rng.normal(drift, 2500, n)
+        net[rng.random(n) < 0.2] = 0.0
+        reps = np.arange(40)
+        ret, fall = replicates.path_lanes(11, net, reps, 100_000.0, permute)
+        w = replicates.counters(11, reps, np.arange(n))
+        steps = net[np.argsort(w, axis=1, kind="stable")] if permute else net[replicates.drawn(w, n)]
+        at = 100_000.0 + np.cumsum(steps, axis=1)
+        tops = np.maximum(np.maximum.accumulate(at, axis=1), 100_000.0)
+        assert ret == pytest.approx(at[:, -1] / 100_000 - 1, abs=1e-9)
+        assert fall == pytest.approx(np.minimum(((at - tops) / tops).min(axis=1), 0), abs=1e-9)
+    # where amounts fall, few stretches can hold a top or the deepest fall
+    assert drift > -4000 or sum(walked) < 0.5 * 40 * 500
+
+
 def test_too_few_trades_raise(spark):
     t = spark.createDataFrame([("a", "1", 5.0)], "p string, id string, net double")
     assert portfolio.bootstrap_trades(t, ["p"], "id", 3).count() == 3
