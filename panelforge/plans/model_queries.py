@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions.scalars import event_weight
 from ..operators import boosting, filings, model, panel
-from ..sources.shared import new_path
+from ..sources.shared import written
 from ..streaming import twins
 from . import views as v
 from .registry import query
@@ -92,10 +92,9 @@ def f10(spark, d):
 
 def small_panel(spark, d):
     """The panel of prices and scores with whole windows, written: fits read it again and again."""
-    p = filings.build_panel(v.bars(spark, d), v.index_bars(spark, d), v.universe(spark, d), v.scores(spark, d))
-    path = new_path(spark, "panel")
-    panel.date_ordinal(panel.impute_cross_section(p, ["momentum", "reversal", "relative_volume"], "d", "1999-12-31")).write.parquet(path)
-    return spark.read.parquet(path)
+    bars, index, universe = (written(f(spark, d)) for f in (v.bars, v.index_bars, v.universe))
+    p = written(filings.build_panel(bars, index, universe, v.scores_of(bars)))
+    return written(panel.date_ordinal(panel.impute_cross_section(p, ["momentum", "reversal", "relative_volume"], "d", "1999-12-31")))
 
 
 FEATURES = ["momentum", "reversal", "relative_volume", "beta", "score"]
@@ -136,9 +135,10 @@ _PANEL_SQL = f"""with {_LINES}, {_FUND},
 
 
 def full_panel(spark, d):
-    f, m = panel_inputs(spark, d)
-    s = v.scores(spark, d).withColumns({"n_news": F.col("has_event").cast("int"), "confidence": F.when(F.col("has_event") & (F.col("score") > 0.9), 0.0).otherwise(F.col("confidence"))})
-    return filings.build_panel(v.bars(spark, d), v.index_bars(spark, d), v.universe(spark, d), s, fundamentals=f, macro=m, rate_series="1-URGENT", fx_series="2-HIGH")
+    f, m = (written(x) for x in panel_inputs(spark, d))
+    bars, index, universe = (written(f(spark, d)) for f in (v.bars, v.index_bars, v.universe))
+    s = v.scores_of(bars).withColumns({"n_news": F.col("has_event").cast("int"), "confidence": F.when(F.col("has_event") & (F.col("score") > 0.9), 0.0).otherwise(F.col("confidence"))})
+    return filings.build_panel(bars, index, universe, s, fundamentals=f, macro=m, rate_series="1-URGENT", fx_series="2-HIGH")
 
 
 @query("w18_build_panel", sql(_PANEL_SQL, "bars", "index_bars", "statement_lines", "filing_headers", "universe", "macro", "scores"))
@@ -203,8 +203,8 @@ def m2(spark, d):
 
 @query("m5_predict_universe")
 def m5(spark, d):
-    p = full_panel(spark, d).filter("y is not null")
-    ready = panel.date_ordinal(panel.impute_cross_section(p, filings.PANEL_FEATURES, "d", "1999-12-31"))
+    p = written(full_panel(spark, d).filter("y is not null"))
+    ready = written(panel.date_ordinal(panel.impute_cross_section(p, filings.PANEL_FEATURES, "d", "1999-12-31")))
     m = model.train_gbt(model.embargoed(ready, "2000-01-01")[0], filings.PANEL_FEATURES)
     news = v.news(spark, d).select("asset", F.col("published_at").cast("date").alias("d"), "published_at")
     return model.predict_universe(m, p.filter("d > date'1999-12-31'"), filings.PANEL_FEATURES, news, "1999-12-31")

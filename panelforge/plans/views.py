@@ -96,16 +96,24 @@ def news(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def scores(spark: SparkSession, sf_dir: str) -> DataFrame:
-    b = bars(spark, sf_dir).select("asset", "d")
+    return scores_of(bars(spark, sf_dir))
+
+
+def scores_of(bars: DataFrame) -> DataFrame:
+    b = bars.select("asset", "d")
     u = lambda n: hash_uniform(F.col("asset"), F.col("d").cast("string"), F.lit(n))
     return b.select("asset", "d", (u("u1") < 0.15).alias("has_event"), (2 * u("u2") - 1).alias("score"), (0.5 + 0.4 * u("u3")).alias("confidence"))
 
 
 def labels(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(asset, d, y): five-bar return less that of the benchmark."""
+    return labels_of(bars(spark, sf_dir), index_bars(spark, sf_dir))
+
+
+def labels_of(bars: DataFrame, index_bars: DataFrame) -> DataFrame:
     from ..operators.panel import forward_label
 
-    b = bars(spark, sf_dir).join(index_bars(spark, sf_dir).withColumnRenamed("close", "bench"), "d").withColumn("beta", F.lit(1.0))
+    b = bars.join(index_bars.withColumnRenamed("close", "bench"), "d").withColumn("beta", F.lit(1.0))
     return forward_label(b, ["asset"], "d").select("asset", "d", "y")
 
 

@@ -341,3 +341,20 @@ def test_stream_cooldown_is_the_gate(spark, tmp_path):
     key = lambda x: {(r.portfolio, r.d): r.blocked for r in x.select("portfolio", "d", "blocked").collect()}
     told = key(got)
     assert told == key(want) and 0 < sum(told.values()) < 140
+
+
+def test_a_view_that_is_read_again_is_made_once(spark, tmp_path):
+    from panelforge.operators import panel
+    from panelforge.sources.shared import written
+
+    made = spark.sparkContext.accumulator(0)
+    told = spark.createDataFrame([(k, D(2024, 1, 1 + k % 5), None if k % 7 == 0 else float(k)) for k in range(70)], "k int, d date, x double")
+
+    def count(batches):
+        for b in batches:
+            made.add(b.num_rows)
+            yield b
+
+    w = written(told.mapInArrow(count, told.schema))
+    assert panel.date_ordinal(panel.impute_cross_section(w, ["x"], "d", "2024-01-03")).count() == 70
+    assert w.schema == told.schema and made.value == 70
