@@ -187,11 +187,13 @@ def build_context(points: DataFrame, news: DataFrame, fundamentals: DataFrame, m
     top = topk(news, ["asset", "d"], [F.desc("source_weight"), F.desc("published_at"), "news_id"], most)
     place = F.struct((-F.col("source_weight")).alias("a"), (-F.unix_micros(F.col("published_at").cast("timestamp"))).alias("b"), F.col("news_id").alias("c"), F.struct("news_id", "title", "source", "source_weight", F.col("published_at").cast("string").alias("published_at"), F.col("body").alias("content")).alias("item"))
     told = top.groupBy("asset", "d").agg(F.transform(F.array_sort(F.collect_list(place)), lambda x: x["item"]).alias("news"))
-    j = points.join(told, ["asset", "d"], "left").withColumn("news", F.coalesce("news", F.filter(F.array(F.lit(None).cast(told.schema["news"].dataType.elementType)), lambda x: x.isNotNull())))
+    none = F.filter(F.array(F.lit(None).cast(told.schema["news"].dataType.elementType)), lambda x: x.isNotNull())
+    heard = lambda x: x.join(told, ["asset", "d"], "left").withColumn("news", F.coalesce("news", none))
     if hidden:
-        return j.withColumn("context", F.to_json(F.struct(F.col("d").alias("day"), "news"))).drop("news")
+        return heard(points).withColumn("context", F.to_json(F.struct(F.col("d").alias("day"), "news"))).drop("news")
+    # texts come last: the joins by time have the rows of an asset or a sector in one task
     ratios = ["pe", "pb", "roe", "margin", "leverage"]
-    j = asof_join(j, fundamentals, ["asset"], "d", "received_on", ["received_on", *ratios])
+    j = asof_join(points, fundamentals, ["asset"], "d", "received_on", ["received_on", *ratios])
     asked = points.select("d").distinct().withColumn("series", F.explode(F.array(*map(F.lit, series))))
     known = asof_join(asked, macro.select("series", "available_on", "value"), ["series"], "d", "available_on", ["value"], tie="available_on")
     known = known.filter("value is not null").groupBy("d").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("series", "value")))).alias("macro"))
@@ -200,6 +202,7 @@ def build_context(points: DataFrame, news: DataFrame, fundamentals: DataFrame, m
     sectors = own.join(points.select("asset", "sector").distinct(), "asset").groupBy("sector", F.col("d").alias("_session")).agg(F.avg("_r").alias("sector_return"))
     j = asof_join(j.join(known, "d", "left"), sectors, ["sector"], "d", "_session", ["sector_return"])
     j = asof_join(j, earnings, ["asset"], "d", "announced_on", ["announced_on", "realized", "comparable", "estimated", "move_pct"])
+    j = heard(j)
     block = earnings_block(F.col("d"), *(F.col(c) for c in ("announced_on", "realized", "comparable", "estimated", "move_pct")))
     payload = F.to_json(F.struct(F.col("d").alias("day"), "asset", "news", "sector", F.when(F.col("received_on").isNotNull(), F.struct(*ratios)).alias("fundamentals"), "macro", "sector_return"))
     return j.select(*points.columns, F.concat_ws("\n\n", payload, block).alias("context"))

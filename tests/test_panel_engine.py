@@ -358,3 +358,21 @@ def test_a_view_that_is_read_again_is_made_once(spark, tmp_path):
     w = written(told.mapInArrow(count, told.schema))
     assert panel.date_ordinal(panel.impute_cross_section(w, ["x"], "d", "2024-01-03")).count() == 70
     assert w.schema == told.schema and made.value == 70
+
+
+def test_context_moves_no_texts_through_joins_by_time(spark):
+    from panelforge.operators import filings
+
+    day = D(2024, 3, 1)
+    points = spark.createDataFrame([("a", day, 1), ("b", day, 1)], "asset string, d date, sector int")
+    news = spark.createDataFrame([("a", day, 7, "t", "body text", "s", 1.0, dt.datetime(2024, 3, 1, 9))], "asset string, d date, news_id bigint, title string, body string, source string, source_weight double, published_at timestamp")
+    f = spark.createDataFrame([("a", D(2024, 1, 1), 1.0, 2.0, 3.0, 4.0, 5.0)], "asset string, received_on date, pe double, pb double, roe double, margin double, leverage double")
+    m = spark.createDataFrame([("r", D(2024, 1, 1), 1.5)], "series string, available_on date, value double")
+    bars = spark.createDataFrame([("a", D(2024, 2, k), 10.0 + k) for k in range(1, 5)], "asset string, d date, close double")
+    e = spark.createDataFrame([], "asset string, announced_on date, realized double, comparable double, estimated double, move_pct double")
+    c = filings.build_context(points, news, f, m, bars, e, ["r"])
+    got = {r.asset: r.context for r in c.collect()}
+    assert '"content":"body text"' in got["a"] and '"roe":3.0' in got["a"] and '"news":[]' in got["b"] and '"fundamentals"' not in got["b"]
+    # no union with rows in time carries the list of news
+    lines = [x for x in c._jdf.queryExecution().optimizedPlan().toString().splitlines() if "_l#" in x and "struct" in x]
+    assert lines and not any("news" in x for x in lines)
