@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.timeutil import busday_count
+from ..sources.shared import written
 from .ranks import cut_points, part_of, parts_of
 
 
@@ -30,17 +31,24 @@ def asof_join(
 
     With `slices`, a key's rows are cut at that many quantiles of all times, and each slice is
     told the last right row before it (the first after it), so a key with a third of all rows is
-    as many tasks' work. Without `by` that is always done.
+    as many tasks' work. Without `by` the different times of left are joined so, once each: they,
+    right and what is found are written, and left's own rows only look their time up.
     """
     cols = value_cols or [c for c in right.columns if c not in by]
     back = direction == "backward"
     at = F.date_sub(left[left_time].cast("date"), offset_days) if offset_days else left[left_time]
+    if not by and not slices:
+        times = written(left.select(at.alias("_asked_t")).filter("_asked_t is not null").distinct())
+        told = asof_join(times, written(right), [], "_asked_t", right_time, cols, direction=direction, strict=strict, tie=tie, slices=parts_of(left))
+        told = written(told.select("_asked_t", F.struct(*cols).alias("_told")))
+        met = left.withColumn("_asked_t", at).join(told, "_asked_t", "left")
+        return met.select(*(F.col(f"`{c}`") for c in left.columns if c not in cols), *(F.col(f"_told.`{c}`").alias(c) for c in cols))
     lt = left.withColumn("_t", at)
     packed = F.struct(*(right[c] for c in cols))
     rt = right.filter(right[right_time].isNotNull()).select(*by, right[right_time].alias("_t"), packed.alias("_v"), (right[tie] if tie else F.lit(0)).alias("_tie"))
     keys = list(by)
-    if slices or not by:
-        cuts = cut_points(lt.select("_t").unionByName(rt.select("_t")), F.col("_t"), slices or parts_of(left))
+    if slices:
+        cuts = cut_points(lt.select("_t").unionByName(rt.select("_t")), F.col("_t"), slices)
         lt, rt = (x.withColumn("_slice", part_of(F.col("_t"), cuts)) for x in (lt, rt))
         # a row for each slice of a key on either side: the key's slices are fewer than the cuts
         ends = rt.groupBy(*by, "_slice", "_t").agg(F.max_by(F.struct("_t", "_v", "_tie"), "_tie").alias("_e"))

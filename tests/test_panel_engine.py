@@ -376,3 +376,15 @@ def test_context_moves_no_texts_through_joins_by_time(spark):
     # no union with rows in time carries the list of news
     lines = [x for x in c._jdf.queryExecution().optimizedPlan().toString().splitlines() if "_l#" in x and "struct" in x]
     assert lines and not any("news" in x for x in lines)
+
+
+def test_keyless_asof_meets_right_once_for_each_time(spark):
+    left = spark.createDataFrame([(k, D(2024, 1, 1 + k % 3)) for k in range(60)] + [(60, None)], "k int, t date")
+    right = spark.createDataFrame([(D(2024, 1, 2), "x", 1), (D(2024, 1, 2), "y", 2)], "u date, v string, n int")
+    for strict, direction, want in ((False, "backward", {1: None, 2: "y", 3: "y"}), (True, "backward", {1: None, 2: None, 3: "y"}), (True, "forward", {1: "y", 2: None, 3: None})):
+        got = asof.asof_join(left, right, [], "t", "u", ["v", "u"], direction=direction, strict=strict, tie="n")
+        assert got.columns == ["k", "t", "v", "u"] and got.count() == 61
+        assert all(r.v == (want[r.t.day] if r.t else None) for r in got.collect())
+        # left's rows are neither sorted nor dealt anew: they look up one row for each of their days
+        plan = got._jdf.queryExecution().optimizedPlan().toString()
+        assert "Window" not in plan and "Union" not in plan
