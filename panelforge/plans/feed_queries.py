@@ -138,7 +138,7 @@ def s11(spark, d):
 @query("s12_write_news_csv", sql("select asset, strftime(published_at, '%Y-%m-%d %H:%M:%S') as published_at, title, row_number() over (order by asset, published_at, title) - 1 as place from news where title <> ''", "news"))
 def s12(spark, d):
     path = new_path(spark, "news-sorted")
-    feeds.write_news_csv(v.news(spark, d).filter("title <> ''"), path, 4)
+    feeds.write_news_csv(v.news(spark, d).filter("title <> ''"), path)
     r = spark.read.option("header", True).option("multiLine", True).option("escape", '"').csv(path)
     # places in the order of the files, which have the ranges in turn
     parts = r.select("asset", "published_at", "title", F.element_at(F.split(F.input_file_name(), "/"), -1).alias("f"), F.monotonically_increasing_id().alias("i"))

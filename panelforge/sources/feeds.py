@@ -103,11 +103,15 @@ def normalize_earnings(df: DataFrame, asset: str) -> DataFrame:
     return typed.filter("announced_on is not null").withColumn("asset", F.lit(asset))
 
 
-def write_news_csv(df: DataFrame, path: str, partitions: int = 1) -> None:
-    """CSV in fixed column order, range-partitioned and sorted by (asset, time, title)."""
+def write_news_csv(df: DataFrame, path: str, partitions: int | None = None, part_bytes: int = 32 << 20) -> None:
+    """CSV in fixed column order, range-partitioned and sorted by (asset, time, title); without `partitions`, so many that a file has some `part_bytes`."""
     cols = ["asset", "published_at", "title", "source", "source_weight", "url", "body"]
     keys = ["asset", "published_at", "title"]
-    df.select(*(c for c in cols if c in df.columns)).repartitionByRange(partitions, *keys).sortWithinPartitions(*keys).write.mode("overwrite").option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False).option("header", True).option("escape", '"').csv(path)
+    df = df.select(*(c for c in cols if c in df.columns))
+    if partitions is None:
+        size = df.agg(F.sum(F.octet_length(F.concat_ws(",", *(F.col(c).cast("string") for c in df.columns))).cast("bigint"))).first()[0] or 0
+        partitions = max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-size // part_bytes))
+    df.repartitionByRange(partitions, *keys).sortWithinPartitions(*keys).write.mode("overwrite").option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False).option("header", True).option("escape", '"').csv(path)
 
 
 def search_entities(df: DataFrame, pattern: str, cols: list[str]) -> DataFrame:

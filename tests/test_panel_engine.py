@@ -388,3 +388,15 @@ def test_keyless_asof_meets_right_once_for_each_time(spark):
         # left's rows are neither sorted nor dealt anew: they look up one row for each of their days
         plan = got._jdf.queryExecution().optimizedPlan().toString()
         assert "Window" not in plan and "Union" not in plan
+
+
+def test_news_csv_has_files_of_bounded_size(spark, tmp_path):
+    from panelforge.sources import feeds
+
+    rows = [("a" if k % 9 else "b", dt.datetime(2024, 1, 1) + dt.timedelta(minutes=k), f"title {k}", "x" * 1000) for k in range(400)]
+    n = spark.createDataFrame(rows, "asset string, published_at timestamp, title string, body string")
+    feeds.write_news_csv(n, str(tmp_path / "out"), part_bytes=20_000)
+    files = sorted((tmp_path / "out").glob("part-*"))
+    assert len(files) >= 15 and max(f.stat().st_size for f in files) < 80_000
+    told = [x for f in files for x in f.read_text().splitlines() if not x.startswith("asset,")]
+    assert len(told) == 400 and [x.split(",")[2] for x in told] == [r[2] for r in sorted(rows)]
