@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..operators import asof, filings, panel, stats
 from ..operators import universe as un
 from ..sources import feeds
+from ..sources.shared import written
 from . import views as v
 from .registry import query
 from .stats_queries import _COST, _boot, _ic, _U, costs, r6
@@ -51,8 +52,11 @@ _MOMENTUM = "moved as (select s.*, m.momentum from signals s left join (select a
         union all select 'event', m.ic, b.ic, (select count(*) from event) from {_whole('event', 'score', 'y')} m, {_whole('event', 'momentum', 'y')} b)
     select scope, round(a, 6) as ic_score, case when scope = 'all' or n > 30 then round(b, 6) end as ic_momentum, case when scope = 'all' or n > 30 then round(a - greatest(0, b), 6) end as gap from parts""", "signals", "bars"))
 def a3_whole(spark, d):
-    m = panel.momentum(v.bars(spark, d), ["asset"], "d").select("asset", "d", "momentum")
-    s = v.signals(spark, d).join(m, ["asset", "d"], "left")
+    bars = written(v.bars(spark, d))
+    m = panel.momentum(bars, ["asset"], "d").select("asset", "d", "momentum")
+    s = v.scores_of(bars).join(v.labels_of(bars, v.index_bars(spark, d)), ["asset", "d"])
+    # four correlations and the count of events read it
+    s = written(s.join(m, ["asset", "d"], "left"))
     return stats.ic_baselines(s, [], "score", ["momentum"], "y", "has_event").select("scope", *r6("ic_score", "ic_momentum", "gap"))
 
 
