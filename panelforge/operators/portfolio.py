@@ -200,6 +200,11 @@ def permute_trades(trades: DataFrame, by: list[str], order: str, replicates: int
     return resampled_paths(trades, by, order, replicates, seed, capital, permute=True)
 
 
+def replicate_trades(trades: DataFrame, by: list[str], order: str, replicates: int = 10_000, seed: int = 42, capital: float = 100_000.0) -> DataFrame:
+    """(by..., kind, rep, ret, max_drawdown): the rows of bootstrap_trades and permute_trades from one pass over the words that both go by. Under two trades an error."""
+    return resampled_paths(trades, by, order, replicates, seed, capital, permute=None)
+
+
 def distribution_summary(paths: DataFrame, by: list[str], bench: float | None = None) -> DataFrame:
     """Percentiles, mean and deviation (ddof 0) of returns and shares of good replicates."""
     q = [0.05, 0.25, 0.5, 0.75, 0.95]

@@ -17,23 +17,30 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import DoubleType, StructField, StructType
 
+from ..sources.shared import written
+
 #: Numbers that a task holds in one array of lanes.
 A_BLOCK = 1 << 21
 
-#: Slots whose words are made at once, and those of a stretch of a path that is told by its sums.
-A_CACHE, A_STRETCH = 1 << 16, 1 << 10
+#: Slots whose words are made at once, and those of a stretch of a path that is told by its sums;
+#: stretches of a permutation are no more than 2^A_BUCKETS.
+A_CACHE, A_STRETCH, A_BUCKETS = 1 << 16, 1 << 8, 10
 
 
 def mixed(x: np.ndarray) -> np.ndarray:
     """A bijection of 32-bit words whose output bits each hang on all input bits."""
     x = x.astype(np.uint32)
-    part = x >> np.uint32(16)
+    return _mix(x, np.empty_like(x))
+
+
+def _mix(x: np.ndarray, part: np.ndarray) -> np.ndarray:
+    """mixed(x) in the place of x; `part` is room for as many words."""
+    np.right_shift(x, np.uint32(16), out=part)
     for shift, factor in ((15, 0x7FEB352D), (16, 0x846CA68B)):
-        x ^= part
-        x *= np.uint32(factor)
+        np.bitwise_xor(x, part, out=x)
+        np.multiply(x, np.uint32(factor), out=x)
         np.right_shift(x, np.uint32(shift), out=part)
-    x ^= part
-    return x
+    return np.bitwise_xor(x, part, out=x)
 
 
 def counters(group: int, reps: np.ndarray, slots: np.ndarray) -> np.ndarray:
@@ -79,11 +86,11 @@ class Path:
         self.at, self.top = path[:, -1], tops[:, -1]
 
 
-def _walk(start: float, top: float, steps: np.ndarray) -> tuple[float, float]:
-    """(highest amount, deepest relative fall) of a path from `start` under a former `top`."""
+def _walk(start: float, top: float, steps: np.ndarray) -> float:
+    """The deepest relative fall of a path from `start` under a former `top`."""
     path = np.cumsum(np.concatenate([[start], steps]))[1:]
     tops = np.maximum(np.maximum.accumulate(path), top)
-    return float(path.max()), float(((path - tops) / tops).min())
+    return float(((path - tops) / tops).min())
 
 
 def bounded_fall(gains: np.ndarray, losses: np.ndarray, capital: float, steps_of) -> tuple[float, float] | None:
@@ -103,69 +110,137 @@ def bounded_fall(gains: np.ndarray, losses: np.ndarray, capital: float, steps_of
     rising = np.flatnonzero(at + gains + slack > tops[:-1])
     if len(rising) > max(8, len(at) // 4):
         return None
-    for k, steps in zip(rising, steps_of(rising), strict=True):
+    risen = dict(zip(rising.tolist(), steps_of(rising), strict=True))
+    for k, steps in risen.items():
         if len(steps):
-            tops[k + 1] = max(tops[k + 1], _walk(at[k], capital, steps)[0])
+            tops[k + 1] = max(tops[k + 1], at[k] + float(np.cumsum(steps).max()))
     tops = np.maximum.accumulate(tops)
     worst = min(0.0, float(((ends - tops[1:]) / tops[1:]).min()))
     deep = np.flatnonzero((at - losses - slack) / tops[:-1] - 1 < worst)
     # a stretch with a new top may fall from that
-    deep = np.union1d(deep, rising)
-    for k, steps in zip(deep, steps_of(deep), strict=True):
+    deep = deep[~np.isin(deep, rising)]
+    for k, steps in [*risen.items(), *zip(deep.tolist(), steps_of(deep), strict=True)]:
         if len(steps):
-            worst = min(worst, _walk(at[k], tops[k], steps)[1])
+            worst = min(worst, _walk(at[k], tops[k], steps))
     return float(ends[-1]), worst
 
 
+#: The two kinds of replicates.
+KINDS = ("bootstrap", "permutation")
+
+
 class _Lanes:
-    """Replicates of one group: what each word of a slot is, in blocks that a processor's cache holds."""
+    """Replicates of one group: what each word of a slot is, in blocks that a processor's cache holds.
+
+    Both kinds of a replicate go by the same words, so these are made once. A draw's stretch is
+    A_STRETCH slots; a permutation's is the words with the same first bits.
+    """
 
     def __init__(self, group: int, net: np.ndarray, capital: float):
-        self.net, self.capital, self.n = net, capital, len(net)
+        self.net, self.capital, self.n = np.array(net, float), capital, len(net)
         a, self.b = mixed(np.array([group & 0xFFFFFFFF, (group + 1) & 0xFFFFFFFF]))
         self.slots = mixed(np.arange(self.n, dtype=np.uint32) ^ a)
-        self.gains, self.losses = np.maximum(net, 0.0), np.maximum(-net, 0.0)
+        self.wide = A_STRETCH * max(1, A_CACHE // A_STRETCH)
+        self.bits = min(A_BUCKETS, max(1, (self.n // A_STRETCH).bit_length() - 1))
+        self.buckets = 1 << self.bits
+        # gains and losses of a bucket are two places of one histogram
+        self.sizes, self.side = np.abs(self.net), np.where(self.net < 0, self.buckets, 0).astype(np.uint32)
+        # tops and the deepest fall of falling amounts lie in the first and last buckets: their slots are kept from the first pass
+        self.ends = min(self.buckets // 2, max(2, self.buckets >> 8))
+        self._last: tuple = (None, None)
+        room = min(self.wide, -(-self.n // A_STRETCH) * A_STRETCH)
+        self._word, self._part, self._near = np.empty(room, np.uint32), np.empty(room, np.uint32), np.empty(room, bool)
+        self._place, self._step = np.empty(room, np.uint64), np.empty(room)
 
     def words(self, rep: int, first: int, last: int) -> np.ndarray:
-        return mixed(self.slots[first:last] + mixed(np.array([rep], np.uint32) ^ self.b))
-
-    def drawn(self, rep: int) -> tuple[float, float]:
-        """Trades drawn with replacement; a stretch is A_STRETCH slots."""
-        gains, losses = [], []
-        wide = A_STRETCH * max(1, A_CACHE // A_STRETCH)
-        take = lambda s, e: self.net.take(drawn(self.words(rep, s, e), self.n))
-        for s in range(0, self.n, wide):
-            x = take(s, min(self.n, s + wide))
-            places = np.arange(0, len(x), A_STRETCH)
-            total, size = np.add.reduceat(x, places), np.add.reduceat(np.abs(x), places)
-            gains.append((size + total) / 2)
-            losses.append((size - total) / 2)
-        told = bounded_fall(np.concatenate(gains), np.concatenate(losses), self.capital, lambda ks: [take(k * A_STRETCH, min(self.n, (k + 1) * A_STRETCH)) for k in ks])
-        return told or self._whole(take(s, min(self.n, s + A_BLOCK)) for s in range(0, self.n, A_BLOCK))
-
-    def permuted(self, rep: int) -> tuple[float, float]:
-        """All trades by their words; a stretch is the words with the same first bits, some A_STRETCH."""
-        bits = min(16, max(0, (self.n // A_STRETCH).bit_length()))
-        words, buckets = np.empty(self.n, np.uint32), 1 << bits
-        gains, losses = np.zeros(buckets), np.zeros(buckets)
-        place = lambda w: (w >> np.uint32(32 - bits)).astype(np.int64) if bits else np.zeros(len(w), np.int64)
-        for s in range(0, self.n, A_CACHE):
-            e = min(self.n, s + A_CACHE)
-            words[s:e] = self.words(rep, s, e)
-            at = place(words[s:e])
-            gains += np.bincount(at, self.gains[s:e], buckets)
-            losses += np.bincount(at, self.losses[s:e], buckets)
+        """Words of the slots, at most `wide`; the array is used again for the next ones."""
+        x = self._word[: last - first]
+        np.add(self.slots[first:last], self._of(rep), out=x)
+        return _mix(x, self._part[: len(x)])
+
+    def _of(self, rep: int) -> np.ndarray:
+        """The word of a replicate."""
+        if self._last[0] != rep:
+            self._last = rep, mixed(np.array([rep], np.uint32) ^ self.b)
+        return self._last[1]
+
+    def blocks(self, rep: int) -> Iterator[tuple[int, np.ndarray]]:
+        """(first slot, words) of all slots."""
+        for s in range(0, self.n, self.wide):
+            yield s, self.words(rep, s, min(self.n, s + self.wide))
+
+    def of(self, rep: int, kinds: tuple[str, ...]) -> list[tuple[float, float]]:
+        """(last amount, deepest relative fall) of each kind."""
+        drawn, dealt = [], np.zeros(2 * self.buckets)
+        near: list[tuple[np.ndarray, np.ndarray]] = []
+        for s, w in self.blocks(rep):
+            if "bootstrap" in kinds:
+                drawn.append(self._drawn_sums(w))
+            if "permutation" in kinds:
+                near.append(self._dealt(s, w, dealt))
+        told = {"bootstrap": lambda: self._drawn(rep, drawn), "permutation": lambda: self._permuted(rep, dealt, near)}
+        return [told[k]() for k in kinds]
+
+    def _take(self, w: np.ndarray) -> np.ndarray:
+        """Amounts that words draw; the array is used again for the next ones."""
+        at, x = self._place[: len(w)], self._step[: len(w)]
+        np.copyto(at, w)
+        np.multiply(at, np.uint64(self.n), out=at)
+        np.right_shift(at, np.uint64(32), out=at)
+        # every place is below n: the mode only saves a copy
+        return np.take(self.net, at.view(np.int64), out=x, mode="wrap")
+
+    def _drawn_sums(self, w: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        self._take(w)
+        x = self._step[: -(-len(w) // A_STRETCH) * A_STRETCH]
+        x[len(w) :] = 0
+        total = x.reshape(-1, A_STRETCH).sum(axis=1)
+        return total, np.abs(x, out=x).reshape(-1, A_STRETCH).sum(axis=1)
+
+    def _drawn(self, rep: int, sums: list[tuple[np.ndarray, np.ndarray]]) -> tuple[float, float]:
+        total, size = (np.concatenate(x) for x in zip(*sums, strict=True))
 
         def steps_of(ks: np.ndarray) -> list[np.ndarray]:
-            asked = np.zeros(buckets, bool)
+            slots = (ks[:, None] * A_STRETCH + np.arange(A_STRETCH)).ravel()
+            # only the last stretch may be cut short
+            x = self.net.take(drawn(mixed(self.slots[slots[slots < self.n]] + self._of(rep)), self.n))
+            return np.split(x, np.arange(1, len(ks)) * A_STRETCH) if len(ks) else []
+
+        told = bounded_fall((size + total) / 2, (size - total) / 2, self.capital, steps_of)
+        return told or self._whole(self._take(w) for _, w in self.blocks(rep))
+
+    def _dealt(self, s: int, w: np.ndarray, sums: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Adds to the gains and losses of the buckets; (slots, words) of the first and the last buckets."""
+        part, at = self._part[: len(w)], self._place[: len(w)].view(np.int64)
+        np.right_shift(w, np.uint32(32 - self.bits), out=part)
+        np.add(part, self.side[s : s + len(w)], out=part)
+        np.copyto(at, part)
+        sums += np.bincount(at, self.sizes[s : s + len(w)], len(sums))
+        # last and first buckets are one run of words that goes over the greatest
+        edge = self.ends << (32 - self.bits)
+        np.add(w, np.uint32(edge & 0xFFFFFFFF), out=part)
+        near = np.less_equal(part, np.uint32(2 * edge - 1), out=self._near[: len(w)])
+        found = _flat(near)
+        return s + found, w[found]
+
+    def _permuted(self, rep: int, sums: np.ndarray, near: list[tuple[np.ndarray, np.ndarray]]) -> tuple[float, float]:
+        place = lambda w: (w >> np.uint32(32 - self.bits)).astype(np.int64)
+
+        def steps_of(ks: np.ndarray) -> list[np.ndarray]:
+            if not len(ks):
+                return []
+            asked = np.zeros(self.buckets, bool)
             asked[ks] = True
-            found = np.concatenate([s + np.flatnonzero(asked[place(words[s : s + A_CACHE])]) for s in range(0, self.n, A_CACHE)])
-            found = by_word(words[found], found)
-            return np.split(self.net[found], np.searchsorted(place(words[found]), ks[1:])) if len(ks) else []
+            seen = near if not asked[self.ends : self.buckets - self.ends].any() else ((s + np.arange(len(w)), w) for s, w in self.blocks(rep))
+            found = [(slots[k], w[k]) for slots, w in seen for k in [np.flatnonzero(asked[place(w)])]]
+            slots, w = (np.concatenate(x) for x in zip(*found, strict=True))
+            order = by_word(w, slots)
+            return np.split(self.net[order], np.searchsorted(np.sort(place(w)), ks[1:]))
 
-        if told := bounded_fall(gains, losses, self.capital, steps_of):
+        if told := bounded_fall(sums[: self.buckets], sums[self.buckets :], self.capital, steps_of):
             return told
-        return self._whole([self.net[by_word(words, np.arange(self.n))]])
+        w = np.concatenate([w.copy() for _, w in self.blocks(rep)])
+        return self._whole([self.net[by_word(w, np.arange(self.n))]])
 
     def _whole(self, blocks) -> tuple[float, float]:
         path = Path(1, self.capital)
@@ -175,11 +250,20 @@ class _Lanes:
         return float(path.at[0]), float(path.worst[0])
 
 
-def path_lanes(group: int, net: np.ndarray, reps: np.ndarray, capital: float, permute: bool) -> tuple[np.ndarray, np.ndarray]:
-    """(return, deepest relative fall) of each replicate: trades drawn with replacement, or all in another order."""
-    lanes = _Lanes(group, net, capital)
-    told = np.array([lanes.permuted(r) if permute else lanes.drawn(r) for r in reps.tolist()])
-    return told[:, 0] / capital - 1, told[:, 1]
+def _flat(mask: np.ndarray) -> np.ndarray:
+    """np.flatnonzero, in a mask with few set places by looking at eight as one number."""
+    if np.count_nonzero(mask) * 16 > len(mask):
+        return np.flatnonzero(mask)
+    even = len(mask) & ~7
+    found = (np.flatnonzero(mask[:even].view(np.uint64))[:, None] * 8 + np.arange(8)).ravel()
+    return np.concatenate([found[mask[found]], even + np.flatnonzero(mask[even:])])
+
+
+def path_lanes(group: int, net: np.ndarray, reps: np.ndarray, capital: float, permute: bool | None) -> tuple[np.ndarray, ...]:
+    """(return, deepest relative fall) of each replicate: trades drawn with replacement, or all in another order; None: both of the former, both of the latter."""
+    lanes, kinds = _Lanes(group, net, capital), KINDS if permute is None else (KINDS[permute],)
+    told = np.array([lanes.of(r, kinds) for r in reps.tolist()])
+    return tuple(x for k in range(len(kinds)) for x in (told[:, k, 0] / capital - 1, told[:, k, 1]))
 
 
 def _packed(names: list[str], schema: pa.Schema, piece: int = 1 << 16):
@@ -206,7 +290,7 @@ def _packed(names: list[str], schema: pa.Schema, piece: int = 1 << 16):
     return run
 
 
-def _run_paths(names: list[str], lanes: int, replicates: int, capital: float, permute: bool, least: int, schema: pa.Schema):
+def _run_paths(names: list[str], lanes: int, replicates: int, capital: float, permute: bool | None, least: int, schema: pa.Schema):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key, held = None, []
 
@@ -216,9 +300,12 @@ def _run_paths(names: list[str], lanes: int, replicates: int, capital: float, pe
                 raise ValueError(f"{len(net)} trades, at least {least} are needed")
             *group, word, lane = key
             reps = np.arange(lane, min(lane + lanes, replicates))
-            ret, fall = path_lanes(word, net, reps, capital, permute)
-            keys = [pa.array([g] * len(reps), schema.field(i).type) for i, g in enumerate(group)]
-            return pa.RecordBatch.from_arrays([*keys, pa.array(reps, pa.int32()), pa.array(ret), pa.array(fall)], schema=schema)
+            told = path_lanes(word, net, reps, capital, permute)
+            n = len(reps) * len(told) // 2
+            keys = [pa.array([g] * n, schema.field(i).type) for i, g in enumerate(group)]
+            if permute is None:
+                keys.append(pa.array(np.repeat(KINDS, len(reps)).tolist(), pa.string()))
+            return pa.RecordBatch.from_arrays([*keys, pa.array(np.resize(reps, n), pa.int32()), *(pa.array(np.concatenate(x)) for x in (told[::2], told[1::2]))], schema=schema)
 
         for b in batches:
             columns = [b.column(b.schema.get_field_index(c)).to_pylist() for c in [*names, "_lane"]]
@@ -234,24 +321,29 @@ def _run_paths(names: list[str], lanes: int, replicates: int, capital: float, pe
     return run
 
 
-def resampled_paths(trades: DataFrame, by: list[str], order: str, replicates: int, seed: int, capital: float, permute: bool, lanes: int = 128) -> DataFrame:
-    """(by..., rep, ret, max_drawdown) of replicates of each group's trades by `order`, then by amount.
+def resampled_paths(trades: DataFrame, by: list[str], order: str, replicates: int, seed: int, capital: float, permute: bool | None, lanes: int | None = None) -> DataFrame:
+    """(by..., rep, ret, max_drawdown) of replicates of each group's trades by `order`, then by amount; permute None: both kinds, told by `kind`.
 
-    A group's amounts reach a block of lanes as pieces of 8 bytes a trade; a task holds some four
-    numbers a trade, and arrays of A_BLOCK. A permutation needs a lane's whole order at once. Blocks
-    are few and large, so they are dealt over more partitions than usual.
+    A group's amounts are written once as pieces of 8 bytes a trade and reach each block of lanes; a task holds
+    some four numbers a trade, and blocks of A_CACHE. A permutation asks for a lane's whole order only where its
+    stretches don't tell its fall. Blocks are few and large (at most 32 a group, of 128 lanes or more), so they are dealt
+    by ranges, which are as many as blocks: a hash would give some tasks several.
     """
-    least = 2 if permute else 1
-    if trades.isEmpty():
-        raise ValueError(f"no trades, at least {least} are needed")
+    least = 1 if permute is False else 2
     n = int(trades.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     keys = [trades.schema[c] for c in by]
     told = trades.select(*by, group_word(by, seed).alias("_g"), F.col("net").cast("double").alias("net"), F.col(order).alias("_o"))
     kind = StructType([*keys, *StructType.fromDDL("_g bigint, _at bigint, _net binary").fields])
     sorted_ = told.repartition(n, *by).sortWithinPartitions(*by, "_o", "net")
-    pieces = sorted_.mapInArrow(_packed([*by, "_g"], to_arrow_schema(kind)), kind)
-    blocks = in_lanes(pieces, replicates, lanes).repartition(4 * n, *by, "_lane").sortWithinPartitions(*by, "_lane", "_at")
-    kind = StructType([*keys, *StructType.fromDDL("rep int, ret double, max_drawdown double").fields])
+    pieces = written(sorted_.mapInArrow(_packed([*by, "_g"], to_arrow_schema(kind)), kind), "trades")
+    groups = pieces.filter("_at = 0").count()
+    if not groups:
+        raise ValueError(f"no trades, at least {least} are needed")
+    lanes = lanes or max(128, -(-replicates // 32))
+    parts = min(groups * -(-max(replicates, 1) // lanes), 4096)
+    blocks = in_lanes(pieces, replicates, lanes).repartitionByRange(parts, *by, "_lane").sortWithinPartitions(*by, "_lane", "_at")
+    kinds = [] if permute is not None else StructType.fromDDL("kind string").fields
+    kind = StructType([*keys, *kinds, *StructType.fromDDL("rep int, ret double, max_drawdown double").fields])
     return blocks.mapInArrow(_run_paths([*by, "_g"], lanes, replicates, capital, permute, least, to_arrow_schema(kind)), kind)
 
 

@@ -436,7 +436,5 @@ def b19(spark, d):
 @query("b19_final_report")
 def b19_final(spark, d):
     """Both kinds of replicates at the 10,000 of a final report; SQL would make a row of each draw."""
-    t = v.trades(spark, d)
-    kinds = {"bootstrap": pf.bootstrap_trades(t, ["portfolio"], "trade_id"), "permutation": pf.permute_trades(t, ["portfolio"], "trade_id")}
-    told = [pf.distribution_summary(x, ["portfolio"]).withColumn("kind", F.lit(k)) for k, x in kinds.items()]
-    return told[0].unionByName(told[1])
+    told = pf.distribution_summary(pf.replicate_trades(v.trades(spark, d), ["portfolio"], "trade_id"), ["portfolio", "kind"])
+    return told.select("portfolio", *(c for c in told.columns if c not in ("portfolio", "kind")), "kind")

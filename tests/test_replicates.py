@@ -81,6 +81,41 @@ def test_stretches_that_are_not_walked_hold_no_deeper_fall(monkeypatch, drift, p
     assert drift > -4000 or sum(walked) < 0.5 * 40 * 500
 
 
+def test_both_kinds_go_by_words_that_are_made_once(spark, monkeypatch):
+    monkeypatch.setattr(replicates, "A_CACHE", 64)
+    monkeypatch.setattr(replicates, "A_STRETCH", 8)
+    rng, made = np.random.default_rng(5), []
+    words = replicates._Lanes.words
+    monkeypatch.setattr(replicates._Lanes, "words", lambda self, rep, s, e: made.append(e - s) or words(self, rep, s, e))
+    net = rng.normal(-4000, 2500, 500)
+    both = replicates.path_lanes(11, net, np.arange(40), 100_000.0, None)
+    # all words of falling amounts once; little is made again
+    assert sum(made) < 1.2 * 40 * 500
+    for got, want in zip(both, [x for permute in (False, True) for x in replicates.path_lanes(11, net, np.arange(40), 100_000.0, permute)], strict=True):
+        assert got.tolist() == want.tolist()
+    rows = [(p, f"{i:03d}", float(x)) for p, n in (("a", 2), (None, 300)) for i, x in enumerate(rng.normal(-50, 3000, n))]
+    t = spark.createDataFrame(rows, "p string, id string, net double")
+    got = {tuple(r) for r in portfolio.replicate_trades(t, ["p"], "id", 300).select("kind", "p", "rep", "ret", "max_drawdown").collect()}
+    alone = {"bootstrap": portfolio.bootstrap_trades, "permutation": portfolio.permute_trades}
+    assert len(got) == 1200 and got == {(k, *r) for k, f in alone.items() for r in f(t, ["p"], "id", 300).select("p", "rep", "ret", "max_drawdown").collect()}
+    with pytest.raises(ValueError, match="at least 2"):
+        portfolio.replicate_trades(t.limit(0), ["p"], "id", 3)
+
+
+def test_trades_are_read_once_and_reach_few_blocks(spark):
+    t = spark.createDataFrame([("a", f"{i:03d}", float(i)) for i in range(40)], "p string, id string, net double").repartition(1)
+    read = spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for b in batches:
+            read.add(b.num_rows)
+            yield b
+
+    paths = portfolio.replicate_trades(t.mapInArrow(counted, t.schema), ["p"], "id", 10_000)
+    assert paths.count() == 20_000 and read.value == 40
+    assert paths.rdd.getNumPartitions() <= 32
+
+
 def test_too_few_trades_raise(spark):
     t = spark.createDataFrame([("a", "1", 5.0)], "p string, id string, net double")
     assert portfolio.bootstrap_trades(t, ["p"], "id", 3).count() == 3
