@@ -8,6 +8,9 @@ from pyspark.sql import functions as F
 
 from .replicates import resampled_paths
 
+#: A path is shallow that never falls so far from a top.
+A_FLOOR = -0.20
+
 
 def trade_pnl(df: DataFrame, rate: float = 0.004) -> DataFrame:
     """df with gross, costs (both legs) and net of each trade."""
@@ -200,14 +203,18 @@ def permute_trades(trades: DataFrame, by: list[str], order: str, replicates: int
     return resampled_paths(trades, by, order, replicates, seed, capital, permute=True)
 
 
-def replicate_trades(trades: DataFrame, by: list[str], order: str, replicates: int = 10_000, seed: int = 42, capital: float = 100_000.0) -> DataFrame:
-    """(by..., kind, rep, ret, max_drawdown): the rows of bootstrap_trades and permute_trades from one pass over the words that both go by. Under two trades an error."""
-    return resampled_paths(trades, by, order, replicates, seed, capital, permute=None)
+def replicate_trades(trades: DataFrame, by: list[str], order: str, replicates: int = 10_000, seed: int = 42, capital: float = 100_000.0, floor: float | None = None) -> DataFrame:
+    """(by..., kind, rep, ret, max_drawdown): the rows of bootstrap_trades and permute_trades from one pass over the words that both go by. Under two trades an error.
+
+    With `floor`, `shallow` in the place of max_drawdown: whether that is above the floor, which most paths of falling amounts tell in their first trades.
+    """
+    return resampled_paths(trades, by, order, replicates, seed, capital, permute=None, floor=floor)
 
 
 def distribution_summary(paths: DataFrame, by: list[str], bench: float | None = None) -> DataFrame:
-    """Percentiles, mean and deviation (ddof 0) of returns and shares of good replicates."""
+    """Percentiles, mean and deviation (ddof 0) of returns and shares of good replicates; paths tell max_drawdown, or `shallow` for A_FLOOR."""
+    shallow = F.col("shallow") if "shallow" in paths.columns else F.col("max_drawdown") > A_FLOOR
     q = [0.05, 0.25, 0.5, 0.75, 0.95]
     p = F.percentile("ret", F.array(*map(F.lit, q)))
-    g = paths.groupBy(*by).agg(p.alias("_p"), F.avg("ret").alias("mean"), F.stddev_pop("ret").alias("sd"), F.avg((F.col("ret") > 0).cast("double")).alias("p_gain"), F.avg((F.col("ret") > F.lit(bench).cast("double")).cast("double")).alias("p_beats"), F.avg((F.col("max_drawdown") > -0.20).cast("double")).alias("p_shallow"))
+    g = paths.groupBy(*by).agg(p.alias("_p"), F.avg("ret").alias("mean"), F.stddev_pop("ret").alias("sd"), F.avg((F.col("ret") > 0).cast("double")).alias("p_gain"), F.avg((F.col("ret") > F.lit(bench).cast("double")).cast("double")).alias("p_beats"), F.avg(shallow.cast("double")).alias("p_shallow"))
     return g.select(*by, *(F.col("_p")[i].alias(f"p{int(x * 100):02d}") for i, x in enumerate(q)), "mean", "sd", "p_gain", "p_beats", "p_shallow")

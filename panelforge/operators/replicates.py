@@ -26,6 +26,15 @@ A_BLOCK = 1 << 21
 #: stretches of a permutation are no more than 2^A_BUCKETS.
 A_CACHE, A_STRETCH, A_BUCKETS = 1 << 16, 1 << 8, 10
 
+#: First slots of a draw that are walked for all lanes together where only a fall to a floor is asked for.
+A_HEAD = 1 << 12
+
+#: Words that are looked up together: their places lie in a share of the amounts that a processor's cache holds.
+A_PART = 5 << 17
+
+#: Blocks of lanes that all groups together are cut in, and at most those of one group.
+A_TASKS, A_GROUP_TASKS = 256, 32
+
 
 def mixed(x: np.ndarray) -> np.ndarray:
     """A bijection of 32-bit words whose output bits each hang on all input bits."""
@@ -43,6 +52,15 @@ def _mix(x: np.ndarray, part: np.ndarray) -> np.ndarray:
     return np.bitwise_xor(x, part, out=x)
 
 
+def unmixed(x: np.ndarray) -> np.ndarray:
+    """The words whose mixed(x) is x."""
+    x = x ^ (x >> np.uint32(16))
+    x *= np.uint32(pow(0x846CA68B, -1, 1 << 32))
+    x ^= (x >> np.uint32(15)) ^ (x >> np.uint32(30))
+    x *= np.uint32(pow(0x7FEB352D, -1, 1 << 32))
+    return x ^ (x >> np.uint32(16))
+
+
 def counters(group: int, reps: np.ndarray, slots: np.ndarray) -> np.ndarray:
     """32-bit words of each replicate (row) and slot (column) of a group."""
     a, b = mixed(np.array([group & 0xFFFFFFFF, (group + 1) & 0xFFFFFFFF]))
@@ -85,6 +103,10 @@ class Path:
         self.worst = np.minimum(self.worst, ((path - tops) / tops).min(axis=1))
         self.at, self.top = path[:, -1], tops[:, -1]
 
+    def keep(self, lanes: np.ndarray) -> None:
+        """Goes on with some lanes."""
+        self.at, self.top, self.worst = (x[lanes] for x in (self.at, self.top, self.worst))
+
 
 def _walk(start: float, top: float, steps: np.ndarray) -> float:
     """The deepest relative fall of a path from `start` under a former `top`."""
@@ -93,13 +115,15 @@ def _walk(start: float, top: float, steps: np.ndarray) -> float:
     return float(((path - tops) / tops).min())
 
 
-def bounded_fall(gains: np.ndarray, losses: np.ndarray, capital: float, steps_of) -> tuple[float, float] | None:
+def bounded_fall(gains: np.ndarray, losses: np.ndarray, capital: float, steps_of, floor: float | None = None) -> tuple[float, float] | None:
     """(last amount, deepest relative fall) of a path told in stretches by their sums of gains and of losses.
 
     Within a stretch the path lies between its start less the losses and its start plus the
     gains. Stretches that can hold a new top are walked first; then tops are known, and only
     those that can fall deeper than the ends of stretches do are walked. `steps_of(stretches)`
     gives their amounts in order. None where many stretches can hold a top: then all are walked.
+    With `floor` the fall told is a lesser one, but at `floor` or below where the deepest is: only
+    stretches that can reach it are walked, and tops after them aren't asked for.
     """
     ends = capital + np.cumsum(gains - losses)
     if not np.isfinite(ends[-1]):
@@ -107,8 +131,14 @@ def bounded_fall(gains: np.ndarray, losses: np.ndarray, capital: float, steps_of
     at = np.concatenate([[capital], ends[:-1]])
     slack = 1e-9 * (np.abs(at) + gains + losses + capital)
     tops = np.maximum.accumulate(np.concatenate([[capital], ends]))
-    rising = np.flatnonzero(at + gains + slack > tops[:-1])
-    if len(rising) > max(8, len(at) // 4):
+    low, rising, near = at - losses - slack, np.flatnonzero(at + gains + slack > tops[:-1]), None
+    if floor is not None:
+        worst = min(0.0, float(((ends - tops[1:]) / tops[1:]).min()))
+        near = np.flatnonzero(low / np.maximum.accumulate(np.maximum(at + gains + slack, capital)) - 1 <= floor)
+        if worst <= floor or not len(near):
+            return float(ends[-1]), worst
+        rising = rising[rising <= near[-1]]
+    if max(len(rising), 0 if near is None else len(near)) > max(8, len(at) // 4):
         return None
     risen = dict(zip(rising.tolist(), steps_of(rising), strict=True))
     for k, steps in risen.items():
@@ -116,7 +146,7 @@ def bounded_fall(gains: np.ndarray, losses: np.ndarray, capital: float, steps_of
             tops[k + 1] = max(tops[k + 1], at[k] + float(np.cumsum(steps).max()))
     tops = np.maximum.accumulate(tops)
     worst = min(0.0, float(((ends - tops[1:]) / tops[1:]).min()))
-    deep = np.flatnonzero((at - losses - slack) / tops[:-1] - 1 < worst)
+    deep = np.flatnonzero(low / tops[:-1] - 1 < worst) if near is None else near
     # a stretch with a new top may fall from that
     deep = deep[~np.isin(deep, rising)]
     for k, steps in [*risen.items(), *zip(deep.tolist(), steps_of(deep), strict=True)]:
@@ -138,8 +168,8 @@ class _Lanes:
 
     def __init__(self, group: int, net: np.ndarray, capital: float):
         self.net, self.capital, self.n = np.array(net, float), capital, len(net)
-        a, self.b = mixed(np.array([group & 0xFFFFFFFF, (group + 1) & 0xFFFFFFFF]))
-        self.slots = mixed(np.arange(self.n, dtype=np.uint32) ^ a)
+        self.a, self.b = mixed(np.array([group & 0xFFFFFFFF, (group + 1) & 0xFFFFFFFF]))
+        self.slots = mixed(np.arange(self.n, dtype=np.uint32) ^ self.a)
         self.wide = A_STRETCH * max(1, A_CACHE // A_STRETCH)
         self.bits = min(A_BUCKETS, max(1, (self.n // A_STRETCH).bit_length() - 1))
         self.buckets = 1 << self.bits
@@ -151,10 +181,11 @@ class _Lanes:
         room = min(self.wide, -(-self.n // A_STRETCH) * A_STRETCH)
         self._word, self._part, self._near = np.empty(room, np.uint32), np.empty(room, np.uint32), np.empty(room, bool)
         self._place, self._step = np.empty(room, np.uint64), np.empty(room)
+        self._all: np.ndarray | None = None
 
-    def words(self, rep: int, first: int, last: int) -> np.ndarray:
-        """Words of the slots, at most `wide`; the array is used again for the next ones."""
-        x = self._word[: last - first]
+    def words(self, rep: int, first: int, last: int, every: np.ndarray | None = None) -> np.ndarray:
+        """Words of the slots, at most `wide`, in their places of `every`; else in an array that is used again for the next ones."""
+        x = self._word[: last - first] if every is None else every[first:last]
         np.add(self.slots[first:last], self._of(rep), out=x)
         return _mix(x, self._part[: len(x)])
 
@@ -169,8 +200,8 @@ class _Lanes:
         for s in range(0, self.n, self.wide):
             yield s, self.words(rep, s, min(self.n, s + self.wide))
 
-    def of(self, rep: int, kinds: tuple[str, ...]) -> list[tuple[float, float]]:
-        """(last amount, deepest relative fall) of each kind."""
+    def of(self, rep: int, kinds: tuple[str, ...], floor: float | None = None) -> list[tuple[float, float]]:
+        """(last amount, deepest relative fall) of each kind; with `floor` the fall is as bounded_fall tells it."""
         drawn, dealt = [], np.zeros(2 * self.buckets)
         near: list[tuple[np.ndarray, np.ndarray]] = []
         for s, w in self.blocks(rep):
@@ -178,9 +209,74 @@ class _Lanes:
                 drawn.append(self._drawn_sums(w))
             if "permutation" in kinds:
                 near.append(self._dealt(s, w, dealt))
-        told = {"bootstrap": lambda: self._drawn(rep, drawn), "permutation": lambda: self._permuted(rep, dealt, near)}
+        told = {"bootstrap": lambda: self._drawn(rep, drawn, floor), "permutation": lambda: self._permuted(rep, dealt, near, floor)}
         return [told[k]() for k in kinds]
 
+    def to_floor(self, reps: np.ndarray, kinds: tuple[str, ...], floor: float) -> list[list[tuple[float, float]]]:
+        """As `of` with `floor`, for each replicate. A path that reaches it among its first trades is only summed up after those.
+
+        Words of a replicate differ, so a permutation's first trades are the slots of its least
+        words. How many of these are looked at is told by the draws' heads; a path that doesn't
+        reach the floor in its head is told in stretches.
+        """
+        if not np.isfinite(np.abs(self.net).max() * self.n):
+            return [self.of(r, kinds) for r in reps.tolist()]
+        told, lanes = [], max(1, A_BLOCK // (2 * A_HEAD))
+        for s in range(0, len(reps), lanes):
+            told += self._lanes_to_floor(reps[s : s + lanes], kinds, floor)
+        return told
+
+    def _lanes_to_floor(self, reps: np.ndarray, kinds: tuple[str, ...], floor: float) -> list[list[tuple[float, float]]]:
+        falls, used = self._heads(reps, floor)
+        known = np.flatnonzero((falls <= floor) | (self.n <= A_HEAD))
+        least = np.empty((len(known), min(self.n, 2 * used) if "permutation" in kinds else 0), np.uint32)
+        sums = [self._sum_and_least(rep, "bootstrap" in kinds, x) for rep, x in zip(reps[known].tolist(), least, strict=True)]
+        least.sort(axis=1)
+        path = Path(len(known), self.capital)
+        path.append(self.net[self._slots_of(reps[known], least)])
+        dealt = (path.worst <= floor) | (least.shape[1] == self.n)
+        total = self.capital + float(self.net.sum())
+        told = {}
+        for k, drawn_sum, fall, whole in zip(known.tolist(), sums, path.worst.tolist(), dealt.tolist(), strict=True):
+            of = {"bootstrap": (self.capital + drawn_sum, float(falls[k])), "permutation": (total, fall)}
+            if "permutation" in kinds and not whole:
+                of["permutation"] = self.of(int(reps[k]), ("permutation",), floor)[0]
+            told[k] = [of[kind] for kind in kinds]
+        return [told[k] if k in told else self.of(rep, kinds, floor) for k, rep in enumerate(reps.tolist())]
+
+    def _sum_and_least(self, rep: int, summed: bool, least: np.ndarray) -> float:
+        """Sum of the amounts that a replicate draws; as many of its least words as `least` has room for are put there.
+
+        Draws are looked up part by part of the amounts: a processor's cache holds one, not all amounts of a large group.
+        """
+        if self._all is None:
+            self._all = np.empty(self.n, np.uint32)
+        for s in range(0, self.n, self.wide):
+            self.words(rep, s, min(self.n, s + self.wide), self._all)
+        first = _parted(self._all)
+        if 0 < len(least) < self.n:
+            self._all[: first if len(least) < first else self.n].partition(len(least))
+        least[:] = self._all[: len(least)]
+        return sum(float(self._take(self._all[s : s + self.wide]).sum()) for s in range(0, self.n, self.wide)) if summed else 0.0
+
+    def _slots_of(self, reps: np.ndarray, words: np.ndarray) -> np.ndarray:
+        """Slots of each replicate's (row) words."""
+        return unmixed(unmixed(words) - mixed(reps.astype(np.uint32) ^ self.b)[:, None]) ^ self.a
+
+    def _heads(self, reps: np.ndarray, floor: float) -> tuple[np.ndarray, int]:
+        """(deepest fall of each replicate's first draws, up to A_HEAD or where it reaches the floor; slots after which few hadn't reached it)."""
+        word, path = mixed(reps.astype(np.uint32) ^ self.b), Path(len(reps), self.capital)
+        falls, left, first, used = np.zeros(len(reps)), np.arange(len(reps)), 0, 1
+        while len(left) and first < min(self.n, A_HEAD):
+            last = min(self.n, A_HEAD, max(64, 2 * first))
+            path.append(self.net[drawn(mixed(self.slots[first:last] + word[left, None]), self.n)])
+            falls[left] = path.worst
+            if len(left) * 32 > len(reps):
+                used = last
+            left, first = left[path.worst > floor], last
+            path.keep(path.worst > floor)
+        return falls, used
+
     def _take(self, w: np.ndarray) -> np.ndarray:
         """Amounts that words draw; the array is used again for the next ones."""
         at, x = self._place[: len(w)], self._step[: len(w)]
@@ -197,7 +293,7 @@ class _Lanes:
         total = x.reshape(-1, A_STRETCH).sum(axis=1)
         return total, np.abs(x, out=x).reshape(-1, A_STRETCH).sum(axis=1)
 
-    def _drawn(self, rep: int, sums: list[tuple[np.ndarray, np.ndarray]]) -> tuple[float, float]:
+    def _drawn(self, rep: int, sums: list[tuple[np.ndarray, np.ndarray]], floor: float | None = None) -> tuple[float, float]:
         total, size = (np.concatenate(x) for x in zip(*sums, strict=True))
 
         def steps_of(ks: np.ndarray) -> list[np.ndarray]:
@@ -206,7 +302,7 @@ class _Lanes:
             x = self.net.take(drawn(mixed(self.slots[slots[slots < self.n]] + self._of(rep)), self.n))
             return np.split(x, np.arange(1, len(ks)) * A_STRETCH) if len(ks) else []
 
-        told = bounded_fall((size + total) / 2, (size - total) / 2, self.capital, steps_of)
+        told = bounded_fall((size + total) / 2, (size - total) / 2, self.capital, steps_of, floor)
         return told or self._whole(self._take(w) for _, w in self.blocks(rep))
 
     def _dealt(self, s: int, w: np.ndarray, sums: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -223,7 +319,7 @@ class _Lanes:
         found = _flat(near)
         return s + found, w[found]
 
-    def _permuted(self, rep: int, sums: np.ndarray, near: list[tuple[np.ndarray, np.ndarray]]) -> tuple[float, float]:
+    def _permuted(self, rep: int, sums: np.ndarray, near: list[tuple[np.ndarray, np.ndarray]], floor: float | None = None) -> tuple[float, float]:
         place = lambda w: (w >> np.uint32(32 - self.bits)).astype(np.int64)
 
         def steps_of(ks: np.ndarray) -> list[np.ndarray]:
@@ -237,7 +333,7 @@ class _Lanes:
             order = by_word(w, slots)
             return np.split(self.net[order], np.searchsorted(np.sort(place(w)), ks[1:]))
 
-        if told := bounded_fall(sums[: self.buckets], sums[self.buckets :], self.capital, steps_of):
+        if told := bounded_fall(sums[: self.buckets], sums[self.buckets :], self.capital, steps_of, floor):
             return told
         w = np.concatenate([w.copy() for _, w in self.blocks(rep)])
         return self._whole([self.net[by_word(w, np.arange(self.n))]])
@@ -250,6 +346,16 @@ class _Lanes:
         return float(path.at[0]), float(path.worst[0])
 
 
+def _parted(words: np.ndarray) -> int:
+    """Puts words, in their array, in parts of at most A_PART that follow each other; the length of the first part."""
+    if len(words) <= A_PART:
+        return len(words)
+    half = len(words) // 2
+    words.partition(half)
+    _parted(words[half:])
+    return _parted(words[:half])
+
+
 def _flat(mask: np.ndarray) -> np.ndarray:
     """np.flatnonzero, in a mask with few set places by looking at eight as one number."""
     if np.count_nonzero(mask) * 16 > len(mask):
@@ -259,10 +365,13 @@ def _flat(mask: np.ndarray) -> np.ndarray:
     return np.concatenate([found[mask[found]], even + np.flatnonzero(mask[even:])])
 
 
-def path_lanes(group: int, net: np.ndarray, reps: np.ndarray, capital: float, permute: bool | None) -> tuple[np.ndarray, ...]:
-    """(return, deepest relative fall) of each replicate: trades drawn with replacement, or all in another order; None: both of the former, both of the latter."""
+def path_lanes(group: int, net: np.ndarray, reps: np.ndarray, capital: float, permute: bool | None, floor: float | None = None) -> tuple[np.ndarray, ...]:
+    """(return, deepest relative fall) of each replicate: trades drawn with replacement, or all in another order; None: both of the former, both of the latter.
+
+    With `floor` a fall may be told as a lesser one, but as one to `floor` or below where the deepest is.
+    """
     lanes, kinds = _Lanes(group, net, capital), KINDS if permute is None else (KINDS[permute],)
-    told = np.array([lanes.of(r, kinds) for r in reps.tolist()])
+    told = np.array([lanes.of(r, kinds) for r in reps.tolist()] if floor is None else lanes.to_floor(reps, kinds, floor))
     return tuple(x for k in range(len(kinds)) for x in (told[:, k, 0] / capital - 1, told[:, k, 1]))
 
 
@@ -290,7 +399,7 @@ def _packed(names: list[str], schema: pa.Schema, piece: int = 1 << 16):
     return run
 
 
-def _run_paths(names: list[str], lanes: int, replicates: int, capital: float, permute: bool | None, least: int, schema: pa.Schema):
+def _run_paths(names: list[str], lanes: int, replicates: int, capital: float, permute: bool | None, least: int, floor: float | None, schema: pa.Schema):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key, held = None, []
 
@@ -300,12 +409,13 @@ def _run_paths(names: list[str], lanes: int, replicates: int, capital: float, pe
                 raise ValueError(f"{len(net)} trades, at least {least} are needed")
             *group, word, lane = key
             reps = np.arange(lane, min(lane + lanes, replicates))
-            told = path_lanes(word, net, reps, capital, permute)
+            told = path_lanes(word, net, reps, capital, permute, floor)
+            falls = told[1::2] if floor is None else [~(x <= floor) for x in told[1::2]]
             n = len(reps) * len(told) // 2
             keys = [pa.array([g] * n, schema.field(i).type) for i, g in enumerate(group)]
             if permute is None:
                 keys.append(pa.array(np.repeat(KINDS, len(reps)).tolist(), pa.string()))
-            return pa.RecordBatch.from_arrays([*keys, pa.array(np.resize(reps, n), pa.int32()), *(pa.array(np.concatenate(x)) for x in (told[::2], told[1::2]))], schema=schema)
+            return pa.RecordBatch.from_arrays([*keys, pa.array(np.resize(reps, n), pa.int32()), *(pa.array(np.concatenate(x)) for x in (told[::2], falls))], schema=schema)
 
         for b in batches:
             columns = [b.column(b.schema.get_field_index(c)).to_pylist() for c in [*names, "_lane"]]
@@ -321,13 +431,16 @@ def _run_paths(names: list[str], lanes: int, replicates: int, capital: float, pe
     return run
 
 
-def resampled_paths(trades: DataFrame, by: list[str], order: str, replicates: int, seed: int, capital: float, permute: bool | None, lanes: int | None = None) -> DataFrame:
+def resampled_paths(trades: DataFrame, by: list[str], order: str, replicates: int, seed: int, capital: float, permute: bool | None, lanes: int | None = None, floor: float | None = None) -> DataFrame:
     """(by..., rep, ret, max_drawdown) of replicates of each group's trades by `order`, then by amount; permute None: both kinds, told by `kind`.
 
+    With `floor`, `shallow` in the place of max_drawdown: whether that is above the floor. A path is then followed only as far as that asks for.
+
     A group's amounts are written once as pieces of 8 bytes a trade and reach each block of lanes; a task holds
     some four numbers a trade, and blocks of A_CACHE. A permutation asks for a lane's whole order only where its
-    stretches don't tell its fall. Blocks are few and large (at most 32 a group, of 128 lanes or more), so they are dealt
-    by ranges, which are as many as blocks: a hash would give some tasks several.
+    stretches don't tell its fall. Blocks are few and large (some A_TASKS in all, at most A_GROUP_TASKS a group, of 128 lanes
+    or more), as a group's trades are shuffled once for each; they are dealt by ranges, which are as many as blocks: a hash
+    would give some tasks several.
     """
     least = 1 if permute is False else 2
     n = int(trades.sparkSession.conf.get("spark.sql.shuffle.partitions"))
@@ -339,12 +452,12 @@ def resampled_paths(trades: DataFrame, by: list[str], order: str, replicates: in
     groups = pieces.filter("_at = 0").count()
     if not groups:
         raise ValueError(f"no trades, at least {least} are needed")
-    lanes = lanes or max(128, -(-replicates // 32))
+    lanes = lanes or max(128, -(-replicates // min(A_GROUP_TASKS, -(-A_TASKS // groups))))
     parts = min(groups * -(-max(replicates, 1) // lanes), 4096)
     blocks = in_lanes(pieces, replicates, lanes).repartitionByRange(parts, *by, "_lane").sortWithinPartitions(*by, "_lane", "_at")
     kinds = [] if permute is not None else StructType.fromDDL("kind string").fields
-    kind = StructType([*keys, *kinds, *StructType.fromDDL("rep int, ret double, max_drawdown double").fields])
-    return blocks.mapInArrow(_run_paths([*by, "_g"], lanes, replicates, capital, permute, least, to_arrow_schema(kind)), kind)
+    kind = StructType([*keys, *kinds, *StructType.fromDDL(f"rep int, ret double, {'max_drawdown double' if floor is None else 'shallow boolean'}").fields])
+    return blocks.mapInArrow(_run_paths([*by, "_g"], lanes, replicates, capital, permute, least, floor, to_arrow_schema(kind)), kind)
 
 
 def correlation_lanes(group: int, unit: np.ndarray, y: np.ndarray, scores: list[np.ndarray], reps: np.ndarray) -> tuple[list[np.ndarray], int]:

@@ -436,5 +436,5 @@ def b19(spark, d):
 @query("b19_final_report")
 def b19_final(spark, d):
     """Both kinds of replicates at the 10,000 of a final report; SQL would make a row of each draw."""
-    told = pf.distribution_summary(pf.replicate_trades(v.trades(spark, d), ["portfolio"], "trade_id"), ["portfolio", "kind"])
+    told = pf.distribution_summary(pf.replicate_trades(v.trades(spark, d), ["portfolio"], "trade_id", floor=pf.A_FLOOR), ["portfolio", "kind"])
     return told.select("portfolio", *(c for c in told.columns if c not in ("portfolio", "kind")), "kind")

@@ -102,6 +102,57 @@ def test_both_kinds_go_by_words_that_are_made_once(spark, monkeypatch):
         portfolio.replicate_trades(t.limit(0), ["p"], "id", 3)
 
 
+def test_words_are_told_back():
+    x = np.random.default_rng(2).integers(0, 1 << 32, 5000, dtype=np.uint32)
+    assert replicates.unmixed(replicates.mixed(x)).tolist() == x.tolist()
+
+
+@pytest.mark.parametrize(("drift", "spread"), [(-4000, 2500), (-300, 2500), (0, 2500), (300, 2500), (4000, 2500), (0, 30), (20, 300), (-1000, 0), (0, float("inf"))])
+def test_a_floor_is_told_as_whole_paths_tell_it(monkeypatch, drift, spread):
+    for name, x in (("A_CACHE", 64), ("A_STRETCH", 8), ("A_HEAD", 64), ("A_PART", 100)):
+        monkeypatch.setattr(replicates, name, x)
+    rng = np.random.default_rng(7)
+    for n in (2, 7, 64, 65, 500, 3000):
+        net = rng.normal(drift, min(spread, 2500), n)
+        net[rng.random(n) < 0.2] = 0.0 if np.isfinite(spread) else np.nan
+        for permute in (False, True, None):
+            told = replicates.path_lanes(11, net, np.arange(5, 45), 100_000.0, permute, -0.2)
+            for k, whole in enumerate(replicates.path_lanes(11, net, np.arange(5, 45), 100_000.0, permute)):
+                assert (told[k] <= -0.2).tolist() == (whole <= -0.2).tolist() if k % 2 else told[k] == pytest.approx(whole, abs=1e-9, nan_ok=True)
+
+
+def test_paths_that_fall_early_are_not_told_in_stretches(monkeypatch):
+    for name, x in (("A_CACHE", 64), ("A_STRETCH", 8), ("A_PART", 100)):
+        monkeypatch.setattr(replicates, name, x)
+    made, told = [], []
+    words, bounded = replicates._Lanes.words, replicates.bounded_fall
+    monkeypatch.setattr(replicates._Lanes, "words", lambda self, rep, s, e, *at: made.append(e - s) or words(self, rep, s, e, *at))
+    monkeypatch.setattr(replicates, "bounded_fall", lambda *x: told.append(1) or bounded(*x))
+    net = np.random.default_rng(5).normal(-1000, 2500, 5000)
+    _, a, _, b = replicates.path_lanes(11, net, np.arange(40), 100_000.0, None, -0.2)
+    assert (a <= -0.2).all() and (b <= -0.2).all() and sum(made) == 40 * 5000 and not told
+
+
+def test_a_floor_leaves_the_report_as_it_is(spark):
+    rng = np.random.default_rng(9)
+    rows = [(p, f"{i:03d}", float(x)) for p, n, m in (("a", 2, 0), ("b", 200, -500), ("c", 200, 60), (None, 90, 900)) for i, x in enumerate(rng.normal(m, 2500, n))]
+    t = spark.createDataFrame(rows, "p string, id string, net double")
+    deep, flags = (portfolio.replicate_trades(t, ["p"], "id", 150, floor=f) for f in (None, portfolio.A_FLOOR))
+    assert flags.columns == ["p", "kind", "rep", "ret", "shallow"]
+    whole = {(r.p, r.kind, r.rep): (r.ret, r.max_drawdown > -0.2) for r in deep.collect()}
+    got = {(r.p, r.kind, r.rep): (r.ret, r.shallow) for r in flags.collect()}
+    assert len(got) == 1200 and len(set(x for _, x in got.values())) == 2
+    assert all(got[k][1] == whole[k][1] and got[k][0] == pytest.approx(whole[k][0], abs=1e-9) for k in whole) and got.keys() == whole.keys()
+    told = [{(r.p, r.kind): tuple(r)[2:] for r in portfolio.distribution_summary(x, ["p", "kind"], 0.1).collect()} for x in (deep, flags)]
+    assert all(told[1][k] == pytest.approx(told[0][k], abs=1e-9) for k in told[0]) and len(told[1]) == 8
+
+
+def test_many_groups_are_cut_in_fewer_blocks(spark):
+    t = spark.createDataFrame([(g, f"{i}", float(i)) for g in range(25) for i in range(3)], "g int, id string, net double")
+    # a group's trades are shuffled once for each of its blocks
+    assert 12 * 20 < portfolio.replicate_trades(t, ["g"], "id", 10_000).rdd.getNumPartitions() <= 300
+
+
 def test_trades_are_read_once_and_reach_few_blocks(spark):
     t = spark.createDataFrame([("a", f"{i:03d}", float(i)) for i in range(40)], "p string, id string, net double").repartition(1)
     read = spark.sparkContext.accumulator(0)
