@@ -12,6 +12,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
@@ -376,25 +377,30 @@ def path_lanes(group: int, net: np.ndarray, reps: np.ndarray, capital: float, pe
 
 
 def _packed(names: list[str], schema: pa.Schema, piece: int = 1 << 16):
-    """Sorted rows as pieces of their groups: keys, word, place of the piece, amounts as bytes."""
+    """Sorted rows as pieces of their groups: keys, word, place of the piece, amounts as bytes. Null is no amount."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[float] = []
-        key, at = None, 0
+        held, key, at = np.empty(0), None, 0
 
-        def out() -> pa.RecordBatch:
-            return pa.RecordBatch.from_pylist([dict(zip(names, key, strict=True)) | {"_at": at, "_net": np.array(held).tobytes()}], schema)
+        def out(net: np.ndarray) -> pa.RecordBatch:
+            return pa.RecordBatch.from_pylist([dict(zip(names, key, strict=True)) | {"_at": at, "_net": net.tobytes()}], schema)
 
         for b in batches:
-            columns = [b.column(b.schema.get_field_index(c)).to_pylist() for c in names]
-            for k, x in zip(zip(*columns, strict=True), b.column(b.schema.get_field_index("net")).to_pylist(), strict=True):
-                if key is not None and (k != key or len(held) == piece):
-                    yield out()
-                    held, at = [], at + 1 if k == key else 0
-                key = k
-                held.append(x)
+            columns = [b.column(b.schema.get_field_index(c)) for c in names]
+            net = b.column(b.schema.get_field_index("net")).fill_null(0.0).to_numpy(zero_copy_only=False)
+            first = 0
+            for last in sorted({x for c in columns for x in pc.run_end_encode(c).run_ends.to_pylist()}):
+                k = tuple(c[first].as_py() for c in columns)
+                if key is not None and k != key:
+                    yield out(held)
+                    held, at = held[:0], 0
+                key, held = k, np.concatenate([held, net[first:last]])
+                while len(held) > piece:
+                    yield out(held[:piece])
+                    held, at = held[piece:], at + 1
+                first = last
         if key is not None:
-            yield out()
+            yield out(held)
 
     return run
 
@@ -447,7 +453,7 @@ def resampled_paths(trades: DataFrame, by: list[str], order: str, replicates: in
     keys = [trades.schema[c] for c in by]
     told = trades.select(*by, group_word(by, seed).alias("_g"), F.col("net").cast("double").alias("net"), F.col(order).alias("_o"))
     kind = StructType([*keys, *StructType.fromDDL("_g bigint, _at bigint, _net binary").fields])
-    sorted_ = told.repartition(n, *by).sortWithinPartitions(*by, "_o", "net")
+    sorted_ = told.repartition(n, *by).sortWithinPartitions(*by, "_o", "net").drop("_o")
     pieces = written(sorted_.mapInArrow(_packed([*by, "_g"], to_arrow_schema(kind)), kind), "trades")
     groups = pieces.filter("_at = 0").count()
     if not groups:

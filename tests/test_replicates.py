@@ -6,6 +6,7 @@ import random
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import pytest
 
 from panelforge.operators import portfolio, replicates, stats
@@ -167,6 +168,20 @@ def test_trades_are_read_once_and_reach_few_blocks(spark):
     assert paths.rdd.getNumPartitions() <= 32
 
 
+def test_sorted_rows_are_packed_by_runs(spark):
+    read, kind = pa.schema([("p", pa.string()), ("_g", pa.int64()), ("net", pa.float64())]), pa.schema([("p", pa.string()), ("_g", pa.int64()), ("_at", pa.int64()), ("_net", pa.binary())])
+    rows = [(p, 3, None if i % 5 == 2 else float(i)) for p, n in ((None, 7), ("a", 1), ("b", 10)) for i in range(n)]
+    want = [(None, 0, [0.0, 1, 0, 3]), (None, 1, [4, 5, 6]), ("a", 0, [0]), ("b", 0, [0, 1, 0, 3]), ("b", 1, [4, 5, 6, 0]), ("b", 2, [8, 9])]
+    for size in (1, 3, 18):
+        batches = (pa.RecordBatch.from_pylist([dict(zip(read.names, r, strict=True)) for r in rows[s : s + size]], read) for s in range(0, len(rows), size))
+        got = [r for b in replicates._packed(["p", "_g"], kind, piece=4)(batches) for r in b.to_pylist()]
+        assert [(r["p"], r["_at"], np.frombuffer(r["_net"]).tolist()) for r in got] == want and {r["_g"] for r in got} == {3}
+    # an amount that isn't known is none, as in a sum
+    t = spark.createDataFrame([("a", f"{i}", x) for i, x in enumerate((-500.0, None, 900.0, None))], "p string, id string, net double")
+    zero = portfolio.bootstrap_trades(t.fillna(0.0), ["p"], "id", 9).collect()
+    assert portfolio.bootstrap_trades(t, ["p"], "id", 9).collect() == zero
+
+
 def test_too_few_trades_raise(spark):
     t = spark.createDataFrame([("a", "1", 5.0)], "p string, id string, net double")
     assert portfolio.bootstrap_trades(t, ["p"], "id", 3).count() == 3
